@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, quality, sharding
+from . import jaccard, mixing, neardup, quality, sharding
 from .store import table
 
 
@@ -17,6 +17,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents")).select("source", "epoch", "block", "doc_id", "n_tokens", "token_start")
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -27,7 +31,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op4_neardup": neardup.LINK_SQL.replace("{vectors}", "embeddings").replace("{cosine}", "0.95"),
     "op3_mixing": mixing.schedule_sql().replace("{docs}", "documents"),
 }
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_mixing, op5_jaccard, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_mixing, op4_neardup, op5_jaccard, op9_sharding)}
