@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, neardup, quality, sharding, toxicity
+from . import jaccard, mixing, neardup, quality, sharding, spans, toxicity
 from .store import table
 
 
@@ -29,6 +29,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents"), k=20)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -39,4 +43,4 @@ SQL = {
     "op3_mixing": mixing.schedule_sql().replace("{docs}", "documents"),
 }
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op9_sharding)}
