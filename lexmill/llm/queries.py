@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, neardup, quality, sharding, spans, toxicity
+from . import hmm, jaccard, mixing, neardup, quality, sharding, spans, toxicity
 from .store import table
 
 
@@ -38,9 +38,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op4_neardup": neardup.LINK_SQL.replace("{vectors}", "embeddings").replace("{cosine}", "0.95"),
     "op3_mixing": mixing.schedule_sql().replace("{docs}", "documents"),
 }
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op9_sharding, op10_hmm)}
