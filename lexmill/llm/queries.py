@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, jaccard, mixing, neardup, quality, sharding, spans, toxicity
+from . import decontaminate, hmm, jaccard, mixing, neardup, quality, sharding, spans, toxicity
 from .store import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,4 +51,4 @@ SQL = {
     "op3_mixing": mixing.schedule_sql().replace("{docs}", "documents"),
 }
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op9_sharding, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op9_sharding, op10_hmm)}
