@@ -242,9 +242,3 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: fl
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no passage of the benchmark was found."""
-    leaked = search(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)

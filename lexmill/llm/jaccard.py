@@ -146,8 +146,6 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
                 at &= lead == 0
                 lead_key, lead_meta = np.where(at, held[3], lead_key), np.where(at, held[4], lead_meta)
                 given[0] = held[5]
-                if given[0]:
-                    new = new.copy()
             with_next = np.concatenate([~new[1:], [False]])
             show = (~new | with_next) & ~given
             first = new.copy()
@@ -238,9 +236,3 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return rows.join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
-
-
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that link, directly or through others, to one of a smaller id."""
-    kept = link(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, jaccard, mixing, neardup, quality, sharding, spans, toxicity
+from . import decontaminate, hmm, jaccard, mixing, neardup, quality, secrets, sharding, spans, toxicity
 from .store import table
 
 
@@ -37,6 +37,10 @@ def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup(table(spark, sf_dir, "documents"), k=20)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -51,4 +55,4 @@ SQL = {
     "op3_mixing": mixing.schedule_sql().replace("{docs}", "documents"),
 }
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op9_sharding, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op8_secrets, op9_sharding, op10_hmm)}
