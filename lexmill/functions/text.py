@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,10 +97,11 @@ def has_cyrillic(s: Column) -> Column:
 
 def positions(what: str, text: Column) -> Column:
     """All 0-based starts of ``what``, overlapping ones included."""
-    n = len(what)
-    return F.when(
-        F.length(text) >= n, F.filter(F.sequence(F.lit(0), F.length(text) - n), lambda i: F.substring(text, i + 1, F.lit(n)) == F.lit(what))
-    ).otherwise(F.array().cast("array<int>"))
+    pieces = F.split(text, "(?=" + re.escape(what) + ")")
+    starts = F.aggregate(
+        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    )["out"]
+    return F.filter(starts, lambda i: F.substring(text, i + 1, F.lit(len(what))) == F.lit(what))
 
 
 def relative_position(what: str, text: Column) -> Column:

@@ -229,10 +229,10 @@ CORR = """,
     corrs AS (SELECT doc_id, w1, w2, CASE WHEN min(n1) < max(n1) AND min(n2) < max(n2) THEN corr(n1, n2) END AS corr FROM pairs GROUP BY ALL)"""
 
 
-@query(PRE + CLOCK + RAW + BINS.format(parts=10) + CORR.format(src="bins") + " SELECT doc_id, w1, w2, round(corr, 5) AS corr FROM corrs WHERE w1 < w2 AND corr IS NOT NULL")
+@query(PRE + CLOCK + RAW + BINS.format(parts=10) + CORR.format(src="bins") + " SELECT doc_id, w1, w2, round(corr, 5) + 0 AS corr FROM corrs WHERE w1 < w2 AND corr IS NOT NULL")
 def profile_corr(spark, d):
     corr = profiles.correlations(_bins(spark, d, 10), "doc_id")
-    return profiles.pair_statistics(corr).select("doc_id", "w1", "w2", rounded("corr", 5))
+    return profiles.pair_statistics(corr).select("doc_id", "w1", "w2", (F.round("corr", 5) + 0.0).alias("corr"))
 
 
 @query(
@@ -243,11 +243,11 @@ def profile_corr(spark, d):
     + """, cut AS (SELECT doc_id, term, bin, CASE WHEN n >= 2 THEN n ELSE 0 END AS n FROM bins),
     kept AS (SELECT * FROM cut WHERE (doc_id, term) IN (SELECT (doc_id, term) FROM cut GROUP BY doc_id, term HAVING sum(n) >= 10))"""
     + CORR.format(src="kept")
-    + " SELECT doc_id, w1, w2, round(corr, 5) AS corr FROM corrs WHERE w1 < w2 AND corr > 0.5"
+    + " SELECT doc_id, w1, w2, round(corr, 5) + 0 AS corr FROM corrs WHERE w1 < w2 AND corr > 0.5"
 )
 def profile_corr_thresholded(spark, d):
     corr = profiles.correlations(profiles.frequent_columns(_bins(spark, d, 10), 2, 10, "doc_id"), "doc_id")
-    return corr.where((F.col("w1") < F.col("w2")) & (F.col("corr") > 0.5)).select("doc_id", "w1", "w2", rounded("corr", 5))
+    return corr.where((F.col("w1") < F.col("w2")) & (F.col("corr") > 0.5)).select("doc_id", "w1", "w2", (F.round("corr", 5) + 0.0).alias("corr"))
 
 
 @query()
@@ -271,14 +271,14 @@ def profile_corr_walk(spark, d):
     + """), grid AS (SELECT parts, doc_id, term, bin, sum(n)::DOUBLE AS n FROM allbins GROUP BY ALL),
     corrs AS (SELECT a.parts, a.doc_id, a.term AS w1, b.term AS w2, CASE WHEN min(a.n) < max(a.n) AND min(b.n) < max(b.n) THEN corr(a.n, b.n) END AS corr
       FROM grid a JOIN grid b ON a.parts = b.parts AND a.doc_id = b.doc_id AND a.bin = b.bin AND a.term < b.term GROUP BY ALL)
-    SELECT parts, w1, w2, round(avg(corr), 5) AS mean_corr, count(*)::BIGINT AS n FROM corrs WHERE corr IS NOT NULL GROUP BY ALL"""
+    SELECT parts, w1, w2, round(avg(corr), 5) + 0 AS mean_corr, count(*)::BIGINT AS n FROM corrs WHERE corr IS NOT NULL GROUP BY ALL"""
 )
 def corr_stats_by_parts(spark, d):
     rows = None
     for parts in (5, 10):
         corr = profiles.pair_statistics(profiles.correlations(_bins(spark, d, parts), "doc_id")).withColumn("parts", F.lit(parts).cast("long"))
         rows = corr if rows is None else rows.unionByName(corr)
-    return rows.groupBy("parts", "w1", "w2").agg(F.round(F.avg("corr"), 5).alias("mean_corr"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("parts", "w1", "w2").agg((F.round(F.avg("corr"), 5) + 0.0).alias("mean_corr"), F.count(F.lit(1)).alias("n"))
 
 
 DISTANCE = """CASE WHEN least(len(w1), len(w2)) < 3 OR greatest(len(w1), len(w2)) > least(len(w1), len(w2)) + 4 OR greatest(len(w1), len(w2)) > 2 * least(len(w1), len(w2)) THEN greatest(len(w1), len(w2))::DOUBLE
