@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, hmm, jaccard, mixing, neardup, quality, secrets, sharding, spans, toxicity
+from .oracles import SQL  # noqa: F401
 from .store import table
 
 
@@ -50,9 +51,4 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
-SQL = {
-    "op4_neardup": neardup.LINK_SQL.replace("{vectors}", "embeddings").replace("{cosine}", "0.95"),
-    "op3_mixing": mixing.schedule_sql().replace("{docs}", "documents"),
-}
-
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op8_secrets, op9_sharding, op10_hmm)}
