@@ -3,10 +3,10 @@
 Labelled rows outside the held-out fold give the examples: up to ``most`` of each class, the first
 ones in the order of a hash of their ids (a documented bound; votes are weighted back to the class
 sizes). Words are lower-cased and stripped of ASCII punctuation. The vector space is made of the
-words that tell the classes apart on distinct example texts (chi-squared at least ``chi2``, at most
-``terms`` of them), weighted by document frequencies over all documents. The index holds for each
-word and block of examples the largest weight; a query visits blocks by falling upper bound and
-stops when no block can beat its k-th neighbour, so the neighbours are exact.
+words that tell the classes apart on distinct example texts (chi-squared at least ``chi2``, and at
+least ``lift`` times as frequent in toxic texts as in all; at most ``terms`` of them), weighted by document frequencies over all documents. The index holds for each
+word and block of examples the largest weight; a query reads the blocks of the highest upper bounds
+and then only those whose bound can still beat its k-th neighbour, so the neighbours are exact.
 
 Votes are weighted by distance, and made probabilities by an isotonic curve through the
 leave-one-out votes of the examples. A text without any of these words has no neighbour; its score
@@ -32,6 +32,10 @@ from .store import held_out, partition_sums, stash
 
 #: Examples of an index block.
 SPAN = 128
+#: Blocks that are read first.
+PROBE = 4
+#: Query vectors whose result a task remembers.
+REMEMBERED = 50_000
 
 
 def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,30 +96,45 @@ class Index:
             largest = np.maximum.reduceat(self.weight[a:b], start) if b > a else np.zeros(0)
             self.entries.append((block, largest, a + np.append(start, b - a)))
 
+    def _scores(self, query: tuple[np.ndarray, np.ndarray], blocks: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the examples of the marked blocks that share a term with the query."""
+        total = np.zeros(self.blocks * SPAN)
+        for t, w in zip(*query):
+            block, _, off = self.entries[t]
+            j = np.flatnonzero(blocks[block])
+            if len(j) == len(block):
+                a, z = off[0], off[-1]
+                total[self.example[a:z]] += w * self.weight[a:z]
+            elif len(j):
+                size = off[j + 1] - off[j]
+                at = np.repeat(off[j] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                total[self.example[at]] += w * self.weight[at]
+        if without >= 0:
+            total[without] = 0.0
+        hit = np.flatnonzero(total > 0)
+        return hit, total[hit]
+
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, equal cosines in the order of the index."""
+        """Positions and cosines of the k nearest examples, equal cosines in the order of the index.
+
+        The blocks with the highest bounds give a k-th cosine; then only blocks whose bound exceeds it are read.
+        """
         bound = np.zeros(self.blocks)
         for t, w in zip(*query):
             block, largest, _ = self.entries[t]
             bound[block] += w * largest
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and best[k - 1] >= bound[b]):
-                break
-            score = np.zeros(SPAN)
-            for t, w in zip(*query):
-                block, _, off = self.entries[t]
-                j = np.searchsorted(block, b)
-                if j < len(block) and block[j] == b:
-                    a, z = off[j], off[j + 1]
-                    score[self.example[a:z] - b * SPAN] += w * self.weight[a:z]
-            if 0 <= without - b * SPAN < SPAN:
-                score[without - b * SPAN] = 0.0
-            hit = np.flatnonzero(score > 0)
-            best_at, best = np.concatenate([best_at, hit + b * SPAN]), np.concatenate([best, score[hit]])
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        left = bound > 0
+        now = np.zeros(self.blocks, bool)
+        now[np.argsort(-bound, kind="stable")[:PROBE]] = True
+        now &= left
+        at, cosine = self._scores(query, now, without)
+        least = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) >= k else 0.0
+        more = left & ~now & (bound >= least)
+        if more.any():
+            other, values = self._scores(query, more, without)
+            at, cosine = np.concatenate([at, other]), np.concatenate([cosine, values])
+        order = np.lexsort((at, -cosine))[:k]
+        return at[order], cosine[order]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic weight among neighbours: nearer ones and rarer classes count more."""
@@ -135,7 +154,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sizes
 
 
-def choose_terms(rows: DataFrame, terms: int, chi2: float) -> np.ndarray:
+def choose_terms(rows: DataFrame, terms: int, chi2: float, lift: float) -> np.ndarray:
     """Hashes of the words whose presence depends on the class, over distinct example texts."""
 
     def run(batches):
@@ -156,8 +175,7 @@ def choose_terms(rows: DataFrame, terms: int, chi2: float) -> np.ndarray:
     n, c, d = float(n1 + n0), F.lit(float(n1)) - F.col("a"), F.lit(float(n0)) - F.col("b")
     a, b = F.col("a"), F.col("b")
     stat = F.lit(n) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * float(n1) * float(n0))
-    # words of the toxic class: more frequent there, and in several texts
-    found = counts.where((a >= 3) & (a * float(n0) > b * float(n1)) & ((c + d) > 0)).withColumn("stat", stat).where(F.col("stat") >= chi2)
+    found = counts.where((a >= 3) & (a * n >= (a + b) * float(n1) * lift) & ((c + d) > 0)).withColumn("stat", stat).where(F.col("stat") >= chi2)
     found = found.orderBy(F.desc("stat"), "term").limit(terms).select("term").collect()
     return np.sort(np.array([r.term for r in found], np.int64).view(np.uint64))
 
@@ -182,11 +200,11 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     return total[:-1], float(total[-1])
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, k: int = 15, most: int = 10_000, terms: int = 2048, chi2: float = 30.0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, k: int = 15, most: int = 10_000, terms: int = 2048, chi2: float = 30.0, lift: float = 2.0) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples with cosine and label) of every document."""
     rows, sizes = examples(docs, labels, most)
     rows = stash(rows, "toxic-examples")
-    chosen = choose_terms(rows.select("text", "label"), terms, chi2)
+    chosen = choose_terms(rows.select("text", "label"), terms, chi2, lift)
     counts, n_docs = document_frequencies(docs, chosen)
     space = Vocabulary(chosen, np.log((n_docs + 1.0) / (counts + 1.0)) + 1.0)
 
@@ -218,15 +236,25 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, k: int
         knots, level = np.zeros(1), np.full(1, prior)
 
     def run(batches):
+        known: dict[bytes, tuple] = {}
+        nothing = (silent, [], [], [])
+
+        def judged(v):
+            if not len(v[0]):
+                return nothing
+            key = v[0].tobytes() + v[1].tobytes()
+            if key not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                near, c = index.nearest(v, k)
+                known[key] = (
+                    (float(np.interp(index.vote(near, c), knots, level)), list(index.ids[near[:3]]), list(c[:3]), list(index.label[near[:3]].astype(int))) if len(near) else nothing
+                )
+            return known[key]
+
         for batch in batches:
             for part in tk.slices(batch):
-                score, ids, cos, lab = [], [], [], []
-                for v in space.vectors(part.column(1)):
-                    near, c = index.nearest(v, k) if len(v[0]) else (np.zeros(0, np.int64), np.zeros(0))
-                    score.append(float(np.interp(index.vote(near, c), knots, level)) if len(near) else silent)
-                    ids.append(list(index.ids[near[:3]]))
-                    cos.append(list(c[:3]))
-                    lab.append(list(index.label[near[:3]].astype(int)))
+                score, ids, cos, lab = zip(*map(judged, space.vectors(part.column(1))))
                 score = np.clip(np.array(score, float), 0.0, 1.0)
                 kinds = (part.schema.field(0).type, pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
