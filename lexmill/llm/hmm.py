@@ -104,7 +104,11 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, texts: int, emit: int, head: int) -> Lexicon:
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()
+    # words by size class of their count: a few thousand rows, from the largest down to what fits
+    size = F.floor(F.log2("n") * 64).cast("int")
+    sizes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("w")).orderBy(F.desc("size")).collect()
+    fits = [r['size'] for r, total in zip(sizes, np.cumsum([r.w for r in sizes])) if total <= head]
+    top = counts.where(size >= (min(fits) if fits else 1 << 30)).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     rest = counts
     own = min(emit, len(top))
