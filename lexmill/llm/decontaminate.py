@@ -4,8 +4,8 @@ Benchmark items are cut into passages. Word weights are inverse frequencies over
 ``BLOCK`` words of all documents, counted in a table of fixed size. A randomised SVD of the
 passages' TF-IDF matrix, its products summed over partitions, gives the latent axes. Windows of two
 and of four blocks of every document are folded onto these axes and compared with the passages by
-cosine; a window whose weight is almost all outside the benchmark's words can't reach the cosine
-and is not folded. Candidates are then checked on words: the longest common subsequence of the
+cosine; a window's words bound its cosine with any passage from above, and one that can't reach the
+limit is not folded. Candidates are then checked on words: the longest common subsequence of the
 passage and the window with its surroundings must cover ``least`` of the passage, within a stretch
 not much longer than it, and the answer - the item's answer if there is one, else the passage's
 rarest words - must be in that stretch too.
@@ -36,6 +36,12 @@ SHIFT = np.uint64(64 - 18)
 PASSAGE, SHORT = 64, 8
 #: Latent axes, and terms of the latent space, at most; terms beyond share cells by hash.
 RANK, TERMS = 256, 1 << 15
+#: Passages a term is listed for, at most.
+LISTED = 8
+#: Terms below this share of the largest inverse frequency are not listed.
+RARE = 0.4
+#: Passages up to which sums are kept in a table of blocks and passages.
+DENSE = 512
 
 
 def stripped(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -150,35 +156,112 @@ class Passages:
     latent: np.ndarray  # unit rows
 
 
-def find(hashes: np.ndarray, space: Space, passages: Passages, cosine: float, least: float) -> dict[int, tuple[float, float, int, int]]:
-    """Of one document's words: the passages found, each with cosine, covered share, and the stretch of words."""
+@dataclass
+class Bounds:
+    """For each term: the passages it adds most to, with how much, and a limit for what it adds to any other."""
+
+    off: np.ndarray
+    passage: np.ndarray
+    value: np.ndarray
+    other: np.ndarray
+
+    @staticmethod
+    def of(product: np.ndarray, rare: np.ndarray) -> Bounds:
+        """``product`` (terms x passages): what a unit of each term's weight adds to each passage's cosine.
+
+        Only terms marked ``rare`` are listed; frequent ones weigh little and are bounded together.
+        """
+        terms, n = product.shape
+        k = min(LISTED, n)
+        top = np.argsort(-product, axis=1, kind="stable")[:, : k + 1]
+        values = np.maximum(np.take_along_axis(product, top, axis=1), 0.0)
+        rest = values[:, k] if n > k else np.zeros(terms)
+        # a term that adds about as much to many passages is not listed: its largest value bounds all
+        listed = (rare & (rest < 0.5 * values[:, 0]))[:, None] & (values[:, :k] > rest[:, None])
+        return Bounds(np.concatenate([[0], np.cumsum(listed.sum(1))]), top[:, :k][listed], values[:, :k][listed], np.where(listed.any(1), rest, values[:, 0]))
+
+
+def _dense(block: np.ndarray, passage: np.ndarray, value: np.ndarray, first: np.ndarray, passages: int) -> list[np.ndarray]:
+    """The largest sum over passages of windows of 2 and 4 blocks; ``first`` is the first block of each block's text."""
+    n = len(first)
+    one = np.bincount(block * passages + passage, value, n * passages).reshape(n, passages).astype(np.float32)
+    tops = []
+    for step in (1, 2):
+        more = one.copy()
+        more[:-step] += one[step:] * (first[step:] == first[:-step])[:, None]
+        one = more
+        tops.append(one.max(axis=1, initial=0.0).astype(np.float64) * (1 + 1e-5))
+    return tops
+
+
+def _sparse(block: np.ndarray, passage: np.ndarray, value: np.ndarray, first: np.ndarray, passages: int) -> list[np.ndarray]:
+    """The same without a table of blocks and passages."""
+    tops = []
+    for span in (2, 4):
+        window = np.concatenate([block - j for j in range(span)])
+        keep = window >= np.tile(first[block], span)
+        key, v = window[keep] * passages + np.tile(passage, span)[keep], np.tile(value, span)[keep]
+        order = np.argsort(key, kind="stable")
+        key, v, most = key[order], v[order], np.zeros(len(first))
+        if len(key):
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            np.maximum.at(most, key[start] // passages, np.add.reduceat(v, start))
+        tops.append(most)
+    return tops
+
+
+def screen(hashes: np.ndarray, off: np.ndarray, space: Space, bounds: Bounds, passages: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (text, start, end in words) whose cosine with some passage may reach the limit.
+
+    What the listed terms of a window add is summed by passage; the rest is bounded by one sum.
+    """
+    count = np.diff(off)
+    blocks = -(-count // BLOCK)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    text = np.repeat(np.arange(len(count)), blocks)
+    begin = off[text] + BLOCK * (np.arange(len(text)) - first[text])
+    row, idf = space.rows(hashes), space.weight(hashes)
+    inside = row >= 0
+    loose, whole = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(inside, idf * bounds.other[row], 0.0), idf * idf))
+    # entries of listed terms: block, passage, product
+    token = np.flatnonzero(inside & (bounds.off[row + 1] > bounds.off[row]))
+    size = bounds.off[row[token] + 1] - bounds.off[row[token]]
+    at = np.repeat(bounds.off[row[token]] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    owner = np.repeat(np.arange(len(count)), count)[token]
+    block = np.repeat(first[owner] + (token - off[owner]) // BLOCK, size)
+    value, passage = np.repeat(idf[token], size) * bounds.value[at], bounds.passage[at]
+    sums = _dense if passages <= DENSE else _sparse
+    out = []
+    for span, most in zip((2, 4), sums(block, passage, value, first[text], passages)):
+        end = np.minimum(begin + span * BLOCK, off[text + 1])
+        # a word repeated t times weighs 1 + log t times, whose square is at least about t
+        ok = loose[end] - loose[begin] + most >= 0.95 * cosine * np.sqrt(np.maximum(whole[end] - whole[begin], 0.0))
+        out.append((text[ok], (begin - off[text])[ok], (end - off[text])[ok]))
+    found = [np.concatenate(x) for x in zip(*out)]
+    order = np.argsort(found[0], kind="stable")
+    return found[0][order], found[1][order], found[2][order]
+
+
+def find(hashes: np.ndarray, windows: list[tuple[int, int]], space: Space, passages: Passages, cosine: float, least: float) -> dict[int, tuple[float, float, int, int]]:
+    """In windows of one document: the passages found, each with cosine, covered share, and the stretch of words."""
     n = len(hashes)
     found: dict[int, tuple[float, float, int, int]] = {}
-    weight = space.weight(hashes) ** 2
-    own = space.rows(hashes) >= 0
-    inside, whole = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight * own, weight))
-    for size in (2 * BLOCK, 4 * BLOCK):
-        start = np.arange(0, max(1, n - size + BLOCK), BLOCK)
-        end = np.minimum(start + size, n)
-        # repeated words weigh less than one by one, hence the half
-        screened = np.flatnonzero(inside[end] - inside[start] >= 0.5 * cosine**2 * (whole[end] - whole[start]))
-        for w in screened:
-            x = space.fold(hashes[start[w] : end[w]])
-            near = passages.latent @ x
-            for p in np.flatnonzero(near >= cosine):
-                words = passages.words[p]
-                if p in found and found[p][1] >= 0.999:
-                    continue
-                a, b = max(0, start[w] - len(words)), min(n, end[w] + len(words))
-                length, lo, hi = lcs(words, hashes[a:b])
-                share = length / len(words)
-                if share < (1.0 if len(words) < SHORT else least) or hi - lo > 1.5 * len(words) + 4:
-                    continue
-                answer = passages.answer[p]
-                if len(answer) and np.isin(answer, hashes[a + lo : a + hi]).mean() < 0.5:
-                    continue
-                if p not in found or share > found[p][1]:
-                    found[p] = (float(near[p]), share, int(a + lo), int(a + hi))
+    for start, end in windows:
+        near = passages.latent @ space.fold(hashes[start:end])
+        for p in np.flatnonzero(near >= cosine):
+            words = passages.words[p]
+            if p in found and found[p][1] >= 0.999:
+                continue
+            a, b = max(0, start - len(words)), min(n, end + len(words))
+            length, lo, hi = lcs(words, hashes[a:b])
+            share = length / len(words)
+            if share < (1.0 if len(words) < SHORT else least) or hi - lo > 1.5 * len(words) + 4:
+                continue
+            answer = passages.answer[p]
+            if len(answer) and np.isin(answer, hashes[a + lo : a + hi]).mean() < 0.5:
+                continue
+            if p not in found or share > found[p][1]:
+                found[p] = (float(near[p]), share, int(a + lo), int(a + hi))
     return found
 
 
@@ -228,15 +311,18 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: fl
 
     def run(batches):
         space, passages = held.value
+        idf = np.zeros(len(space.axes))
+        np.maximum.at(idf, space.cell, space.weight(space.terms))
+        bounds = Bounds.of(space.axes @ passages.latent.T, idf >= RARE * idf.max())
         for batch in batches:
             out = []
             for part in tk.slices(batch):
                 hashes, off = stripped(part.column(1))
-                # a document that has too little of the benchmark's weight in every window is not looked at further
-                for i in range(part.num_rows):
-                    if off[i + 1] > off[i]:
-                        hits = find(hashes[off[i] : off[i + 1]], space, passages, cosine, least)
-                        out += [(part.column(0)[i].as_py(), passages.item[p], c, s, a, b - a) for p, (c, s, a, b) in sorted(hits.items())]
+                text, start, end = screen(hashes, off, space, bounds, len(passages.words), cosine)
+                for i in np.unique(text):
+                    own = slice(*np.searchsorted(text, [i, i + 1]))
+                    hits = find(hashes[off[i] : off[i + 1]], list(zip(start[own], end[own])), space, passages, cosine, least)
+                    out += [(part.column(0)[int(i)].as_py(), passages.item[p], c, s, a, b - a) for p, (c, s, a, b) in sorted(hits.items())]
             names = ["doc_id", "item_id", "cosine", "covered", "start", "n_words"]
             types = [batch.schema.field(0).type, pa.int64() if isinstance(passages.item[0], int) else pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)

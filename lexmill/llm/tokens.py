@@ -89,21 +89,19 @@ def split(column: pa.Array, separators: np.ndarray = SPACE, lower: bool = False)
     return Words(data, off, start, np.flatnonzero(last) + 1, np.searchsorted(start, off))
 
 
-def trim(words: Words, rounds: int = 6) -> Words:
+def trim(words: Words) -> Words:
     """Words without leading and trailing ASCII punctuation; words of nothing else become empty spans."""
     start, end = words.start.copy(), words.end.copy()
-    for _ in range(rounds):
-        at = np.flatnonzero(start < end)
-        at = at[PUNCT[words.data[start[at]]]]
-        if not len(at):
-            break
+    at = np.flatnonzero(PUNCT[words.data[start]]) if len(start) else start
+    while len(at):
         start[at] += 1
-    for _ in range(rounds):
-        at = np.flatnonzero(start < end)
-        at = at[PUNCT[words.data[end[at] - 1]]]
-        if not len(at):
-            break
+        at = at[start[at] < end[at]]
+        at = at[PUNCT[words.data[start[at]]]]
+    at = np.flatnonzero((start < end) & PUNCT[words.data[end - 1]]) if len(start) else start
+    while len(at):
         end[at] -= 1
+        at = at[start[at] < end[at]]
+        at = at[PUNCT[words.data[end[at] - 1]]]
     return Words(words.data, words.text_off, start, end, words.off)
 
 
