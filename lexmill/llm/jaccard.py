@@ -4,8 +4,11 @@ Texts with the same words are one class. A class's distinct word n-grams (64-bit
 rare first; two sets can only reach the similarity if they share an n-gram of their prefixes. The
 prefix postings meet by n-gram. From each list come, first, only the pairs of a row with the first
 one of its length class and with the one before it: two pairs a row however long the list. These are
-verified once each on whole sets, and linked. Lists that then still hold several components give
-their remaining pairs between different components, so no link between components is lost.
+verified once each on whole sets, and linked. Lists that then still hold several components are
+compared in pairs of blocks of about ``LIST`` rows, inside tasks: rows of different components pass
+the length and positional filters and the suffix filter, a histogram of the whole set over fixed
+hash ranges that bounds the overlap. Only pairs that pass all three are given out and verified, so
+no link between components is lost and no list is expanded into its pairs.
 
 The order uses a table of ``SKETCH`` counters that covers all texts; any order gives the same
 links, a better one fewer candidates.
@@ -33,6 +36,8 @@ SKETCH = 1 << 22
 SHIFT = np.uint64(64 - 22)
 #: Cells of the histogram that bounds the overlap of two sets from above.
 CELLS = 64
+#: Rows of a block of a list.
+LIST = 2048
 
 
 def sets(column: pa.Array, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -51,11 +56,17 @@ def sets(column: pa.Array, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return keys, out
 
 
+def _cells(grams: list[np.ndarray]) -> pa.Array:
+    """The histogram of each set over the last bits of its hashes."""
+    return pa.array([np.bincount((g & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32).tobytes() for g in grams], pa.binary())
+
+
 def _scan(docs: DataFrame, n: int) -> DataFrame:
     """A row a document (key, set size), and a row a partition with its counters (doc_id null, counts set)."""
 
     def run(batches):
         counts = np.zeros(SKETCH, np.uint8)
+        names = ["doc_id", "key", "n", "cells", "counts"]
         schema = None
         for batch in batches:
             for part in tk.slices(batch):
@@ -64,15 +75,15 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 at, times = np.unique(at, return_counts=True)
                 counts[at] = np.minimum(counts[at].astype(np.int64) + times, 255)
                 size = pa.array(np.array([len(g) for g in grams], np.int64))
-                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(tk.signed(keys)), size, pa.nulls(len(size), pa.binary())], ["doc_id", "key", "n", "counts"])
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(tk.signed(keys)), size, _cells(grams), pa.nulls(len(size), pa.binary())], names)
                 schema = out.schema
                 yield out
         if schema is not None:
             packed = zlib.compress(counts.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], ["doc_id", "key", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, cells binary, counts binary")
 
 
 def _rarity(counts: DataFrame, groups: int = 16) -> np.ndarray:
@@ -171,13 +182,70 @@ def _possible(a: str, b: str, percent: int):
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (left * (100 + percent) >= (n1 + n2) * percent)
 
 
+def _between(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows (gram, key, meta, component, rows) of one list and different components that pass all filters."""
+    names = ["gram", "b1", "b2", "block", "key", "meta", "component", "cells"]
+    blocks = F.ceil(F.col("rows") / LIST).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    spread = rows.join(members.select("key", "cells"), "key").withColumn("block", own)
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
+
+    def compare(block, key, meta, component, cells, b1, b2):
+        left, right = (np.flatnonzero(block == b) for b in (b1, b2))
+        size, rest = meta >> 32, (meta >> 32) - (meta & 0xFFFFFFFF)
+        found = []
+        for at in range(0, len(left), 256):
+            i, j = left[at : at + 256, None], right[None, :]
+            both = size[i] + size[j]
+            near = (component[i] != component[j]) & (np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent)
+            near &= np.minimum(rest[i], rest[j]) * (100 + percent) >= both * percent
+            if b1 == b2:
+                near &= i < j
+            x, y = np.nonzero(near)
+            x, y = left[at + x], right[y]
+            for to in range(0, len(x), 1 << 16):
+                p, q = x[to : to + (1 << 16)], y[to : to + (1 << 16)]
+                apart = np.abs(cells[p] - cells[q]).sum(axis=1)
+                total = size[p] + size[q]
+                good = (100 + percent) * (total - apart) >= 2 * percent * total
+                found.append((np.minimum(key[p[good]], key[q[good]]), np.maximum(key[p[good]], key[q[good]])))
+        return found
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []  # rows of the pair of blocks that goes on, at most two blocks
+
+        def done(rows):
+            gram, b1, b2, block, key, meta, component, cells = rows
+            return compare(block, key, meta, component, cells, b1[0], b2[0])
+
+        for batch in batches:
+            now = [np.asarray(batch.column(j)) for j in range(7)] + [np.frombuffer(b"".join(x.as_py() for x in batch.column(7)), np.int32).reshape(-1, CELLS)]
+            if held:
+                now = [np.concatenate([x, y]) for x, y in zip(held, now)]
+            if not len(now[0]):
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])]))
+            found = []
+            for a, b in zip(edge[:-1], edge[1:]):
+                found += done([x[a:b] for x in now])
+            held = [x[edge[-1] :] for x in now]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["k1", "k2"])
+        if held and (found := done(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["k1", "k2"])
+
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread.select(*names).repartition(width, "gram", "b1", "b2").sortWithinPartitions("gram", "b1", "b2")
+    return dealt.mapInArrow(run, "k1 long, k2 long").distinct()
+
+
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("k1"), F.greatest(a, b).alias("k2")).where("k1 < k2").distinct()
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the similarity; each pair is looked at once."""
-    needed = pairs.select(F.col("k1").alias("key")).union(pairs.select(F.col("k2").alias("key"))).distinct().join(members, "key")
+    needed = pairs.select(F.col("k1").alias("key")).union(pairs.select(F.col("k2").alias("key"))).distinct().join(members.select("key", "rep"), "key")
     texts = docs.select("doc_id", "text").join(needed.select(F.col("rep").alias("doc_id"), "key"), "doc_id")
 
     def whole(batches):
@@ -185,8 +253,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, members: DataFrame, n: int, perce
             for part in tk.slices(batch):
                 keys, grams = sets(part.column(1), n)
                 right = tk.signed(keys) == np.asarray(part.column(2))
-                cells = [np.bincount((g & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes() for g, r in zip(grams, right) if r]
-                yield pa.RecordBatch.from_arrays([part.column(2).filter(pa.array(right)), pa.array([g.tobytes() for g, r in zip(grams, right) if r], pa.binary()), pa.array(cells, pa.binary())], ["key", "grams", "cells"])
+                own = [g for g, r in zip(grams, right) if r]
+                yield pa.RecordBatch.from_arrays([part.column(2).filter(pa.array(right)), pa.array([g.tobytes() for g in own], pa.binary()), _cells(own)], ["key", "grams", "cells"])
 
     whole_sets = stash(texts.select("doc_id", "text", "key").mapInArrow(whole, "key long, grams binary, cells binary").dropDuplicates(["key"]), "jaccard-sets")
 
@@ -195,7 +263,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, members: DataFrame, n: int, perce
             good = []
             for g1, c1, g2, c2 in zip(*(batch.column(j) for j in range(2, 6))):
                 x, y = np.frombuffer(g1.as_py(), np.uint64), np.frombuffer(g2.as_py(), np.uint64)
-                apart = np.abs(np.frombuffer(c1.as_py(), np.uint32).astype(np.int64) - np.frombuffer(c2.as_py(), np.uint32)).sum()
+                apart = np.abs(np.frombuffer(c1.as_py(), np.int32) - np.frombuffer(c2.as_py(), np.int32)).sum()
                 # the histograms differ by at most the symmetric difference
                 if (100 + percent) * (len(x) + len(y) - apart) < 2 * percent * (len(x) + len(y)):
                     good.append(False)
@@ -215,7 +283,9 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     scanned = stash(_scan(docs, n), "jaccard-scan")
     rows = scanned.where("counts is null").select("doc_id", "key", "n")
-    members = stash(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    members = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    cells = scanned.where("counts is null and n > 0").select("key", F.col("doc_id").alias("rep"), "cells")
+    members = stash(members.join(cells, ["key", "rep"]).dropDuplicates(["key"]), "jaccard-classes")
     rarity = spark.sparkContext.broadcast(_rarity(scanned.where("counts is not null").select("counts")).tobytes())  # SKETCH bytes
     shared = stash(_shared(_postings(docs, rarity, n, percent), percent), "jaccard-shared")
     leads = _pairs(shared.where(_possible("meta", "lead_meta", percent)), "key", "lead_key")
@@ -224,11 +294,8 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = stash(_verify(docs, first, members, n, percent), "jaccard-links")
     found = components(links.select(F.col("k1").alias("a"), F.col("k2").alias("b")), "jaccard-components")
     placed = shared.select("gram", "key", "meta").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    rest = stash(placed.join(mixed, "gram"), "jaccard-rest")
-    left, right = (rest.select("gram", *[F.col(c).alias(f"{c}{i}") for c in ("key", "meta", "component")]) for i in (1, 2))
-    across = left.join(right, "gram").where((F.col("key1") < F.col("key2")) & (F.col("component1") != F.col("component2")) & _possible("meta1", "meta2", percent))
-    second = stash(_pairs(across, "key1", "key2").join(first, ["k1", "k2"], "left_anti"), "jaccard-pairs")
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("gram", "rows")
+    second = stash(_between(placed.join(mixed, "gram"), members, percent).join(first, ["k1", "k2"], "left_anti"), "jaccard-pairs")
     more = _verify(docs, second, members, n, percent)
     by_id = links.unionByName(more).join(members.select(F.col("key").alias("k1"), F.col("rep").alias("a")), "k1").join(members.select(F.col("key").alias("k2"), F.col("rep").alias("b")), "k2")
     groups = components(by_id.select("a", "b"), "jaccard-groups")
