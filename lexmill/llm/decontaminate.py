@@ -86,12 +86,22 @@ class Space:
     def weight(self, hashes: np.ndarray) -> np.ndarray:
         return self.idf[(hashes >> SHIFT).astype(np.int64)]
 
+    def cells(self) -> np.ndarray:
+        """Which table cells have a term."""
+        if not hasattr(self, "_cells"):
+            self._cells = np.zeros(TABLE, bool)
+            self._cells[(self.terms >> SHIFT).astype(np.int64)] = True
+        return self._cells
+
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each word, or -1 for words that are not in the benchmark."""
         if not len(self.terms):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, self.cell[at], -1)
+        maybe = np.flatnonzero(self.cells()[(hashes >> SHIFT).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.terms, hashes[maybe]), len(self.terms) - 1)
+        out = np.full(len(hashes), -1)
+        out[maybe] = np.where(self.terms[at] == hashes[maybe], self.cell[at], -1)
+        return out
 
     def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Rows, TF-IDF weights, and the length of the whole vector, words outside the benchmark included."""
@@ -253,6 +263,8 @@ def find(hashes: np.ndarray, windows: list[tuple[int, int]], space: Space, passa
             if p in found and found[p][1] >= 0.999:
                 continue
             a, b = max(0, start - len(words)), min(n, end + len(words))
+            if np.isin(words, hashes[a:b]).sum() < (1.0 if len(words) < SHORT else least) * len(words):
+                continue  # a common subsequence is no longer than the words found at all
             length, lo, hi = lcs(words, hashes[a:b])
             share = length / len(words)
             if share < (1.0 if len(words) < SHORT else least) or hi - lo > 1.5 * len(words) + 4:
