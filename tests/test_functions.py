@@ -39,7 +39,7 @@ def test_tags_and_names(spark):
 
 def test_word_distance(spark):
     pairs = [("порог", "порога", 0), ("порог", "порожек", 0.6), ("порога", "порожек", 1.0), ("бег", "бежать", 1.0), ("бег", "побег", 0), ("порожек", "бег", 7), ("бежать", "побег", 3.0), ("порог", "побег", 1.2)]
-    rows = spark.createDataFrame(pairs, "a string, b string, d double")
+    rows = spark.createDataFrame([(a, b, float(d)) for a, b, d in pairs], "a string, b string, d double")
     assert all(abs(r.v - r.d) < 1e-9 for r in rows.select("d", scores.word_distance("a", "b").alias("v")).collect())
 
 
