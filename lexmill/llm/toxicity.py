@@ -1,12 +1,14 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over blocks of examples.
 
 Labelled rows outside the held-out fold give the examples: up to ``most`` of each class, the first
 ones in the order of a hash of their ids (a documented bound; votes are weighted back to the class
 sizes). Words are lower-cased and stripped of ASCII punctuation. The vector space is made of the
-words that tell the classes apart on distinct example texts (chi-squared at least ``chi2``, and at
-least ``lift`` times as frequent in toxic texts as in all; at most ``terms`` of them), weighted by document frequencies over all documents. The index holds for each
-word and block of examples the largest weight; a query reads the blocks of the highest upper bounds
-and then only those whose bound can still beat its k-th neighbour, so the neighbours are exact.
+words that tell the classes apart on distinct example texts (chi-squared at least ``chi2``, and a
+larger share of the toxic texts than of the clean ones has them, whatever the sizes of the two samples;
+at most ``terms`` of them), weighted by document frequencies over all documents. The index holds the
+weights of the common words in all examples and the postings of the others; block maxima of the cosines
+in single precision bound the k-th neighbour from below, and all that may be nearer are computed again in
+double precision, so the neighbours are exact.
 
 Votes are weighted by distance, and made probabilities by an isotonic curve through the
 leave-one-out votes of the examples. A text without any of these words has no neighbour; its score
@@ -32,8 +34,12 @@ from .store import held_out, partition_sums, stash
 
 #: Examples of an index block.
 SPAN = 128
-#: Blocks that are read first.
-PROBE = 4
+#: Terms that are kept in a table of terms and examples; others have postings only.
+COMMON = 256
+#: Queries of a matrix product.
+BATCH = 64
+#: More than twice what single precision can be off over 2,048 terms.
+SLACK = 5e-4
 #: Query vectors whose result a task remembers.
 REMEMBERED = 50_000
 
@@ -77,64 +83,78 @@ class Vocabulary:
 
 
 class Index:
-    """Examples in blocks, with the postings and the largest weight of each term in each block."""
+    """Examples in blocks, with the postings of each term and the terms of each example."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, label: np.ndarray, share: np.ndarray, n_terms: int):
-        self.ids, self.label, self.share, self.n = ids, label, share, len(ids)
+        self.ids, self.label, self.share, self.n, self.n_terms = ids, label, share, len(ids), n_terms
         self.blocks = max(1, -(-self.n // SPAN))
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-        order = np.lexsort((example, term))
-        self.term_off = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.example, self.weight = example[order], weight[order]
-        # block-max entries: one for each term and block that has it
-        self.entries = []
-        for t in range(n_terms):
-            a, b = self.term_off[t], self.term_off[t + 1]
-            block, start = np.unique(self.example[a:b] // SPAN, return_index=True)
-            largest = np.maximum.reduceat(self.weight[a:b], start) if b > a else np.zeros(0)
-            self.entries.append((block, largest, a + np.append(start, b - a)))
-
-    def _scores(self, query: tuple[np.ndarray, np.ndarray], blocks: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the examples of the marked blocks that share a term with the query."""
-        total = np.zeros(self.blocks * SPAN)
-        for t, w in zip(*query):
-            block, _, off = self.entries[t]
-            j = np.flatnonzero(blocks[block])
-            if len(j) == len(block):
-                a, z = off[0], off[-1]
-                total[self.example[a:z]] += w * self.weight[a:z]
-            elif len(j):
-                size = off[j + 1] - off[j]
-                at = np.repeat(off[j] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                total[self.example[at]] += w * self.weight[at]
-        if without >= 0:
-            total[without] = 0.0
-        hit = np.flatnonzero(total > 0)
-        return hit, total[hit]
+        size = np.array([len(v[0]) for v in vectors], np.int64)
+        self.own_off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.own_term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        self.own_weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        example = np.repeat(np.arange(len(vectors)), size)
+        order = np.lexsort((example, self.own_term))
+        self.term_off = np.searchsorted(self.own_term[order], np.arange(n_terms + 1))
+        self.example, self.weight = example[order], self.own_weight[order]
+        self._table = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}  # each worker makes its own table
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each of the ``COMMON`` most frequent terms (-1 for others), and their weights in all examples."""
+        if self._table is None:
+            common = np.argsort(-np.diff(self.term_off), kind="stable")[:COMMON]
+            row, weights = np.full(self.n_terms, -1), np.zeros((len(common), self.blocks * SPAN), np.float32)
+            row[common] = np.arange(len(common))
+            for r, t in enumerate(common):
+                a, z = self.term_off[t], self.term_off[t + 1]
+                weights[r, self.example[a:z]] = self.weight[a:z]
+            self._table = row, weights
+        return self._table
+
+    def _cosines(self, query: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Cosines with the examples ``at`` in double precision."""
+        full = np.zeros(self.n_terms)
+        full[query[0]] = query[1]
+        off = self.own_off[at]
+        size = self.own_off[at + 1] - off
+        start = np.cumsum(size) - size
+        entry = np.repeat(off - start, size) + np.arange(size.sum())
+        return np.add.reduceat(full[self.own_term[entry]] * self.own_weight[entry], start) if len(at) else np.zeros(0)
+
+    def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None):
+        """For each query the positions and cosines of the k nearest examples, equal cosines in the order of the index.
+
+        Cosines in single precision, by a matrix product for common terms and by postings for others, only
+        choose examples: the k-th largest of the block maxima is a lower bound of the k-th cosine, and
+        whatever comes within ``SLACK`` of it is computed again in double precision, so the neighbours are exact.
+        """
+        row, weights = self.table()
+        for first in range(0, len(queries), BATCH):
+            part = queries[first : first + BATCH]
+            common = np.zeros((len(part), len(weights)), np.float32)
+            for i, (t, w) in enumerate(part):
+                there = row[t] >= 0
+                common[i, row[t][there]] = w[there]
+            scores = common @ weights
+            for i, query in enumerate(part):
+                score = scores[i]
+                rare = row[query[0]] < 0
+                for t, w in zip(query[0][rare], query[1][rare]):
+                    a, z = self.term_off[t], self.term_off[t + 1]
+                    score[self.example[a:z]] += np.float32(w) * self.weight[a:z]
+                if without is not None and without[first + i] >= 0:
+                    score[without[first + i]] = 0.0
+                top = score.reshape(self.blocks, SPAN).max(axis=1)
+                least = np.partition(top, self.blocks - k)[self.blocks - k] - SLACK if self.blocks >= k else 0.0
+                at = np.flatnonzero((score >= least) & (score > 0) if least > 0 else score > 0)
+                cosine = self._cosines(query, at)
+                order = np.lexsort((at, -cosine))[:k]
+                yield at[order], cosine[order]
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, equal cosines in the order of the index.
-
-        The blocks with the highest bounds give a k-th cosine; then only blocks whose bound exceeds it are read.
-        """
-        bound = np.zeros(self.blocks)
-        for t, w in zip(*query):
-            block, largest, _ = self.entries[t]
-            bound[block] += w * largest
-        left = bound > 0
-        now = np.zeros(self.blocks, bool)
-        now[np.argsort(-bound, kind="stable")[:PROBE]] = True
-        now &= left
-        at, cosine = self._scores(query, now, without)
-        least = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) >= k else 0.0
-        more = left & ~now & (bound >= least)
-        if more.any():
-            other, values = self._scores(query, more, without)
-            at, cosine = np.concatenate([at, other]), np.concatenate([cosine, values])
-        order = np.lexsort((at, -cosine))[:k]
-        return at[order], cosine[order]
+        return next(self.nearest_all([query], k, np.array([without])))
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic weight among neighbours: nearer ones and rarer classes count more."""
@@ -154,7 +174,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sizes
 
 
-def choose_terms(rows: DataFrame, terms: int, chi2: float, lift: float) -> np.ndarray:
+def choose_terms(rows: DataFrame, terms: int, chi2: float) -> np.ndarray:
     """Hashes of the words whose presence depends on the class, over distinct example texts."""
 
     def run(batches):
@@ -175,7 +195,7 @@ def choose_terms(rows: DataFrame, terms: int, chi2: float, lift: float) -> np.nd
     n, c, d = float(n1 + n0), F.lit(float(n1)) - F.col("a"), F.lit(float(n0)) - F.col("b")
     a, b = F.col("a"), F.col("b")
     stat = F.lit(n) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * float(n1) * float(n0))
-    found = counts.where((a >= 3) & (a * n >= (a + b) * float(n1) * lift) & ((c + d) > 0)).withColumn("stat", stat).where(F.col("stat") >= chi2)
+    found = counts.where((a >= 3) & (a * float(n0) > b * float(n1)) & ((c + d) > 0)).withColumn("stat", stat).where(F.col("stat") >= chi2)
     found = found.orderBy(F.desc("stat"), "term").limit(terms).select("term").collect()
     return np.sort(np.array([r.term for r in found], np.int64).view(np.uint64))
 
@@ -200,11 +220,11 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     return total[:-1], float(total[-1])
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, k: int = 15, most: int = 10_000, terms: int = 2048, chi2: float = 30.0, lift: float = 2.0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, k: int = 15, most: int = 10_000, terms: int = 2048, chi2: float = 30.0) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples with cosine and label) of every document."""
     rows, sizes = examples(docs, labels, most)
     rows = stash(rows, "toxic-examples")
-    chosen = choose_terms(rows.select("text", "label"), terms, chi2, lift)
+    chosen = choose_terms(rows.select("text", "label"), terms, chi2)
     counts, n_docs = document_frequencies(docs, chosen)
     space = Vocabulary(chosen, np.log((n_docs + 1.0) / (counts + 1.0)) + 1.0)
 
@@ -228,7 +248,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, k: int
     none = share[~some]
     prior = float((share * label).sum() / share.sum()) if len(share) else 0.0
     silent = float((none * label[~some]).sum() / none.sum()) if len(none) else prior
-    votes = np.array([index.vote(*near) if len((near := index.nearest(vecs[i], k, j))[0]) else silent for j, i in enumerate(at)])
+    votes = np.array([index.vote(*near) if len(near[0]) else silent for near in index.nearest_all([vecs[i] for i in at], k, np.arange(len(at)))])
     if len(at):
         order = np.argsort(votes, kind="stable")
         knots, level = isotonic(votes[order], share[at][order], (share * label)[at][order])
@@ -239,22 +259,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, k: int
         known: dict[bytes, tuple] = {}
         nothing = (silent, [], [], [])
 
-        def judged(v):
-            if not len(v[0]):
-                return nothing
-            key = v[0].tobytes() + v[1].tobytes()
-            if key not in known:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                near, c = index.nearest(v, k)
+        def judged(vectors):
+            if len(known) >= REMEMBERED:
+                known.clear()
+            keys = [t.tobytes() + w.tobytes() for t, w in vectors]
+            new = {key: v for key, v in zip(keys, vectors) if len(v[0]) and key not in known}
+            for key, (near, c) in zip(new, index.nearest_all(list(new.values()), k)):
                 known[key] = (
                     (float(np.interp(index.vote(near, c), knots, level)), list(index.ids[near[:3]]), list(c[:3]), list(index.label[near[:3]].astype(int))) if len(near) else nothing
                 )
-            return known[key]
+            return [known.get(key, nothing) for key in keys]
 
         for batch in batches:
             for part in tk.slices(batch):
-                score, ids, cos, lab = zip(*map(judged, space.vectors(part.column(1))))
+                score, ids, cos, lab = zip(*judged(space.vectors(part.column(1))))
                 score = np.clip(np.array(score, float), 0.0, 1.0)
                 kinds = (part.schema.field(0).type, pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays(

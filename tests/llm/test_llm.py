@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,25 @@ def test_toxicity(spark):
     assert toxicity.classify(frame(spark, rows), labelled(spark, [], "toxic")).select("score").distinct().first().score == 0.0
 
 
+def test_toxic_words_do_not_depend_on_the_sizes_of_the_samples(spark):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        w = words(rng, 20)
+        if rng.random() < (0.7 if toxic else 0.05):
+            w[5] = "vile"
+        rows.append((i, "a clean text of many copies" if i % 3 == 1 else " ".join(w)))
+        labels.append((i, int(toxic)))
+    vile = toxicity.term_hashes(pa.array(["vile"]))[0][0]
+    for most in (100, 900):
+        # at 100 both classes are at the cap; a third of all rows is one clean text
+        some, sizes = toxicity.examples(frame(spark, rows), labelled(spark, labels, "toxic"), most)
+        assert len(sizes) == 2 and vile in toxicity.choose_terms(some.select("text", "label"), 2048, 30.0)
+    even = [(" ".join(words(rng, 20)) + (" vile" if rng.random() < (0.7 if i % 2 else 0.05) else ""), i % 2) for i in range(400)]
+    assert vile in toxicity.choose_terms(spark.createDataFrame(even, "text string, label int"), 2048, 30.0)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
     vectors = []
