@@ -4,8 +4,9 @@ Benchmark items are cut into passages. Word weights are inverse frequencies over
 ``BLOCK`` words of all documents, counted in a table of fixed size. A randomised SVD of the
 passages' TF-IDF matrix, its products summed over partitions, gives the latent axes. Windows of two
 and of four blocks of every document are folded onto these axes and compared with the passages by
-cosine; a window's words bound its cosine with any passage from above, and one that can't reach the
-limit is not folded. Candidates are then checked on words: the longest common subsequence of the
+cosine, the larger of the latent one and the untruncated one: axes that are fewer than passages leave
+out a part of every window. A window's words bound its cosine with any passage from above, and one that
+can't reach the limit is not folded. Candidates are then checked on words: the longest common subsequence of the
 passage and the window with its surroundings must cover ``least`` of the passage, within a stretch
 not much longer than it, and the answer - the item's answer if there is one, else the passage's
 rarest words - must be in that stretch too.
@@ -42,6 +43,8 @@ LISTED = 8
 RARE = 0.4
 #: Passages up to which sums are kept in a table of blocks and passages.
 DENSE = 512
+#: Cells of a table of terms and passages.
+CELLS = 1 << 21
 
 
 def stripped(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +161,51 @@ def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return int(table[n, m]), first, last
 
 
+@dataclass
+class Postings:
+    """For each row of the space the passages that have it, with their unit-length TF-IDF weights."""
+
+    off: np.ndarray
+    passage: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(words: list[np.ndarray], space: Space) -> Postings:
+        found = [space.vector(w) for w in words]
+        row = np.concatenate([r for r, _, _ in found])
+        order = np.argsort(row, kind="stable")
+        passage = np.repeat(np.arange(len(words)), [len(r) for r, _, _ in found])[order]
+        value = np.concatenate([v / max(length, 1e-12) for _, v, length in found])[order]
+        return Postings(np.searchsorted(row[order], np.arange(len(space.axes) + 1)), passage, value)
+
+    def dense(self, a: int, z: int, passages: int) -> np.ndarray:
+        """The weights of rows ``a`` to ``z`` as a table of rows and passages."""
+        own = slice(self.off[a], self.off[z])
+        row = np.repeat(np.arange(z - a), np.diff(self.off[a : z + 1]))
+        return np.bincount(row * passages + self.passage[own], self.value[own], (z - a) * passages).reshape(z - a, passages)
+
+    def sums(self, row: np.ndarray, value: np.ndarray, passages: int) -> np.ndarray:
+        """The product of a vector with every passage."""
+        size = self.off[row + 1] - self.off[row]
+        at = np.repeat(self.off[row] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.passage[at], np.repeat(value, size) * self.value[at], passages)
+
+
 @dataclass
 class Passages:
     item: list
     words: list[np.ndarray]
     answer: list[np.ndarray]
     latent: np.ndarray  # unit rows
+    whole: Postings | None = None  # where the axes leave something out
+
+    def cosines(self, space: Space, hashes: np.ndarray) -> np.ndarray:
+        """Cosine of a window with every passage: the latent one, or the untruncated one if that is larger."""
+        row, value, length = space.vector(hashes)
+        if length <= 0:
+            return np.zeros(len(self.words))
+        near = self.latent @ (value @ space.axes[row] / length)
+        return near if self.whole is None else np.maximum(near, self.whole.sums(row, value, len(self.words)) / length)
 
 
 @dataclass
@@ -190,6 +232,18 @@ class Bounds:
         listed = (rare & (rest < 0.5 * values[:, 0]))[:, None] & (values[:, :k] > rest[:, None])
         return Bounds(np.concatenate([[0], np.cumsum(listed.sum(1))]), top[:, :k][listed], values[:, :k][listed], np.where(listed.any(1), rest, values[:, 0]))
 
+    @staticmethod
+    def over(space: Space, passages: Passages, rare: np.ndarray) -> Bounds:
+        """Bounds of all terms, from tables of at most ``CELLS`` terms and passages."""
+        n = len(passages.words)
+        step, parts = max(1, CELLS // n), []
+        for a in range(0, len(space.axes), step):
+            z = min(a + step, len(space.axes))
+            product = space.axes[a:z] @ passages.latent.T
+            parts.append(Bounds.of(product if passages.whole is None else np.maximum(product, passages.whole.dense(a, z, n)), rare[a:z]))
+        off = np.cumsum(np.concatenate([[0]] + [np.diff(b.off) for b in parts]))
+        return Bounds(off, *(np.concatenate([getattr(b, name) for b in parts]) for name in ("passage", "value", "other")))
+
 
 def _dense(block: np.ndarray, passage: np.ndarray, value: np.ndarray, first: np.ndarray, passages: int) -> list[np.ndarray]:
     """The largest sum over passages of windows of 2 and 4 blocks; ``first`` is the first block of each block's text."""
@@ -257,7 +311,7 @@ def find(hashes: np.ndarray, windows: list[tuple[int, int]], space: Space, passa
     n = len(hashes)
     found: dict[int, tuple[float, float, int, int]] = {}
     for start, end in windows:
-        near = passages.latent @ space.fold(hashes[start:end])
+        near = passages.cosines(space, hashes[start:end])
         for p in np.flatnonzero(near >= cosine):
             words = passages.words[p]
             if p in found and found[p][1] >= 0.999:
@@ -319,13 +373,15 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: fl
         return own[np.argsort(-space.weight(own), kind="stable")[: max(1, len(own) // 4)]]
 
     answers = [np.unique(np.frombuffer(r.answer, np.uint64)) if r.answer else rarest(w) for r, w in zip(rows, words)]
-    held = spark.sparkContext.broadcast((space, Passages([r.item_id for r in rows], words, answers, latent)))
+    # with as many axes as passages and a row for each term the latent cosine is the untruncated one
+    whole = Postings.of(words, space) if len(words) > RANK or len(terms) > TERMS else None
+    known = Passages([r.item_id for r in rows], words, answers, latent, whole)
+    largest = np.zeros(n_rows)
+    np.maximum.at(largest, cell, space.weight(terms))
+    held = spark.sparkContext.broadcast((space, known, Bounds.over(space, known, largest >= RARE * largest.max())))
 
     def run(batches):
-        space, passages = held.value
-        idf = np.zeros(len(space.axes))
-        np.maximum.at(idf, space.cell, space.weight(space.terms))
-        bounds = Bounds.of(space.axes @ passages.latent.T, idf >= RARE * idf.max())
+        space, passages, bounds = held.value
         for batch in batches:
             out = []
             for part in tk.slices(batch):

@@ -308,6 +308,19 @@ def test_decontamination(spark):
     assert decontaminate.search(frame(spark, rows), bench.limit(0)).count() == 0 == decontaminate.search(frame(spark, rows).limit(0), bench).count()
 
 
+def test_decontamination_with_more_passages_than_axes(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [words(rng, 40, 3000) for _ in range(120)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = []
+    for i, item in enumerate(items):
+        near = [w if rng.random() < 0.7 else f"o{rng.randrange(3000)}" for w in item]
+        rows.append((i, " ".join([f"o{rng.randrange(3000)}" for _ in range(50)] + near + [f"o{rng.randrange(3000)}" for _ in range(50)])))
+    full = {(r.doc_id, r.item_id) for r in decontaminate.search(frame(spark, rows), bench).collect()}
+    monkeypatch.setattr(decontaminate, "RANK", 8)
+    assert len(full) > 40 and full <= {(r.doc_id, r.item_id) for r in decontaminate.search(frame(spark, rows), bench).collect()}
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(50):
