@@ -7,8 +7,8 @@ and of four blocks of every document are folded onto these axes and compared wit
 cosine, the larger of the latent one and the untruncated one: axes that are fewer than passages leave
 out a part of every window. A window's words bound its cosine with any passage from above, and one that
 can't reach the limit is not folded. Candidates are then checked on words: the longest common subsequence of the
-passage and the window with its surroundings must cover ``least`` of the passage, within a stretch
-not much longer than it, and the answer - the item's answer if there is one, else the passage's
+passage and a stretch of the window with its surroundings, not much longer than the passage, must cover
+``least`` of it, and the answer - the item's answer if there is one, else the passage's
 rarest words - must be in that stretch too.
 
 Defined cases: null and empty texts match nothing, and items without words are never matched; items
@@ -161,6 +161,34 @@ def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return int(table[n, m]), first, last
 
 
+def stretches(a: np.ndarray, b: np.ndarray, most: int, need: float):
+    """Length and place of long common subsequences in stretches of at most ``most`` words of b, the best ones first.
+
+    The first is the whole subsequence, if its stretch is short enough; then, for every word of b that is in a,
+    the longest subsequence within ``most`` words from there on, in the shortest such stretch. Only lengths of
+    ``need`` or more are given.
+    """
+    length, lo, hi = lcs(a, b)
+    if length < max(need, 1):
+        return
+    if hi - lo <= most:
+        yield length, lo, hi
+    starts = np.flatnonzero(np.isin(b, a))
+    at = starts[:, None] + np.arange(most)
+    there = at < len(b)
+    near = b[np.minimum(at, len(b) - 1)]
+    table = np.zeros((len(starts), most + 1), np.int16)
+    for word in a:
+        hit = table[:, :-1] + ((near == word) & there)
+        table[:, 1:] = np.maximum.accumulate(np.maximum(hit, table[:, 1:]), axis=1)
+    best = table[:, -1]
+    ends = (table == best[:, None]).argmax(axis=1)
+    for i in np.lexsort((ends, -best)):
+        if best[i] < need:
+            return
+        yield int(best[i]), int(starts[i]), int(starts[i] + ends[i])
+
+
 @dataclass
 class Postings:
     """For each row of the space the passages that have it, with their unit-length TF-IDF weights."""
@@ -319,15 +347,14 @@ def find(hashes: np.ndarray, windows: list[tuple[int, int]], space: Space, passa
             a, b = max(0, start - len(words)), min(n, end + len(words))
             if np.isin(words, hashes[a:b]).sum() < (1.0 if len(words) < SHORT else least) * len(words):
                 continue  # a common subsequence is no longer than the words found at all
-            length, lo, hi = lcs(words, hashes[a:b])
-            share = length / len(words)
-            if share < (1.0 if len(words) < SHORT else least) or hi - lo > 1.5 * len(words) + 4:
-                continue
-            answer = passages.answer[p]
-            if len(answer) and np.isin(answer, hashes[a + lo : a + hi]).mean() < 0.5:
-                continue
-            if p not in found or share > found[p][1]:
-                found[p] = (float(near[p]), share, int(a + lo), int(a + hi))
+            need, answer = (1.0 if len(words) < SHORT else least) * len(words), passages.answer[p]
+            for length, lo, hi in stretches(words, hashes[a:b], int(1.5 * len(words) + 4), need):
+                if len(answer) and np.isin(answer, hashes[a + lo : a + hi]).mean() < 0.5:
+                    continue
+                share = length / len(words)
+                if p not in found or share > found[p][1]:
+                    found[p] = (float(near[p]), share, int(a + lo), int(a + hi))
+                break
     return found
 
 

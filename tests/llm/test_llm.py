@@ -321,6 +321,30 @@ def test_decontamination_with_more_passages_than_axes(spark, monkeypatch):
     assert len(full) > 40 and full <= {(r.doc_id, r.item_id) for r in decontaminate.search(frame(spark, rows), bench).collect()}
 
 
+def test_stretches_leave_out_words_far_before():
+    passage, filler = np.arange(20), np.arange(100, 130)
+    copy = np.concatenate([filler[:5], [0], filler, passage, filler[:3]])
+    assert next(decontaminate.stretches(passage, copy, 34, 12)) == (20, 36, 56)
+    # the first word is lost in the copy, but stands far before it
+    paraphrase = np.concatenate([[0], filler, passage[1:], filler[:3]])
+    assert next(decontaminate.stretches(passage, paraphrase, 34, 12)) == (19, 31, 50)
+    assert not list(decontaminate.stretches(passage, filler, 34, 12))
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        a, b = rng.integers(0, 8, 6), rng.integers(0, 8, 30)
+        best = max(decontaminate.lcs(a, b[i : i + 13])[0] for i in range(30))
+        got = list(decontaminate.stretches(a, b, 13, 1))
+        assert got and max(n for n, _, _ in got) == best and all(hi - lo <= 13 and decontaminate.lcs(a, b[lo:hi])[0] >= n for n, lo, hi in got)
+
+
+def test_copies_after_an_earlier_first_word(spark):
+    item = "the " + " ".join(f"q{i}" for i in range(24))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(i, " ".join(["the" if j == i else f"f{i}x{j}" for j in range(30)] + item.split() + [f"g{i}x{j}" for j in range(30)])) for i in range(2, 29)]
+    got = decontaminate.search(frame(spark, rows), bench).collect()
+    assert {r.doc_id for r in got} == set(range(2, 29)) and all(r.n_words <= 41 for r in got)
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(50):
