@@ -12,7 +12,8 @@ passage and a stretch of the window with its surroundings, not much longer than
 rarest words - must be in that stretch too.
 
 Defined cases: null and empty texts match nothing, and items without words are never matched; items
-of fewer than ``SHORT`` words must occur whole; repeated rows and items are each reported; an empty
+of fewer than ``SHORT`` words must occur whole and are looked up at every place, without a cosine of
+windows (theirs is given as 1); repeated rows and items are each reported; an empty
 benchmark or table gives an empty result; other columns are not read.
 """
 
@@ -334,6 +335,43 @@ def screen(hashes: np.ndarray, off: np.ndarray, space: Space, bounds: Bounds, pa
     return found[0][order], found[1][order], found[2][order]
 
 
+class Shorts:
+    """Passages of fewer than ``SHORT`` words by the hash of their sequence of words."""
+
+    def __init__(self, passages: Passages):
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, SHORT):
+            # the answer must be among the words, or there is nothing to find
+            own = [p for p, w in enumerate(passages.words) if len(w) == n and not (len(passages.answer[p]) and np.isin(passages.answer[p], w).mean() < 0.5)]
+            if own:
+                key = self._keys(np.concatenate([passages.words[p] for p in own]), n)[::n]
+                order = np.argsort(key, kind="stable")
+                self.tables[n] = key[order], np.array(own)[order]
+
+    @staticmethod
+    def _keys(hashes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the ``n`` words from each place on."""
+        key = hashes[: len(hashes) - n + 1].copy()
+        for i in range(1, n):
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[i : len(hashes) - n + 1 + i]
+        return key
+
+    def find(self, hashes: np.ndarray, off: np.ndarray) -> dict[int, dict[int, tuple[float, float, int, int]]]:
+        """For each text that has some: the passages found, each at its first place, as ``find`` gives them."""
+        found: dict[int, dict] = {}
+        text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        for n, (keys, owner) in self.tables.items():
+            if len(hashes) < n:
+                continue
+            key = self._keys(hashes, n)
+            first, last = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+            for i in np.flatnonzero((last > first) & (text[: len(key)] == text[n - 1 :])):
+                start = int(i - off[text[i]])
+                for p in owner[first[i] : last[i]]:
+                    found.setdefault(int(text[i]), {}).setdefault(int(p), (1.0, 1.0, start, start + n))
+        return found
+
+
 def find(hashes: np.ndarray, windows: list[tuple[int, int]], space: Space, passages: Passages, cosine: float, least: float) -> dict[int, tuple[float, float, int, int]]:
     """In windows of one document: the passages found, each with cosine, covered share, and the stretch of words."""
     n = len(hashes)
@@ -342,13 +380,13 @@ def find(hashes: np.ndarray, windows: list[tuple[int, int]], space: Space, passa
         near = passages.cosines(space, hashes[start:end])
         for p in np.flatnonzero(near >= cosine):
             words = passages.words[p]
-            if p in found and found[p][1] >= 0.999:
+            if len(words) < SHORT or p in found and found[p][1] >= 0.999:
                 continue
             a, b = max(0, start - len(words)), min(n, end + len(words))
-            if np.isin(words, hashes[a:b]).sum() < (1.0 if len(words) < SHORT else least) * len(words):
+            if np.isin(words, hashes[a:b]).sum() < least * len(words):
                 continue  # a common subsequence is no longer than the words found at all
-            need, answer = (1.0 if len(words) < SHORT else least) * len(words), passages.answer[p]
-            for length, lo, hi in stretches(words, hashes[a:b], int(1.5 * len(words) + 4), need):
+            answer = passages.answer[p]
+            for length, lo, hi in stretches(words, hashes[a:b], int(1.5 * len(words) + 4), least * len(words)):
                 if len(answer) and np.isin(answer, hashes[a + lo : a + hi]).mean() < 0.5:
                     continue
                 share = length / len(words)
@@ -409,14 +447,17 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: fl
 
     def run(batches):
         space, passages, bounds = held.value
+        shorts = Shorts(passages)
         for batch in batches:
             out = []
             for part in tk.slices(batch):
                 hashes, off = stripped(part.column(1))
                 text, start, end = screen(hashes, off, space, bounds, len(passages.words), cosine)
-                for i in np.unique(text):
+                whole = shorts.find(hashes, off)
+                for i in np.unique(np.concatenate([text, np.array(list(whole), np.int64)])):
                     own = slice(*np.searchsorted(text, [i, i + 1]))
                     hits = find(hashes[off[i] : off[i + 1]], list(zip(start[own], end[own])), space, passages, cosine, least)
+                    hits |= whole.get(int(i), {})
                     out += [(part.column(0)[int(i)].as_py(), passages.item[p], c, s, a, b - a) for p, (c, s, a, b) in sorted(hits.items())]
             names = ["doc_id", "item_id", "cosine", "covered", "start", "n_words"]
             types = [batch.schema.field(0).type, pa.int64() if isinstance(passages.item[0], int) else pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]

@@ -345,6 +345,16 @@ def test_copies_after_an_earlier_first_word(spark):
     assert {r.doc_id for r in got} == set(range(2, 29)) and all(r.n_words <= 41 for r in got)
 
 
+def test_short_items_are_found_whole(spark):
+    rng = random.Random(13)
+    items = ["alpha", "beta gamma", "delta eps zeta", "w1 w2 w3 w4 w5 w6 w7"]
+    bench = spark.createDataFrame(list(enumerate(items)) + [(9, "eta theta")], "item_id long, text string")
+    rows = [(i, " ".join([f"r{i}x{j}" for j in range(60)] + [item.upper() + "."] + [f"s{i}x{j}" for j in range(60)])) for i, item in enumerate(items)]
+    rows += [(10, "eta of theta"), (11, "beta"), (12, "gamma"), (13, "delta eps " + " ".join(words(rng, 80)) + " zeta"), (14, None)]
+    got = decontaminate.search(frame(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.n_words) for r in got} == {(i, i, 60, len(item.split())) for i, item in enumerate(items)}
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(50):
