@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import EMAIL_LINE
+
 
 def number_gaps(rows: DataFrame, *keys: str) -> DataFrame:
     """Missing numbers before each present one, and the open range after the last: lo, hi (null: open)."""
@@ -105,15 +109,35 @@ def literature(paragraphs: DataFrame, heading: str, key: str = "doc_id") -> Data
     )
 
 
-def trim_emails(docs: DataFrame, key: str = "doc_id", steps: int = 8) -> DataFrame:
-    """Zone trimming of e-mail lines until nothing changes, at most ``steps`` times."""
-    from lexmill.functions.text import EMAIL_LINE, trim_once
+def trim_email_lines(text: str | None) -> str | None:
+    """Zone trimming of the e-mail lines of one text until none is left, in one pass over its lines.
 
-    text = F.col("text")
-    out = docs
-    for _ in range(steps):
-        out = out.withColumn("text", trim_once(text, EMAIL_LINE))
-    return out.select(key, "text")
+    First the last line cuts the tail, as long as it is in the tail zone and no @ comes after it; then each
+    line from the first on is cut with the head, with the tail, or alone. Zones are those of what is left.
+    """
+    if text is None:
+        return None
+    spans = [m.span() for m in re.finditer(EMAIL_LINE, text)]
+    while spans and (len(text) - spans[-1][0]) / len(text) <= 0.2 and "@" not in text[spans[-1][1] :]:
+        text = text[: spans.pop()[0]]
+    kept, at, before = [], 0, 0  # what is left of the text, up to ``at``, has ``before`` characters
+    for start, end in spans:
+        before += start - at
+        left = before + len(text) - start
+        if (before + end - start) / left <= 0.1:
+            kept, before = [], 0
+        elif (left - before) / left <= 0.2:
+            return "".join(kept) + text[at:start]
+        else:
+            kept.append(text[at:start])
+        at = end
+    return "".join(kept) + text[at:]
+
+
+def trim_emails(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Zone trimming of e-mail lines until none is left; each text is one step of a per-text kernel."""
+    trimmed = F.pandas_udf(lambda texts: texts.map(trim_email_lines, na_action="ignore"), "string")
+    return docs.select(key, trimmed("text").alias("text"))
 
 
 # Headings of a list of references and of keywords.

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lexmill.functions import scores
@@ -93,3 +96,26 @@ def test_gaps_and_islands(spark):
     rows = spark.createDataFrame([(1, True), (2, False), (3, False), (6, False), (7, True)], "number long, saved boolean")
     assert sorted((r.lo, r.hi) for r in articles.number_gaps(rows).where("hi is not null").collect()) == [(4, 5)]
     assert sorted((r.lo, r.hi) for r in articles.unsaved_islands(rows).where("hi is not null").collect()) == [(2, 3), (6, 6)]
+
+
+def test_email_lines_are_trimmed_until_none_is_left(spark):
+    def looped(text):
+        """The two loops, one match at a time."""
+        size = lambda m: (m.end() / len(text), (len(text) - m.start()) / len(text))
+        while (found := list(re.finditer(tx.EMAIL_LINE, text))) and size(found[-1])[1] <= 0.2 and "@" not in text[found[-1].end() :]:
+            text = text[: found[-1].start()]
+        while m := re.search(tx.EMAIL_LINE, text):
+            head, tail = size(m)
+            text = text[m.end() :] if head <= 0.1 else text[: m.start()] if tail <= 0.2 else text[: m.start()] + text[m.end() :]
+        return text
+
+    rng = random.Random(8)
+    line = lambda i: f"line {i} of the text" * 3 + "\n"
+    texts = ["".join(line(i) + (f"E-mail: a{i}@b.c\n" if 12 <= i < 32 else "") for i in range(50)), "", "no such line", "E-mail: a@b.c\n"]
+    # the last line is in the tail zone of the whole text, the one before it only in that of what the first cut leaves
+    texts.append("".join(line(i) + ("E-mail: a@b.c\n" if i in (15, 16, 17) else "") for i in range(20)))
+    texts += ["".join(rng.choice([line(i), "e-mail d@e.f\n", "my email\n", "x@y.z\n"]) for i in range(rng.randrange(1, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in articles.trim_emails(docs).collect()}
+    assert got.pop(-1) is None and got == {i: looped(t) for i, t in enumerate(texts)}
+    assert "mail" not in got[0].lower() and got[0].count("\n") == 50
