@@ -11,20 +11,27 @@ passage and a stretch of the window with its surroundings, not much longer than
 ``least`` of it, and the answer - the item's answer if there is one, else the passage's
 rarest words - must be in that stretch too.
 
+The benchmark is taken in chunks of about ``CHUNK`` passages, each with a pass over all documents, so what
+is held at once has a fixed bound: a larger benchmark takes more passes and no more memory.
+
 Defined cases: null and empty texts match nothing, and items without words are never matched; items
 of fewer than ``SHORT`` words must occur whole and are looked up at every place, without a cosine of
-windows (theirs is given as 1); repeated rows and items are each reported; an empty
-benchmark or table gives an empty result; other columns are not read.
+windows (theirs is given as 1); ids of any type, null ones included, are returned as they are; repeated
+rows and items are each reported; an empty benchmark or table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens as tk
 from .store import partition_sums, stash
@@ -44,8 +51,14 @@ LISTED = 8
 RARE = 0.4
 #: Passages up to which sums are kept in a table of blocks and passages.
 DENSE = 512
-#: Cells of a table of terms and passages.
-CELLS = 1 << 21
+#: Cells of a table of terms and passages, or of blocks and passages.
+CELLS = 1 << 20
+#: Passages that a pass over the documents compares with, about; a larger benchmark takes more passes.
+CHUNK = 2048
+#: Bytes of text, and blocks, that are compared at once.
+SLICE, RANGE = 1 << 18, 1 << 12
+#: In 64 words the square of 1 + log t is at least this share of t, for any t.
+REPEATED = (1.0 + math.log(64)) ** 2 / 64
 
 
 def stripped(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +96,8 @@ class Space:
     """Weights of words, the terms of the latent space, and its axes (terms x rank)."""
 
     idf: np.ndarray
-    terms: np.ndarray  # sorted hashes of the benchmark's words
-    cell: np.ndarray  # row of each term
+    terms: np.ndarray | None  # sorted hashes of the benchmark's words; None: any word is one, in a cell by its hash
+    cell: np.ndarray | None  # row of each term
     axes: np.ndarray
 
     def weight(self, hashes: np.ndarray) -> np.ndarray:
@@ -99,6 +112,8 @@ class Space:
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each word, or -1 for words that are not in the benchmark."""
+        if self.terms is None:
+            return (hashes % np.uint64(TERMS)).astype(np.int64)
         if not len(self.terms):
             return np.full(len(hashes), -1)
         maybe = np.flatnonzero(self.cells()[(hashes >> SHIFT).astype(np.int64)])
@@ -137,7 +152,7 @@ def randomised_svd(passages: DataFrame, space: Space, rows: int, rank: int, seed
                         np.add.at(total, row, np.outer(value / length, (value / length) @ q[row]))
             return total.ravel()
 
-        b = partition_sums(passages.select("words"), product, q.shape, groups=4)
+        b = partition_sums(passages.select("words"), product, q.shape)
         left, values, _ = np.linalg.svd(b, full_matrices=False)
         q = left[:, values > 1e-10 * max(values[0], 1e-300)] if len(values) else left
     return q
@@ -223,6 +238,7 @@ class Postings:
 @dataclass
 class Passages:
     item: list
+    times: list[int]  # rows of the benchmark that are this passage
     words: list[np.ndarray]
     answer: list[np.ndarray]
     latent: np.ndarray  # unit rows
@@ -275,16 +291,20 @@ class Bounds:
 
 
 def _dense(block: np.ndarray, passage: np.ndarray, value: np.ndarray, first: np.ndarray, passages: int) -> list[np.ndarray]:
-    """The largest sum over passages of windows of 2 and 4 blocks; ``first`` is the first block of each block's text."""
-    n = len(first)
-    one = np.bincount(block * passages + passage, value, n * passages).reshape(n, passages).astype(np.float32)
-    tops = []
-    for step in (1, 2):
-        more = one.copy()
-        more[:-step] += one[step:] * (first[step:] == first[:-step])[:, None]
-        one = more
-        tops.append(one.max(axis=1, initial=0.0).astype(np.float64) * (1 + 1e-5))
-    return tops
+    """The largest sum over passages of windows of 2 and 4 blocks; ``first`` is the first block of each block's text.
+
+    Entries come in the order of blocks; a table holds about ``CELLS`` of them and the three blocks that follow.
+    """
+    n, tops = len(first), (np.zeros(len(first)), np.zeros(len(first)))
+    width = max(8, CELLS // passages)
+    for a in range(0, n, width):
+        z = min(n, a + width + 3)
+        own = slice(*np.searchsorted(block, [a, z]))
+        one = np.bincount((block[own] - a) * passages + passage[own], value[own], (z - a) * passages).reshape(z - a, passages).astype(np.float32)
+        for step, top in zip((1, 2), tops):
+            one[:-step] += one[step:] * (first[a + step : z] == first[a : z - step])[:, None]
+            top[a : a + width] = one[:width].max(axis=1, initial=0.0).astype(np.float64)[: len(top[a : a + width])] * (1 + 1e-5)
+    return list(tops)
 
 
 def _sparse(block: np.ndarray, passage: np.ndarray, value: np.ndarray, first: np.ndarray, passages: int) -> list[np.ndarray]:
@@ -292,7 +312,7 @@ def _sparse(block: np.ndarray, passage: np.ndarray, value: np.ndarray, first: np
     tops = []
     for span in (2, 4):
         window = np.concatenate([block - j for j in range(span)])
-        keep = window >= np.tile(first[block], span)
+        keep = (window >= 0) & (first[np.maximum(window, 0)] == np.tile(first[block], span))
         key, v = window[keep] * passages + np.tile(passage, span)[keep], np.tile(value, span)[keep]
         order = np.argsort(key, kind="stable")
         key, v, most = key[order], v[order], np.zeros(len(first))
@@ -303,16 +323,16 @@ def _sparse(block: np.ndarray, passage: np.ndarray, value: np.ndarray, first: np
     return tops
 
 
-def screen(hashes: np.ndarray, off: np.ndarray, space: Space, bounds: Bounds, passages: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (text, start, end in words) whose cosine with some passage may reach the limit.
+def _crowded(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Blocks that hold a word four times or more; only windows with one can hold a word 13 times."""
+    at = begin[:, None] + np.arange(BLOCK)
+    words = np.where(at < end[:, None], hashes[np.minimum(at, len(hashes) - 1)], np.arange(at.size, dtype=np.uint64).reshape(at.shape))
+    words.sort(axis=1)
+    return (words[:, 3:] == words[:, :-3]).any(axis=1)
 
-    What the listed terms of a window add is summed by passage; the rest is bounded by one sum.
-    """
-    count = np.diff(off)
-    blocks = -(-count // BLOCK)
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    text = np.repeat(np.arange(len(count)), blocks)
-    begin = off[text] + BLOCK * (np.arange(len(text)) - first[text])
+
+def _range(hashes, begin, end, first, space: Space, bounds: Bounds, passages: int, cosine: float) -> list[np.ndarray]:
+    """For blocks (word positions ``begin`` to ``end``, first block of their text): whether the window of 2, and of 4, may reach the limit."""
     row, idf = space.rows(hashes), space.weight(hashes)
     inside = row >= 0
     loose, whole = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(inside, idf * bounds.other[row], 0.0), idf * idf))
@@ -320,17 +340,43 @@ def screen(hashes: np.ndarray, off: np.ndarray, space: Space, bounds: Bounds, pa
     token = np.flatnonzero(inside & (bounds.off[row + 1] > bounds.off[row]))
     size = bounds.off[row[token] + 1] - bounds.off[row[token]]
     at = np.repeat(bounds.off[row[token]] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    owner = np.repeat(np.arange(len(count)), count)[token]
-    block = np.repeat(first[owner] + (token - off[owner]) // BLOCK, size)
+    block = np.repeat(np.searchsorted(begin, token, "right") - 1, size)
     value, passage = np.repeat(idf[token], size) * bounds.value[at], bounds.passage[at]
     sums = _dense if passages <= DENSE else _sparse
+    crowded = np.concatenate([[0], np.cumsum(_crowded(hashes, begin, end))])
+    out, n = [], len(begin)
+    for span, most in zip((2, 4), sums(block, passage, value, first, passages)):
+        last = np.minimum(np.arange(n) + span, n) - 1
+        while (other := first[last] != first).any():
+            last[other] -= 1
+        stop = end[last]
+        # a word repeated t times weighs 1 + log t times, whose square is at least t up to 12 times
+        least = np.where(crowded[last + 1] > crowded[:-1], REPEATED, 1.0) * np.maximum(whole[stop] - whole[begin], 0.0)
+        out.append(loose[stop] - loose[begin] + most >= (1 - 1e-6) * cosine * np.sqrt(least))
+    return out
+
+
+def screen(hashes: np.ndarray, off: np.ndarray, space: Space, bounds: Bounds, passages: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (text, start, end in words) whose cosine with some passage may reach the limit.
+
+    What the listed terms of a window add is summed by passage; the rest is bounded by one sum. Blocks
+    are taken ``RANGE`` at once, with the three that follow, however long a text is.
+    """
+    count = np.diff(off)
+    blocks = -(-count // BLOCK)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    text = np.repeat(np.arange(len(count)), blocks)
+    begin = off[text] + BLOCK * (np.arange(len(text)) - first[text])
+    end = np.minimum(begin + BLOCK, off[text + 1])
     out = []
-    for span, most in zip((2, 4), sums(block, passage, value, first[text], passages)):
-        end = np.minimum(begin + span * BLOCK, off[text + 1])
-        # a word repeated t times weighs 1 + log t times, whose square is at least about t
-        ok = loose[end] - loose[begin] + most >= 0.95 * cosine * np.sqrt(np.maximum(whole[end] - whole[begin], 0.0))
-        out.append((text[ok], (begin - off[text])[ok], (end - off[text])[ok]))
-    found = [np.concatenate(x) for x in zip(*out)]
+    for a in range(0, len(text), RANGE):
+        z = min(len(text), a + RANGE + 3)
+        lo, hi = begin[a], end[z - 1]
+        ok = _range(hashes[lo:hi], begin[a:z] - lo, end[a:z] - lo, first[text[a:z]], space, bounds, passages, cosine)
+        for span, good in zip((2, 4), ok):
+            at = a + np.flatnonzero(good[:RANGE])
+            out.append((text[at], begin[at] - off[text[at]], np.minimum(begin[at] + span * BLOCK, off[text[at] + 1]) - off[text[at]]))
+    found = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
     order = np.argsort(found[0], kind="stable")
     return found[0][order], found[1][order], found[2][order]
 
@@ -396,15 +442,13 @@ def find(hashes: np.ndarray, windows: list[tuple[int, int]], space: Space, passa
     return found
 
 
-def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: float = 0.6, answer: str | None = None) -> DataFrame:
-    """doc_id, item_id, cosine, covered (share of the passage's words), start and n_words (in words) of each passage found."""
-    spark = docs.sparkSession
-    kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id"))]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, cosine double, covered double, start int, n_words int"
+def _passages(benchmark: DataFrame, answer: str | None) -> DataFrame:
+    """Distinct passages (item_id, words, answer), how often each occurs, and the chunk it is in."""
+    item = benchmark.schema["item_id"].dataType
 
     def cut(batches):
         for batch in batches:
-            item, words, answers = [], [], []
+            at, words, answers = [], [], []
             hashes, off = stripped(batch.column(1))
             wanted, wanted_off = stripped(batch.column(2))
             for i in range(batch.num_rows):
@@ -412,24 +456,33 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: fl
                 parts = max(1, -(-len(own) // PASSAGE))
                 for part in np.array_split(own, parts):
                     if len(part):
-                        item.append(i)
+                        at.append(i)
                         words.append(part.tobytes())
                         answers.append(wanted[wanted_off[i] : wanted_off[i + 1]].tobytes() if parts == 1 else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item, pa.int64())), pa.array(words, pa.binary()), pa.array(answers, pa.binary())], ["item_id", "words", "answer"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.binary()), pa.array(answers, pa.binary())], ["item_id", "words", "answer"])
 
     wanted = F.col(answer).cast("string") if answer else F.lit("")
-    passages = stash(benchmark.select("item_id", "text", wanted.alias("answer")).mapInArrow(cut, f"item_id {kinds[1]}, words binary, answer binary"), "leak-passages")
-    rows = passages.orderBy("item_id", "words").collect()  # the benchmark, which is what all documents are compared with
-    if not rows:
-        return spark.createDataFrame([], schema)
-    counts, blocks = block_frequencies(docs)
-    idf = np.log((blocks + 1.0) / (counts + 1.0)) + 0.01
+    rows = benchmark.select("item_id", "text", wanted.alias("answer")).mapInArrow(cut, f"item_id {item.simpleString()}, words binary, answer binary")
+    return stash(rows.groupBy("item_id", "words", "answer").agg(F.count(F.lit(1)).alias("times")), "leak-passages")
+
+
+def _terms(passages: DataFrame) -> np.ndarray | None:
+    """The distinct words of all passages in order, or None if they are more than ``TERMS``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in tk.slices(batch, "words"):
+                words = np.unique(np.frombuffer(b"".join(x.as_py() for x in part.column(0)), np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(words))], ["term"])
+
+    found = stash(passages.select("words").mapInArrow(run, "term long").distinct(), "leak-terms")
+    rows = found.limit(TERMS + 1).collect()
+    return np.sort(np.array([r.term for r in rows], np.int64).view(np.uint64)) if len(rows) <= TERMS else None
+
+
+def _known(rows: list, space: Space, whole: bool) -> Passages:
+    """The passages of a chunk, with latent vectors, answers, and the untruncated weights if ``whole``."""
     words = [np.frombuffer(r.words, np.uint64) for r in rows]
-    terms = np.unique(np.concatenate(words))
-    n_rows = min(len(terms), TERMS)
-    cell = np.arange(len(terms)) if len(terms) <= TERMS else (terms % np.uint64(TERMS)).astype(np.int64)
-    space = Space(idf, terms, cell, np.zeros((n_rows, 0)))
-    space.axes = randomised_svd(passages, space, n_rows, RANK)
     latent = np.array([space.fold(w) for w in words])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
@@ -438,29 +491,61 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: fl
         return own[np.argsort(-space.weight(own), kind="stable")[: max(1, len(own) // 4)]]
 
     answers = [np.unique(np.frombuffer(r.answer, np.uint64)) if r.answer else rarest(w) for r, w in zip(rows, words)]
-    # with as many axes as passages and a row for each term the latent cosine is the untruncated one
-    whole = Postings.of(words, space) if len(words) > RANK or len(terms) > TERMS else None
-    known = Passages([r.item_id for r in rows], words, answers, latent, whole)
-    largest = np.zeros(n_rows)
-    np.maximum.at(largest, cell, space.weight(terms))
-    held = spark.sparkContext.broadcast((space, known, Bounds.over(space, known, largest >= RARE * largest.max())))
+    return Passages([r.item_id for r in rows], [r.times for r in rows], words, answers, latent, Postings.of(words, space) if whole else None)
 
-    def run(batches):
-        space, passages, bounds = held.value
-        shorts = Shorts(passages)
-        for batch in batches:
-            out = []
-            for part in tk.slices(batch):
-                hashes, off = stripped(part.column(1))
-                text, start, end = screen(hashes, off, space, bounds, len(passages.words), cosine)
-                whole = shorts.find(hashes, off)
-                for i in np.unique(np.concatenate([text, np.array(list(whole), np.int64)])):
-                    own = slice(*np.searchsorted(text, [i, i + 1]))
-                    hits = find(hashes[off[i] : off[i + 1]], list(zip(start[own], end[own])), space, passages, cosine, least)
-                    hits |= whole.get(int(i), {})
-                    out += [(part.column(0)[int(i)].as_py(), passages.item[p], c, s, a, b - a) for p, (c, s, a, b) in sorted(hits.items())]
-            names = ["doc_id", "item_id", "cosine", "covered", "start", "n_words"]
-            types = [batch.schema.field(0).type, pa.int64() if isinstance(passages.item[0], int) else pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: float = 0.6, answer: str | None = None) -> DataFrame:
+    """doc_id, item_id, cosine, covered (share of the passage's words), start and n_words (in words) of each passage found."""
+    spark = docs.sparkSession
+    types = [t.schema[c].dataType for t, c in ((docs, "doc_id"), (benchmark, "item_id"))]
+    schema = f"doc_id {types[0].simpleString()}, item_id {types[1].simpleString()}, cosine double, covered double, start int, n_words int"
+    arrow = [to_arrow_type(t) for t in types] + [pa.float64(), pa.float64(), pa.int32(), pa.int32()]
+    passages = _passages(benchmark, answer)
+    n = passages.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    counts, blocks = block_frequencies(docs)
+    idf = np.log((blocks + 1.0) / (counts + 1.0)) + 0.01
+    terms = _terms(passages)
+    n_rows = TERMS if terms is None else len(terms)
+    axes = randomised_svd(passages, Space(idf, terms, None if terms is None else np.arange(n_rows), np.zeros((n_rows, 0))), n_rows, RANK)
+    chunks = -(-n // CHUNK)
+    passages = passages.withColumn("chunk", F.pmod(F.xxhash64("item_id", "words", "answer"), F.lit(chunks)))
+    found = []
+    for chunk in range(chunks):
+        rows = passages.where(F.col("chunk") == chunk).orderBy("words", "item_id").collect()  # about CHUNK of them
+        if not rows:
+            continue
+        if terms is not None:
+            space = Space(idf, terms, np.arange(n_rows), axes)
+        else:  # the words of the chunk, on the axes of all
+            own = np.unique(np.concatenate([np.frombuffer(r.words, np.uint64) for r in rows]))
+            used, cell = np.unique(own % np.uint64(TERMS), return_inverse=True)
+            space = Space(idf, own, cell, axes[used.astype(np.int64)])
+        # with as many axes as passages and a row for each term the latent cosine is the untruncated one
+        known = _known(rows, space, n > RANK or terms is None)
+        largest = np.zeros(len(space.axes))
+        np.maximum.at(largest, space.cell, space.weight(space.terms))
+        held = spark.sparkContext.broadcast((space, known, Bounds.over(space, known, largest >= RARE * largest.max())))
+
+        def run(batches, held=held):
+            space, passages, bounds = held.value
+            shorts = Shorts(passages)
+            for batch in batches:
+                for part in tk.slices(batch, most=SLICE):
+                    hashes, off = stripped(part.column(1))
+                    text, start, end = screen(hashes, off, space, bounds, len(passages.words), cosine)
+                    whole = shorts.find(hashes, off)
+                    at, out = [], []
+                    for i in np.unique(np.concatenate([text, np.array(list(whole), np.int64)])):
+                        own = slice(*np.searchsorted(text, [i, i + 1]))
+                        hits = find(hashes[off[i] : off[i + 1]], list(zip(start[own], end[own])), space, passages, cosine, least)
+                        hits |= whole.get(int(i), {})
+                        for p, (c, s, a, b) in sorted(hits.items()):
+                            at += [i] * passages.times[p]
+                            out += [(passages.item[p], c, s, a, b - a)] * passages.times[p]
+                    ids = part.column(0).take(pa.array(at, pa.int64())).cast(arrow[0])
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[j] for r in out], t) for j, t in enumerate(arrow[1:]))], ["doc_id", "item_id", "cosine", "covered", "start", "n_words"])
+
+        found.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, found)

@@ -262,7 +262,7 @@ def train(encoded: DataFrame, lex: Lexicon, states: int, rounds: int, warm_texts
                     total += now.value.expected(_sequences(part.column(0)))
             return total
 
-        model = model.updated(partition_sums(texts.select("symbols"), run, (size,), groups=8), lex.unigram)
+        model = model.updated(partition_sums(texts.select("symbols"), run, (size,)), lex.unigram)
         now.destroy()
     return model
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .store import held_out, partition_sums, stash
+from .store import discard, held_out, partition_sums, stash
 
 STATS = (
     "log_words", "log_bytes", "word_length", "upper", "symbols", "digits", "non_ascii", "symbol_ends", "bare_symbols", "lines",
@@ -75,18 +75,18 @@ def statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
-def statistics_table(docs: DataFrame) -> DataFrame:
-    """doc_id and its statistics, read from whole texts."""
+def statistics_table(docs: DataFrame, row: str) -> DataFrame:
+    """``row``, doc_id and the statistics of each document, read from whole texts."""
 
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch):
-                values = statistics(part.column(1))
+                values = statistics(part.column(2))
                 flat = pa.array(values.ravel(), pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(flat, len(STATS)).cast(pa.list_(pa.float64()))], ["doc_id", "stats"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.FixedSizeListArray.from_arrays(flat, len(STATS)).cast(pa.list_(pa.float64()))], ["id", "doc_id", "stats"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, stats array<double>")
+    kinds = [docs.schema[c].dataType.simpleString() for c in (row, "doc_id")]
+    return docs.select(F.col(f"`{row}`").alias("id"), "doc_id", "text").mapInArrow(run, f"id {kinds[0]}, doc_id {kinds[1]}, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -156,7 +156,7 @@ def fit(training: DataFrame, features: int = 320, ridge: float = 1e-3, seed: int
                 total[h] += z[half == h].T @ np.hstack([z, y[:, None]])[half == h]
         return total.ravel()
 
-    parts = partition_sums(training.select("stats", "label", "half"), normal, (2, k, k + 1), groups=8)
+    parts = partition_sums(training.select("stats", "label", "half"), normal, (2, k, k + 1))
 
     def solve(a: np.ndarray) -> np.ndarray:
         # the last unknown is the intercept, which is not shrunk
@@ -181,18 +181,23 @@ def fit(training: DataFrame, features: int = 320, ridge: float = 1e-3, seed: int
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, features: int = 320) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; labels of held-out documents are not used."""
-    stats = stash(statistics_table(docs), "quality-stats")
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, features: int = 320, row: str = "doc_id") -> DataFrame:
+    """``row``, held_out, score and predicted of every document; labels of held-out documents are not used.
+
+    ``row`` names the column that tells rows apart in the result; labels always go by doc_id.
+    """
+    stats = stash(statistics_table(docs, row), "quality-stats")
     labels = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).where(~held_out())
     half = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 >= 5).cast("int")
-    model = fit(stash(stats.join(labels, "doc_id").select("stats", "label", half.alias("half")), "quality-train"), features)
+    training = stash(stats.join(labels, "doc_id").select("stats", "label", half.alias("half")), "quality-train")
+    model = fit(training, features)
+    discard(training)
 
     def run(batches):
         for b in batches:
-            score = model.score(_matrix(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            score = model.score(_matrix(b.column(2)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "doc_id", "score", "predicted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = stats.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+    kinds = [docs.schema[c].dataType.simpleString() for c in (row, "doc_id")]
+    scored = stats.mapInArrow(run, f"id {kinds[0]}, doc_id {kinds[1]}, score double, predicted int")
+    return scored.select(F.col("id").alias(row), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

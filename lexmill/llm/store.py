@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast after its rows were counted.
 BROADCAST_ROWS = 50_000
+#: Partial results that a task, or the driver, adds up.
+FAN_IN = 16
+#: Spark's switch that removes the shuffle files of a finished write.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps start from the files."""
-    path = f"{shared_dir(df.sparkSession)}/lexmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: later steps start from the files.
+
+    The shuffle files of the write are of no use after it and are removed at once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lexmill/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete the files of stashes that nothing reads any more."""
+    for df in stashed:
+        jvm, path = df.sparkSession._jvm, df._stashed_at
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -46,32 +71,53 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def partition_sums(df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], shape: tuple[int, ...], groups: int = 16) -> np.ndarray:
-    """Sum over partitions of the float64 arrays that ``fold`` makes of each partition's batches.
+def gather(df: DataFrame, first: Callable[[Iterator[pa.RecordBatch]], bytes | None], add: Callable[[Iterator[bytes]], bytes]) -> list[bytes]:
+    """What ``first`` makes of each partition, added up by ``add`` until at most ``FAN_IN`` of them are left.
 
-    Two levels: partitions first, then ``groups`` tasks add up what partitions sent, so the driver
-    receives at most ``groups`` arrays however many partitions there are.
+    Each level deals the payloads by partition id, ``FAN_IN`` to a task: no task and not the driver
+    receives more, however many partitions there are.
     """
+    kind = "part int, payload binary"
+
+    def row(payload: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([payload], pa.binary())], ["part", "payload"])
+
+    def begin(batches):
+        payload = first(batches)
+        if payload is not None:
+            yield row(payload)
+
+    def again(batches):
+        raw = (x.as_py() for batch in batches for x in batch.column(1))
+        head = next(raw, None)
+        if head is not None:
+            yield row(add(itertools.chain([head], raw)))
+
+    level = stash(df.mapInArrow(begin, kind), "sums")
+    while (last := level.agg(F.max("part")).first()[0]) is not None and last >= FAN_IN:
+        dealt = level.repartitionById(last // FAN_IN + 1, F.floor(F.col("part") / FAN_IN).cast("int"))
+        following = stash(dealt.mapInArrow(again, kind), "sums")
+        discard(level)
+        level = following
+    out = [bytes(r.payload) for r in level.orderBy("part").collect()]
+    discard(level)
+    return out
+
+
+def partition_sums(df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], shape: tuple[int, ...]) -> np.ndarray:
+    """Sum over partitions of the float64 arrays that ``fold`` makes of each partition's batches."""
 
     def first(batches):
         total = fold(batches)
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"payload": pa.array([np.ascontiguousarray(total, np.float64).tobytes()], pa.binary())})
+        return None if total is None else np.ascontiguousarray(total, np.float64).tobytes()
 
-    def again(batches):
-        total = None
-        for batch in batches:
-            for raw in batch.column(0):
-                part = np.frombuffer(raw.as_py(), np.float64)
-                total = part.copy() if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"payload": pa.array([total.tobytes()], pa.binary())})
-
-    sums = df.mapInArrow(first, "payload binary").repartition(groups).mapInArrow(again, "payload binary")
-    total = np.zeros(int(np.prod(shape)))
-    for row in sums.toLocalIterator():
-        total += np.frombuffer(row.payload, np.float64)
-    return total.reshape(shape)
+    def add(payloads):
+        total = np.zeros(int(np.prod(shape)))
+        for raw in payloads:
+            total += np.frombuffer(raw, np.float64)
+        return total.tobytes()
+
+    return np.frombuffer(add(gather(df, first, add)), np.float64).reshape(shape).copy()
 
 
 def held_out(doc_id: str = "doc_id", by: int = 5, rest: int = 0):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once (a longer text is taken alone).
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -106,6 +106,8 @@ def trim(words: Words) -> Words:
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers that a worker keeps; those for longer texts are made anew.
+KEPT = SLICE_BYTES + (1 << 16)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +115,12 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(base)
     if have is None or len(have[0]) <= n:
         size = max(n + 1, 1 << 16)
-        up, down = (np.full(size, x % (1 << 64), np.uint64) for x in (base, pow(base, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        have = _POWERS[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        have = tuple(np.full(size, x % (1 << 64), np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+        for x in have:
+            x[0] = 1
+            np.cumprod(x, out=x)
+        if size <= KEPT:
+            _POWERS[base] = have
     return have
 
 
@@ -132,7 +137,9 @@ def word_hashes(words: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes, equal in every batch and process."""
     up, down = powers(BASE, len(words.data))
     total = np.zeros(len(words.data) + 1, np.uint64)
-    np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * up[: len(words.data)], out=total[1:])
+    np.add(words.data, np.uint64(1), out=total[1:], dtype=np.uint64)
+    total[1:] *= up[: len(words.data)]
+    np.cumsum(total, out=total)
     return mix((total[words.end] - total[words.start]) * down[words.start])
 
 
