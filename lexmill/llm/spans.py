@@ -13,12 +13,14 @@ is a maximal nonbranching path, each of whose occurrences runs through all of it
 stands for it. The first occurrence of a path by source coordinates stays; the words of all others
 are removed.
 
-Texts with the same words are one class: all but the first are repeats as a whole if they have k
-words, and only the first enters the graph.
-
-Defined cases: null and empty texts have no words; texts shorter than k words lose none; rows with
-one doc_id twice are ordered by their text; an empty table gives an empty result; other columns are
-not read.
+Texts with the same words are one class: all rows but the first are repeats as a whole if they have k
+words, and only one text of each class enters the graph. Classes are numbered in the order of their
+first rows, and these numbers are the source coordinates.
+
+Defined cases: null and empty texts have no words; texts shorter than k words lose none; rows are in
+the order of doc_id, null ids last, and rows with one doc_id in the order of their texts; ids may be of
+any type that can be ordered; equal rows keep their words once; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .store import stash
+from .store import discard, small, stash
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -55,7 +57,7 @@ def minimisers(grams: np.ndarray, k: int) -> np.ndarray:
 
 
 def _summary(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the word sequence, number of words, and the hash of all words joined."""
+    """doc_id, hash of the text, key of the word sequence, number of words, and the hash of all words joined."""
 
     def run(batches):
         for batch in batches:
@@ -63,23 +65,48 @@ def _summary(docs: DataFrame) -> DataFrame:
                 words = tk.split(part.column(1))
                 keys = tk.text_keys(tk.word_hashes(words), words.off)
                 sha = [_sha((t.as_py() or "").encode().split()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tk.signed(keys)), pa.array(words.count.astype(np.int64)), pa.array(sha, pa.string())], ["doc_id", "key", "n_words", "sha"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(tk.signed(keys)), pa.array(words.count.astype(np.int64)), pa.array(sha, pa.string())], ["doc_id", "tag", "key", "n_words", "sha"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n_words long, sha string")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, f"doc_id {kind}, tag long, key long, n_words long, sha string")
+
+
+def _classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """key, doc (number in the order of first rows), row of the first one, and its rep_id and rep_tag."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag", "row"))
+    classes = stash(rows.groupBy("key").agg(least.alias("least"), F.max("n_words").alias("n_words")).select("key", "n_words", "least.*"), "span-firsts")
+    tied = stash(classes.groupBy("no_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("tied_id")), "span-tied")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).join(small(tied), F.col("doc_id").eqNullSafe(F.col("tied_id")), "left_semi")
+    keys = rows.select("key", F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).distinct()
+    texts = texts.join(keys, (F.col("tag") == F.col("of_tag")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    # the text of a class's first row, only where an id alone doesn't tell the order
+    ordering = texts.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text")).alias("t")).select("key", "t.text")
+    ordered = classes.join(ordering, "key", "left").orderBy("no_id", "doc_id", "text", "key")
+    return stash(ordered.select("key", F.monotonically_increasing_id().alias("doc"), "row", F.col("doc_id").alias("rep_id"), F.col("tag").alias("rep_tag")), "span-classes")
+
+
+def _of_classes(docs: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
+    """The text of each class in ``wanted``, which has doc, rep_id and rep_tag; ``once`` if no row of ``docs`` is repeated."""
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    texts = texts.join(wanted, (F.col("tag") == F.col("rep_tag")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).drop("doc_id", "tag")
+    return texts if once else texts.dropDuplicates(["doc"])
 
 
 def _anchors(docs: DataFrame, k: int) -> DataFrame:
-    """Minimisers of all texts: hash, key of the text, position. Equal texts give equal rows."""
+    """Minimisers of all texts: hash, key of the text, position, and what deals the row to a task.
+
+    Equal texts give equal rows. Of an anchor at several places of a batch, one goes on to meet those of
+    other batches; the rest are known to repeat and are dealt evenly.
+    """
 
     def run(batches):
         for batch in batches:
+            out = []
             for part in tk.slices(batch):
                 words = tk.split(part.column(0))
                 hashes = tk.word_hashes(words)
                 keys = tk.signed(tk.text_keys(hashes, words.off))
                 grams = tk.window_hashes(hashes, ANCHOR)
-                out = []
                 _, once = np.unique(keys, return_index=True)
                 for i in once:
                     a, b = words.off[i], words.off[i + 1]
@@ -87,14 +114,24 @@ def _anchors(docs: DataFrame, k: int) -> DataFrame:
                         at = minimisers(grams[a : b - ANCHOR + 1], k)
                         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
                         out.append((tk.signed(grams)[a + at], np.full(len(at), keys[i]), at.astype(np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["anchor", "key", "pos"])
-
-    return docs.select("text").mapInArrow(run, "anchor long, key long, pos int")
+            if out:
+                anchor, key, pos = (np.concatenate(x) for x in zip(*out))
+                order = np.lexsort((pos, key, anchor))
+                anchor, key, pos = anchor[order], key[order], pos[order]
+                new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+                place = new.copy()
+                place[1:] |= (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+                anchor, key, pos, new = anchor[place], key[place], pos[place], new[place]
+                size = np.diff(np.append(np.flatnonzero(new), len(new)))
+                several = np.repeat(size > 1, size)
+                deal = np.where(new, anchor, tk.signed(tk.mix((key + pos).view(np.uint64))))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, anchor, key, pos, several)], ["deal", "anchor", "key", "pos", "sure"])
+
+    return docs.select("text").mapInArrow(run, "deal long, anchor long, key long, pos int, sure boolean")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
-    """key and pos of the anchors that occur at two places or more.
+    """key and pos of the anchors that occur at two places or more; a place may come more than once.
 
     A sorted stream shows each row its neighbours; one row is carried over, however long a run is.
     """
@@ -102,29 +139,35 @@ def _repeated(anchors: DataFrame) -> DataFrame:
     def run(batches):
         held, given = None, False
         for batch in batches:
-            anchor, key, pos = (np.asarray(batch.column(j)) for j in range(3))
+            anchor, key, pos, sure = (np.asarray(batch.column(j)) for j in range(4))
             if held is not None:
-                anchor, key, pos = (np.concatenate([[x], y]) for x, y in zip(held, (anchor, key, pos)))
+                anchor, key, pos, sure = (np.concatenate([[x], y]) for x, y in zip(held, (anchor, key, pos, sure)))
             if not len(anchor):
                 continue
-            keep = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])])
-            anchor, key, pos = anchor[keep], key[keep], pos[keep]
             same = anchor[1:] == anchor[:-1]
-            show = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            apart = same & ((key[1:] != key[:-1]) | (pos[1:] != pos[:-1]))
+            # a run of one place only, however often, is no repeat; in a run of several every row is
+            run_no = np.cumsum(np.concatenate([[0], ~same]))
+            several = np.bincount(run_no[1:], apart, run_no[-1] + 1) > 0
+            show = several[run_no] | sure
             if given:
-                show[0] = False
-            last = bool(show[-1]) or (given and len(anchor) == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key[show]), pa.array(pos[show].astype(np.int32))], ["key", "pos"])
-            held, given = (anchor[-1], key[-1], pos[-1]), last
+                show[run_no == 0] = True
+            fresh = show.copy()
+            if held is not None and given:
+                fresh[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(key[fresh]), pa.array(pos[fresh].astype(np.int32))], ["key", "pos"])
+            held, given = (anchor[-1], key[-1], pos[-1], sure[-1]), bool(show[-1])
 
     width = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return anchors.repartition(width, "anchor").sortWithinPartitions("anchor", "key", "pos").mapInArrow(run, "key long, pos int")
+    dealt = anchors.repartition(width, "deal").sortWithinPartitions("anchor", "key", "pos", F.desc("sure"))
+    return dealt.select("anchor", "key", "pos", "sure").mapInArrow(run, "key long, pos int")
 
 
-def _edges(docs: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
-    """Windows whose minimiser repeats: edge, doc (ordinal of its class), pos, and hashes of the words around.
+def _edges(texts: DataFrame, k: int) -> DataFrame:
+    """Windows whose minimiser repeats: edge, doc, pos, and hashes of the words around.
 
-    A word that isn't there (start or end of the text) hashes to 0.
+    ``texts`` has text, key, doc and places (of repeated anchors). A word that isn't there (start or
+    end of the text) hashes to 0.
     """
 
     def run(batches):
@@ -150,8 +193,6 @@ def _edges(docs: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["edge", "doc", "pos", "around"])
 
-    places = repeated.groupBy("key").agg(F.collect_list("pos").alias("places"))  # at most one entry a word of one text
-    texts = docs.select("doc_id", "text", "key", "doc").join(places, "key")
     return texts.select("text", "key", "doc", "places").mapInArrow(run, "edge long, doc long, pos int, around long")
 
 
@@ -162,65 +203,67 @@ def paths(edges: DataFrame, k: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(before).alias("b0"), F.max(before).alias("b1"), F.min(after).alias("a0"), F.max(after).alias("a1")
     )
     table = table.where("n > 1").select("edge", ((F.col("b0") == F.col("b1")) & (F.col("b0") > 0)).alias("one_in"), ((F.col("a0") == F.col("a1")) & (F.col("a0") > 0)).alias("one_out"))
+    table = stash(table, "span-table")
+    again = stash(edges.select("edge", "doc", "pos").join(table, "edge"), "span-repeated")
     along = W.partitionBy("doc").orderBy("pos")
-    found = edges.select("edge", "doc", "pos").join(table, "edge")
     goes_on = (F.lag("pos").over(along) == F.col("pos") - 1) & F.lag("one_out").over(along) & F.col("one_in")
-    found = found.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("nth", F.sum("starts").over(along))
+    found = again.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("nth", F.sum("starts").over(along))
     runs = found.groupBy("doc", "nth").agg(F.min(F.struct("pos", "edge")).alias("first"), F.count(F.lit(1)).alias("edges"), F.bit_xor("edge").alias("all"))
     # a path is known by its first edge, and all its edges must agree
-    return runs.select(F.xxhash64("first.edge", "edges", "all").alias("path"), "doc", F.col("first.pos").alias("pos"), "edges")
+    out = stash(runs.select(F.xxhash64("first.edge", "edges", "all").alias("path"), "doc", F.col("first.pos").alias("pos"), "edges"), "span-paths")
+    discard(table, again)
+    return out
+
 
+def repeats(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Summaries of all rows, classes of equal word sequences, and the spans of each class that repeat an earlier place.
 
-def repeats(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Summaries of all documents, and the spans (doc, pos, n_words, from_doc, from_pos) that repeat an earlier place."""
-    rows = stash(_summary(docs), "span-rows")
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    firsts = stash(firsts.withColumn("doc", F.col("doc_id").cast("long")), "span-classes")
+    Rows have doc_id, key, n_words, sha and row; classes key, doc, row (of the first one), rep_id and
+    rep_tag; spans doc, pos, n_words, from_doc and from_pos. Last, whether no row of ``docs`` is repeated.
+    """
+    rows = stash(_summary(docs).withColumn("row", F.monotonically_increasing_id()), "span-rows")
+    classes = _classes(docs, rows)
     repeated = stash(_repeated(_anchors(docs, k)), "span-anchors")
-    texts = docs.select("doc_id", "text").join(firsts, "doc_id")
-    edges = stash(_edges(texts, repeated, k), "span-edges")
-    found = stash(paths(edges, k), "span-paths")
+    places = repeated.groupBy("key").agg(F.collect_set("pos").alias("places"))  # places of one text
+    once = not rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    edges = stash(_edges(_of_classes(docs, classes.join(places, "key"), once), k), "span-edges")
+    found = paths(edges, k)
     first = found.groupBy("path").agg(F.min(F.struct("doc", "pos")).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = found.join(first, "path").where((F.col("doc") != F.col("source.doc")) | (F.col("pos") != F.col("source.pos")))
     spans = again.select("doc", "pos", (F.col("edges") + k - 1).cast("int").alias("n_words"), F.col("source.doc").alias("from_doc"), F.col("source.pos").alias("from_pos"))
-    return rows.join(firsts.select("key", F.col("doc_id").alias("first_id"), "doc"), "key"), spans
+    spans = stash(spans, "span-spans")
+    discard(repeated, edges, found)
+    return rows, classes, spans, once
 
 
 def dedup(docs: DataFrame, k: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    rows, spans = repeats(docs, k)
-    spans = stash(spans, "span-spans")
+    rows, classes, spans, once = repeats(docs, k)
     cuts = spans.groupBy("doc").agg(F.collect_list(F.struct("pos", "n_words")).alias("cuts"))  # spans of one text
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            ids, keys, removed, sha = [], [], [], []
             for part in tk.slices(batch):
-                words = tk.split(part.column(1))
-                own = tk.signed(tk.text_keys(tk.word_hashes(words), words.off))
-                for i, (text, n) in enumerate(zip(part.column(1), words.count)):
+                words = tk.split(part.column(0))
+                removed, sha = [], []
+                for i, (text, n) in enumerate(zip(part.column(0), words.count)):
                     spans = part.column(2)[i].values
                     pos, length = (np.asarray(spans.field(j)) for j in (0, 1))
                     change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, pos[pos < n], 1)
-                    np.add.at(change, np.minimum(pos + length, n), -1)
+                    np.add.at(change, pos, 1)
+                    np.add.at(change, pos + length, -1)
                     gone = np.cumsum(change[:-1]) > 0
-                    left = [w for w, g in zip((text.as_py() or "").encode().split(), gone) if not g]
                     removed.append(int(gone.sum()))
-                    sha.append(_sha(left))
-                ids.append(part.column(0))
-                keys.append(own)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(keys)), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "key", "n_removed", "cut_sha"])
+                    sha.append(_sha([w for w, g in zip((text.as_py() or "").encode().split(), gone) if not g]))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc", "n_removed", "cut_sha"])
 
-    cut_texts = docs.select("doc_id", "text").join(cuts.select(F.col("doc").cast(kind).alias("doc_id"), "cuts"), "doc_id")
-    done = cut_texts.select("doc_id", "text", "cuts").mapInArrow(run, f"doc_id {kind}, key long, n_removed long, cut_sha string").dropDuplicates(["doc_id", "key"])
+    cut = _of_classes(docs, classes.join(cuts, "doc"), once).select("text", "doc", "cuts").mapInArrow(run, "doc long, n_removed long, cut_sha string")
+    of_class = classes.select("key", "doc", F.col("row").alias("first_row")).join(cut, "doc", "left")
     nothing = hashlib.sha256(b"").hexdigest()
-    whole = (F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= k)
-    joined = rows.join(done, ["doc_id", "key"], "left")
-    return joined.select(
+    whole = (F.col("row") != F.col("first_row")) & (F.col("n_words") >= k)
+    return rows.join(of_class, "key").select(
         "doc_id",
         "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.col("n_words")).when(F.col("row") != F.col("first_row"), F.lit(0)).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
     )

@@ -94,8 +94,8 @@ def test_components_in_rounds_equal_one_task(spark, monkeypatch):
 
 
 def removed(rows, k):
-    seen, out = set(), {}
-    for i, t in sorted(rows):
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, str(r[0]) if isinstance(r[0], str) else r[0] or 0, r[1] is not None, r[1] or "")):
         w = (t or "").encode().split()
         gone = [False] * len(w)
         for p in range(len(w) - k + 1):
@@ -103,15 +103,27 @@ def removed(rows, k):
             if gram in seen:
                 gone[p : p + k] = [True] * k
             seen.add(gram)
-        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
-    return out
+        out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
+    return Counter(out)
 
 
-@pytest.mark.parametrize("k", [20, 12])
-def test_spans(spark, corpus, k):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in spans.dedup(frame(spark, corpus), k).collect()}
-    assert got == removed(corpus, k)
-    assert spans.dedup(frame(spark, corpus).limit(0), k).count() == 0
+def spanned(spark, rows, k, kind="long"):
+    return Counter(tuple(r) for r in spans.dedup(spark.createDataFrame([(i, t, "x") for i, t in rows], f"doc_id {kind}, text string, key string"), k).collect())
+
+
+def test_spans(spark, corpus):
+    assert spanned(spark, corpus, 20) == removed(corpus, 20)
+    assert spans.dedup(frame(spark, corpus).limit(0), 20).count() == 0
+
+
+def test_spans_of_repeated_ids(spark, corpus):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(5, "z " + " ".join(f"u{i}" for i in range(40))), (5, "b c d " + passage), (3, passage + " end"), (8, "a " + passage), (8, "b " + passage), (None, passage), (None, "q " + passage), (9, passage), (9, passage), (9, " " + passage)]
+    rows += [(rng.randrange(20), t) for _, t in corpus]
+    assert spanned(spark, rows, 12) == removed(rows, 12)
+    named = [(None if i is None else f"d{i}", t) for i, t in rows]
+    assert spanned(spark, named, 12, "string") == removed(named, 12)
 
 
 def test_embeddings(spark, monkeypatch):
