@@ -71,8 +71,8 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def gather(df: DataFrame, first: Callable[[Iterator[pa.RecordBatch]], bytes | None], add: Callable[[Iterator[bytes]], bytes]) -> list[bytes]:
-    """What ``first`` makes of each partition, added up by ``add`` until at most ``FAN_IN`` of them are left.
+def gather(df: DataFrame, first: Callable[[Iterator[pa.RecordBatch]], bytes | None], add: Callable[[Iterator[bytes]], bytes], left: int = FAN_IN) -> list[bytes]:
+    """What ``first`` makes of each partition, added up by ``add`` until at most ``left`` of them are left.
 
     Each level deals the payloads by partition id, ``FAN_IN`` to a task: no task and not the driver
     receives more, however many partitions there are.
@@ -94,7 +94,7 @@ def gather(df: DataFrame, first: Callable[[Iterator[pa.RecordBatch]], bytes | No
             yield row(add(itertools.chain([head], raw)))
 
     level = stash(df.mapInArrow(begin, kind), "sums")
-    while (last := level.agg(F.max("part")).first()[0]) is not None and last >= FAN_IN:
+    while (last := level.agg(F.max("part")).first()[0]) is not None and last >= left:
         dealt = level.repartitionById(last // FAN_IN + 1, F.floor(F.col("part") / FAN_IN).cast("int"))
         following = stash(dealt.mapInArrow(again, kind), "sums")
         discard(level)
