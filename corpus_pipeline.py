@@ -5,8 +5,10 @@ of linked ones stays (five-word shingles, similarity from 0.8). 3. decontaminati
 passage of the benchmark go. 4. mixing: sources are repeated towards equal weights, at most
 ``REPETITIONS`` times; every document stays. 5. sharding: a row of shard and slot for each row.
 
-Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``. Defined
-cases: documents without an id are never removed; an empty table passes through all stages.
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``. Decisions are
+taken for rows, not for ids: rows are numbered first, and a row goes for what it is itself. Defined
+cases: of rows that repeat an id each is judged by its own text, and of equal rows the near-duplicate
+stage keeps one; rows without an id are treated like any other; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -21,21 +23,39 @@ from lexmill.llm.store import small, stash, table
 REPETITIONS = 1.5
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    rejected = stash(rejected.select("doc_id").distinct(), "pipeline-rejected")
-    return docs.join(small(rejected), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written with a number for each row."""
+    return stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "pipeline-numbered")
+
+
+def _with_numbers(numbered: DataFrame) -> DataFrame:
+    """doc_id, text and number of each row."""
+    return numbered.select("row.doc_id", "row.text", "number")
+
+
+def _without(numbered: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose ``number`` is not in ``rejected``."""
+    rejected = stash(rejected.select("number").distinct(), "pipeline-rejected")
+    kept = numbered.join(small(rejected), "number", "left_anti").select("row")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in kept.schema["row"].dataType.names])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    numbered = _numbered(docs)
+    scored = quality.classify(_with_numbers(numbered), table(spark, sf_dir, "labels"), row="number")
+    return _without(numbered, scored.where("predicted = 0"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard.link(docs).where("doc_id <> component_id"))
+    numbered = _numbered(docs)
+    linked = jaccard.link(_with_numbers(numbered).select(F.col("number").alias("doc_id"), "text"))
+    return _without(numbered, linked.where("doc_id <> component_id").withColumnRenamed("doc_id", "number"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.search(docs, table(spark, sf_dir, "benchmark")))
+    numbered = _numbered(docs)
+    found = decontaminate.search(_with_numbers(numbered).select(F.col("number").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(numbered, found.withColumnRenamed("doc_id", "number"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
