@@ -248,6 +248,7 @@ def _grouped(batches, work):
         held = now.slice(edge[-1])
     if held is not None:
         yield from work(held)
+    tk.release()
 
 
 def _columns(rows: pa.Table) -> tuple:
@@ -366,6 +367,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, members: DataFrame, n: int, perce
                 shared = np.count_nonzero(both[1:] == both[:-1])
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(j).filter(pa.array(good, pa.bool_())) for j in (0, 1)], ["k1", "k2"])
+        tk.release()
 
     joined = salted.join(left.select(F.col("key").alias("k1"), "salt", F.col("grams").alias("g1")), ["k1", "salt"])
     joined = joined.join(whole.select(F.col("key").alias("k2"), F.col("grams").alias("g2")), "k2").select("k1", "k2", "g1", "g2")

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: Partial results that a task, or the driver, adds up.
 FAN_IN = 16
-#: Spark's switch that removes the shuffle files of a finished write.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: shuffle files go when it is done, and batches for Python hold a few megabytes.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,16 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from the files.
 
-    The shuffle files of the write are of no use after it and are removed at once.
+    The session's settings are as before after it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmill/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in WRITING}
+    for name, value in WRITING.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,6 +60,15 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; every row is in exactly one part."""
     if not batch.num_rows:
@@ -69,6 +79,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def split(column: pa.Array, separators: np.ndarray = SPACE, lower: bool = False) -> Words:
