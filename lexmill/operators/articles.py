@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -72,20 +74,34 @@ def from_number(rows: DataFrame, start: int, limit: int) -> DataFrame:
     return rows.where(F.col("number") >= start).join(F.broadcast(there)).drop("_there").orderBy("number").limit(limit)
 
 
-def similar(articles: DataFrame, edges: DataFrame, seeds: DataFrame, accept: Column, need: int, rounds: int = 4) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint in the session's shared folder; a local session without one gets a temporary folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if not shared and not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-"))
+    return df.checkpoint()
+
+
+def similar(articles: DataFrame, edges: DataFrame, seeds: DataFrame, accept: Column, need: int, rounds: int | None = None) -> DataFrame:
     """Articles reached from the seeds over edges (src, dst), breadth first: node and round.
 
     Only accepted articles are kept and walked on from; visited ones are not visited again. Stops
-    when ``need`` articles are found, or after ``rounds``. Each round is one join of the frontier.
+    when ``need`` articles are found, when a round finds none, or after ``rounds``. Each round is one
+    join of the frontier.
     """
     ok = articles.where(accept).select("node")
     found = seeds.select("node").distinct().withColumn("round", F.lit(0))
     frontier = found
-    for i in range(1, rounds + 1):
+    for i in itertools.count(1) if rounds is None else range(1, rounds + 1):
         reached = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = reached.join(ok, "node", "left_semi").join(found.select("node"), "node", "left_anti").withColumn("round", F.lit(i))
+        frontier = _settled(reached.join(ok, "node", "left_semi").join(found.select("node"), "node", "left_anti").withColumn("round", F.lit(i)))
         found = found.unionByName(frontier)
-        if found.limit(need).count() >= need:
+        if found.limit(need).count() >= need or frontier.isEmpty():
             break
     return found
 
@@ -141,7 +157,7 @@ def trim_emails(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 # Headings of a list of references and of keywords.
-BIBLIOGRAPHY = r"(?ium)^\s*(список литературы|литература|библиографический список|библиография|список использованных источников|references|bibliography).{0,5}$"
+BIBLIOGRAPHY = r"(?ium)^\s*(список литературы|литература|библиографический список|библиография|список\s{0,5}использованных\s{0,5}источников|список\s{0,5}использованной\s{0,5}литературы|references|bibliography).{0,5}$"
 KEYWORDS = r"(?ium)^\s*(Ключевые слова|Список ключевых слов|Keywords)\s*[-.:]?\s*(.+)\n"
 
 

@@ -47,16 +47,15 @@ def length_tuples(lengths: DataFrame, k: int) -> DataFrame:
     return found
 
 
-def fill(patterns: DataFrame, lengths: DataFrame, most_slots: int = 2) -> DataFrame:
-    """Patterns times lengths of their slots: pattern, sizes, n_tokens and the [start, end) spans of the slots."""
+def fill(patterns: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Patterns times lengths of their slots, however many: pattern, sizes, n_tokens and the [start, end) spans of the slots."""
     base = patterns.select("pattern", tokens(F.col("pattern")).alias("tokens")).withColumn("n_slots", F.size(F.filter("tokens", lambda x: x == "T")))
-    parts = []
-    for k in range(1, most_slots + 1):
-        tuples = length_tuples(lengths, k)
-        parts.append(base.where(F.col("n_slots") == k).join(F.broadcast(tuples)))  # lengths ** slots rows
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = None
+    for k in sorted(r.n_slots for r in base.where("n_slots > 0").select("n_slots").distinct().collect()):  # a few numbers
+        part = base.where(F.col("n_slots") == k).join(length_tuples(lengths, k))  # lengths ** slots rows a pattern
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        rows = base.limit(0).withColumn("sizes", F.array().cast("array<int>"))
     walk = F.expr("""
       aggregate(tokens, named_struct('at', 0, 'slot', 0, 'spans', cast(array() as array<struct<start: int, end: int>>)),
         (s, x) -> if(x = 'T',

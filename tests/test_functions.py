@@ -119,3 +119,25 @@ def test_email_lines_are_trimmed_until_none_is_left(spark):
     got = {r.doc_id: r.text for r in articles.trim_emails(docs).collect()}
     assert got.pop(-1) is None and got == {i: looped(t) for i, t in enumerate(texts)}
     assert "mail" not in got[0].lower() and got[0].count("\n") == 50
+
+
+def test_patterns_of_any_number_of_slots(spark):
+    rows = spark.createDataFrame([("T is T of T",), ("no slot",), ("T and T",)], "pattern string")
+    lengths = spark.createDataFrame([(1,), (2,)], "size int")
+    got = {(r.pattern, tuple(r.sizes)): (r.n_tokens, [(s.start, s.end) for s in r.spans]) for r in patterns.fill(rows, lengths).collect()}
+    assert len(got) == 8 + 4 and got["T is T of T", (2, 1, 2)] == (7, [(0, 2), (3, 4), (5, 7)])
+    assert patterns.fill(rows.where("pattern = 'no slot'"), lengths).count() == 0
+
+
+def test_similar_articles_are_walked_to_the_end(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(9)], "node long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)], "src long, dst long")
+    found = {r.node: r.round for r in articles.similar(nodes, edges, nodes.where("node = 0"), F.lit(True), 100).collect()}
+    assert found == {i: i for i in range(9)}
+    assert articles.similar(nodes, edges, nodes.where("node = 0"), F.lit(True), 100, rounds=2).count() == 3
+
+
+def test_bibliography_captions(spark):
+    texts = ["Текст\nСписок  использованной литературы:\n1. А", "Текст\nСПИСОК ИСПОЛЬЗОВАННЫХ ИСТОЧНИКОВ\n1. А", "Текст\nСписок\n1. А"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(articles.cut_bibliography(F.col("t")).alias("t")).collect()]
+    assert [t.strip() for t in got] == ["Текст", "Текст", texts[2]]
