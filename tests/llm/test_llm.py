@@ -333,6 +333,74 @@ def test_decontamination_with_more_passages_than_axes(spark, monkeypatch):
     assert len(full) > 40 and full <= {(r.doc_id, r.item_id) for r in decontaminate.search(frame(spark, rows), bench).collect()}
 
 
+def leaks(rows, items, cosine=0.3, least=0.6):
+    """All windows against all passages (items of up to 64 words), by the untruncated cosine and plain subsequences."""
+    strip = lambda t: [w for w in (x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in (t or "").lower().split()) if w]
+    texts = {i: strip(t) for i, t in rows}
+    blocks = [set(w[a : a + 16]) for w in texts.values() for a in range(0, len(w), 16)]
+    seen = Counter(x for b in blocks for x in b)
+
+    def vector(words):
+        v = {x: (1 + math.log(n)) * (math.log((len(blocks) + 1) / (seen[x] + 1)) + 0.01) for x, n in Counter(words).items()}
+        return v, math.sqrt(sum(x * x for x in v.values())) or 1.0
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        return row[-1]
+
+    found = set()
+    passages = [(k, strip(t), strip(answer)) for k, t, answer in items]
+    weights = [vector(words) for _, words, _ in passages]
+    for i, words in texts.items():
+        for a, z in {(a, min(len(words), a + 16 * span)) for a in range(0, len(words), 16) for span in (2, 4)}:
+            v, length = vector(words[a:z])
+            for (k, passage, answer), (p, size) in zip(passages, weights):
+                if (i, k) in found or not passage or sum(v[x] * p[x] for x in v.keys() & p.keys()) < cosine * length * size:
+                    continue
+                near, most = words[max(0, a - len(passage)) : z + len(passage)], int(1.5 * len(passage) + 4)
+                for lo in range(len(near)):
+                    here = near[lo : lo + most]
+                    if sum(x in here for x in set(answer)) >= 0.5 * len(set(answer)) and common(passage, here) >= least * len(passage):
+                        found.add((i, k))
+                        break
+    return found
+
+
+def test_decontamination_against_all_windows_and_passages(spark):
+    rng = random.Random(21)
+    items = [(k, " ".join(words(rng, rng.randrange(12, 60), 600))) for k in range(25)]
+    items = [(k, t, " ".join(t.split()[-3:])) for k, t in items]
+    rows = []
+    for i in range(80):
+        w = words(rng, rng.randrange(20, 200), 600)
+        copy = items[i % 25][1].split()
+        for _ in range(rng.randrange(0, len(copy) // 2)):  # up to half of the words replaced
+            copy[rng.randrange(len(copy))] = f"o{rng.randrange(50)}"
+        at = rng.randrange(len(w))
+        rows.append((i, " ".join(w[:at] + (copy if i % 4 else []) + ["junk"] * (40 * (i % 5 == 0)) + w[at:])))
+    want = leaks(rows, items)
+    bench = spark.createDataFrame(items, "item_id int, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.search(frame(spark, rows), bench, answer="answer").collect()}
+    assert len(want) > 30 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_decontamination_in_chunks_and_with_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 3)
+    monkeypatch.setattr(decontaminate, "TERMS", 64)
+    rng = random.Random(22)
+    items = [(None if k == 4 else k, " ".join(words(rng, 30, 5000))) for k in range(8)] + [(7, None)]
+    items.append(items[2])
+    rows = [(f"d{k}", " ".join(words(rng, 40, 5000) + t.split() + words(rng, 40, 5000))) for k, (_, t) in enumerate(items[:8])] + [(None, items[0][1])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id string, text string, item_id int")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.search(docs, spark.createDataFrame(items, "item_id int, text string")).collect())
+    assert got == Counter([(f"d{k}", items[k][0]) for k in range(8)] + [("d2", 2), (None, 0)])
+
+
 def test_stretches_leave_out_words_far_before():
     passage, filler = np.arange(20), np.arange(100, 130)
     copy = np.concatenate([filler[:5], [0], filler, passage, filler[:3]])
