@@ -10,7 +10,8 @@ sums run inside blocks or over one row a block.
 
 Defined cases: a null source is the source ``(none)``; null and empty texts have no tokens and are
 used once in each pass their source gets; a source without any token gets one pass; repeated ids
-keep their place together; an empty table gives an empty schedule.
+keep their place together; other columns may have any names and come back unchanged; an empty table
+gives an empty schedule.
 """
 
 from __future__ import annotations
@@ -110,6 +111,14 @@ def schedule(docs: DataFrame, repetitions: float | None = 2.0, entropy: float |
     )
 
 
+def _free(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mix(docs: DataFrame, repetitions: float | None = 2.0, entropy: float | None = None, budget: int | None = None, block_docs: int = 1000, seed: int = 7) -> DataFrame:
     """The documents of the schedule, each as often as it is used, with the columns of ``docs``.
 
@@ -124,12 +133,13 @@ def mix(docs: DataFrame, repetitions: float | None = 2.0, entropy: float | None
     )
     counts = docs.select(_source().alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
     cuts = cuts.join(counts.select("source", F.ceil(F.col("docs") / F.lit(block_docs)).cast("int").alias("blocks")), "source")
-    cuts = small(stash(cuts.select(F.col("source").alias("_source"), "cut", "cut_epoch", "whole", "blocks"), "mix-cuts").select(F.struct("_source", "cut", "cut_epoch", "whole", "blocks").alias("_mix")), 10_000)
-    joined = docs.join(cuts, _source() == F.col("_mix._source"))
-    epoch, block = F.col("_mix.cut_epoch"), _deal(seed, F.col("_mix.blocks"))
+    mine, times, use = (_free(docs.columns, name) for name in ("mix", "times", "use"))
+    cuts = stash(cuts, "mix-cuts").select(F.struct("source", "cut", "cut_epoch", "whole", "blocks").alias(mine))
+    joined = docs.join(small(cuts, 10_000), _source() == F.col(f"{mine}.source"))
+    epoch, block = F.col(f"{mine}.cut_epoch"), _deal(seed, F.col(f"{mine}.blocks"))
     here = F.struct(_order(seed, epoch, _source(), block).alias("block_order"), _order(seed, epoch, _id()).alias("doc_order"))
-    times = F.col("_mix.whole") + F.when(F.col("_mix.cut").isNotNull() & (here <= F.col("_mix.cut")), 1).otherwise(0)
-    used = joined.withColumn("_times", times).where("_times > 0").withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    n = F.col(f"{mine}.whole") + F.when(F.col(f"{mine}.cut").isNotNull() & (here <= F.col(f"{mine}.cut")), 1).otherwise(0)
+    used = joined.withColumn(times, n).where(F.col(times) > 0).withColumn(use, F.explode(F.sequence(F.lit(1), F.col(times))))
     return used.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
