@@ -77,13 +77,12 @@ def covered(value: bytes, words: np.ndarray) -> float:
     n = len(text)
     if not len(words) or n < WORD:
         return 0.0
-    data = np.frombuffer(text, np.uint8)
-    spans = [(a, b) for a in range(n - WORD + 1) for b in range(min(n, a + 12), a + WORD - 1, -1)]
-    start, end = np.array(spans).T
-    hashes = tk.word_hashes(tk.Words(data, np.array([0, n]), start, end, np.array([0, len(start)])))
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, start, np.where(words[at] == hashes, end - start, 0))
+    data, longest = np.frombuffer(text, np.uint8), np.zeros(n, np.int64)
+    for size in range(WORD, min(n, 12) + 1):
+        start = np.arange(n - size + 1)
+        hashes = tk.word_hashes(tk.Words(data, np.array([0, n]), start, start + size, np.array([0, len(start)])))
+        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+        longest[start[words[at] == hashes]] = size
     while i < n:
         done, i = (done + longest[i], i + longest[i]) if longest[i] else (done, i + 1)
     return done / n
