@@ -247,11 +247,11 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
 
 
 def train(encoded: DataFrame, lex: Lexicon, states: int, rounds: int, warm_texts: int, warm_rounds: int) -> Hmm:
-    """Baum-Welch: ``warm_rounds`` on the first ``warm_texts`` texts by hash, then ``rounds`` on all of ``encoded``."""
+    """Baum-Welch: ``warm_rounds`` on the first ``warm_texts`` texts by a hash of their words, then ``rounds`` on all of ``encoded``."""
     spark = encoded.sparkSession
     model = Hmm.noisy(lex.unigram, states)
     size = states + states * states + len(lex.unigram) * states
-    warm = stash(encoded.orderBy(F.xxhash64("row"), "row").limit(warm_texts).select("symbols").repartition(4), "hmm-warm")
+    warm = stash(encoded.orderBy(F.xxhash64("symbols"), "symbols").limit(warm_texts).select("symbols").repartition(4), "hmm-warm")
     for texts in [warm] * warm_rounds + [encoded] * rounds:
         now = spark.sparkContext.broadcast(model)  # states x symbols, a fixed size
 
