@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.llm import tokens as tk
 from lexmill.llm import components, decontaminate, hmm, jaccard, mixing, neardup, quality, secrets, sharding, spans, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, key long, score double"
@@ -187,6 +188,18 @@ def test_mixing(spark):
     assert abs(sum(even.values()) - 1) < 1e-9 and -sum(w * math.log2(w) for w in even.values()) >= math.log2(3) - 0.011
 
 
+def test_mixing_returns_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "a b", f"s{i % 2}", f"q{i}", i, "u", -i) for i in range(20)], "doc_id long, text string, source string, mix string, times int, use string, whole int")
+    mixed = mixing.mix(docs, repetitions=2.0, block_docs=5)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_dictionary_words_cover_long_runs():
+    words = np.sort(tk.word_hashes(tk.split(pa.array(["token key secret"]))))
+    assert secrets.covered(b"SecretKeyX1", words) == 9 / 11 and secrets.covered(b"zz", words) == 0.0
+    assert secrets.covered(b"key1" * 50_000, words) == 0.75
+
+
 def labelled(spark, rows, column):
     return spark.createDataFrame([(i, v) for i, v in rows], f"doc_id long, {column} int")
 
