@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import scores
+from lexmill.operators import lemmas
 
 
 def cross(rankings: DataFrame, tests: DataFrame, subject: str = "subject") -> DataFrame:
@@ -22,18 +23,36 @@ def short_labels(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best)).select("label", F.when(F.col("size").isNull(), F.col("label")).otherwise(F.substring("label", F.lit(1), F.col("size"))).alias("short"))
 
 
-def relevance(ranked: DataFrame, tests: DataFrame, *keys: str) -> DataFrame:
+def relevance(ranked: DataFrame, tests: DataFrame, *keys: str, morph: DataFrame | None = None) -> DataFrame:
     """Relevance in [0, 1] of each ranked term to its best test item.
 
     1 for equal phrases, else (m / n_term) * (m / n_item) for the longest common run of m words.
-    Runs meet by an equi-join; ``ranked`` has keys, rank, term and ``tests`` has keys, item.
+    Runs meet by an equi-join; ``ranked`` has keys, rank, term and ``tests`` has keys, item. With
+    ``morph`` two words are the same if they share a lemma.
     """
+    if morph is not None:
+        return _judged(ranked, _lemma_runs(ranked, tests, morph, *keys), *keys)
     spans = lambda c: F.flatten(
         F.transform(F.sequence(F.lit(1), F.size(c)), lambda n: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.struct(n.alias("m"), F.array_join(F.slice(c, i + 1, n), " ").alias("run"))))
     )
     a = ranked.withColumn("w", F.split("term", " ")).select(*keys, "rank", "term", F.size("w").alias("n1"), F.explode(spans(F.col("w"))).alias("s"))
     b = tests.select(*keys, "item").distinct().withColumn("w", F.split("item", " ")).select(*keys, "item", F.size("w").alias("n2"), F.explode(spans(F.col("w"))).alias("s"))
     hits = a.select(*keys, "rank", "term", "n1", "s.m", "s.run").distinct().join(b.select(*keys, "item", "n2", "s.run").distinct(), [*keys, "run"])
+    return _judged(ranked, hits, *keys)
+
+
+def _lemma_runs(ranked: DataFrame, tests: DataFrame, morph: DataFrame, *keys: str) -> DataFrame:
+    """Runs of m positions at which a term and an item share a lemma: maximal stretches of a diagonal."""
+    a = lemmas.lemma_places(ranked, morph, "term", *keys).withColumnsRenamed({"size": "n1", "pos": "i"})
+    b = lemmas.lemma_places(tests, morph, "item", *keys).withColumnsRenamed({"size": "n2", "pos": "j"})
+    cells = a.join(b, [*keys, "lemma"]).select(*keys, "term", "item", "n1", "n2", "i", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
+    order = W.partitionBy(*keys, "term", "item", "diagonal").orderBy("i")
+    runs = cells.withColumn("run", F.col("i") - F.row_number().over(order)).groupBy(*keys, "term", "item", "n1", "n2", "diagonal", "run").agg(F.count(F.lit(1)).alias("m"))
+    best = runs.groupBy(*keys, "term").agg(F.max_by(F.struct("m", "n1", "n2"), (F.col("m") / F.col("n1")) * (F.col("m") / F.col("n2"))).alias("s")).select(*keys, "term", "s.*")
+    return ranked.select(*keys, "rank", "term").join(best, [*keys, "term"])
+
+
+def _judged(ranked: DataFrame, hits: DataFrame, *keys: str) -> DataFrame:
     best = hits.groupBy(*keys, "rank", "term").agg(F.max((F.col("m") / F.col("n1")) * (F.col("m") / F.col("n2"))).alias("relevance"))
     return ranked.select(*keys, "rank", "term").join(best, [*keys, "rank", "term"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
 
@@ -74,3 +93,14 @@ def relative(values: DataFrame, base: str, column: str = "ap", *keys: str) -> Da
 def eval_text(text, least: int = 100_000):
     """A text repeated until it has at least ``least`` characters."""
     return F.repeat(text, F.ceil(F.lit(least) / F.greatest(F.length(text), F.lit(1))).cast("int"))
+
+
+def valid(evaluations: DataFrame, expert: str, least: int = 60) -> DataFrame:
+    """Evaluations of an expert with at least ``least`` ranked terms and a test set that is not empty."""
+    return evaluations.where((F.col("expert") == expert) & (F.col("n_ranked") >= least) & (F.col("n_items") > 0))
+
+
+def named(rows: DataFrame, mark: str, column: str = "alg", without: bool = False) -> DataFrame:
+    """Rows whose name holds ``mark``, or the other ones."""
+    has = F.col(column).contains(mark)
+    return rows.where(~has if without else has)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.operators import lemmas
+
 SLOT = r"\b(?:Т|T)\b"
 
 
@@ -64,11 +67,12 @@ def fill(patterns: DataFrame, lengths: DataFrame) -> DataFrame:
     return rows.withColumn("w", walk).select("pattern", "sizes", F.col("w.at").alias("n_tokens"), F.col("w.spans").alias("spans"), "tokens")
 
 
-def matches(sents: DataFrame, filled: DataFrame, key: str = "doc_id") -> DataFrame:
+def matches(sents: DataFrame, filled: DataFrame, key: str = "doc_id", supers: DataFrame | None = None, morph: DataFrame | None = None) -> DataFrame:
     """Places where a filled pattern's literal words match: key, sent_id, pos, pattern, slot_no, phrase, context.
 
     Sentences meet patterns by (first literal word, its place), an equi-join; then the whole
-    stretch is compared. A slot takes any words.
+    stretch is compared. A slot takes any words; with ``supers`` (of ``terms_by_length``) and ``morph``
+    a place counts only if each of its slots holds words with lemmas of the super-term of that length.
     """
     lit_at = F.expr("filter(transform(flat, (x, i) -> struct(i as i, x as x)), p -> p.x is not null)")
     flat = F.expr("""
@@ -77,22 +81,30 @@ def matches(sents: DataFrame, filled: DataFrame, key: str = "doc_id") -> DataFra
                               named_struct('slot', s.slot, 'out', concat(s.out, array(lower(x))))), s -> s.out)""")
     wanted = filled.withColumn("flat", flat).withColumn("fixed", lit_at).where("size(fixed) > 0")
     wanted = wanted.select("pattern", "spans", "n_tokens", "flat", F.col("fixed")[0]["i"].alias("shift"), F.col("fixed")[0]["x"].alias("word"))
-    words = sents.select(key, "sent_id", "words", F.posexplode("words").alias("pos", "word"))
+    first = F.broadcast(wanted.select("word").distinct())  # the first literal words of the patterns
+    words = sents.select(key, "sent_id", "words", F.posexplode("words").alias("pos", "word")).join(first, "word", "left_semi")
     near = words.join(wanted, "word").withColumn("start", F.col("pos") - F.col("shift")).where("start >= 0 and start + n_tokens <= size(words)")
     near = near.withColumn("here", F.slice("words", F.col("start") + 1, F.col("n_tokens")))
     hit = near.where(F.forall(F.zip_with("here", "flat", lambda a, b: b.isNull() | (a == b)), lambda x: x))
-    hit = hit.select(key, "sent_id", F.col("start").cast("long").alias("pos"), "pattern", "here", F.posexplode("spans").alias("slot_no", "span"))
-    phrase = F.slice("here", F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-    return hit.select(key, "sent_id", "pos", "pattern", F.col("slot_no").cast("long").alias("slot_no"), F.array_join(phrase, " ").alias("phrase"), F.array_join("here", " ").alias("context"))
-
-
-def matched_terms(found: DataFrame, terms: DataFrame, least: int = 1) -> DataFrame:
-    """How often each known term (term) fills a slot."""
-    counts = found.join(terms.select(F.col("term").alias("phrase")).distinct(), "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") >= least).select(F.col("phrase").alias("term"), "n")
-
-
-def pattern_ranks(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """Matches by pattern, all slot lengths together, among those whose slot holds a known term."""
-    known = found.join(terms.select(F.col("term").alias("phrase")).distinct(), "phrase", "left_semi")
+    hit = hit.select(key, "sent_id", F.col("start").cast("long").alias("pos"), "pattern", "spans", "here", F.posexplode("spans").alias("slot_no", "span"))
+    phrase = F.array_join(F.slice("here", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")), " ")
+    slotted = hit.select(key, "sent_id", "pos", "pattern", "spans", F.col("slot_no").cast("long").alias("slot_no"), phrase.alias("phrase"), F.array_join("here", " ").alias("context"))
+    if supers is not None:
+        fit = lemmas.fitting(slotted.select("phrase"), supers, morph).withColumn("fits", F.lit(1))
+        whole = F.count("fits").over(W.partitionBy(key, "sent_id", "pos", "pattern", "spans"))
+        slotted = slotted.join(fit, "phrase", "left").withColumn("whole", whole).where(F.col("whole") == F.size("spans"))
+    return slotted.select(key, "sent_id", "pos", "pattern", "slot_no", "phrase", "context")
+
+
+def matched_terms(found: DataFrame, terms: DataFrame, least: int = 1, morph: DataFrame | None = None) -> DataFrame:
+    """How often each known term (term) fills a slot, as it is or, with ``morph``, by its lemma pattern."""
+    counts = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    pairs = terms.select("term", F.col("term").alias("phrase")).distinct() if morph is None else lemmas.same_lemmas(counts.select("phrase"), terms.select("term"), morph)
+    return counts.join(pairs, "phrase").groupBy("term").agg(F.sum("n").cast("long").alias("n")).where(F.col("n") >= least)
+
+
+def pattern_ranks(found: DataFrame, terms: DataFrame, morph: DataFrame | None = None) -> DataFrame:
+    """Matches by pattern, all slot lengths together, among those whose slot holds a known term (by lemmas with ``morph``)."""
+    wanted = terms.select(F.col("term").alias("phrase")) if morph is None else lemmas.same_lemmas(found.select("phrase"), terms.select("term"), morph).select("phrase")
+    known = found.join(wanted.distinct(), "phrase", "left_semi")
     return known.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
