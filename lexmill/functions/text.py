@@ -82,9 +82,10 @@ def hex_id(s: Column, size: int = 8) -> Column:
     return F.substring(F.md5(s.cast("binary")), 1, size)
 
 
-def on_host(url: Column, host: str) -> Column:
+def on_host(url: Column, host: Column | str) -> Column:
     """The URL if its host is ``host`` (case does not matter), else an empty string."""
-    return F.when(F.lower(F.parse_url(url, F.lit("HOST"))) == host.lower(), url).otherwise("")
+    wanted = F.lit(host) if isinstance(host, str) else host
+    return F.when(F.lower(F.parse_url(url, F.lit("HOST"))) == F.lower(wanted), url).otherwise("")
 
 
 def starts_cyrillic(s: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import EMAIL_LINE
+from lexmill.functions.text import EMAIL_LINE, filter_tags
 
 
 def number_gaps(rows: DataFrame, *keys: str) -> DataFrame:
@@ -161,8 +161,12 @@ BIBLIOGRAPHY = r"(?ium)^\s*(список литературы|литератур
 KEYWORDS = r"(?ium)^\s*(Ключевые слова|Список ключевых слов|Keywords)\s*[-.:]?\s*(.+)\n"
 
 
-def cut_bibliography(text: Column) -> Column:
-    """The text before the first bibliography heading."""
+def cut_bibliography(text: Column, title: Column | None = None) -> Column:
+    """The text before the first bibliography heading; with a title that the text holds, the first one after it."""
+    if title is not None:
+        at = F.call_function("instr", F.lower(text), F.lower(title))
+        head = F.when((F.length(title) > 0) & (at > 0), at + F.length(title) - 1).otherwise(0)
+        return F.concat(F.substring(text, F.lit(1), head), cut_bibliography(F.substring(text, head + 1, F.length(text))))
     hit = F.regexp_extract(text, BIBLIOGRAPHY, 0)
     return F.when(hit == "", text).otherwise(F.substring(text, F.lit(1), F.call_function("instr", text, hit) - 1))
 
@@ -194,3 +198,13 @@ def complete_abstract(abstract: Column, text: Column) -> Column:
     return (
         F.when((F.length(abstract) > 3) & abstract.endswith("...") & (at > 0), line).when(F.coalesce(F.length(abstract), F.lit(0)) == 0, heading).otherwise(abstract)
     )
+
+
+def group_sizes(rows: DataFrame, *keys: str, least: int = 2) -> DataFrame:
+    """Groups with at least ``least`` members, and the size of each."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def vocabulary(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct cleaned tags of an array column over all rows."""
+    return rows.select(F.explode(filter_tags(F.col(column))).alias("tag")).distinct()

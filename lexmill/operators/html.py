@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import preview_meta
+
 SKIPPED = {"script", "style", "nav", "noscript", "head"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "source", "area", "base", "col", "embed", "wbr"}
 
@@ -96,6 +98,79 @@ def library_article(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+class _Listing(HTMLParser):
+    """Topic and article entries of a category page: what stands in ``div.main`` in its ``h1`` and its ``ul.list``."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.path: list[tuple[str, str]] = []
+        self.valid, self.topic, self.mark = False, "", ""
+        self.items: list[dict] = []
+
+    def within(self, tag: str, name: str = "") -> bool:
+        return any(t == tag and (not name or name in c.split()) for t, c in self.path)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        a = dict(attrs)
+        if tag == "li":
+            while self.within("li"):
+                self.path.pop()
+        self.path.append((tag, a.get("class") or ""))
+        self.valid |= self.within("div", "main")
+        if self.within("div", "main") and self.within("ul", "list"):
+            if tag == "li":
+                self.items.append({"url": None, "title": "", "abstract": "", "meta": ""})
+            elif tag == "a" and self.items and self.items[-1]["url"] is None:
+                self.items[-1]["url"] = a.get("href") or ""
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.path):
+            while self.path.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.within("div", "main"):
+            return
+        if self.within("h1"):
+            if self.within("span"):
+                self.mark += data
+            elif not self.mark:
+                self.topic += data
+        elif self.within("ul", "list") and self.within("a") and self.items:
+            part = "title" if self.within("div", "title") else "abstract" if self.within("p") else "meta" if self.within("span") else None
+            if part:
+                self.items[-1][part] += data
+
+
+# Fixed value: what marks the heading of a category page.
+LISTING = "список научных статей"
+
+
+def category_previews(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Article previews of category pages: key, no (from 1), topic, url, title, abstract, year and authors.
+
+    The topic is empty if the heading does not carry its mark; a page without its main part gives no rows.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for page_id, html in zip(pdf[key], pdf["html"]):
+                p = _Listing()
+                p.feed(html or "")
+                p.close()
+                topic = p.topic.strip() if p.mark.strip().lower() == LISTING else ""
+                rows += [(page_id, i, topic, x["url"], x["title"], x["abstract"], x["meta"]) for i, x in enumerate(p.items, 1)]
+            yield pd.DataFrame(rows, columns=[key, "no", "topic", "url", "title", "abstract", "meta"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    found = pages.select(key, "html").mapInPandas(run, f"{key} {kind}, no long, topic string, url string, title string, abstract string, meta string")
+    year, authors = preview_meta(F.col("meta"))
+    return found.select(key, "no", "topic", "url", "title", "abstract", year.alias("year"), F.when(year.isNotNull(), authors).alias("authors"))
+
+
 def blog_post(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """Post records of a blog page: ok if it has a post title; the type is 'Unspecified' without one."""
     title = _first("post__title-text")

@@ -57,8 +57,7 @@ HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
 def url_host_check(spark, d):
     pages = table(spark, d, "pages")
     first = pages.agg(F.min(F.parse_url("url", F.lit("HOST"))).alias("host"))
-    same = F.lower(F.parse_url("url", F.lit("HOST"))) == F.col("host")
-    return pages.join(F.broadcast(first)).select("page_id", F.when(same, F.col("url")).otherwise("").alias("url"))
+    return pages.join(F.broadcast(first)).select("page_id", tx.on_host(F.col("url"), F.col("host")).alias("url"))
 
 
 SAFE = "replace(regexp_replace(regexp_replace(url, '%[0-9A-Fa-f]{2}', '', 'g'), '[^0-9A-Za-zА-Яа-яЁё ._-]', '', 'g'), ' ', '_')"
