@@ -154,12 +154,14 @@ def _grams(kind: str, most: int) -> str:
 
 @query(
     f"""WITH arts AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, text AS abstract, lang, source FROM documents)
-    SELECT DISTINCT * FROM ({_grams("title", 4)} UNION ALL {_grams("abstract", 5)} UNION ALL SELECT doc_id, 'keywords', unnest([lang, source]) FROM arts)"""
+    SELECT doc_id, kind, count(*)::BIGINT AS n, min(item) AS first, max(item) AS last
+    FROM (SELECT DISTINCT * FROM ({_grams("title", 4)} UNION ALL {_grams("abstract", 5)} UNION ALL SELECT doc_id, 'keywords', unnest([lang, source]) FROM arts)) GROUP BY doc_id, kind"""
 )
 def article_test_sets(spark, d):
-    """Test items of each document: grams of its first line as title, of its text as abstract, and keywords."""
+    """Test sets of each document (grams of its first line as title, of its text as abstract, and keywords): size, first and last item."""
     docs = documents(spark, d)
-    return terms.test_sets(docs.select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("abstract"), F.array("lang", "source").alias("keywords")))
+    items = terms.test_sets(docs.select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("abstract"), F.array("lang", "source").alias("keywords")))
+    return items.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first"), F.max("item").alias("last"))
 
 
 @query(
