@@ -2,12 +2,16 @@
 
 Equal vectors are one class with a weight. Unit vectors within an angle are within a distance
 epsilon, also after projection to the leading principal dimensions. Vectors are sorted by their grid
-cells (width epsilon) on those dimensions and cut into sequence blocks with bounding boxes. Blocks
-meet if their first cells are at most one apart and their boxes are within epsilon; inside a task
-the two sequences are halved recursively and intervals whose boxes are farther apart are skipped.
-What is left is compared by matrix products: a single-precision screen with a safe margin, then
-cosine in double precision. A pair of blocks gives out link counts and spanning links by vector,
-never the links themselves.
+cells (width epsilon) on those dimensions and cut into runs of up to eight blocks, with bounding boxes
+of blocks and runs. The join is recursive over intervals of the sequence: runs meet if their first
+cells are at most one apart and their boxes are within epsilon; a block goes to a pair of runs, once,
+if its box is within epsilon of the other run; inside a task pairs of blocks are halved down to leaves,
+and intervals whose boxes are farther apart are skipped. What is left is compared by matrix products:
+a single-precision screen with a safe margin, then cosine in double precision. A pair of blocks gives
+out link counts and spanning links by vector, never the links themselves.
+
+Vectors without leading dimensions (spread evenly over many) lie in boxes wider than epsilon and are
+then all compared; the join stays exact, and a vector is sent once a run, not once a block.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing,
 as do vectors of different lengths; repeated vec_ids are counted as separate vectors and each row
@@ -16,6 +20,7 @@ is returned; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -25,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import partition_sums, stash
+from .store import partition_sums, small, stash
 
-#: Vectors of a block, and of an interval that is no longer halved.
+#: Vectors of a block (fewer of more than 64 components), and of an interval that is no longer halved.
 BLOCK, LEAF = 2048, 256
+#: Blocks of a run, of which one task holds one at a time.
+RUN = 8
 #: Leading principal dimensions of the grid order.
 DIMS = 6
 
@@ -60,8 +67,8 @@ def _principal(classes: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(classes: DataFrame, d: int, eps: float, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
-    """Sequence blocks of the grid order: ids, weights, vectors, projections and bounding box."""
-    k = axes.shape[1]
+    """Sequence blocks of the grid order: the block's run, ids, weights, vectors, first cells and bounding box."""
+    k, size = axes.shape[1], max(LEAF, BLOCK * 64 // max(d, 64))
 
     def cells(batches):
         for b in batches:
@@ -79,30 +86,30 @@ def _blocks(classes: DataFrame, d: int, eps: float, mean: np.ndarray, axes: np.n
             at = (_units(raw) - mean) @ axes
             lo, hi = at.min(axis=0), at.max(axis=0)
             cell = np.floor(np.array([lo[0], hi[0]]) / eps).astype(np.int64)
+            values = [first + ids, first + ids // RUN, int(cell[0]), int(cell[1]), list(lo), list(hi), rep.tobytes(), weight.tobytes(), raw.tobytes()]
             ids += 1
-            values = [first + ids, int(cell[0]), int(cell[1]), list(lo), list(hi), rep.tobytes(), weight.tobytes(), raw.tobytes()]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["block", "c_lo", "c_hi", "lo", "hi", "ids", "weights", "vectors"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["block", "run", "c_lo", "c_hi", "lo", "hi", "ids", "weights", "vectors"])
 
         n = 0
         for b in batches:
             part = (np.asarray(b.column(0)), _vectors(b.column(1), d), np.asarray(b.column(2)))
             at = 0
             while at < b.num_rows:
-                take = min(BLOCK - n, b.num_rows - at)
+                take = min(size - n, b.num_rows - at)
                 rows.append(tuple(x[at : at + take] for x in part))
                 n, at = n + take, at + take
-                if n == BLOCK:
+                if n == size:
                     yield block(rows)
                     rows, n = [], 0
         if n:
             yield block(rows)
 
     gridded = stash(classes.select("rep", "embedding", "weight").mapInArrow(cells, "rep long, embedding array<double>, weight long, grid array<int>"), "ego-grid")
-    parts = max(1, math.ceil(gridded.count() / (4 * BLOCK)))
+    parts = max(1, math.ceil(gridded.count() / (RUN * size)))
     order = [F.col("grid")[i] for i in range(k)]
     sequence = gridded.repartitionByRange(parts, *order, "rep").sortWithinPartitions(*order, "rep") if parts > 1 else gridded.coalesce(1).sortWithinPartitions(*order, "rep")
-    kinds = "block long, c_lo long, c_hi long, lo array<double>, hi array<double>, ids binary, weights binary, vectors binary"
+    kinds = "block long, run long, c_lo long, c_hi long, lo array<double>, hi array<double>, ids binary, weights binary, vectors binary"
     return stash(sequence.select("rep", "embedding", "weight").mapInArrow(cut, kinds), "ego-blocks")
 
 
@@ -138,12 +145,16 @@ def _roots(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return labels
 
 
-def compare(ids1, w1, raw1, ids2, w2, raw2, cosine: float, mean, axes, same: bool):
-    """Link weights of every vector, and for linked vectors the smallest position they reach here."""
-    u1, u2 = _units(raw1), _units(raw2)
+def _side(ids, weights, raw, mean, axes):
+    """A block as it is compared: ids, weights, vectors, unit vectors (double and single), projections."""
+    unit = _units(raw)
+    return ids, weights, raw, unit, unit.astype(np.float32), (unit - mean) @ axes
+
+
+def compare(one, two, cosine: float, same: bool):
+    """Link weights of every vector of two blocks, and the smallest position it reaches through links here."""
+    (ids1, w1, raw1, u1, f1, p1), (ids2, w2, raw2, u2, f2, p2) = one, two
     eps2 = 2 - 2 * cosine + 1e-9
-    p1, p2 = (u1 - mean) @ axes, (u2 - mean) @ axes
-    f1, f2 = u1.astype(np.float32), u2.astype(np.float32)
     n1, n2 = np.zeros(len(ids1), np.int64), np.zeros(len(ids2), np.int64)
     labels = np.arange(len(ids1) + len(ids2))
     for i, j, k, m in _halve((0, len(ids1)), (0, len(ids2)), eps2, p1, p2):
@@ -167,32 +178,55 @@ def compare(ids1, w1, raw1, ids2, w2, raw2, cosine: float, mean, axes, same: boo
     return n1, n2, labels
 
 
+def _gap(a_lo, a_hi, b_lo, b_hi):
+    """Squared distance of two boxes."""
+    apart = F.zip_with(F.arrays_zip(a_lo.alias("lo"), a_hi.alias("hi")), F.arrays_zip(b_lo.alias("lo"), b_hi.alias("hi")), lambda a, b: F.greatest(F.lit(0.0), a["lo"] - b["hi"], b["lo"] - a["hi"]))
+    return F.aggregate(apart, F.lit(0.0), lambda t, g: t + g * g)
+
+
+def _met(blocks: DataFrame, k: int, eps: float) -> DataFrame:
+    """Pairs of runs (a before or equal b) whose boxes are within epsilon, each once, with the boxes."""
+    corner = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(k)])
+    runs = stash(blocks.groupBy("run").agg(F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"), corner(F.min, "lo").alias("lo"), corner(F.max, "hi").alias("hi")), "ego-runs")
+    box = lambda s, reach: runs.select(
+        *[F.col(c).alias(f"{c}_{s}") for c in ("run", "lo", "hi")], (F.col("c_lo") - reach).alias(f"from_{s}"), F.explode(F.sequence(F.col("c_lo") - reach, F.col("c_hi") + reach)).alias("cell")
+    )
+    met = box("a", 1).join(box("b", 0), "cell").where("run_a <= run_b AND cell = greatest(from_a, from_b)")
+    met = met.where(_gap(*(F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b"))) <= eps * eps + 1e-9)
+    return stash(met.select("run_a", "run_b", "lo_a", "hi_a", "lo_b", "hi_b"), "ego-runs-met")
+
+
 def _linked(classes: DataFrame, d: int, cosine: float) -> DataFrame:
     """rep, other (a vector it is linked to through links, or itself) and n (weight of links found at once)."""
     eps = math.sqrt(2 - 2 * cosine) + 1e-9
     mean, axes = _principal(classes, d)
     blocks = _blocks(classes, d, eps, mean, axes)
-    box = lambda i, reach: blocks.select(
-        F.col("block").alias(f"block{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}"), F.explode(F.sequence(F.col("c_lo") - reach, F.col("c_hi") + reach)).alias("cell")
-    )
-    gap = F.aggregate(F.zip_with(F.arrays_zip("lo1", "hi1"), F.arrays_zip("lo2", "hi2"), lambda a, b: F.greatest(F.lit(0.0), a["lo1"] - b["hi2"], b["lo2"] - a["hi1"])), F.lit(0.0), lambda t, g: t + g * g)
-    pairs = box(1, 1).join(box(2, 0), "cell").where("block1 <= block2").where(gap <= eps * eps + 1e-9).select("block1", "block2").distinct()
-    side = lambda i: blocks.select(*[F.col(c).alias(f"{c}{i}") for c in ("block", "ids", "weights", "vectors")])
+    met = _met(blocks, axes.shape[1], eps)
+
+    def members(s: str, other: str) -> DataFrame:
+        within = _gap(F.col("lo"), F.col("hi"), F.col(f"lo_{other}"), F.col(f"hi_{other}")) <= eps * eps + 1e-9
+        pairs = met if s == "a" else met.where("run_a < run_b")
+        sent = blocks.join(small(pairs), F.col("run") == F.col(f"run_{s}")).where(within)
+        return sent.select("run_a", "run_b", F.lit(s).alias("side"), "block", "ids", "weights", "vectors")
 
     def run(batches):
-        for batch in batches:
-            for row in zip(*(batch.column(j) for j in range(8))):
-                b1, b2 = row[0].as_py(), row[1].as_py()
-                sides = [(np.frombuffer(row[s].as_py(), np.int64), np.frombuffer(row[s + 1].as_py(), np.int64), np.frombuffer(row[s + 2].as_py(), np.float64).reshape(-1, d)) for s in (2, 5)]
-                n1, n2, labels = compare(*sides[0], *sides[1], cosine, mean, axes, b1 == b2)
-                ids, n = np.concatenate([sides[0][0], sides[1][0]]), np.concatenate([n1, n2])
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[labels[at]]), pa.array(n[at])], ["rep", "other", "n"])
-
-    joined = pairs.join(side(1), "block1").join(side(2), "block2")
-    joined = joined.select("block1", "block2", "ids1", "weights1", "vectors1", "ids2", "weights2", "vectors2")
+        rows = (row for batch in batches for row in zip(*(batch.column(j) for j in range(7))))
+        for (a, b), tile in itertools.groupby(rows, lambda row: (row[0].as_py(), row[1].as_py())):
+            held = []
+            for row in tile:
+                ids, weights, raw = np.frombuffer(row[4].as_py(), np.int64), np.frombuffer(row[5].as_py(), np.int64), np.frombuffer(row[6].as_py(), np.float64).reshape(-1, d)
+                side = _side(ids, weights, raw, mean, axes)
+                if row[2].as_py() == "a":
+                    held.append(side)
+                for one in held if a == b or row[2].as_py() == "b" else ():
+                    n1, n2, labels = compare(one, side, cosine, one is side)
+                    both, n = np.concatenate([one[0], ids]), np.concatenate([n1, n2])
+                    found = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[found]), pa.array(both[labels[found]]), pa.array(n[found])], ["rep", "other", "n"])
+
+    sent = members("a", "b").unionByName(members("b", "a"))
     width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartition(width, "block1", "block2").mapInArrow(run, "rep long, other long, n long")
+    return sent.repartition(width, "run_a", "run_b").sortWithinPartitions("run_a", "run_b", "side", "block").mapInArrow(run, "rep long, other long, n long")
 
 
 def link(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:

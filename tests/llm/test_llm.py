@@ -127,9 +127,11 @@ def test_spans_of_repeated_ids(spark, corpus):
     assert spanned(spark, named, 12, "string") == removed(named, 12)
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 32)
-    monkeypatch.setattr(neardup, "LEAF", 8)
+@pytest.mark.parametrize("block, leaf, run", [(32, 8, 8), (8, 4, 2)])
+def test_embeddings(spark, monkeypatch, block, leaf, run):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "RUN", run)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 16))
     rows = [(i, [float(x) for x in base[i % 12] + rng.normal(scale=0.15, size=16)]) for i in range(150)]
