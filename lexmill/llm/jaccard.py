@@ -326,7 +326,7 @@ def _between(docs: DataFrame, placed: DataFrame, members: DataFrame, n: int, per
     whole = _whole_sets(docs, left.select("key").distinct(), members, n)
     links = deal(left.join(whole, "key"), [*NARROW, "grams"]).mapInArrow(lambda batches: _grouped(batches, verified), "k1 long, k2 long")
     links = stash(links, "jaccard-joining")
-    discard(entries, left)
+    discard(entries, left, whole)
     return links
 
 
