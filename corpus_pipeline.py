@@ -6,7 +6,8 @@ passage of the benchmark go. 4. mixing: sources are repeated towards equal weigh
 ``REPETITIONS`` times; every document stays. 5. sharding: a row of shard and slot for each row.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``. Decisions are
-taken for rows, not for ids: rows are numbered first, and a row goes for what it is itself. Defined
+taken for rows, not for ids: stages 1 and 3 judge the text alone, so rows go by its SHA-256 and no copy
+of the rows is written; stage 2 tells equal rows apart and numbers the rows first. Defined
 cases: of rows that repeat an id each is judged by its own text, and of equal rows the near-duplicate
 stage keeps one; rows without an id are treated like any other; an empty table passes through all stages.
 """
@@ -28,34 +29,37 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "pipeline-numbered")
 
 
-def _with_numbers(numbered: DataFrame) -> DataFrame:
-    """doc_id, text and number of each row."""
-    return numbered.select("row.doc_id", "row.text", "number")
+def _digest(text: str = "text"):
+    """What names a text; null counts as empty, as it does for the operators."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-def _without(numbered: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose ``number`` is not in ``rejected``."""
-    rejected = stash(rejected.select("number").distinct(), "pipeline-rejected")
-    kept = numbered.join(small(rejected), "number", "left_anti").select("row")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in kept.schema["row"].dataType.names])
+def _by_text(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text has a ``digest`` in ``rejected``."""
+    rejected = stash(rejected.select("digest").distinct(), "pipeline-rejected")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _digest().alias("digest"))
+    return _rows(rows.join(small(rejected), "digest", "left_anti"))
+
+
+def _rows(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in rows.schema["row"].dataType.names])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = _numbered(docs)
-    scored = quality.classify(_with_numbers(numbered), table(spark, sf_dir, "labels"), row="number")
-    return _without(numbered, scored.where("predicted = 0"))
+    scored = quality.classify(docs.select("doc_id", "text", _digest().alias("digest")), table(spark, sf_dir, "labels"), row="digest")
+    return _by_text(docs, scored.where("predicted = 0"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = _numbered(docs)
-    linked = jaccard.link(_with_numbers(numbered).select(F.col("number").alias("doc_id"), "text"))
-    return _without(numbered, linked.where("doc_id <> component_id").withColumnRenamed("doc_id", "number"))
+    linked = jaccard.link(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    rejected = stash(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("number")), "pipeline-rejected")
+    return _rows(numbered.join(small(rejected), "number", "left_anti"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = _numbered(docs)
-    found = decontaminate.search(_with_numbers(numbered).select(F.col("number").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(numbered, found.withColumnRenamed("doc_id", "number"))
+    found = decontaminate.search(docs.select(_digest().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _by_text(docs, found.withColumnRenamed("doc_id", "digest"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
