@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import release
+
 #: Rows of a table that may be broadcast after its rows were counted.
 BROADCAST_ROWS = 50_000
 #: Partial results that a task, or the driver, adds up.
@@ -62,11 +65,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*stashed: DataFrame) -> None:
-    """Delete the files of stashes that nothing reads any more."""
+    """Delete the files of stashes that nothing reads any more.
+
+    The driver then collects its garbage: broadcasts and shuffle files of finished steps go with the
+    frames that held them, and memory that a step of many tasks took is given back.
+    """
     for df in stashed:
         jvm, path = df.sparkSession._jvm, df._stashed_at
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    release()
+    stashed[0].sparkSession._jvm.System.gc()
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
