@@ -120,7 +120,7 @@ def partition_sums(df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], np.
             total += np.frombuffer(raw, np.float64)
         return total.tobytes()
 
-    return np.frombuffer(add(gather(df, first, add)), np.float64).reshape(shape).copy()
+    return np.frombuffer(add(gather(df, first, add, left=1)), np.float64).reshape(shape).copy()
 
 
 def held_out(doc_id: str = "doc_id", by: int = 5, rest: int = 0):
