@@ -1,11 +1,11 @@
-"""Queries op1 to op10 and their SQL, over the tables of ``sf_dir``."""
+"""Queries op1 to op13 and their SQL, over the tables of ``sf_dir``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, jaccard, mixing, neardup, quality, secrets, sharding, spans, toxicity
+from . import decontaminate, hmm, interactions, jaccard, mixing, neardup, prefixes, quality, secrets, sharding, spans, toxicity, translog
 from .oracles import SQL  # noqa: F401
 from .store import table
 
@@ -51,4 +51,18 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op8_secrets, op9_sharding, op10_hmm)}
+def op11_translog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translog.reassemble(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), per_epoch=16)
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return prefixes.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_neardup, op5_jaccard, op6_toxicity, op7_spans, op8_secrets, op9_sharding, op10_hmm, op11_translog, op12_tokens, op13_interactions)}
