@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import itertools
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import EMAIL_LINE, filter_tags
+from lexmill.operators.rounds import settled
 
 
 def number_gaps(rows: DataFrame, *keys: str) -> DataFrame:
@@ -74,19 +74,6 @@ def from_number(rows: DataFrame, start: int, limit: int) -> DataFrame:
     return rows.where(F.col("number") >= start).join(F.broadcast(there)).drop("_there").orderBy("number").limit(limit)
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the session's shared folder; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-        if not shared and not local:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-"))
-    return df.checkpoint()
-
-
 def similar(articles: DataFrame, edges: DataFrame, seeds: DataFrame, accept: Column, need: int, rounds: int | None = None) -> DataFrame:
     """Articles reached from the seeds over edges (src, dst), breadth first: node and round.
 
@@ -99,7 +86,7 @@ def similar(articles: DataFrame, edges: DataFrame, seeds: DataFrame, accept: Col
     frontier = found
     for i in itertools.count(1) if rounds is None else range(1, rounds + 1):
         reached = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = _settled(reached.join(ok, "node", "left_semi").join(found.select("node"), "node", "left_anti").withColumn("round", F.lit(i)))
+        frontier = settled(reached.join(ok, "node", "left_semi").join(found.select("node"), "node", "left_anti").withColumn("round", F.lit(i)))
         found = found.unionByName(frontier)
         if found.limit(need).count() >= need or frontier.isEmpty():
             break

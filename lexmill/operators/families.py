@@ -8,14 +8,53 @@ from pyspark.sql import functions as F
 from lexmill.functions import scores
 
 
-def distances(words: DataFrame) -> DataFrame:
-    """w1, w2 and distance of the word pairs whose lengths allow a distance of at most 1 (w1 < w2).
+#: Lengths of the shorter word up to which one edit is allowed; beyond, two.
+ONE_EDIT = 5
+#: From this length on, words are cut into three pieces, one of which two edits leave whole.
+PIECES = 12
 
-    Pairs meet on equal lengths (each word offers its own length and the four above), not all by all.
+
+def _keys(x: str) -> str:
+    """SQL for an array of hashes that any two strings of equal length within the allowed edits share at least one of.
+
+    Up to ``ONE_EDIT`` letters one substitution is allowed: the string with one letter masked. Up to ``PIECES`` the
+    strings without two letters: two edits leave n - 2 letters in order. Beyond, pieces with their place; what lies
+    between an insertion and a deletion is moved by one place.
+    """
+    n = f"length({x})"
+    masked = f"transform(sequence(1, {n}), i -> xxhash64({n}, overlay({x} PLACING chr(1) FROM i)))"
+    # chr(1) is no letter of a word
+    thinned = f"""flatten(transform(sequence(1, {n} - 1), i -> transform(sequence(i + 1, {n}), j ->
+        xxhash64({n}, concat(substring({x}, 1, i - 1), substring({x}, i + 1, j - i - 1), substring({x}, j + 1))))))"""
+    return f"case when {n} <= {ONE_EDIT} then {masked} when {n} < {PIECES} then {thinned} else {{pieces}} end"
+
+
+def _pieces(x: str, shifts: str) -> str:
+    n = f"length({x})"
+    return f"""flatten(transform(sequence(0, 2), k -> transform({shifts}, d ->
+        xxhash64({n}, k, substring({x}, {n} * k div 3 + 1 + d, {n} * (k + 1) div 3 - {n} * k div 3)))))"""
+
+
+def related(words: DataFrame, *keys: str) -> DataFrame:
+    """w1, w2 and distance of all pairs of words of a group at a distance of at most 1 (w1 < w2), over a vocabulary of any size.
+
+    The distance compares the shorter word with each stretch of its length in the longer one, so every word offers its
+    distinct stretches, and words meet stretches that share a key of ``_keys``: what is left is a small
+    part of all pairs and is compared once by ``levenshtein``. Words of one letter are at a distance of 1 from each
+    other, and words of two letters from none.
     """
-    a = words.select(F.col("word").alias("w1"), F.explode(F.sequence(F.length("word") - 4, F.length("word") + 4)).alias("size"))
-    b = words.select(F.col("word").alias("w2"), F.length("word").alias("size"))
-    return a.join(b, "size").where("w1 < w2").select("w1", "w2", scores.word_distance("w1", "w2").alias("distance"))
+    own = words.select(*keys, "word").where("length(word) >= 3").distinct()
+    sizes = own.select(*keys, "word", F.explode(F.expr("sequence(greatest(3, length(word) - 4, cast(ceil(length(word) / 2) as int)), length(word))")).alias("n"))
+    cut = sizes.select(*keys, "word", F.explode(F.expr("array_distinct(transform(sequence(1, length(word) - n + 1), i -> substring(word, i, n)))")).alias("part"))
+    parts = cut.select(*keys, "part").distinct()
+    short = own.select(*keys, F.col("word").alias("s"), F.explode(F.expr("array_distinct(" + _keys("word").format(pieces=_pieces("word", "array(0)")) + ")")).alias("key"))
+    long_ = parts.select(*keys, "part", F.explode(F.expr("array_distinct(" + _keys("part").format(pieces=_pieces("part", "array(-1, 0, 1)")) + ")")).alias("key"))
+    met = short.join(long_, [*keys, "key"]).where("length(s) = length(part)").select(*keys, "s", "part").distinct()
+    lev = met.withColumn("edits", F.expr("levenshtein(s, part)")).withColumn("unit", F.expr("least(8, length(s)) / 3.0D")).where("edits <= unit")
+    pairs = lev.join(cut, [*keys, "part"]).where("word <> s").select(*keys, F.least("s", "word").alias("w1"), F.greatest("s", "word").alias("w2"), (F.col("edits") / F.col("unit")).alias("distance"))
+    letters = words.select(*keys, F.col("word").alias("w1"), F.length("word").alias("size")).where("size = 1").distinct()
+    single = letters.join(letters.withColumnRenamed("w1", "w2"), [*keys, "size"]).where("w1 < w2").select(*keys, "w1", "w2", F.lit(1.0).alias("distance"))
+    return pairs.groupBy(*keys, "w1", "w2").agg(F.min("distance").alias("distance")).unionByName(single)
 
 
 def fuzzy_stop_free(words: DataFrame, stopwords: DataFrame, band: int = 2, limit: float = 0.7) -> DataFrame:
@@ -29,45 +68,46 @@ def families(words: DataFrame, group: str = "group") -> DataFrame:
     """Greedy families of the words of a group in their order (columns group, ord, word).
 
     A word may join a family if it is within distance 1 of every member; it takes the family of the
-    least mean distance, or at once the first one with a member at distance 0; else it starts one.
+    least mean distance, or at once the first one in which it meets a member at distance 0 before one that is too far.
+    Else it starts one. Near words are found by ``related`` for all groups together; the walk of a group, a text's
+    words, then only looks at those.
     """
 
-    def distance(a: str, b: str) -> float:
-        s, l = sorted((a, b), key=len)  # noqa: E741
-        if len(s) < 3 or len(l) > len(s) + 4 or len(l) > 2 * len(s):
-            return float(len(l))
-        best = None
-        for i in range(len(l) - len(s) + 1):
-            row = list(range(len(s) + 1))
-            for x, c in enumerate(l[i : i + len(s)], 1):
-                last, row[0] = row[0], x
-                for y, d in enumerate(s, 1):
-                    last, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, last + (c != d))
-            best = row[-1] if best is None else min(best, row[-1])
-        return best / (min(8, len(s)) / 3.0)
-
-    def run(pdf):
+    def run(key, words, links):
         import pandas as pd
 
+        near: dict[str, dict[str, float]] = {}
+        for a, b, d in zip(links["w1"], links["w2"], links["distance"]):
+            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = d
         found: list[list[str]] = []
-        for word in pdf.sort_values("ord")["word"]:
+        home: dict[str, int] = {}
+        for word in words.sort_values("ord")["word"]:
+            mine = near.get(word, {})
             best, at = None, None
-            for i, family in enumerate(found):
-                d = [distance(word, w) for w in family]
-                if min(d) == 0:
+            for i in sorted({home[w] for w in mine if w in home}):
+                total, zero = 0.0, False
+                for w in found[i]:
+                    if w not in mine:
+                        break
+                    total, zero = total + mine[w], zero or mine[w] == 0
+                else:
+                    if best is None or total / len(found[i]) < best:
+                        best, at = total / len(found[i]), i
+                if zero:
                     at = i
                     break
-                if max(d) <= 1 and (best is None or sum(d) / len(d) < best):
-                    best, at = sum(d) / len(d), i
             if at is None:
-                found.append([word])
-            else:
-                found[at].append(word)
-        rows = [(pdf[group].iloc[0], i, w) for i, f in enumerate(found) for w in f]
+                at = len(found)
+                found.append([])
+            found[at].append(word)
+            home.setdefault(word, at)
+        rows = [(key[0], i, w) for i, f in enumerate(found) for w in f]
         return pd.DataFrame(rows, columns=[group, "family", "word"])
 
     kind = words.schema[group].dataType.simpleString()
-    return words.select(group, "ord", "word").groupBy(group).applyInPandas(run, f"{group} {kind}, family long, word string")
+    links = related(words.select(F.col(group).alias("_of"), "word"), "_of")
+    both = words.select(group, "ord", "word").groupBy(group).cogroup(links.groupBy("_of"))
+    return both.applyInPandas(run, f"{group} {kind}, family long, word string")
 
 
 def family_lemmas(members: DataFrame, morph: DataFrame, *keys: str) -> DataFrame:

@@ -67,25 +67,21 @@ def fill(patterns: DataFrame, lengths: DataFrame) -> DataFrame:
     return rows.withColumn("w", walk).select("pattern", "sizes", F.col("w.at").alias("n_tokens"), F.col("w.spans").alias("spans"), "tokens")
 
 
-def matches(sents: DataFrame, filled: DataFrame, key: str = "doc_id", supers: DataFrame | None = None, morph: DataFrame | None = None) -> DataFrame:
-    """Places where a filled pattern's literal words match: key, sent_id, pos, pattern, slot_no, phrase, context.
-
-    Sentences meet patterns by (first literal word, its place), an equi-join; then the whole
-    stretch is compared. A slot takes any words; with ``supers`` (of ``terms_by_length``) and ``morph``
-    a place counts only if each of its slots holds words with lemmas of the super-term of that length.
-    """
-    lit_at = F.expr("filter(transform(flat, (x, i) -> struct(i as i, x as x)), p -> p.x is not null)")
+def laid_out(filled: DataFrame) -> DataFrame:
+    """``filled`` with ``flat``: the literal word at each place, null inside slots."""
     flat = F.expr("""
       aggregate(tokens, named_struct('slot', 0, 'out', cast(array() as array<string>)),
         (s, x) -> if(x = 'T', named_struct('slot', s.slot + 1, 'out', concat(s.out, array_repeat(cast(null as string), sizes[s.slot]))),
                               named_struct('slot', s.slot, 'out', concat(s.out, array(lower(x))))), s -> s.out)""")
-    wanted = filled.withColumn("flat", flat).withColumn("fixed", lit_at).where("size(fixed) > 0")
-    wanted = wanted.select("pattern", "spans", "n_tokens", "flat", F.col("fixed")[0]["i"].alias("shift"), F.col("fixed")[0]["x"].alias("word"))
-    first = F.broadcast(wanted.select("word").distinct())  # the first literal words of the patterns
-    words = sents.select(key, "sent_id", "words", F.posexplode("words").alias("pos", "word")).join(first, "word", "left_semi")
-    near = words.join(wanted, "word").withColumn("start", F.col("pos") - F.col("shift")).where("start >= 0 and start + n_tokens <= size(words)")
-    near = near.withColumn("here", F.slice("words", F.col("start") + 1, F.col("n_tokens")))
-    hit = near.where(F.forall(F.zip_with("here", "flat", lambda a, b: b.isNull() | (a == b)), lambda x: x))
+    return filled.withColumn("flat", flat)
+
+
+def slot_rows(hit: DataFrame, key: str = "doc_id", supers: DataFrame | None = None, morph: DataFrame | None = None) -> DataFrame:
+    """A row a slot of each place (key, sent_id, start, pattern, spans, and its words ``here``).
+
+    With ``supers`` (of ``terms_by_length``) and ``morph`` only places each of whose slots holds words with lemmas
+    of the super-term of that length.
+    """
     hit = hit.select(key, "sent_id", F.col("start").cast("long").alias("pos"), "pattern", "spans", "here", F.posexplode("spans").alias("slot_no", "span"))
     phrase = F.array_join(F.slice("here", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")), " ")
     slotted = hit.select(key, "sent_id", "pos", "pattern", "spans", F.col("slot_no").cast("long").alias("slot_no"), phrase.alias("phrase"), F.array_join("here", " ").alias("context"))
@@ -96,6 +92,41 @@ def matches(sents: DataFrame, filled: DataFrame, key: str = "doc_id", supers: Da
     return slotted.select(key, "sent_id", "pos", "pattern", "slot_no", "phrase", "context")
 
 
+def matches(sents: DataFrame, filled: DataFrame, key: str = "doc_id", supers: DataFrame | None = None, morph: DataFrame | None = None) -> DataFrame:
+    """Places where a filled pattern's literal words match: key, sent_id, pos, pattern, slot_no, phrase, context.
+
+    Sentences meet patterns by (first literal word, its place), an equi-join on word places alone; sentences
+    with such a place then give their words and the whole stretch is compared. A slot takes any words; see
+    ``slot_rows`` for ``supers`` and ``morph``, and ``lemma_index.matches`` for literals by lemma.
+    """
+    lit_at = F.expr("filter(transform(flat, (x, i) -> struct(i as i, x as x)), p -> p.x is not null)")
+    wanted = laid_out(filled).withColumn("fixed", lit_at).where("size(fixed) > 0")
+    wanted = wanted.select("pattern", "spans", "n_tokens", "flat", F.col("fixed")[0]["i"].alias("shift"), F.col("fixed")[0]["x"].alias("word"))
+    words = sents.select(key, "sent_id", "n_words", F.posexplode("words").alias("pos", "word"))
+    near = words.join(wanted, "word").withColumn("start", F.col("pos") - F.col("shift")).where("start >= 0 and start + n_tokens <= n_words").drop("word", "pos", "n_words")
+    near = near.join(sents.select(key, "sent_id", "words"), [key, "sent_id"]).withColumn("here", F.slice("words", F.col("start") + 1, F.col("n_tokens")))
+    hit = near.where(F.forall(F.zip_with("here", "flat", lambda a, b: b.isNull() | (a == b)), lambda x: x))
+    return slot_rows(hit, key, supers, morph)
+
+
+def templates(patterns: DataFrame, morph: DataFrame) -> DataFrame:
+    """Parts of each pattern: pattern, part_no, is_slot, words, and the lemmas of a literal part by place.
+
+    A slot is a part of its own; the literal words between two slots are one.
+    """
+    placed = patterns.select("pattern").distinct().withColumn("tokens", tokens(F.col("pattern")))
+    # a word begins a part if it is a slot, comes after one, or is the first
+    starts = F.expr("transform(tokens, (x, i) -> if(i = 0 or x = 'T' or tokens[i - 1] = 'T', 1L, 0L))")
+    nth = F.expr("transform(starts, (x, i) -> aggregate(slice(starts, 1, i + 1), 0L, (a, b) -> a + b) - 1)")
+    rows = placed.withColumn("starts", starts).withColumn("nth", nth).select("pattern", F.posexplode(F.arrays_zip(F.col("tokens").alias("w"), F.col("nth").alias("part_no"))).alias("at", "x"))
+    rows = rows.select("pattern", "at", F.col("x.part_no").alias("part_no"), (F.col("x.w") == "T").alias("is_slot"), F.col("x.w").alias("w"), F.lower("x.w").alias("word"))
+    known = rows.where("not is_slot").select("word").distinct().join(morph.select("word", F.col("lemma").alias("_lemma")).distinct(), "word", "left")
+    known = known.groupBy("word").agg(F.array_sort(F.collect_set(F.coalesce("_lemma", "word"))).alias("lemmas"))
+    rows = rows.join(known, "word", "left").withColumn("lemmas", F.when(~F.col("is_slot"), F.col("lemmas")))
+    parts = rows.groupBy("pattern", "part_no", "is_slot").agg(F.array_sort(F.collect_list(F.struct("at", "w", "lemmas"))).alias("x"))
+    return parts.select("pattern", "part_no", "is_slot", F.transform("x", lambda x: x["w"]).alias("words"), F.when(~F.col("is_slot"), F.transform("x", lambda x: x["lemmas"])).alias("lemmas"))
+
+
 def matched_terms(found: DataFrame, terms: DataFrame, least: int = 1, morph: DataFrame | None = None) -> DataFrame:
     """How often each known term (term) fills a slot, as it is or, with ``morph``, by its lemma pattern."""
     counts = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))

@@ -122,6 +122,21 @@ def lemma_scores(terms: DataFrame, morph: DataFrame) -> DataFrame:
     return rated.groupBy("term_id", "word_no", "lemma").agg(F.max("score").alias("score"))
 
 
+#: The fold of a cluster's members, in order: lemmas that all share, members that share some, and the others.
+_NARROW = """
+  aggregate(members,
+    named_struct('common', array_distinct(flatten(members[0].lemmas)), 'stay', slice(members, 1, 0), 'out', slice(members, 1, 0)),
+    (s, m) -> if(arrays_overlap(s.common, flatten(m.lemmas)),
+      named_struct('common', array_intersect(s.common, flatten(m.lemmas)), 'stay', concat(s.stay, array(m)), 'out', s.out),
+      named_struct('common', s.common, 'stay', s.stay, 'out', concat(s.out, array(m)))))"""
+_SUMS = "transform(c.stay, m -> aggregate(c.common, 0D, (t, x) -> t + coalesce(m.scores[x], 0D)))"
+#: What stands for the cluster: its one member unless it has a negative score; all apart; or the best of those that stay, and the others.
+_STANDS = """
+  case when size(members) = 1 then if(exists(map_values(members[0].scores), v -> v < 0), slice({one}, 1, 0), {one})
+       when array_max(sums) <= 0 then concat({out}, {stay})
+       else concat({out}, array(named_struct('term', c.stay[array_position(sums, array_max(sums)) - 1].term, 'n', aggregate(c.stay, 0L, (t, m) -> t + m.n), 'members', cast(size(c.stay) as bigint)))) end"""
+
+
 def join_terms(terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """Greedy leader clustering of terms that share lemmas position by position, merged per cluster.
 
@@ -129,49 +144,25 @@ def join_terms(terms: DataFrame, key: str = "doc_id") -> DataFrame:
     in the order n desc, more words first, term. A term joins the first cluster whose leader matches
     it. The lemmas all members share are narrowed member by member, a member without any leaves
     again; the member with the highest sum of scores over the shared lemmas stands for the cluster
-    with the sum of counts. If no sum is positive all stay apart. The candidates of one document
-    are one group.
+    with the sum of counts. If no sum is positive all stay apart. Terms meet by their length and lemmas of
+    their first and last words, and leaders are found in rounds, so a key may be a whole corpus; only the forms of
+    one term come together.
     """
-    kind = terms.schema[key].dataType.simpleString()
-
-    def run(_, pdf):
-        import pandas as pd
-
-        pdf = pdf.assign(size=pdf["words"].map(len)).sort_values(["n", "size", "term"], ascending=[False, False, True])
-        rows = [(r.term, [set(p) for p in r.lemmas], dict(r.scores or {}), int(r.n)) for r in pdf.itertuples()]
-        clusters, out = [], []
-        for row in rows:
-            for c in clusters:
-                if len(c[0][1]) == len(row[1]) and all(x & y for x, y in zip(c[0][1], row[1])):
-                    c.append(row)
-                    break
-            else:
-                clusters.append([row])
-        for c in clusters:
-            if len(c) == 1:
-                if not any(v < 0 for v in c[0][2].values()):
-                    out.append((c[0][0], c[0][3], 1))
-                continue
-            common, stay = set().union(*c[0][1]), []
-            for row in c:
-                shared = common & set().union(*row[1])
-                if shared:
-                    common = shared
-                    stay.append(row)
-                else:
-                    out.append((row[0], row[3], 1))
-            sums = [sum(row[2].get(x, 0.0) for x in common) for row in stay]
-            if not sums or max(sums) <= 0:
-                out += [(row[0], row[3], 1) for row in stay]
-            else:
-                best = sums.index(max(sums))
-                out.append((stay[best][0], sum(row[3] for row in stay), len(stay)))
-        frame = pd.DataFrame(out, columns=["term", "n", "members"])
-        frame.insert(0, key, pdf[key].iloc[0])
-        return frame
-
-    cols = terms.select(key, "term", "words", "n", "lemmas", "scores")
-    return cols.groupBy(key).applyInPandas(lambda k, pdf: run(k, pdf), f"{key} {kind}, term string, n long, members long")
+    from lexmill.operators import rounds
+
+    order = F.struct((-F.col("n")).cast("long").alias("n"), (-F.size("words")).alias("size"), "term")
+    rows = rounds.settled(terms.select(key, "term", F.col("n").cast("long").alias("n"), "lemmas", "scores", F.struct(F.col(key), "term").alias("id"), order.alias("ord")))
+    ends = rows.select(key, "id", "lemmas", F.size("lemmas").alias("size"), F.explode(F.col("lemmas")[0]).alias("first")).select("*", F.explode(F.element_at("lemmas", -1)).alias("last"))
+    other = ends.select(key, F.col("id").alias("b"), F.col("lemmas").alias("others"), "size", "first", "last")
+    met = ends.withColumnRenamed("id", "a").join(other, [key, "size", "first", "last"]).where(F.col("a") < F.col("b")).where(lemma_match(F.col("lemmas"), F.col("others")))
+    led = rounds.leaders(rows.select("id", "ord"), met.select("a", "b").distinct())
+    by_order = lambda x, y: F.when(x["ord"] < y["ord"], -1).when(x["ord"] > y["ord"], 1).otherwise(0)
+    members = F.array_sort(F.collect_list(F.struct("ord", "term", "n", "lemmas", "scores")), by_order)
+    clusters = rows.join(led, "id").groupBy(key, "leader").agg(members.alias("members"))
+    one = "transform(members, m -> named_struct('term', m.term, 'n', m.n, 'members', 1L))"
+    stands = _STANDS.format(one=one, out=one.replace("(members", "(c.out"), stay=one.replace("(members", "(c.stay"))
+    judged = clusters.withColumn("c", F.expr(_NARROW)).withColumn("sums", F.expr(_SUMS)).select(key, F.inline(F.expr(stands)))
+    return judged.select(key, "term", "n", "members")
 
 
 def extract(sents: DataFrame, stop: list[str], stopwords: DataFrame, morph: DataFrame, limit: int | None = None, key: str = "doc_id") -> DataFrame:
@@ -204,6 +195,17 @@ def keep_lemmas(lemmas: Column, allowed: Column) -> Column:
     return F.when(F.size(allowed) == 0, lemmas).otherwise(F.array_intersect(lemmas, allowed))
 
 
+def allowed_lemmas(morph: DataFrame, allowed: DataFrame) -> DataFrame:
+    """word and its sorted lemmas that are among ``allowed`` (rows with a lemma, as many as there are); all of them if there are none.
+
+    The whitelist stays rows: it meets the lemmas by a join and is never gathered.
+    """
+    pairs = morph.select("word", "lemma").distinct()
+    listed = pairs.join(allowed.select("lemma").distinct().withColumn("listed", F.lit(True)), "lemma", "left")
+    empty = allowed.isEmpty()
+    return listed.groupBy("word").agg(F.array_sort(F.collect_set(F.when(F.lit(empty) | F.col("listed"), F.col("lemma")))).alias("lemmas"))
+
+
 def collocations(docs: DataFrame, most: int, unique: bool, key: str = "doc_id") -> DataFrame:
     from lexmill.operators.corpus import ngram_rows, sentences
 

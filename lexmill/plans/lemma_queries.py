@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.operators import corpus, evaluation, lemmas, patterns, terms
+from lexmill.operators import corpus, evaluation, lemma_index, lemmas, patterns, terms
 
 from .base import CANDIDATES, PRE, STOP, occurrences, query, rounded, sents, table, words_frame
 from .evaluation_queries import KEYS, SETS, _rankings, _tests
-from .pattern_queries import EXTENDED, FILLED, MATCHED, _filled, _matches
+from .pattern_queries import EXTENDED, EXTENDED_OF, FILLED, FROM_ITEMS, MATCHED, SIZES, _filled, _from_items, _matches
 
 ENDING = "(es|en|er|s)$"
 STEM = f"CASE WHEN len(word) >= 6 THEN regexp_replace(word, '{ENDING}', '') ELSE word END"
@@ -45,9 +45,11 @@ def _tagged(morph):
 
 @query(
     BASE
-    + """, stops AS (SELECT word FROM tokens GROUP BY word HAVING count(*) >= 50),
-    parts AS (SELECT DISTINCT term, unnest(string_split(term, ' ')) AS word FROM known)
-    SELECT term, n FROM known WHERE term NOT IN (SELECT p.term FROM parts p JOIN morph m USING (word) WHERE p.word IN (SELECT word FROM stops) OR m.lemma IN (SELECT word FROM stops))"""
+    + """, stops AS MATERIALIZED (SELECT word FROM tokens GROUP BY word HAVING count(*) >= 50),
+    parts AS (SELECT DISTINCT term, unnest(string_split(term, ' ')) AS word FROM known),
+    named AS (SELECT term, word FROM parts UNION SELECT p.term, m.lemma FROM parts p JOIN morph m ON m.word = p.word),
+    tainted AS MATERIALIZED (SELECT DISTINCT n.term FROM named n JOIN stops s ON s.word = n.word)
+    SELECT k.term, k.n FROM known k ANTI JOIN tainted t ON t.term = k.term"""
 )
 def stop_free_terms(spark, d):
     """Known terms without a word, or a lemma of a word, that is as frequent as a stop word."""
@@ -106,9 +108,7 @@ WHITE = ", white AS (SELECT list(DISTINCT lemma) AS ls FROM places_of WHERE size
 def lemma_whitelist(spark, d):
     """Of each word's lemmas those that occur in known two-word terms."""
     morph = _morph(spark, d)
-    allowed = lemmas.lemma_places(_known(spark, d).where("n_words = 2"), morph, "term").agg(F.collect_set("lemma").alias("allowed"))  # the whitelist is a short list by its nature
-    words = morph.groupBy("word").agg(F.array_sort(F.collect_set("lemma")).alias("lemmas"))
-    return words.join(F.broadcast(allowed)).select("word", F.array_join(terms.keep_lemmas(F.col("lemmas"), F.col("allowed")), " ").alias("kept"))
+    return terms.allowed_lemmas(morph, lemmas.lemma_places(_known(spark, d).where("n_words = 2"), morph, "term")).select("word", F.array_join("lemmas", " ").alias("kept"))
 
 
 LEMMA_PAIRS = """,
@@ -174,3 +174,61 @@ def extract_terms(spark, d):
     """The ten most frequent terms of each document after stop words and joining by lemmas."""
     found = sents(spark, d)
     return terms.extract(found, STOP, words_frame(spark, STOP), _tagged(morphology(corpus.tokens(found))), 10)
+
+
+#: Patterns whose literals have a stem of their own.
+BY_LEMMA = ["the tiones T?", "T thates T?", "T? of thaner", "therer the T", "T elleen la T?"]
+LEMMAS_OF = "[{x}, CASE WHEN len({x}) >= 6 THEN regexp_replace({x}, '" + ENDING + "', '') ELSE {x} END]"
+MATCHED_BY_LEMMA = MATCHED.replace("flat[i] <> '*' AND words[p + i] <> flat[i]", f"flat[i] <> '*' AND NOT list_has_any({LEMMAS_OF.format(x='words[p + i]')}, {LEMMAS_OF.format(x='flat[i]')})")
+LEMMA_EXTENDED = EXTENDED_OF.format(given="VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(BY_LEMMA)))
+
+
+def _filled_by_lemma(spark):
+    given = words_frame(spark, BY_LEMMA, "pattern").withColumn("pattern_no", F.lit(0))
+    return patterns.fill(patterns.extend(given).select("pattern").distinct(), words_frame(spark, SIZES, "size"))
+
+
+def _matches_by_lemma(spark, d, **more):
+    s, filled = sents(spark, d), _filled_by_lemma(spark)
+    literals = filled.select(F.explode(F.transform("tokens", F.lower)).alias("word"))
+    return lemma_index.matches(s, filled, morphology(corpus.tokens(s).select("word").unionByName(literals)), **more)
+
+
+@query(PRE + ", " + LEMMA_EXTENDED + FILLED + MATCHED_BY_LEMMA + " SELECT doc_id, sent_id, pos, pattern, slot_no, phrase, context FROM found")
+def match_patterns_by_lemma(spark, d):
+    """Places of patterns whose literal words match by a lemma, through the positional index."""
+    return _matches_by_lemma(spark, d)
+
+
+@query(PRE + ", " + LEMMA_EXTENDED + FILLED + MATCHED_BY_LEMMA + " SELECT pattern, phrase, count(*)::BIGINT AS n FROM found GROUP BY pattern, phrase")
+def slot_phrases_by_lemma(spark, d):
+    """Phrases that fill the slots of each pattern."""
+    return _matches_by_lemma(spark, d).groupBy("pattern", "phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    BASE
+    + """ SELECT m.lemma, t.doc_id, t.sent_id, count(*)::BIGINT AS n, min(t.pos)::BIGINT AS first_pos FROM tokens t JOIN morph m ON m.word = t.word GROUP BY ALL"""
+)
+def lemma_index_rows(spark, d):
+    """The positional index of lemmas: how often and where first a lemma is in a sentence."""
+    s = sents(spark, d)
+    index = lemma_index.build(s, morphology(corpus.tokens(s)))
+    return index.select("lemma", "doc_id", "sent_id", F.size("at").cast("long").alias("n"), F.col("at")[0].cast("long").alias("first_pos"))
+
+
+@query(
+    "WITH "
+    + FROM_ITEMS
+    + f""", toks AS (SELECT pattern, list_filter(string_split(pattern, ' '), lambda x: x <> '') AS w FROM (SELECT DISTINCT pattern FROM extended)),
+    placed AS (SELECT pattern, w[i] AS x, i, sum(CASE WHEN i = 1 OR w[i] = 'T' OR w[i - 1] = 'T' THEN 1 ELSE 0 END) OVER (PARTITION BY pattern ORDER BY i) - 1 AS part_no FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM toks))
+    SELECT pattern, part_no::BIGINT AS part_no, x = 'T' AS is_slot, string_agg(x, ' ' ORDER BY i) AS words,
+      CASE WHEN NOT bool_or(x = 'T') THEN string_agg(array_to_string(list_sort(list_distinct({LEMMAS_OF.format(x="x")})), ','), ' ' ORDER BY i) END AS lemmas
+    FROM placed GROUP BY pattern, part_no, x = 'T'"""
+)
+def pattern_templates(spark, d):
+    """Slots and runs of literal words of each pattern, the literals with their lemmas."""
+    found = _from_items(spark, d).select("pattern")
+    literals = found.select(F.explode(F.transform(patterns.tokens(F.col("pattern")), F.lower)).alias("word"))
+    rows = patterns.templates(found, morphology(literals))
+    return rows.select("pattern", "part_no", "is_slot", F.array_join("words", " ").alias("words"), F.array_join(F.transform("lemmas", lambda x: F.array_join(x, ",")), " ").alias("lemmas"))

@@ -6,19 +6,22 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import corpus, patterns
 
-from .base import PRE, STOP, query, quoted, sents
+from .base import PRE, STOP, query, quoted, sents, table
 
 PATTERNS = ["T is the T?", "the T?", "T? of T", "T? and T?", "la T", "T der T?"]
 SIZES = [1, 2]
 VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(PATTERNS))
-EXTENDED = f"""
-    given(pattern_no, p) AS (VALUES {VALUES}),
+EXTENDED_OF = """
+    given(pattern_no, p) AS ({given}),
     cut AS (SELECT pattern_no, string_split(p, 'T?') AS parts, len(string_split(p, 'T?')) - 1 AS optional FROM given),
     variants AS (SELECT *, unnest(range(0, (1 << optional)::BIGINT)) AS variant FROM cut),
     extended AS MATERIALIZED (
       SELECT pattern_no, variant::BIGINT AS variant,
              trim(regexp_replace(array_to_string(list_transform(range(0, len(parts)), lambda i: parts[i + 1] || CASE WHEN i < optional AND ((variant >> i) & 1) = 1 THEN 'T' ELSE '' END), ''), ' {{2,}}', ' ', 'g')) AS pattern
       FROM variants WHERE variant > 0 OR len(list_filter(parts, lambda x: regexp_matches(x, '\\bT\\b'))) > 0)"""
+EXTENDED = EXTENDED_OF.format(given=f"VALUES {VALUES}")
+#: Patterns around the first words of the benchmark's items.
+FROM_ITEMS = EXTENDED_OF.format(given="SELECT item_id, 'T? ' || lower(w[1]) || ' ' || lower(w[2]) || ' T ' || lower(w[3]) FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark) WHERE len(w) >= 3")
 FILLED = """,
     pieces2 AS (SELECT DISTINCT pattern, list_filter(string_split(pattern, ' '), lambda x: x <> '') AS toks FROM extended),
     slotted AS (SELECT pattern, toks, len(list_filter(toks, lambda x: x = 'T')) AS n_slots FROM pieces2),
@@ -64,20 +67,29 @@ def _known(spark, d):
     return counts.select(F.col("word").alias("term"))
 
 
-@query("WITH " + EXTENDED + " SELECT pattern_no, variant, pattern FROM extended")
+def _from_items(spark, d):
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("pattern_no"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where("size(w) >= 3")
+    return patterns.extend(words.select("pattern_no", F.expr("concat('T? ', lower(w[0]), ' ', lower(w[1]), ' T ', lower(w[2]))").alias("pattern")))
+
+
+def _filled_items(spark, d):
+    return patterns.fill(_from_items(spark, d).select("pattern").distinct(), spark.range(1).select(F.explode(F.array(*map(F.lit, SIZES))).alias("size")))
+
+
+@query("WITH " + FROM_ITEMS + " SELECT pattern_no, variant, pattern FROM extended")
 def extend_patterns(spark, d):
-    return _extended(spark)
+    return _from_items(spark, d)
 
 
-@query("WITH " + EXTENDED + FILLED + " SELECT pattern, array_to_string(sizes, ' ') AS sizes, slot_no::BIGINT AS slot_no, coalesce(lo, 0)::BIGINT AS lo, hi::BIGINT AS hi FROM spans")
+@query("WITH " + FROM_ITEMS + FILLED + " SELECT pattern, array_to_string(sizes, ' ') AS sizes, slot_no::BIGINT AS slot_no, coalesce(lo, 0)::BIGINT AS lo, hi::BIGINT AS hi FROM spans")
 def fill_patterns(spark, d):
-    rows = _filled(spark).select("pattern", F.array_join(F.transform("sizes", lambda x: x.cast("string")), " ").alias("sizes"), F.posexplode("spans").alias("slot_no", "s"))
+    rows = _filled_items(spark, d).select("pattern", F.array_join(F.transform("sizes", lambda x: x.cast("string")), " ").alias("sizes"), F.posexplode("spans").alias("slot_no", "s"))
     return rows.select("pattern", "sizes", F.col("slot_no").cast("long").alias("slot_no"), F.col("s.start").cast("long").alias("lo"), F.col("s.end").cast("long").alias("hi"))
 
 
-@query("WITH " + EXTENDED + FILLED + " SELECT pattern, count(*)::BIGINT AS n FROM filled GROUP BY pattern")
+@query("WITH " + FROM_ITEMS + FILLED + " SELECT pattern, count(*)::BIGINT AS n FROM filled GROUP BY pattern")
 def filled_counts(spark, d):
-    return _filled(spark).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return _filled_items(spark, d).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(PRE + ", " + EXTENDED + FILLED + MATCHED + " SELECT doc_id, sent_id, pos, pattern, slot_no, phrase, context FROM found")
