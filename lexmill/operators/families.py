@@ -57,6 +57,14 @@ def related(words: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys, "w1", "w2").agg(F.min("distance").alias("distance")).unionByName(single)
 
 
+def neighbours(words: DataFrame, *keys: str) -> DataFrame:
+    """Of each word with a related one: keys, word, n_related, the least distance, and the first word at it."""
+    pairs = related(words, *keys)
+    both = pairs.select(*keys, F.col("w1").alias("word"), F.col("w2").alias("other"), "distance").unionByName(pairs.select(*keys, F.col("w2").alias("word"), F.col("w1").alias("other"), "distance"))
+    near = F.min(F.struct("distance", "other"))
+    return both.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n_related"), near.alias("x")).select(*keys, "word", "n_related", "x.distance", F.col("x.other").alias("nearest"))
+
+
 def fuzzy_stop_free(words: DataFrame, stopwords: DataFrame, band: int = 2, limit: float = 0.7) -> DataFrame:
     """Words without a stop word of a similar length at a distance below ``limit``."""
     near = stopwords.select(F.col("word").alias("stop"), F.explode(F.sequence(F.length("word") - band, F.length("word") + band)).alias("size"))
@@ -111,8 +119,8 @@ def families(words: DataFrame, group: str = "group") -> DataFrame:
 
 
 def family_lemmas(members: DataFrame, morph: DataFrame, *keys: str) -> DataFrame:
-    """The lemma with the highest summed score over noun hypotheses (animate ones count 0.7), ties by lemma."""
+    """The lemma with the highest summed score over noun hypotheses (animate ones count 0.7); sums equal to nine digits are ties, by lemma."""
     nouns = members.join(morph.where("pos = 'NOUN'"), "word").withColumn("s", F.col("score") * F.when(F.col("animacy") == "anim", 0.7).otherwise(1.0))
     sums = nouns.groupBy(*keys, "lemma").agg(F.sum("s").alias("s"))
-    best = sums.groupBy(*keys).agg(F.min_by("lemma", F.struct(-F.col("s"), F.col("lemma"))).alias("lemma"))
+    best = sums.groupBy(*keys).agg(F.min_by("lemma", F.struct(-F.round("s", 9), F.col("lemma"))).alias("lemma"))
     return members.select(*keys).distinct().join(best, list(keys), "left")

@@ -165,23 +165,28 @@ def join_terms(terms: DataFrame, key: str = "doc_id") -> DataFrame:
     return judged.select(key, "term", "n", "members")
 
 
+def rated_terms(counts: DataFrame, morph: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``counts`` (key, term, words, n) with the lemmas of each word and the best score of each lemma, as ``join_terms`` takes them."""
+    from lexmill.operators import lemmas
+
+    known = counts.select(key, "term", "n", F.explode("words").alias("word")).join(morph.withColumnRenamed("pos", "tag"), "word", "left")
+    rate = F.when(F.col("tag").isNull(), F.lit(-1.0)).otherwise(scores.term_score(*[F.col(c) for c in ("n", "tag", "number", "animacy", "gcase", "flags")]))
+    rated = known.groupBy(key, "term", F.coalesce("lemma", "word").alias("lemma")).agg(F.max(rate).alias("score"))
+    maps = rated.groupBy(key, "term").agg(F.map_from_entries(F.collect_list(F.struct("lemma", "score"))).alias("scores"))
+    return counts.join(lemmas.lemma_patterns(counts, morph, "term"), "term").join(maps, [key, "term"])
+
+
 def extract(sents: DataFrame, stop: list[str], stopwords: DataFrame, morph: DataFrame, limit: int | None = None, key: str = "doc_id") -> DataFrame:
     """The whole extraction: candidates (twice the limit), without stop words by word or lemma, joined by lemmas, the most frequent first.
 
     ``morph``: word, lemma, and pos, number, animacy, gcase and flags of each hypothesis; a word without
     any is its own lemma with a score of -1. Rows: key, term, n, members, rank.
     """
-    from lexmill.operators import lemmas
-
     counts = frequencies(candidates(sents, stop, key=key), key=key)
     if limit is not None:
         counts = top(counts, "n", 2 * limit, key).drop("rank")
     counts = stop_free(counts.withColumn("words", F.split("term", " ")), stopwords, morph)
-    known = counts.select(key, "term", "n", F.explode("words").alias("word")).join(morph.withColumnRenamed("pos", "tag"), "word", "left")
-    rate = F.when(F.col("tag").isNull(), F.lit(-1.0)).otherwise(scores.term_score(*[F.col(c) for c in ("n", "tag", "number", "animacy", "gcase", "flags")]))
-    rated = known.groupBy(key, "term", F.coalesce("lemma", "word").alias("lemma")).agg(F.max(rate).alias("score"))
-    maps = rated.groupBy(key, "term").agg(F.map_from_entries(F.collect_list(F.struct("lemma", "score"))).alias("scores"))
-    joined = join_terms(counts.join(lemmas.lemma_patterns(counts, morph, "term"), "term").join(maps, [key, "term"]), key)
+    joined = join_terms(rated_terms(counts, morph, key), key)
     return top(joined, "n", 2**31 - 1 if limit is None else limit, key)
 
 

@@ -18,13 +18,11 @@ TAG_VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TAGS))
 CLEAN_TAG = "CASE WHEN contains(lower(tag), 'блог компании') THEN NULL WHEN len(array_to_string(regexp_extract_all(tag, '(?i)[а-яё]+'), ' ')) >= 3 THEN array_to_string(regexp_extract_all(tag, '(?i)[а-яё]+'), ' ') END"
 
 
-def _tags(spark):
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, TAGS))).alias("no", "tag"))
-
-
-@query(f"SELECT no, {CLEAN_TAG} AS clean FROM (VALUES {TAG_VALUES}) x(no, tag)")
+@query(f"SELECT doc_id, {CLEAN_TAG} AS clean FROM (SELECT d.doc_id, d.lang || ' ' || x.tag || ' ' || d.source AS tag FROM documents d JOIN (VALUES {TAG_VALUES}) x(no, tag) ON x.no = d.doc_id % {len(TAGS)})")
 def validate_tag(spark, d):
-    return _tags(spark).select("no", tx.validate_tag(F.col("tag")).alias("clean"))
+    """Tags around each document's language and source, of which the Cyrillic words are kept."""
+    tag = F.concat_ws(" ", "lang", F.element_at(F.array(*map(F.lit, TAGS)), (F.col("doc_id") % len(TAGS) + 1).cast("int")), "source")
+    return documents(spark, d).select("doc_id", tx.validate_tag(tag).alias("clean"))
 
 
 @query(f"SELECT d.doc_id, x.clean, x.no FROM documents d, (SELECT no, {CLEAN_TAG} AS clean FROM (VALUES {TAG_VALUES}) x(no, tag)) x WHERE clean IS NOT NULL AND no % 5 = d.doc_id % 5")

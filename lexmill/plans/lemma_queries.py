@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.operators import corpus, evaluation, lemma_index, lemmas, patterns, terms
+from lexmill.operators import corpus, evaluation, families, lemma_index, lemmas, patterns, terms
 
 from .base import CANDIDATES, PRE, STOP, occurrences, query, rounded, sents, table, words_frame
 from .evaluation_queries import KEYS, SETS, _rankings, _tests
 from .pattern_queries import EXTENDED, EXTENDED_OF, FILLED, FROM_ITEMS, MATCHED, SIZES, _filled, _from_items, _matches
+from .ranking_queries import _document_families
 
 ENDING = "(es|en|er|s)$"
 STEM = f"CASE WHEN len(word) >= 6 THEN regexp_replace(word, '{ENDING}', '') ELSE word END"
@@ -232,3 +233,48 @@ def pattern_templates(spark, d):
     literals = found.select(F.explode(F.transform(patterns.tokens(F.col("pattern")), F.lower)).alias("word"))
     rows = patterns.templates(found, morphology(literals))
     return rows.select("pattern", "part_no", "is_slot", F.array_join("words", " ").alias("words"), F.array_join(F.transform("lemmas", lambda x: F.array_join(x, ",")), " ").alias("lemmas"))
+
+
+@query(BASE + ", pairs AS (SELECT a.term AS a, b.term AS b FROM places_of a JOIN places_of b ON a.size = b.size AND a.pos = b.pos AND a.lemma = b.lemma AND a.term < b.term GROUP BY a.term, b.term, a.size HAVING count(DISTINCT a.pos) = a.size) SELECT a, b FROM pairs")
+def lemma_pattern_match(spark, d):
+    """Known terms that match by a lemma at every position."""
+    known, morph = _known(spark, d), _morph(spark, d)
+    pairs = lemmas.same_lemmas(known.select(F.col("term").alias("phrase")), known.select("term"), morph)
+    return pairs.where("phrase < term").select(F.col("phrase").alias("a"), F.col("term").alias("b"))
+
+
+@query()
+def join_terms(spark, d):
+    """Candidates of each language that occur twice, merged by shared lemmas: a language is one group."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    found = sents(spark, d)
+    counts = occurrences(found).join(docs, "doc_id").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").withColumn("words", F.split("term", " "))
+    return terms.join_terms(terms.rated_terms(counts, _tagged(morphology(corpus.tokens(found))), "lang"), "lang")
+
+
+def _scored(morph):
+    """Hypotheses with a score; most are nouns."""
+    return morph.select(
+        "word", "lemma", F.when(F.length("lemma") % 4 == 0, "VERB").otherwise("NOUN").alias("pos"), F.when(F.length("word") % 2 == 0, "inan").otherwise("anim").alias("animacy"),
+        (1 + (F.length("word") + F.length("lemma")) % 5).cast("double").alias("score"),
+    )
+
+
+@query(
+    BASE
+    + f""", members AS (SELECT DISTINCT {STEM} AS family, word FROM tokens),
+    sums AS (SELECT family, lemma, round(sum((1 + (len(word) + len(lemma)) % 5) * CASE WHEN len(word) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END), 9) AS s FROM members JOIN morph USING (word) WHERE len(lemma) % 4 <> 0 GROUP BY family, lemma),
+    best AS (SELECT family, lemma FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY s DESC, lemma) AS r FROM sums) WHERE r = 1)
+    SELECT f.family, b.lemma FROM (SELECT DISTINCT family FROM members) f LEFT JOIN best b ON b.family = f.family"""
+)
+def family_lemmas(spark, d):
+    """The lemma of the words with one stem."""
+    morph = _morph(spark, d)
+    stem = F.when(F.length("word") >= 6, F.regexp_replace("word", ENDING, "")).otherwise(F.col("word"))
+    return families.family_lemmas(morph.select(stem.alias("family"), "word").distinct(), _scored(morph), "family")
+
+
+@query()
+def word_family_lemmas(spark, d):
+    """The lemma of each family of words near to each other, for each document."""
+    return families.family_lemmas(_document_families(spark, d), _scored(_morph(spark, d)), "doc_id", "family")

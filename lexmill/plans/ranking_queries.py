@@ -293,76 +293,33 @@ def _frequent(spark, d):
 
 @query(PRE + FREQUENT + f", near AS (SELECT w1, w2, round({DISTANCE}, 6) AS distance FROM (SELECT a.word AS w1, b.word AS w2 FROM vocab a JOIN vocab b ON a.word < b.word AND abs(len(a.word) - len(b.word)) <= 4)) SELECT * FROM near WHERE distance <= 1")
 def word_distance(spark, d):
-    found = families.distances(_frequent(spark, d)).where("distance <= 1")
-    return found.select("w1", "w2", rounded("distance"))
+    """Related pairs of common words; ``word_neighbours`` takes the whole vocabulary."""
+    return families.related(_frequent(spark, d)).select("w1", "w2", rounded("distance"))
+
+
+@query()
+def word_neighbours(spark, d):
+    """Each word of the whole vocabulary that has a related word: how many, and the nearest."""
+    return families.neighbours(corpus.word_counts(sents(spark, d)).select("word")).withColumn("distance", F.round("distance", 6))
 
 
 @query(
     PRE
-    + FREQUENT
-    + f""", hits AS (SELECT DISTINCT w1 AS word FROM (SELECT v.word AS w1, s AS w2 FROM vocab v JOIN (SELECT unnest([{quoted(STOP)}]) AS s) ON abs(len(v.word) - len(s)) <= 2) WHERE {DISTANCE} < 0.7)
+    + f""", vocab AS (SELECT DISTINCT word FROM tokens),
+    hits AS (SELECT DISTINCT w1 AS word FROM (SELECT v.word AS w1, s AS w2 FROM vocab v JOIN (SELECT unnest([{quoted(STOP)}]) AS s) ON abs(len(v.word) - len(s)) <= 2) WHERE {DISTANCE} < 0.7)
     SELECT word FROM vocab WHERE word NOT IN (SELECT word FROM hits)"""
 )
 def fuzzy_stopword_anti(spark, d):
-    return families.fuzzy_stop_free(_frequent(spark, d), words_frame(spark, STOP))
+    return families.fuzzy_stop_free(corpus.word_counts(sents(spark, d)).select("word"), words_frame(spark, STOP))
 
 
-@query()
-def word_families(spark, d):
-    """Families of each document's words of six letters or more that occur five times."""
-    counts = corpus.word_counts(sents(spark, d), "doc_id").where((F.col("n") >= 5) & (F.length("word") >= 6))
+def _document_families(spark, d):
+    counts = corpus.word_counts(sents(spark, d), "doc_id")
     rows = counts.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "word")))
     return families.families(rows.withColumnRenamed("doc_id", "group")).withColumnRenamed("group", "doc_id")
 
 
-# A small morphology, as a provider would give it.
-MORPH = [
-    ("паттерн", "паттерн", "NOUN", "sing", "inan", "nomn", 0.9), ("паттерна", "паттерн", "NOUN", "sing", "inan", "gent", 0.9), ("паттерны", "паттерн", "NOUN", "plur", "inan", "nomn", 0.9),
-    ("объект", "объект", "NOUN", "sing", "inan", "nomn", 0.8), ("объекта", "объект", "NOUN", "sing", "inan", "gent", 0.8), ("класс", "класс", "NOUN", "sing", "inan", "nomn", 0.9),
-    ("класса", "класс", "NOUN", "sing", "inan", "gent", 0.9), ("новый", "новый", "ADJF", "sing", "", "nomn", 0.7), ("нового", "новый", "ADJF", "sing", "", "gent", 0.7), ("клиент", "клиент", "NOUN", "sing", "anim", "nomn", 0.6),
-    ("стали", "сталь", "NOUN", "sing", "inan", "gent", 0.2), ("стали", "стать", "VERB", "plur", "", "", 0.8),
-]
-CYRILLIC = "Новый паттерн. Паттерны класса: объект нового паттерна. Клиент стали. Объекта класс паттерна, новый паттерн."
-
-
-def morphology(spark):
-    rows = spark.createDataFrame([(*m, []) for m in MORPH], "word string, lemma string, pos string, number string, animacy string, gcase string, score double, flags array<string>")
-    return rows
-
-
-def _cyrillic(spark, d):
-    docs = documents(spark, d).select("doc_id", F.lit(CYRILLIC).alias("text"))
-    return corpus.sentences(docs)
-
-
 @query()
-def family_lemmas(spark, d):
-    words = spark.createDataFrame([(1, w) for w in ("паттерн", "паттерна", "паттерны")] + [(2, w) for w in ("объект", "объекта")] + [(3, "клиент")] + [(4, "стали")], "family int, word string")
-    return families.family_lemmas(words, morphology(spark), "family")
-
-
-@query()
-def join_terms(spark, d):
-    """Candidates of a Cyrillic text, merged by shared lemmas, for every document of the table."""
-    occ = terms.candidates(_cyrillic(spark, d), ["в", "и"])
-    counts = terms.frequencies(occ).withColumn("words", F.split("term", " "))
-    morph = morphology(spark)
-    known = counts.select("term", F.posexplode(F.split("term", " ")).alias("no", "word")).distinct().join(morph.withColumnRenamed("pos", "pos_tag"), "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
-    known = known.withColumn("s", F.when(F.col("pos_tag").isNull(), F.lit(-1.0)).otherwise(scores.term_score(F.lit(1), F.col("pos_tag"), F.col("number"), F.col("animacy"), F.col("gcase"), F.col("flags"))))
-    per_word = known.groupBy("term", "no").agg(F.array_sort(F.collect_set("lemma")).alias("ls"))
-    lemmas = per_word.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "ls"))), lambda x: x["ls"]).alias("lemmas"))
-    best = known.groupBy("term", "lemma").agg(F.max("s").alias("s")).groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("lemma", "s"))).alias("scores"))
-    return terms.join_terms(counts.join(lemmas, "term").join(best, "term"))
-
-
-@query(
-    """SELECT a.id AS a, b.id AS b FROM (VALUES (1, [['x', 'y'], ['z']]), (2, [['y'], ['z', 'w']]), (3, [['x'], ['q']]), (4, [['x']])) a(id, p)
-    JOIN (VALUES (1, [['x', 'y'], ['z']]), (2, [['y'], ['z', 'w']]), (3, [['x'], ['q']]), (4, [['x']])) b(id, p) ON a.id < b.id AND len(a.p) = len(b.p)
-    WHERE list_bool_and(list_transform(range(1, len(a.p) + 1), lambda i: list_has_any(a.p[i], b.p[i])))"""
-)
-def lemma_pattern_match(spark, d):
-    rows = spark.createDataFrame([(1, [["x", "y"], ["z"]]), (2, [["y"], ["z", "w"]]), (3, [["x"], ["q"]]), (4, [["x"]])], "id int, p array<array<string>>")
-    keyed = rows.select("id", "p", F.size("p").alias("n"), F.explode(F.col("p")[0]).alias("first"))
-    other = keyed.select(F.col("id").alias("b"), F.col("p").alias("q"), "n", "first")
-    found = keyed.join(other, ["n", "first"]).where((F.col("id") < F.col("b")) & terms.lemma_match(F.col("p"), F.col("q")))
-    return found.select(F.col("id").alias("a"), "b").distinct()
+def word_families(spark, d):
+    """Families of all words of each document, the most frequent first."""
+    return _document_families(spark, d)
