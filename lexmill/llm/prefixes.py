@@ -37,8 +37,6 @@ MARK = "▁"
 #: Characters of stretches whose counts a worker keeps; beyond, it starts afresh. Results don't depend on it.
 KEPT_CHARS = 1 << 23
 KEPT_PAIRS = 1 << 20
-#: A longer stretch is counted each time it comes.
-KEPT_LENGTH = 64
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -53,89 +51,140 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.IdToPiece(i), model.GetScore(i)) for i in ids if not (model.IsControl(i) or model.IsUnknown(i) or model.IsByte(i) or model.IsUnused(i))]
 
 
+class Stretches(dict):
+    """Numbers of the stretches whose counts are kept; a new one gets a number and waits for its counts."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.size = 0
+
+    def __missing__(self, stretch: str) -> int:
+        found = self[stretch] = self.size
+        self.size += 1
+        self.new.append(stretch)
+        return found
+
+
 class Counter:
     """Counts of all prefixes of stretches and texts for one vocabulary."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.score = dict(pieces)
-        self.longest = max(map(len, self.score), default=1)
         crossing = any(MARK in p.lstrip(MARK) for p in self.score)
         self.stretch = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+$")
-        self.apart: dict[tuple[str, str], bool] = {}
+        # every ending of a piece; those that may end an encoding know what they stand apart from
+        self.endings: dict[str, dict[str, bool] | None] = {}
+        for piece in self.score:
+            for i in range(1, len(piece)):
+                self.endings.setdefault(piece[i:], None)
+        for piece in list(self.endings):
+            if piece in self.score or len(piece) == 1:
+                self.endings[piece] = {}
+        self.endings |= {piece: {} for piece in self.score}
+        self.pairs = 0
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at, self.size, self.total = np.zeros(1 << 16, np.int32), [], [], []
-        self.used = 0
+        self.known = Stretches()
+        self.flat, self.at, self.total = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair, the first of equals, until none is left."""
-        parts = list(text)
-        while True:
-            scores = [self.score.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-            best = max((s for s in scores if s is not None), default=None)
-            if best is None:
-                return parts
+        parts, get, none = list(text), self.score.get, float("-inf")
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
             i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
+        return parts
 
     def stay(self, before: str, piece: str) -> bool:
-        """Whether merging leaves ``before`` and ``piece`` as they are, side by side (``before`` may be empty)."""
-        pair = (before, piece)
-        found = self.apart.get(pair)
-        if found is None:
-            if len(self.apart) >= KEPT_PAIRS:
-                self.apart.clear()
-            found = self.apart[pair] = self.merge(before + piece) == [x for x in pair if x]
+        """Whether merging leaves ``before`` and ``piece`` as they are, side by side (``before`` may be empty); kept."""
+        self.pairs += 1
+        found = self.endings[piece][before] = self.merge(before + piece) == ([before, piece] if before else [piece])
         return found
 
-    def counts(self, stretch: str) -> list[int]:
-        """Tokens of the prefixes of 1, 2, ... characters."""
-        last, n, score = [""], [0], self.score
-        for i in range(1, len(stretch) + 1):
-            for j in range(max(0, i - self.longest), i):
-                piece = stretch[j:i]
-                if (piece in score or j == i - 1) and self.stay(last[j], piece):
-                    last.append(piece)
-                    n.append(n[j] + (1 if piece in score else len(piece.encode())))
+    def counts(self, stretches: list[str]) -> np.ndarray:
+        """Tokens of the prefixes of 1, 2, ... characters of each of the sorted ``stretches``, one after the other.
+
+        Neighbours in the order begin alike, and what is known of a prefix holds for both.
+        """
+        endings, score, stay = self.endings, self.score, self.stay
+        out: list[int] = []
+        previous, last, n = "", [""], [0]
+        for stretch in stretches:
+            same = 0
+            for a, b in zip(previous, stretch, strict=False):
+                if a != b:
                     break
-        return n[1:]
-
-    def number(self, stretch: str) -> int:
-        """Number of a stretch whose counts are kept."""
-        found = self.known.get(stretch)
-        if found is None:
-            n = self.counts(stretch)
-            if self.used + len(n) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(n)), np.int32)])
-            self.flat[self.used : self.used + len(n)] = n
-            found = len(self.at)
-            if len(stretch) <= KEPT_LENGTH:
-                self.known[stretch] = found
-            self.at.append(self.used)
-            self.size.append(len(n))
-            self.total.append(n[-1])
-            self.used += len(n)
-        return found
+                same += 1
+            del last[same + 1 :], n[same + 1 :]
+            for i in range(same + 1, len(stretch) + 1):
+                j = i - 1
+                piece = stretch[j:i]
+                apart = endings.get(piece, False)
+                while apart is not False:
+                    if apart is not None:
+                        before = last[j]
+                        fits = apart.get(before)
+                        if stay(before, piece) if fits is None else fits:
+                            break
+                    j -= 1
+                    piece = stretch[j:i]
+                    apart = endings.get(piece, False) if j >= 0 else False
+                if apart is False:  # a character that ends no piece
+                    j, piece = i - 1, stretch[i - 1]
+                last.append(piece)
+                n.append(n[j] + (1 if piece in score else len(piece.encode())))
+            out += n[1:]
+            previous = stretch
+        return np.array(out, np.int32)
+
+    def settle(self) -> None:
+        """Counts of the stretches that wait for them."""
+        new, self.known.new = self.known.new, []
+        if not new:
+            return
+        order = sorted(range(len(new)), key=new.__getitem__)
+        flat = self.counts([new[i] for i in order])
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        sorted_ends = np.cumsum(size[order])
+        at, total = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        at[order], total[order] = sorted_ends - size[order], flat[sorted_ends - 1]
+        used = int(self.at[-1])
+        if used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(max(used, len(flat)) * 2, np.int32)])
+        self.flat[used : used + len(flat)] = flat
+        # the last entry of ``at`` is where the next counts go
+        self.at = np.concatenate([self.at[:-1], at + used, [used + len(flat)]])
+        self.total = np.concatenate([self.total, total])
+        self.size = np.concatenate([self.size, size]) if len(self.total) > len(new) else size
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         """For each text the counts of its prefixes of 0, 1, ... characters."""
-        if self.used > KEPT_CHARS:
+        if self.at[-1] > KEPT_CHARS:
             self.clear()
-        numbers = [list(map(self.number, self.stretch.findall(MARK + t.replace(" ", MARK)))) if t else [] for t in texts]
-        at, size, total = np.array(self.at, np.int64), np.array(self.size, np.int64), np.array(self.total, np.int64)
+        if self.pairs > KEPT_PAIRS:
+            self.pairs = 0
+            for apart in filter(None, self.endings.values()):
+                apart.clear()
+        number, cut = self.known.__getitem__, self.stretch.findall
+        numbers = [np.array(list(map(number, cut(MARK + t.replace(" ", MARK)))), np.int64) if t else None for t in texts]
+        self.settle()
         for ids in numbers:
-            if not ids:
+            if ids is None:
                 yield np.zeros(1, np.int32)
                 continue
-            ids = np.array(ids)
-            wide = size[ids]
+            wide, total = self.size[ids], self.total[ids]
             first = np.cumsum(wide) - wide
-            base = np.cumsum(total[ids]) - total[ids]
-            n = self.flat[np.repeat(at[ids] - first, wide) + np.arange(first[-1] + wide[-1])] + np.repeat(base, wide)
+            n = self.flat[np.repeat(self.at[ids] - first, wide) + np.arange(first[-1] + wide[-1])]
+            n += np.repeat((np.cumsum(total) - total).astype(np.int32), wide)
             n[0] = 0  # the mark that stands before a text is no text of its own
-            yield n.astype(np.int32)
+            yield n
 
 
 _COUNTERS: dict[int, Counter] = {}
