@@ -10,14 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import EMAIL_LINE, filter_tags
+from lexmill.operators import scans
 from lexmill.operators.rounds import settled
 
 
 def number_gaps(rows: DataFrame, *keys: str) -> DataFrame:
-    """Missing numbers before each present one, and the open range after the last: lo, hi (null: open)."""
-    before = F.lag("number").over(W.partitionBy(*keys).orderBy("number"))
-    gaps = rows.select(*keys, "number").distinct().withColumn("lo", before + 1).where("lo < number").select(*keys, "lo", (F.col("number") - 1).alias("hi"))
-    return gaps.unionByName(_open_end(rows, *keys))
+    """Missing numbers before each present one, and the open range after the last: lo, hi (null: open).
+
+    Without keys, or with a key that has most rows, no task takes all numbers (``scans.gaps``).
+    """
+    return scans.gaps(rows.select(*keys, "number").where("number is not null").distinct(), list(keys)).unionByName(_open_end(rows, *keys))
 
 
 def _open_end(rows: DataFrame, *keys: str) -> DataFrame:
@@ -27,17 +29,31 @@ def _open_end(rows: DataFrame, *keys: str) -> DataFrame:
 
 def unsaved_islands(rows: DataFrame, *keys: str) -> DataFrame:
     """Runs of consecutive unsaved numbers (columns number, saved), and the open range after the last."""
-    order = W.partitionBy(*keys).orderBy("number")
-    starts = F.when((F.lag("number").over(order) == F.col("number") - 1) & (F.lag("saved").over(order) == F.lit(False)), 0).otherwise(1)
-    runs = rows.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order)).where("not saved")
-    return runs.groupBy(*keys, "run").agg(F.min("number").alias("lo"), F.max("number").alias("hi")).drop("run").unionByName(_open_end(rows, *keys))
+    runs = scans.islands(rows.select(*keys, "number", (~F.col("saved")).alias("unsaved")), list(keys), "unsaved")
+    return runs.unionByName(_open_end(rows, *keys))
+
+
+#: Bins that numbers are dealt to, unless there are more ranges.
+BINS = 1 << 16
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, column: str = "number") -> DataFrame:
-    """Rows whose number is in a range; without ranges all of them. Ranges are few: they bound a crawl."""
+    """Rows whose number is in a range lo..hi (hi null: open), however many ranges there are; without ranges all rows.
+
+    Ranges are merged and cut at the borders of bins; rows meet the pieces of their bin and are compared with them.
+    """
     if ranges.isEmpty():
         return rows
-    return rows.join(ranges, (F.col(column) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(column) <= F.col("hi"))), "left_semi")
+    whole = scans.merged(ranges)
+    least, most, n = (*rows.agg(F.min(column), F.max(column)).first(), whole.count())
+    if least is None:
+        return rows.limit(0)
+    width = max(1, (most - least + 1) // max(BINS, n))
+    bin_of = lambda c: F.floor((c - F.lit(least)) / F.lit(width))
+    cut = whole.select(F.greatest("lo", F.lit(least)).alias("lo"), F.least(F.coalesce("hi", F.lit(most)), F.lit(most)).alias("hi")).where("lo <= hi")
+    pieces = cut.select("lo", "hi", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))).alias("_bin"))
+    dealt = rows.withColumn("_bin", bin_of(F.col(column)))
+    return dealt.join(pieces, (dealt["_bin"] == pieces["_bin"]) & (F.col(column) >= F.col("lo")) & (F.col(column) <= F.col("hi")), "left_semi").drop("_bin")
 
 
 def pages_to_load(pages: DataFrame, ranges: DataFrame, size: int = 20, limit: int | None = None) -> DataFrame:
@@ -93,6 +109,32 @@ def similar(articles: DataFrame, edges: DataFrame, seeds: DataFrame, accept: Col
     return found
 
 
+def similar_by_authors(articles: DataFrame, seeds: DataFrame, accept: Column, need: int, rounds: int | None = None) -> DataFrame:
+    """Articles reached from the seeds through shared authors of one topic, breadth first: node and round.
+
+    ``articles``: node, topic, authors. The walk goes over the two-sided graph of articles and (topic, author)
+    pairs: the frontier's authors that were not walked before, then their articles that were not, so pairs of articles
+    of one author are never built and an author is left once. Only accepted articles are kept and walked on from.
+    Stops as ``similar`` does, with ``need`` articles or an empty round.
+    """
+    sides = settled(articles.select("node", "topic", F.explode(F.array_distinct(F.transform("authors", lambda a: F.trim(a)))).alias("author")))
+    ok = articles.where(accept).select("node").distinct()
+    found = seeds.select("node").distinct().withColumn("round", F.lit(0))
+    frontier, walked = found, None
+    for i in itertools.count(1) if rounds is None else range(1, rounds + 1):
+        names = sides.join(frontier.select("node"), "node", "left_semi").select("topic", "author").distinct()
+        if walked is not None:
+            names = names.join(walked, ["topic", "author"], "left_anti")
+        names = settled(names)
+        walked = names if walked is None else walked.unionByName(names)
+        reached = sides.join(names, ["topic", "author"], "left_semi").select("node").distinct()
+        frontier = settled(reached.join(ok, "node", "left_semi").join(found.select("node"), "node", "left_anti").withColumn("round", F.lit(i)))
+        found = found.unionByName(frontier)
+        if found.limit(need).count() >= need or frontier.isEmpty():
+            break
+    return found
+
+
 def author_edges(articles: DataFrame) -> DataFrame:
     """Articles of one topic that share an author: src, dst."""
     rows = articles.select("node", "topic", F.explode(F.transform("authors", lambda a: F.trim(a))).alias("author"))

@@ -32,6 +32,14 @@ def word_clock(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     return sents.withColumn("t", F.sum("n_words").over(W.partitionBy(key).orderBy("sent_id").rowsBetween(W.unboundedPreceding, 0)))
 
 
+def long_clock(sents: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``t`` and ``sentence_no`` (from 0) of each sentence in texts of any length: a key may be a whole corpus."""
+    from lexmill.operators import scans
+
+    found = scans.running(sents.withColumn("_one", F.lit(1).cast("long")), keys, order, t="n_words", sentence_no="_one")
+    return found.withColumn("sentence_no", F.col("sentence_no") - 1).drop("_one")
+
+
 def totals(sents: DataFrame, *keys: str) -> DataFrame:
     """Sentences and words by each prefix of the keys and over everything, in one pass."""
     return sents.rollup(*keys).agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_words").alias("n_words"))

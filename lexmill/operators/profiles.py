@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.operators.rounds import settled
+
 
 def raw_profile(sents: DataFrame, words: list[str], key: str = "doc_id") -> DataFrame:
     """For each word and sentence the count at the sentence's clock; zeros included."""
@@ -54,16 +56,105 @@ def stdev_ranks(occurrences: DataFrame, clocked: DataFrame, parts: DataFrame, ke
     return per_term.withColumn("score", spread(F.col("n").cast("double"), F.col("q").cast("double"), F.col("bins")) * F.col("n_words"))
 
 
+#: Terms of a side of a tile, and cells of tiles that a task adds up before it hands them on.
+TILE = 128
+HELD_CELLS = 1 << 21
+
+
+def cross_sums(bins: DataFrame, *keys: str) -> DataFrame:
+    """keys, w1, w2 and xy: the sum over bins of the product of two terms' values, for every ordered pair of a key's terms.
+
+    Bins (keys, bin, term, n) become sparse rows; each task adds their products into square tiles of terms, tiles
+    are added up, and only their cells become rows: no row is made for a pair and a bin.
+    """
+    name = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    cells = bins.withColumn("_k", name)
+    names = cells.select("_k", *keys, "term").distinct()
+    numbered = names.withColumn("_i", F.row_number().over(W.partitionBy("_k").orderBy("term")) - 1).withColumn("_v", F.count(F.lit(1)).over(W.partitionBy("_k")).cast("int"))
+    numbered = settled(numbered)
+    found = cells.where("n <> 0").select("_k", "bin", "term", F.col("n").cast("double").alias("n")).join(numbered.select("_k", "term", "_i", "_v"), ["_k", "term"])
+    rows = found.groupBy("_k", "bin", "_v").agg(F.array_sort(F.collect_list(F.struct("_i", "n"))).alias("c"))
+    rows = rows.select("_k", "_v", F.col("c._i").alias("at"), F.col("c.n").alias("n"))
+
+    def side(v, t):
+        return min(TILE, v - t * TILE)
+
+    def partial(batches):
+        import numpy as np
+        import pandas as pd
+
+        held: dict[tuple, np.ndarray] = {}
+        n_cells = 0
+
+        def out():
+            made = [(k, v, a, b, m.tobytes()) for (k, v, a, b), m in held.items()]
+            held.clear()
+            return pd.DataFrame(made, columns=["_k", "v", "a", "b", "sums"])
+
+        for pdf in batches:
+            for k, v, at, n in zip(pdf["_k"], pdf["_v"], pdf["at"], pdf["n"]):
+                at, n = np.asarray(at), np.asarray(n, float)
+                tiles = at // TILE
+                cuts = [0, *(np.flatnonzero(np.diff(tiles)) + 1), len(at)]
+                runs = [(int(tiles[i]), at[i:j] - tiles[i] * TILE, n[i:j]) for i, j in zip(cuts, cuts[1:])]
+                for x, (a, left, p) in enumerate(runs):
+                    for b, right, q in runs[x:]:
+                        if (k, v, a, b) not in held:
+                            held[k, v, a, b] = np.zeros((side(v, a), side(v, b)))
+                            n_cells += held[k, v, a, b].size
+                        held[k, v, a, b][np.ix_(left, right)] += np.outer(p, q)
+                if n_cells > HELD_CELLS:
+                    yield out()
+                    n_cells = 0
+        yield out()
+
+    def whole(pdf):
+        import numpy as np
+        import pandas as pd
+
+        k, v, a, b = pdf["_k"].iloc[0], int(pdf["v"].iloc[0]), int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        total = np.zeros((side(v, a), side(v, b)))
+        for raw in pdf["sums"]:
+            if raw:
+                total += np.frombuffer(raw).reshape(total.shape)
+        i, j = np.indices(total.shape)
+        first, second, xy = (i + a * TILE).ravel(), (j + b * TILE).ravel(), total.ravel()
+        if a != b:
+            first, second, xy = np.concatenate([first, second]), np.concatenate([second, first]), np.concatenate([xy, xy])
+        return pd.DataFrame({"_k": k, "i": first, "j": second, "xy": xy})
+
+    sums = rows.mapInPandas(partial, "_k string, v int, a int, b int, sums binary")
+    last = F.floor((F.col("_v") - 1) / TILE).cast("int")
+    every = numbered.select("_k", "_v").distinct().select("_k", "_v", F.explode(F.sequence(F.lit(0), last)).alias("a"))
+    every = every.select("_k", F.col("_v").alias("v"), "a", F.explode(F.sequence(F.col("a"), last)).alias("b"), F.lit(None).cast("binary").alias("sums"))
+    pairs = sums.unionByName(every).groupBy("_k", "v", "a", "b").applyInPandas(whole, "_k string, i int, j int, xy double")
+    left = numbered.select("_k", F.col("_i").alias("i"), F.col("term").alias("w1"), *keys)
+    right = numbered.select("_k", F.col("_i").alias("j"), F.col("term").alias("w2"))
+    return pairs.join(left, ["_k", "i"]).join(right, ["_k", "j"]).select(*keys, "w1", "w2", "xy")
+
+
 def correlations(bins: DataFrame, *keys: str) -> DataFrame:
-    """Pearson correlation of each ordered pair of terms over shared bins (keys, bin, term, n); null without variation."""
-    a, b = (bins.select(*keys, "bin", F.col("term").alias(f"w{i}"), F.col("n").cast("double").alias(f"n{i}")) for i in (1, 2))
-    pairs = a.join(b, [*keys, "bin"])
-    sums = pairs.groupBy(*keys, "w1", "w2").agg(
-        F.count(F.lit(1)).alias("m"), *[F.sum(e).alias(name) for name, e in (("x", F.col("n1")), ("y", F.col("n2")), ("xx", F.col("n1") ** 2), ("yy", F.col("n2") ** 2), ("xy", F.col("n1") * F.col("n2")))]
-    )
+    """Pearson correlation of each ordered pair of terms over a key's bins (keys, bin, term, n; a cell for each bin); null without variation."""
+    n = F.col("n").cast("double")
+    bins = settled(bins.select(*keys, "bin", "term", "n"))
+    sums = bins.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("m"), F.sum(n).alias("x"), F.sum(n * n).alias("xx"))
+    one = sums.select(*keys, F.col("term").alias("w1"), "m", "x", "xx")
+    other = sums.select(*keys, F.col("term").alias("w2"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    rows = cross_sums(bins, *keys).join(one, [*keys, "w1"]).join(other, [*keys, "w2"])
     m, x, y = F.col("m"), F.col("x"), F.col("y")
     vx, vy = m * F.col("xx") - x * x, m * F.col("yy") - y * y
-    return sums.select(*keys, "w1", "w2", F.when((vx > 0) & (vy > 0), (m * F.col("xy") - x * y) / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
+    return rows.select(*keys, "w1", "w2", F.when((vx > 0) & (vy > 0), (m * F.col("xy") - x * y) / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
+
+
+def unit_profile(sents: DataFrame, members: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Counts of units, families of words, at the clock of their sentences: key, term, t, n (no zeros).
+
+    ``members``: word and term (the family's name), and the key if families differ from text to text.
+    ``sents`` carries the clock ``t``.
+    """
+    counts = sents.select(key, "sent_id", "t", F.explode("words").alias("word")).groupBy(key, "sent_id", "t", "word").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.join(members.select(*[c for c in members.columns if c in (key, "word", "term")]), [c for c in members.columns if c in (key, "word")])
+    return named.groupBy(key, "term", "t").agg(F.sum("n").cast("long").alias("n"))
 
 
 def zero_below(column: Column, least: float) -> Column:
@@ -78,24 +169,14 @@ def frequent_columns(bins: DataFrame, part: int = 4, whole: int = 20, *keys: str
 
 
 def drop_uncorrelated(corr: DataFrame, threshold: float = 0.6, *keys: str) -> DataFrame:
-    """Walks the terms in order; one whose largest remaining correlation with another is below the threshold goes, for later terms too.
+    """Pairs above the threshold that are left when terms without a strong partner are struck out one after the other.
 
-    The matrix of one key (its terms squared) is one group; its size is set by the terms asked for.
+    The walk strikes a term out when no term that is left is correlated with it at the threshold or above; perfect
+    correlations do not count. As correlation is mutual, a term with a strong partner is never struck out, whatever the
+    order: the partner it has keeps it, and it keeps the partner. So the walk leaves the pairs above the threshold, and
+    no matrix has to be in one place. Correlations are compared to nine digits.
     """
-
-    def run(pdf):
-        m = pdf.pivot(index="w1", columns="w2", values="corr").sort_index().sort_index(axis=1)
-        m = m.mask(m >= 1.0 - 1e-12)
-        for w in list(m.index):
-            best = m.loc[w].max()
-            if best < threshold:
-                m = m.drop(index=w, columns=w)
-        kept = set(m.index)
-        return pdf[pdf["w1"].isin(kept) & pdf["w2"].isin(kept) & (pdf["w1"] < pdf["w2"]) & (pdf["corr"] > threshold)]
-
-    if keys:
-        return corr.groupBy(*keys).applyInPandas(run, corr.schema)
-    return corr.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: run(pdf.drop(columns="_g")), corr.schema)
+    return corr.where((F.col("w1") < F.col("w2")) & (F.round("corr", 9) > threshold) & (F.round("corr", 9) < 1))
 
 
 def pair_statistics(corr: DataFrame) -> DataFrame:

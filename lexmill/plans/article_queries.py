@@ -228,6 +228,24 @@ def similar_expansion(spark, d):
     return articles.similar(nodes, hops.distinct(), nodes.agg(F.min("node").alias("node")), F.col("node") % 5 != 0, 1_000_000, 4)
 
 
+@query(
+    """WITH RECURSIVE a AS (SELECT doc_id AS node, lang AS topic, unnest([source, 'a' || doc_id % 41]) AS author FROM documents),
+    walk(node, round) AS (SELECT min(node), 0 FROM a UNION SELECT y.node, w.round + 1 FROM walk w JOIN a x ON x.node = w.node JOIN a y ON y.topic = x.topic AND y.author = x.author WHERE w.round < 4 AND y.node % 5 <> 0)
+    SELECT node, min(round)::INTEGER AS round FROM walk GROUP BY node"""
+)
+def similar_by_authors(spark, d):
+    """Documents reached through shared authors: a document's source and a part of its number stand for them."""
+    rows = documents(spark, d).select(F.col("doc_id").alias("node"), F.col("lang").alias("topic"), F.array(F.concat(F.lit(" "), F.col("source")), F.concat(F.lit("a"), (F.col("doc_id") % 41).cast("string"))).alias("authors"))
+    return articles.similar_by_authors(rows, rows.agg(F.min("node").alias("node")), F.col("node") % 5 != 0, 1_000_000, 4)
+
+
+@query("SELECT DISTINCT o_orderkey AS number FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE o_orderkey BETWEEN l_partkey * 5 AND l_partkey * 5 + l_linenumber - 2)")
+def in_many_ranges(spark, d):
+    """Numbers in any of as many ranges as the items table has rows, overlapping and empty ones among them."""
+    ranges = table(spark, d, "lineitem").select((F.col("l_partkey") * 5).alias("lo"), (F.col("l_partkey") * 5 + F.col("l_linenumber") - 2).alias("hi"))
+    return articles.in_ranges(_orders(spark, d).select("number"), ranges)
+
+
 @query("SELECT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON a.lang = b.lang AND a.source = b.source AND a.doc_id <> b.doc_id")
 def author_edges(spark, d):
     rows = documents(spark, d).select(F.col("doc_id").alias("node"), F.col("lang").alias("topic"), F.array(F.concat(F.lit(" "), F.col("source"), F.lit(" "))).alias("authors"))

@@ -163,3 +163,10 @@ def char_positions(spark, d):
 def relative_first_pos(spark, d):
     share = tx.relative_position("@", F.col("text"))
     return documents(spark, d).select("doc_id", share.alias("share")).where("share < 0.1").select("doc_id", rounded("share"))
+
+
+@query(PRE + " SELECT d.lang, s.doc_id, s.sent_id, (sum(n_words) OVER w)::BIGINT AS t, row_number() OVER w - 1 AS sentence_no FROM sents s JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY d.lang ORDER BY s.doc_id, s.sent_id)")
+def long_word_clock(spark, d):
+    """The word clock of all documents of a language read as one text."""
+    rows = sents(spark, d).join(documents(spark, d).select("doc_id", "lang"), "doc_id").select("lang", "doc_id", "sent_id", "n_words")
+    return corpus.long_clock(rows, ["lang"], ["doc_id", "sent_id"]).drop("n_words")

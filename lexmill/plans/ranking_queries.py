@@ -250,11 +250,33 @@ def profile_corr_thresholded(spark, d):
     return corr.where((F.col("w1") < F.col("w2")) & (F.col("corr") > 0.5)).select("doc_id", "w1", "w2", (F.round("corr", 5) + 0.0).alias("corr"))
 
 
-@query()
+@query(PRE + CLOCK + RAW + BINS.format(parts=10) + CORR.format(src="bins") + " SELECT doc_id, w1, w2, round(corr, 5) + 0 AS corr FROM corrs WHERE w1 < w2 AND round(corr, 9) > 0.6 AND round(corr, 9) < 1")
 def profile_corr_walk(spark, d):
-    """The order-dependent walk that drops terms without a strong correlation."""
+    """The walk that strikes out terms without a strong correlation."""
     corr = profiles.correlations(_bins(spark, d, 10), "doc_id")
-    return profiles.drop_uncorrelated(corr, 0.6, "doc_id")
+    return profiles.drop_uncorrelated(corr, 0.6, "doc_id").withColumn("corr", F.round("corr", 5) + 0.0)
+
+
+FAMILY_BINS = """,
+    members AS (SELECT DISTINCT word, regexp_replace(word, '(es|en|er|s)$', '') AS family FROM tokens WHERE len(word) >= 5),
+    counted AS (SELECT t.doc_id, t.sent_id, m.family, count(*) AS x FROM tokens t JOIN members m ON m.word = t.word GROUP BY ALL),
+    frequent AS (SELECT doc_id, family FROM counted GROUP BY doc_id, family HAVING sum(x) >= 4),
+    setup AS (SELECT *, ceil(total / 10)::BIGINT AS width FROM ends),
+    cells AS (SELECT c.doc_id, c.family, (l.t - s.t0) // s.width AS bin, sum(c.x) AS x
+      FROM counted c JOIN frequent f ON f.doc_id = c.doc_id AND f.family = c.family JOIN clocked l ON l.doc_id = c.doc_id AND l.sent_id = c.sent_id JOIN setup s ON s.doc_id = c.doc_id GROUP BY ALL),
+    grid AS (SELECT doc_id, unnest(range(0, (total - t0) // width + 1)) AS bin FROM setup),
+    bins AS MATERIALIZED (SELECT g.doc_id, f.family AS term, g.bin, coalesce(c.x, 0)::BIGINT AS n FROM grid g JOIN frequent f ON f.doc_id = g.doc_id LEFT JOIN cells c ON c.doc_id = g.doc_id AND c.family = f.family AND c.bin = g.bin)"""
+
+
+@query(PRE + CLOCK + FAMILY_BINS + CORR.format(src="bins") + " SELECT doc_id, w1, w2, round(corr, 5) + 0 AS corr FROM corrs WHERE w1 < w2 AND round(corr, 9) > 0.6 AND round(corr, 9) < 1")
+def family_corr(spark, d):
+    """Families of words of one stem whose profiles in a document go together."""
+    clock = clocked(sents(spark, d))
+    words = clock.select(F.explode("words").alias("word")).distinct().where("length(word) >= 5")
+    counts = profiles.unit_profile(clock, words.select("word", F.regexp_replace("word", "(es|en|er|s)$", "").alias("term")))
+    frequent = counts.groupBy("doc_id", "term").agg(F.sum("n").alias("all")).where("all >= 4")
+    bins = profiles.compressed(counts.join(frequent.select("doc_id", "term"), ["doc_id", "term"]), profiles.clock_ends(clock, "doc_id"), 10)
+    return profiles.drop_uncorrelated(profiles.correlations(bins, "doc_id"), 0.6, "doc_id").withColumn("corr", F.round("corr", 5) + 0.0)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +73,8 @@ def save_new(rows: DataFrame, path: str, key: str, overwrite: bool = False) -> N
         try:
             stored = spark.read.parquet(path).select(F.abs(key).alias("_k")).distinct()
             marked = marked.join(stored, F.abs(marked[key]) == stored["_k"], "left_anti")
-        except Exception as error:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # else nothing is stored yet
                 raise
     marked.write.mode("overwrite" if overwrite else "append").parquet(path)
 
