@@ -35,18 +35,18 @@ def chapter_relevance(counts: DataFrame, sizes: DataFrame, least: int = 1, min_s
 def stdev_ranks(occurrences: DataFrame, ends: DataFrame, clocked: DataFrame, parts: int | None = None, book: str = "book") -> DataFrame:
     """Burstiness over the chapters of a book: each gets its share of ``parts`` (default: the number of chapters).
 
-    ``occurrences`` (book, doc_id, sent_id, term, n_words), ``ends`` (book, doc_id, t0, total,
-    n_sentences), ``clocked`` (doc_id, sent_id, t). All chapters count with their bins, with or
+    ``occurrences`` (book, doc_id, sent_id, term, n_words, and the clock ``t`` if they carry it), ``ends`` (book, doc_id,
+    t0, total, n_sentences), ``clocked`` (doc_id, sent_id, t). All chapters count with their bins, with or
     without the term.
     """
     of_book = W.partitionBy(book)
     share = scores.parts_of(F.lit(parts) if parts else F.count(F.lit(1)).over(of_book), F.col("n_sentences"), F.sum("n_sentences").over(of_book))
     setup = ends.withColumn("parts", share).withColumn("width", interval(F.col("total"), F.col("parts")))
     setup = setup.withColumn("bins", F.floor((F.col("total") - F.col("t0")) / F.col("width")).cast("long") + 1).withColumn("all_bins", F.sum("bins").over(of_book))
-    counts = occurrences.groupBy(book, "doc_id", "term", "n_words", "sent_id").agg(F.count(F.lit(1)).alias("x"))
-    binned = counts.join(clocked.select("doc_id", "sent_id", "t"), ["doc_id", "sent_id"]).join(setup.select("doc_id", "t0", "width", "all_bins"), "doc_id")
+    at = occurrences if "t" in occurrences.columns else occurrences.join(clocked.select("doc_id", "sent_id", "t"), ["doc_id", "sent_id"])
+    binned = at.select(book, "doc_id", "term", "n_words", "t").join(setup.select("doc_id", "t0", "width", "all_bins"), "doc_id")
     binned = binned.withColumn("bin", F.floor((F.col("t") - F.col("t0")) / F.col("width")).cast("long"))
-    per_bin = binned.groupBy(book, "term", "n_words", "all_bins", "doc_id", "bin").agg(F.sum("x").alias("x"))
+    per_bin = binned.groupBy(book, "term", "n_words", "all_bins", "doc_id", "bin").agg(F.count(F.lit(1)).alias("x"))
     per_term = per_bin.groupBy(book, "term", "n_words", "all_bins").agg(F.sum("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
     return per_term.withColumn("score", spread(F.col("n").cast("double"), F.col("q").cast("double"), F.col("all_bins")) * F.col("n_words"))
 

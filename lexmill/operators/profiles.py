@@ -43,15 +43,15 @@ def spread(s: Column, q: Column, bins: Column) -> Column:
 def stdev_ranks(occurrences: DataFrame, clocked: DataFrame, parts: DataFrame, key: str = "doc_id") -> DataFrame:
     """Burstiness of terms: stddev of the binned profile times the number of words, for each value of parts.
 
-    ``occurrences`` (key, sent_id, term, n_words), ``clocked`` (key, sent_id, t), ``parts`` (key,
-    parts). Only bins with occurrences are built; empty ones enter through the number of bins.
+    ``occurrences`` (key, sent_id, term, n_words, and the clock ``t`` if they carry it), ``clocked`` (key, sent_id, t),
+    ``parts`` (key, parts). Only bins with occurrences are built; empty ones enter through the number of bins.
+    Occurrences taken from clocked sentences need no join with them, and stay where their document is.
     """
-    ends = clock_ends(clocked, key)
-    counts = occurrences.groupBy(key, "term", "n_words", "sent_id").agg(F.count(F.lit(1)).alias("x"))
-    at = counts.join(clocked.select(key, "sent_id", "t"), [key, "sent_id"])
-    setup = parts.join(ends, key).withColumn("width", interval(F.col("total"), F.col("parts"))).withColumn("bins", F.floor((F.col("total") - F.col("t0")) / F.col("width")).cast("long") + 1)
-    binned = at.join(setup, key).withColumn("bin", F.floor((F.col("t") - F.col("t0")) / F.col("width")).cast("long"))
-    per_bin = binned.groupBy(key, "term", "n_words", "parts", "bins", "bin").agg(F.sum("x").alias("x"))
+    at = occurrences if "t" in occurrences.columns else occurrences.join(clocked.select(key, "sent_id", "t"), [key, "sent_id"])
+    setup = parts.join(clock_ends(clocked, key), key).withColumn("width", interval(F.col("total"), F.col("parts")))
+    setup = setup.select(key, "parts", "t0", "width", (F.floor((F.col("total") - F.col("t0")) / F.col("width")).cast("long") + 1).alias("bins"))
+    binned = at.select(key, "term", "n_words", "t").join(setup, key).withColumn("bin", F.floor((F.col("t") - F.col("t0")) / F.col("width")).cast("long"))
+    per_bin = binned.groupBy(key, "term", "n_words", "parts", "bins", "bin").agg(F.count(F.lit(1)).alias("x"))
     per_term = per_bin.groupBy(key, "term", "n_words", "parts", "bins").agg(F.sum("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
     return per_term.withColumn("score", spread(F.col("n").cast("double"), F.col("q").cast("double"), F.col("bins")) * F.col("n_words"))
 

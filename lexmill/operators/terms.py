@@ -34,24 +34,24 @@ def vocabulary(tokens: DataFrame, stopwords: DataFrame, shortest: int = 3) -> Da
     return without_stopwords(tokens.select("word").distinct().where((F.length("word") >= shortest) & ~F.col("word").rlike("^[0-9]")), stopwords)
 
 
-def candidates(sents: DataFrame, stop: list[str], most: int = 2, key: str = "doc_id") -> DataFrame:
+def candidates(sents: DataFrame, stop: list[str], most: int = 2, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of candidate terms: runs of 1..``most`` words of three letters or more without a stop word.
 
-    This is this engine's own definition of a candidate. Rows: key, sent_id, pos, term, n_words.
+    This is this engine's own definition of a candidate; ``groups.noun_groups`` is another. Rows: key, sent_id, the
+    columns of ``carry``, pos, term, n_words. Words are judged once; runs are built where they begin.
     """
-    bad = F.array(*map(F.lit, stop))
-    ok = lambda w: (F.length(w) >= 3) & ~F.array_contains(bad, w)
-    size = F.size("words")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(most)),
-            lambda n: F.when(
-                size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(i.cast("long").alias("pos"), F.slice(F.col("words"), i + 1, n).alias("w")))
-            ).otherwise(F.array().cast("array<struct<pos:bigint,w:array<string>>>")),
-        )
-    )
-    rows = sents.select(key, "sent_id", F.explode(F.filter(spans, lambda s: F.forall(s["w"], ok))).alias("s"))
-    return rows.select(key, "sent_id", "s.pos", F.array_join("s.w", " ").alias("term"), F.size("s.w").cast("long").alias("n_words"))
+    good = F.transform("words", lambda w: (F.length(w) >= 3) & ~w.isin(*stop))
+    marked = sents.select(key, "sent_id", *carry, "words", good.alias("good"))
+
+    def runs(w: Column, i: Column) -> Column:
+        whole, found = F.lit(True), [F.struct(i.cast("long").alias("pos"), w.alias("term"), F.lit(1).cast("long").alias("n_words"))]
+        for n in range(2, most + 1):
+            whole = whole & F.coalesce(F.get("good", i + (n - 1)), F.lit(False))
+            found.append(F.when(whole, F.struct(i.cast("long").alias("pos"), F.array_join(F.slice("words", i + 1, n), " ").alias("term"), F.lit(n).cast("long").alias("n_words"))))
+        return F.when(F.get("good", i), F.array(*found))
+
+    spans = F.filter(F.flatten(F.filter(F.transform("words", runs), lambda x: x.isNotNull())), lambda x: x.isNotNull())
+    return marked.select(key, "sent_id", *carry, F.explode(spans).alias("s")).select(key, "sent_id", *carry, "s.pos", "s.term", "s.n_words")
 
 
 def frequencies(occurrences: DataFrame, least: int = 1, key: str = "doc_id") -> DataFrame:

@@ -95,7 +95,12 @@ STDEV = """CASE WHEN bins > 1 THEN sqrt(greatest(0, (q - s * s / bins) / (bins -
 
 
 def occurrences(sentences: DataFrame) -> DataFrame:
-    return terms.candidates(sentences, STOP)
+    """Candidates; those of clocked sentences carry the clock."""
+    return terms.candidates(sentences, STOP, carry=("t",) if "t" in sentences.columns else ())
+
+
+def book_occurrences(sentences: DataFrame) -> DataFrame:
+    return terms.candidates(sentences, STOP, carry=("book", "t") if "t" in sentences.columns else ("book",))
 
 
 def rounded(column: str, digits: int = 6):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators import corpus, evaluation, terms
+from lexmill.operators.rounds import settled
 
-from .base import CANDIDATES, PRE, STOP, documents, query, quoted, rounded, sentence_sql, sents_of_books, table, words_frame
+from .base import CANDIDATES, PRE, STOP, book_occurrences, documents, query, quoted, rounded, sentence_sql, sents_of_books, table, words_frame
 
 TOP = 60
 SETS = (
@@ -45,30 +47,34 @@ KEYS = ("subject", "alg", "expert")
 
 
 def _rankings(spark, d):
-    s = sents_of_books(spark, d)
-    occ = terms.candidates(s.select(F.struct("book", "doc_id").alias("k"), "sent_id", "words"), STOP, key="k")
-    counts = occ.groupBy(F.col("k.book").alias("subject"), "term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k.doc_id").alias("df"))
-    by = [terms.top(counts.select("subject", "term", F.col(c).alias("score")), "score", TOP, "subject").withColumn("alg", F.lit(a)) for a, c in (("freq", "n"), ("df", "df"))]
-    return by[0].unionByName(by[1]).select("subject", "alg", "term", "rank")
+    """The first terms of each source by count and by document frequency: a few rows a source, ranked once and kept."""
+    found = book_occurrences(sents_of_books(spark, d)).groupBy(F.col("book").alias("subject"), "term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("df"))
+    place = lambda c: F.row_number().over(W.partitionBy("subject").orderBy(F.desc(c), "term")).cast("long")
+    ranked = found.select("subject", "term", place("n").alias("by_n"), place("df").alias("by_df"))
+    both = F.array(*[F.struct(F.lit(a).alias("alg"), F.col(c).alias("rank")) for a, c in (("freq", "by_n"), ("df", "by_df"))])
+    return settled(ranked.select("subject", "term", F.inline(both)).where(F.col("rank") <= TOP).select("subject", "alg", "term", "rank"))
 
 
 def _tests(spark, d):
     items = corpus.sentences(table(spark, d, "benchmark").select("item_id", "text"), "item_id")
     found = terms.candidates(items, STOP, key="item_id").select(F.col("term").alias("item")).distinct()
-    return found.withColumn("expert", F.lit("all")).unionByName(found.where(F.length("item") >= 7).withColumn("expert", F.lit("long")))
+    return settled(found.withColumn("expert", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.length("item") >= 7, "long"))))))
 
 
-def _judged(spark, d):
-    ranked, tests = _rankings(spark, d), _tests(spark, d)
-    subjects = ranked.select("subject").distinct()
+def _judged_with(ranked, tests):
     experts = tests.select("expert").distinct()
-    pairs = subjects.join(F.broadcast(experts))  # the names of the test sets
-    best = evaluation.relevance(ranked.select("term").distinct().withColumn("rank", F.lit(0)).join(F.broadcast(experts)), tests, "expert").select("expert", "term", "relevance")
-    return ranked.join(pairs, "subject").join(best, ["expert", "term"])
+    best = evaluation.relevance(ranked.select("term").distinct().withColumn("rank", F.lit(0)).join(F.broadcast(experts)), tests, "expert").select("expert", "term", "relevance")  # the names of the test sets
+    return ranked.join(best, "term")
+
+
+def _judged(spark, d):
+    return _judged_with(_rankings(spark, d), _tests(spark, d))
 
 
 def _at_k(spark, d):
-    return evaluation.at_k(_judged(spark, d), _tests(spark, d).groupBy("expert").agg(F.count(F.lit(1)).alias("n_items")).join(_rankings(spark, d).select("subject", "alg").distinct()), *KEYS)
+    ranked, tests = _rankings(spark, d), _tests(spark, d)
+    sizes = tests.groupBy("expert").agg(F.count(F.lit(1)).alias("n_items")).join(ranked.select("subject", "alg").distinct())
+    return evaluation.at_k(_judged_with(ranked, tests), sizes, *KEYS)
 
 
 @query(SETS + " SELECT subject, alg, expert, rank::BIGINT AS rank, term, round(relevance, 6) AS relevance FROM judged")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import scores
 from lexmill.operators import collection, corpus, families, profiles, terms
 
-from .base import CANDIDATES, CLOCK, PRE, STDEV, STOP, WANTED, clocked, documents, occurrences, parts_by_sentences, query, quoted, rounded, sents, sents_of_books, words_frame
+from .base import CANDIDATES, CLOCK, PRE, STDEV, STOP, WANTED, book_occurrences, clocked, documents, occurrences, parts_by_sentences, query, quoted, rounded, sents, sents_of_books, words_frame
 
 RAW = f""",
     raw AS (SELECT doc_id, w AS term, t, len(list_filter(words, lambda x: x = w))::BIGINT AS n FROM clocked, (SELECT unnest([{quoted(WANTED)}]) AS w))"""
@@ -56,10 +56,9 @@ RANKED = """,
 
 
 def _ranks(spark, d, ks, least):
-    s = sents(spark, d)
-    clock = clocked(s)
+    clock = clocked(sents(spark, d))
     parts = parts_by_sentences(clock, ks)
-    occ = occurrences(s)
+    occ = occurrences(clock)
     found = profiles.stdev_ranks(occ, clock, parts.select("doc_id", "parts").distinct()).where(F.col("n") >= least)
     return found.join(parts, ["doc_id", "parts"]).select("doc_id", "term", F.col("k").cast("long").alias("k"), F.col("parts").cast("long").alias("parts"), "n", rounded("score"))
 
@@ -76,14 +75,12 @@ def stdev_rank_multi_parts(spark, d):
 
 def flagship(spark, d, per_part=10, least=3, most=30):
     """Terms that are among the first both by frequency and by burstiness, for each document."""
-    s = sents(spark, d)
-    clock = clocked(s)
-    occ = occurrences(s)
+    clock = clocked(sents(spark, d))
     parts = parts_by_sentences(clock, [per_part]).select("doc_id", "parts")
-    by_stdev = profiles.stdev_ranks(occ, clock, parts).where(F.col("n") >= least).withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
-    first = terms.top(by_stdev.select("doc_id", "term", "n", "score"), "n", most, "doc_id").select("doc_id", "term", "n", F.col("rank").alias("freq_rank"), "score")
-    second = terms.top(by_stdev.select("doc_id", "term", "score"), "score", most, "doc_id").select("doc_id", "term", F.col("rank").alias("stdev_rank"))
-    return first.join(second, ["doc_id", "term"]).select("doc_id", "term", "n", "freq_rank", "stdev_rank", "score")
+    found = profiles.stdev_ranks(occurrences(clock), clock, parts).where(F.col("n") >= least).select("doc_id", "term", "n", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    place = lambda c: F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(c), "term")).cast("long")
+    ranked = found.withColumn("freq_rank", place("n")).withColumn("stdev_rank", place("score"))
+    return ranked.where((F.col("freq_rank") <= most) & (F.col("stdev_rank") <= most)).select("doc_id", "term", "n", "freq_rank", "stdev_rank", "score")
 
 
 FLAGSHIP_SQL = (
@@ -120,14 +117,9 @@ BOOK = """,
     book_counts AS MATERIALIZED (SELECT b.book, o.doc_id, o.term, o.n_words, count(*) AS n FROM occ o JOIN books b USING (doc_id) GROUP BY ALL)"""
 
 
-def _book_counts(s):
-    occ = terms.candidates(s.select(F.struct("book", "doc_id").alias("k"), "sent_id", "words"), STOP, key="k")
-    return occ.select("k.book", "k.doc_id", "sent_id", "term", "n_words")
-
-
 @query(PRE + CANDIDATES + BOOK + " SELECT book, term, sum(n)::BIGINT AS n, string_agg(DISTINCT term, ' ') AS first_words FROM book_counts GROUP BY book, term HAVING sum(n) >= 3")
 def merge_similar_terms(spark, d):
-    counts = _book_counts(sents_of_books(spark, d)).groupBy("book", "doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = book_occurrences(sents_of_books(spark, d)).groupBy("book", "doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
     merged = terms.merge_similar(counts.withColumn("words", F.split("term", " ")).withColumn("ord", F.col("doc_id")), "book")
     return merged.where("n >= 3").select("book", "term", "n", F.array_join("words", " ").alias("first_words"))
 
@@ -140,7 +132,7 @@ def merge_similar_terms(spark, d):
     SELECT * FROM (SELECT book, term, n, row_number() OVER (PARTITION BY book ORDER BY n DESC, term)::BIGINT AS rank FROM merged) WHERE rank <= 50"""
 )
 def booklet_candidates(spark, d):
-    counts = _book_counts(sents_of_books(spark, d)).groupBy("book", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = book_occurrences(sents_of_books(spark, d)).groupBy("book", "term").agg(F.count(F.lit(1)).alias("n"))
     return terms.top(counts, "n", 50, "book")
 
 
@@ -194,10 +186,9 @@ def _book_stdev(parts):
 
 
 def _book_ranks(spark, d, parts):
-    s = sents_of_books(spark, d)
-    clock = corpus.word_clock(s)
+    clock = corpus.word_clock(sents_of_books(spark, d))
     ends = profiles.clock_ends(clock, "book", "doc_id")
-    ranks = collection.stdev_ranks(_book_counts(s), ends, clock, parts)
+    ranks = collection.stdev_ranks(book_occurrences(clock), ends, clock, parts)
     return ranks.where((F.col("n") >= 3) & (F.length("term") >= 2)).select("book", "term", "n", rounded("score"))
 
 
