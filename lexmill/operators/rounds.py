@@ -3,21 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="lexmill-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared(spark)}/lexmill/{label}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the session's shared folder; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df`` from a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-        if not shared and not local:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 

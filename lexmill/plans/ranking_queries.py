@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.functions import scores
-from lexmill.operators import collection, corpus, families, profiles, terms
+from lexmill.operators import book, collection, corpus, extraction, families, profiles, rounds, sketches, terms
+from lexmill.streaming import profiles as stream_profiles
 
-from .base import CANDIDATES, CLOCK, PRE, STDEV, STOP, WANTED, book_occurrences, clocked, documents, occurrences, parts_by_sentences, query, quoted, rounded, sents, sents_of_books, words_frame
+from .base import CANDIDATES, CLOCK, PRE, STDEV, STOP, WANTED, book_occurrences, clocked, documents, occurrences, parts_by_sentences, query, quoted, rounded, sents, sents_of_books, table, words_frame
 
 RAW = f""",
     raw AS (SELECT doc_id, w AS term, t, len(list_filter(words, lambda x: x = w))::BIGINT AS n FROM clocked, (SELECT unnest([{quoted(WANTED)}]) AS w))"""
@@ -43,6 +43,26 @@ def compressed_profile(spark, d):
     return _bins(spark, d, 10)
 
 
+@query(
+    PRE
+    + f""", clocked AS (SELECT doc_id, sent_id, words, sum(n_words) OVER (PARTITION BY doc_id ORDER BY sent_id) AS t FROM sents),
+    starts AS (SELECT doc_id, min(t) AS t0 FROM clocked GROUP BY doc_id),
+    hits AS (SELECT doc_id, t, unnest(words) AS term FROM clocked)
+    SELECT h.doc_id, ((h.t - s.t0) // 200)::BIGINT AS bin, h.term, count(*)::BIGINT AS n FROM hits h JOIN starts s ON s.doc_id = h.doc_id WHERE h.term IN ({quoted(WANTED)}) GROUP BY ALL"""
+)
+def profile_stream(spark, d):
+    """Bins of 200 words of each document, emitted by a stream that reads the documents in three batches."""
+    s = sents(spark, d)
+    last = W.partitionBy("doc_id")
+    rows = s.select("doc_id", "sent_id", "words", (F.col("sent_id") == F.max("sent_id").over(last)).alias("is_last"), (F.col("sent_id") * 3 / (F.max("sent_id").over(last) + 1)).cast("int").alias("batch"))
+    source, sink, check = (rounds.scratch(spark, f"profile-{x}") for x in ("in", "out", "check"))
+    rows = rounds.settled(rows)
+    for i in range(3):
+        rows.where(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(source)
+    stream_profiles.run_to_table(spark, source, sink, check, WANTED, 200)
+    return spark.read.schema("doc_id long, bin long, term string, n long").parquet(sink)
+
+
 RANKED = """,
     counted AS (SELECT doc_id, term, n_words, sent_id, count(*) AS x FROM occ GROUP BY ALL),
     setup AS (
@@ -112,6 +132,23 @@ def rank_union_diff(spark, d):
     return tops.groupBy("doc_id", "term").agg(F.when(has(5) & has(10), "both").when(has(5), "only 5").otherwise("only 10").alias("found"))
 
 
+@query(
+    PRE.replace("FROM documents", "FROM (SELECT * FROM documents WHERE len(text) > 100)")
+    + CLOCK
+    + CANDIDATES
+    + RANKED.format(ks="5, 10", stdev=STDEV, least=3)
+    + """, every_rank AS (
+      SELECT doc_id, 'stdev' || k AS alg, term, round(coalesce(score, 0), 6) AS score FROM ranks
+      UNION ALL SELECT doc_id, 'freq', term, count(*) FROM occ WHERE doc_id IN (SELECT doc_id FROM setup) GROUP BY doc_id, term HAVING count(*) >= 3),
+    cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, alg ORDER BY score DESC, term) AS r FROM every_rank) WHERE r <= 30),
+    asked AS (SELECT doc_id, count(DISTINCT alg) AS every FROM cut GROUP BY doc_id)
+    SELECT c.doc_id, c.term FROM cut c JOIN asked a ON a.doc_id = c.doc_id GROUP BY c.doc_id, c.term, a.every HAVING count(DISTINCT alg) = a.every"""
+)
+def process_text(spark, d):
+    """The terms all rankings of a document agree on, as the command line extracts them."""
+    return extraction.agreed(extraction.rankings(documents(spark, d), STOP, sent_by_part=[5, 10], min_count=3, limit=30))
+
+
 BOOK = """,
     books AS (SELECT doc_id, source AS book FROM documents),
     book_counts AS MATERIALIZED (SELECT b.book, o.doc_id, o.term, o.n_words, count(*) AS n FROM occ o JOIN books b USING (doc_id) GROUP BY ALL)"""
@@ -141,11 +178,50 @@ def document_frequency(spark, d):
     return collection.document_frequency(corpus.word_counts(sents(spark, d), "doc_id").withColumnRenamed("word", "term"))
 
 
+def _books(spark, d):
+    return book.Books(documents(spark, d).select(F.col("source").alias("book"), "doc_id", "text"), STOP)
+
+
+@query(PRE + " SELECT d.source AS book, count(DISTINCT s.doc_id)::BIGINT AS chapters, count(*)::BIGINT AS n_sentences, sum(n_words)::BIGINT AS n_words FROM sents s JOIN documents d USING (doc_id) GROUP BY d.source")
+def book_sizes(spark, d):
+    return _books(spark, d).sizes()
+
+
+@query(PRE + f" SELECT d.source AS book, t.word, count(*)::BIGINT AS n FROM tokens t JOIN documents d USING (doc_id) WHERE t.word IN ({quoted(WANTED)}) GROUP BY ALL")
+def book_count_of(spark, d):
+    return _books(spark, d).count_of(words_frame(spark, WANTED))
+
+
+@query(PRE + CANDIDATES + BOOK + " SELECT book, term, count(DISTINCT doc_id)::BIGINT AS df FROM book_counts GROUP BY book, term")
+def book_document_frequency(spark, d):
+    return _books(spark, d).document_frequency()
+
+
 @query()
 def document_frequency_approx(spark, d):
     return collection.document_frequency(corpus.word_counts(sents(spark, d), "doc_id").withColumnRenamed("word", "term"), approximate=True)
 
 
+@query()
+def document_frequency_sketch(spark, d):
+    """Estimates from stored sketches: those of the languages, taken in one after the other and merged by term."""
+    docs = documents(spark, d).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    counts = corpus.word_counts(sents(spark, d), "doc_id").withColumnRenamed("word", "term").join(docs, "doc_id")
+    path = rounds.scratch(spark, "sketches")
+    sketches.document_frequency(counts, "lang").write.partitionBy("lang").parquet(path)
+    stored = spark.read.parquet(path)
+    return sketches.estimate(sketches.merge(sketches.add(stored, stored, "lang", "term"), "term"), "df")
+
+
+@query("SELECT event_type, count(DISTINCT user_id)::BIGINT AS users, TRUE AS near FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY event_type")
+def daily_sketches_merged(spark, d):
+    """Users of each type of event, and whether the estimate from a sketch a day is within 6 % (four standard errors) of them."""
+    rows = table(spark, d, "events").where("ts is not null and user_id is not null").select("event_type", F.to_date("ts").alias("day"), "user_id")
+    found = sketches.estimate(sketches.merge(sketches.sketch(rows, "user_id", "event_type", "day"), "event_type"), "estimate")
+    exact = rows.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(found, "event_type").select("event_type", "users", (F.abs(F.col("estimate") - F.col("users")) <= 0.06 * F.col("users")).alias("near"))
+
+
 RELEVANT = (
     PRE
     + f""",

@@ -88,6 +88,20 @@ def write_terms(terms: DataFrame, path: str, **parameters) -> None:
     lines.unionByName(body).orderBy("part", "no", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_terms_by_text(texts: DataFrame, terms: DataFrame, path: str, parameters: str, key: str = "file") -> None:
+    """A result for each text (key), in a folder named by it: ``#`` lines with source, parameters and number of terms, a blank line, the terms in code-point order.
+
+    Texts without terms have a result of the head alone. Each text is written by one task, all texts by many.
+    """
+    n = terms.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    head = texts.select(key).distinct().join(n, key, "left").select(
+        key, F.lit(0).alias("part"), F.posexplode(F.array(F.concat(F.lit("# Source text: "), F.col(key)), F.lit(f"# Parameters : {parameters}"), F.concat(F.lit("# Terms extracted: "), F.coalesce("n", F.lit(0)).cast("string")), F.lit(""))).alias("no", "value")
+    )
+    body = terms.select(key, F.lit(1).alias("part"), F.lit(0).alias("no"), F.col("term").alias("value"))
+    named = head.unionByName(body).withColumn("text", F.element_at(F.split(key, "/"), -1))
+    named.repartition(key).sortWithinPartitions("text", key, "part", "no", "value").select("text", "value").write.mode("overwrite").partitionBy("text").text(path)
+
+
 def stored_result(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
