@@ -14,51 +14,79 @@ SKIPPED = {"script", "style", "nav", "noscript", "head"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "source", "area", "base", "col", "embed", "wbr"}
 
 
+#: Elements that begin and end a stretch of text.
+BLOCKS = {"p", "div", "h1", "h2", "h3", "li", "article", "body", "ul", "ol"}
+
+
 class _Page(HTMLParser):
-    """Title, headings, paragraphs, and (class, text, href) of marked elements, without skipped parts and advertisements."""
+    """Title, headings, paragraphs, and (class, text, href) of marked elements, without skipped parts and advertisements.
+
+    A marked block gives each of its stretches of text, a marked element inside a line its own text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title, self.paragraphs, self.headings, self.marked, self.links = "", [], [], [], []
-        self.stack: list[tuple[str, str]] = []
+        self.stack: list[list] = []  # tag, class, and for an element inside a line where its text begins in the buffer
         self.buffer: list[str] = []
         self.open_title = False
 
+    def text_from(self, start: int) -> str:
+        return " ".join("".join(self.buffer[start:]).split())
+
     def flush(self) -> None:
-        text = " ".join("".join(self.buffer).split())
-        self.buffer = []
+        text = self.text_from(0)
         if text:
-            tag = next((t for t, _ in reversed(self.stack) if t in ("h1", "h2", "h3", "p", "li", "article", "div", "body")), "p")
+            tag = next((t for t, *_ in reversed(self.stack) if t in ("h1", "h2", "h3", "p", "li", "article", "div", "body")), "p")
             (self.headings if tag in ("h1", "h2", "h3") else self.paragraphs).append(text)
-            for _, name in self.stack:
-                if name:
-                    self.marked.append((name, text))
+            for entry in self.stack:
+                if entry[1] and entry[2] is None:
+                    self.marked.append((entry[1], text))
+        for entry in self.stack:
+            if entry[2] is not None:
+                self.mark(entry)
+                entry[2] = 0
+        self.buffer = []
+
+    def mark(self, entry: list) -> None:
+        if entry[1] and entry[2] is not None and (text := self.text_from(entry[2])):
+            self.marked.append((entry[1], text))
+
+    def close_last(self) -> str:
+        entry = self.stack.pop()
+        self.mark(entry)
+        return entry[0]
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in ("p", "div", "h1", "h2", "h3", "li", "article", "body", "br", "ul"):
+        if tag in BLOCKS or tag == "br":
             self.flush()
         if tag == "p" and self.stack and self.stack[-1][0] == "p":
-            self.stack.pop()
+            self.close_last()
+        if tag == "li":  # an item that was left open ends where the next one of its list begins
+            inner = [t for t, *_ in self.stack]
+            if "li" in inner and not any(t in ("ul", "ol") for t in inner[len(inner) - inner[::-1].index("li") :]):
+                while self.close_last() != "li":
+                    pass
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
         self.open_title |= tag == "title"
         if tag not in VOID:
-            self.stack.append((tag, a.get("class") or ""))
+            self.stack.append([tag, a.get("class") or "", None if tag in BLOCKS else len(self.buffer)])
 
     def handle_endtag(self, tag):
         if tag == "title":
             self.open_title = False
-        if tag in ("p", "div", "h1", "h2", "h3", "li", "article", "body"):
+        if tag in BLOCKS:
             self.flush()
-        if any(t == tag for t, _ in self.stack):
-            while self.stack and self.stack.pop()[0] != tag:
+        if any(t == tag for t, *_ in self.stack):
+            while self.stack and self.close_last() != tag:
                 pass
 
     def handle_data(self, data):
         if self.open_title:
             self.title += data
-        elif not any(t in SKIPPED or "ad" in c.split() for t, c in self.stack):
+        elif not any(t in SKIPPED or "ad" in c.split() for t, c, _ in self.stack):
             self.buffer.append(data)
 
 

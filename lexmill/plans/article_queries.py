@@ -87,6 +87,56 @@ def blog_posts(spark, d):
     return html.blog_post(html.parse(table(spark, d, "pages")))
 
 
+PLAIN = "trim(regexp_replace(substr(text, 1, {n}), '[^A-Za-z]+', ' ', 'g'))"
+RECORD = f"""SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 0 THEN 'title_not_found' ELSE 'ok' END AS status, CASE WHEN doc_id % 5 <> 0 THEN {PLAIN.format(n=40)} END AS title, lang AS topic,
+      (2000 + doc_id % 20)::VARCHAR AS year, source || '|other' AS authors, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || '|' || source END AS keywords, 'a' || {PLAIN.format(n=90)} AS abstract, '/article/n/' || source || '|/article/n/b' AS similar"""
+
+
+def _plain(n):
+    return F.trim(F.regexp_replace(F.substring("text", 1, n), "[^A-Za-z]+", " "))
+
+
+def _library_pages(spark, d):
+    """Pages of a library made of documents: heading, topic, year, authors, keywords, abstract, advertisement, links."""
+    heading = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit('<h2 class="right-title">Текст научной работы на тему «'), _plain(40), F.lit("»</h2>"))).otherwise("<h2>x</h2>")
+    keywords = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit('<ul><li class="keyword">'), "lang", F.lit('<li class="hot keyword">'), "source", F.lit("</ul>")))
+    return documents(spark, d).select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(
+            F.lit('<html><head><title>t</title></head><body><nav class="year">1900</nav>'), heading, F.lit('<div class="infoblock-topic">'), "lang", F.lit('</div><div class="ad"><p class="abstract">buy</p></div><div class="year">'),
+            (2000 + F.col("doc_id") % 20).cast("string"), F.lit('</div><ul><li class="author"> '), "source", F.lit(' </li><li class="author">other</ul>'), keywords, F.lit('<p class="abstract">a'), _plain(90), F.lit('<p>second<a href="/article/n/'), "source",
+            F.lit('">s</a><a href="/else">e</a><a href="/article/n/b">b</a></body>'),
+        ).alias("html"),
+    )
+
+
+@query(RECORD + " FROM documents")
+def library_records(spark, d):
+    """Article records read back from pages that hold the markup of a library."""
+    found = html.library_article(html.parse(_library_pages(spark, d)))
+    joined = [F.array_join(c, "|").alias(c) for c in ("authors", "keywords", "similar")]
+    return found.select("page_id", "status", "title", "topic", "year", joined[0], joined[1], "abstract", joined[2])
+
+
+@query(
+    f"""SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 0 THEN 'not_found' ELSE 'ok' END AS status, CASE WHEN doc_id % 4 <> 0 THEN 't' || {PLAIN.format(n=30)} END AS title, '2024-01-' || (10 + doc_id % 20) AS time,
+      CASE WHEN doc_id % 3 = 0 THEN 'Unspecified' ELSE lang END AS type, source || '|' || lang AS hubs, 'код' AS tags, 'x' || {PLAIN.format(n=120)} AS text FROM documents"""
+)
+def blog_records(spark, d):
+    """Post records read back from pages that hold the markup of a blog."""
+    title = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit('<h1><span class="post__title-text">t'), _plain(30), F.lit("</span></h1>")))
+    kind = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit('<div><span class="post__type-label">'), "lang", F.lit("</span></div>")))
+    pages = documents(spark, d).select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(
+            F.lit("<html><body>"), title, F.lit('<div><span class="post__time">2024-01-'), (10 + F.col("doc_id") % 20).cast("string"), F.lit("</span></div>"), kind, F.lit('<ul><li><a class="inline-list__item-link hub-link">'), "source", F.lit('</a></li><li><a class="hub-link">'), "lang",
+            F.lit('</a></li></ul><div class="post__text">x'), _plain(120), F.lit('</div><ul><li><a class="post__tag">код</a></ul></body></html>'),
+        ).alias("html"),
+    )
+    found = html.blog_post(html.parse(pages))
+    return found.select("page_id", "status", "title", "time", "type", F.array_join("hubs", "|").alias("hubs"), F.array_join("tags", "|").alias("tags"), "text")
+
+
 @query("SELECT page_id, len(regexp_replace(html, '(?is)<div class=\"ad\">.*?</div>', '', 'g'))::BIGINT AS size FROM pages")
 def drop_ads(spark, d):
     """Pages without their advertisement blocks (which hold no further blocks)."""

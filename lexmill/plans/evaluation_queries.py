@@ -170,3 +170,26 @@ def eval_text(spark, d):
     """Short texts repeated to at least 1000 characters."""
     docs = documents(spark, d).where(F.length("text") < 1000)
     return docs.select("doc_id", F.length(evaluation.eval_text(F.col("text"), 1000)).cast("long").alias("size"))
+
+
+EVALUATIONS = ", sized AS (SELECT e.subject, e.alg, e.expert, count(*)::BIGINT AS n_ranked, any_value(i.n_items)::BIGINT AS n_items FROM evals e JOIN n_items i ON i.expert = e.expert GROUP BY e.subject, e.alg, e.expert)"
+
+
+def _evaluations(spark, d):
+    """What is evaluated: each ranking with each test set, and how long both are."""
+    ranked, tests = _rankings(spark, d), _tests(spark, d)
+    sizes = ranked.groupBy("subject", "alg").agg(F.count(F.lit(1)).alias("n_ranked"))
+    return sizes.join(F.broadcast(tests.groupBy("expert").agg(F.count(F.lit(1)).alias("n_items")))).select("subject", "alg", "expert", "n_ranked", "n_items")  # the names of the test sets
+
+
+@query(SETS + EVALUATIONS + " SELECT * FROM sized WHERE expert = 'long' AND n_ranked >= 60 AND n_items > 0")
+def valid_evaluations(spark, d):
+    """Evaluations of one expert with enough ranked terms and a test set."""
+    return evaluation.valid(_evaluations(spark, d), "long", 60)
+
+
+@query(SETS + EVALUATIONS + " SELECT *, contains(subject, '1') AS marked FROM sized WHERE contains(alg, 'f') AND NOT contains(alg, 'freq')")
+def named_evaluations(spark, d):
+    """Evaluations by the names of their algorithms: with one mark, and without another."""
+    rows = evaluation.named(evaluation.named(_evaluations(spark, d), "f"), "freq", without=True)
+    return rows.withColumn("marked", F.col("subject").contains("1"))

@@ -120,27 +120,6 @@ def group_totals(spark, d):
     return articles.group_sizes(documents(spark, d), "lang", "source").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_articles"))
 
 
-ORDERS = "SELECT o_custkey, o_orderpriority AS alg, CASE WHEN o_custkey % 2 = 0 THEN 'E1' ELSE 'E2' END AS expert, count(*)::BIGINT AS n_ranked, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS n_items FROM orders GROUP BY ALL"
-
-
-def _evaluations(spark, d):
-    expert = F.when(F.col("o_custkey") % 2 == 0, "E1").otherwise("E2").alias("expert")
-    return table(spark, d, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("alg"), expert).agg(F.count(F.lit(1)).alias("n_ranked"), F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("n_items"))
-
-
-@query(f"SELECT * FROM ({ORDERS}) WHERE expert = 'E1' AND n_ranked >= 3 AND n_items > 0")
-def valid_evaluations(spark, d):
-    """Evaluations of one expert with enough ranked entries and a test set."""
-    return evaluation.valid(_evaluations(spark, d), "E1", 3)
-
-
-@query(f"SELECT *, contains(alg, '-') AND contains(alg, 'U') AS marked FROM ({ORDERS}) WHERE contains(alg, '-') AND NOT contains(alg, 'LOW')")
-def named_evaluations(spark, d):
-    """Evaluations by their names: with one mark, and without another."""
-    rows = evaluation.named(evaluation.named(_evaluations(spark, d), "-"), "LOW", without=True)
-    return rows.withColumn("marked", F.col("alg").contains("U"))
-
-
 SPLIT = "regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(t, '([.!?])\\s+([A-ZА-ЯЁ])', '\\1' || chr(1) || '\\2', 'g'), '(\\n)\\s+([A-ZА-ЯЁ])', '\\1' || chr(2) || '\\2', 'g'), chr(2) || '([A-ZА-ЯЁ][A-ZА-ЯЁ])', ' \\1', 'g'), '[' || chr(1) || chr(2) || ']')"
 
 
