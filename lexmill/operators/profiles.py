@@ -157,6 +157,18 @@ def unit_profile(sents: DataFrame, members: DataFrame, key: str = "doc_id") -> D
     return named.groupBy(key, "term", "t").agg(F.sum("n").cast("long").alias("n"))
 
 
+def unit_occurrences(clocked: DataFrame, units: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Occurrences of units, lists of words and phrases that count as one: key, sent_id, term, n_words (1) and t, as rankings take them.
+
+    ``units``: term (the unit's name) and words (array), a row a member.
+    """
+    from lexmill.operators import corpus, terms
+
+    found = terms.phrase_occurrences(corpus.tokens(clocked, key), units.select(F.struct("term", "words").alias("term_id"), "words"), key)
+    named = found.select(key, "sent_id", F.col("term_id.term").alias("term"), F.lit(1).cast("long").alias("n_words"))
+    return named.join(clocked.select(key, "sent_id", "t"), [key, "sent_id"])
+
+
 def zero_below(column: Column, least: float) -> Column:
     return F.when(column >= least, column).otherwise(0)
 
