@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns that must cut texts at the same places and into the same words as the results to match.
 #: A sentence ends at a terminator before a capital, or at a blank line before a capitalised word.
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+(?=[A-ZА-ЯЁ])|(?<=\n)\s+(?=[A-ZА-ЯЁ](?![A-ZА-ЯЁ]))"
 WORD = r"(?U)[А-ЯЁа-яёA-Za-z]+(?:[-`']\w+)*"

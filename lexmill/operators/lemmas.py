@@ -26,18 +26,16 @@ def lemma_patterns(phrases: DataFrame, morph: DataFrame, phrase: str = "phrase")
 def same_lemmas(phrases: DataFrame, terms: DataFrame, morph: DataFrame) -> DataFrame:
     """Pairs (phrase, term) of the same length that share a lemma at every position.
 
-    The equi-join is on length and a lemma of the first word; the other words are compared in the joined row.
+    The equi-join is on length and lemmas of the first and the last word; the other words are compared in the joined row.
     """
     a = lemma_patterns(phrases, morph)
     b = lemma_patterns(terms, morph, "term").withColumnRenamed("lemmas", "others")
-    left = a.select("phrase", "lemmas", F.size("lemmas").alias("size"), F.explode(F.col("lemmas")[0]).alias("first"))
-    right = b.select("term", "others", F.size("others").alias("size"), F.explode(F.col("others")[0]).alias("first"))
+    ends = lambda df, name, c: df.select(name, c, F.size(c).alias("size"), F.explode(F.element_at(c, 1)).alias("first")).select("*", F.explode(F.element_at(c, -1)).alias("last"))
     same = F.forall(F.zip_with("lemmas", "others", lambda x, y: F.arrays_overlap(x, y)), lambda x: x)
-    return left.join(right, ["size", "first"]).where(same).select("phrase", "term").distinct()
+    return ends(a, "phrase", "lemmas").join(ends(b, "term", "others"), ["size", "first", "last"]).where(same).select("phrase", "term").distinct()
 
 
 def fitting(phrases: DataFrame, supers: DataFrame, morph: DataFrame) -> DataFrame:
-    """Phrases each of whose words shares a lemma with the super-term (size, lemmas) of their length at its place."""
-    allowed = supers.select("size", F.posexplode("lemmas").alias("pos", "ls")).select("size", "pos", F.explode("ls").alias("lemma")).distinct()
-    hits = lemma_places(phrases, morph).join(allowed, ["size", "pos", "lemma"], "left_semi")
+    """Phrases each of whose words has a lemma among the super-terms (size, pos, lemma) of their length at its place."""
+    hits = lemma_places(phrases, morph).join(supers.select("size", "pos", "lemma"), ["size", "pos", "lemma"], "left_semi")
     return hits.groupBy("phrase", "size").agg(F.countDistinct("pos").alias("n")).where("n = size").select("phrase")

@@ -32,11 +32,13 @@ def slots(pattern: Column) -> Column:
     return F.size(F.filter(tokens(pattern), lambda x: x == "T"))
 
 
-def terms_by_length(terms: DataFrame) -> DataFrame:
-    """Super-terms: for each length the union of lemmas at each position. ``terms``: words and lemmas."""
-    at = terms.select(F.size("words").alias("size"), F.posexplode("lemmas").alias("pos", "ls")).select("size", "pos", F.explode("ls").alias("lemma"))
-    per_pos = at.groupBy("size", "pos").agg(F.array_sort(F.collect_set("lemma")).alias("lemmas"))
-    return per_pos.groupBy("size").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemmas"))), lambda x: x["lemmas"]).alias("lemmas"))
+def super_terms(terms: DataFrame) -> DataFrame:
+    """Super-terms: size, pos and lemma of what may stand at each position of a term of each length. ``terms``: words and lemmas.
+
+    They stay rows, as many as there are; ``lemmas.fitting`` meets them by a join.
+    """
+    at = terms.select(F.size("words").alias("size"), F.posexplode("lemmas").alias("pos", "ls"))
+    return at.select("size", "pos", F.explode("ls").alias("lemma")).distinct()
 
 
 def length_tuples(lengths: DataFrame, k: int) -> DataFrame:
@@ -79,7 +81,7 @@ def laid_out(filled: DataFrame) -> DataFrame:
 def slot_rows(hit: DataFrame, key: str = "doc_id", supers: DataFrame | None = None, morph: DataFrame | None = None) -> DataFrame:
     """A row a slot of each place (key, sent_id, start, pattern, spans, and its words ``here``).
 
-    With ``supers`` (of ``terms_by_length``) and ``morph`` only places each of whose slots holds words with lemmas
+    With ``supers`` (of ``super_terms``) and ``morph`` only places each of whose slots holds words with lemmas
     of the super-term of that length.
     """
     hit = hit.select(key, "sent_id", F.col("start").cast("long").alias("pos"), "pattern", "spans", "here", F.posexplode("spans").alias("slot_no", "span"))

@@ -87,13 +87,12 @@ def best_lemma_scores(spark, d):
 @query(BASE + " SELECT DISTINCT size::INTEGER AS size, pos::INTEGER AS pos, lemma FROM places_of")
 def super_terms(spark, d):
     """Lemmas at each position of the known terms of each length."""
-    rows = _supers(spark, d).select("size", F.posexplode("lemmas").alias("pos", "ls"))
-    return rows.select("size", "pos", F.explode("ls").alias("lemma"))
+    return _supers(spark, d)
 
 
 def _supers(spark, d):
     known = _known(spark, d)
-    return patterns.terms_by_length(known.join(lemmas.lemma_patterns(known, _morph(spark, d), "term"), "term"))
+    return patterns.super_terms(known.join(lemmas.lemma_patterns(known, _morph(spark, d), "term"), "term"))
 
 
 @query(BASE + ", p AS (SELECT term, pos, array_to_string(list_sort(list(DISTINCT lemma)), ',') AS ls FROM places_of GROUP BY term, pos) SELECT term, string_agg(ls, ' ' ORDER BY pos) AS pattern FROM p GROUP BY term")

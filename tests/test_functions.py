@@ -7,6 +7,8 @@ from lexmill.functions import scores
 from lexmill.functions import text as tx
 from lexmill.operators import articles, corpus, families, patterns, profiles, terms
 
+# Inputs and results of small cases that are given or follow from the rules.
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
