@@ -9,7 +9,8 @@ a transaction may be as long as the log and no source's records meet in one task
 numbered by prefix sums inside blocks and over one row a block. Surviving writes are ordered by
 (commit, doc_id); the last of each key and epoch is compared with the key's write before it by ``lag``
 inside (key, chunk of epochs), a carried row standing for all earlier chunks; sums of these deltas are
-added up by a prefix sum inside chunks and over one row a chunk.
+added up by a prefix sum inside chunks and over one row a chunk. Only the sums of blocks and chunks, one row
+each and as many as there are shuffle partitions, are broadcast; joins with labels and summaries are never.
 
 Defined cases: rows without an id are no records; rows of one id come in the order of their text's
 digest, then of their source, and equal rows one after the other; a null source is a source of its own;
@@ -55,7 +56,7 @@ def records(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.when(kind == CHANGE, key).alias("key"), F.when(kind == CHANGE, value).alias("crc"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("digest"),
     )
     deleted = labels.where("toxic = 1").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("gone", F.lit(True))
-    return rows.join(deleted, "id", "left").select("id", "kind", "source", "key", F.when(F.col("gone").isNull(), F.col("crc")).alias("crc"), "digest")
+    return rows.join(deleted.hint("merge"), "id", "left").select("id", "kind", "source", "key", F.when(F.col("gone").isNull(), F.col("crc")).alias("crc"), "digest")
 
 
 class Source:
@@ -143,7 +144,7 @@ def _settled(events: DataFrame) -> DataFrame:
     later = W.partitionBy("source").orderBy("block").rowsBetween(1, W.unboundedFollowing)  # a row a block and source
     ahead = heads.select("source", "block", F.first("first", True).over(later).alias("next"), F.first("end", True).over(later).alias("ender"))
     open_ = events.where("event = 'open'").select("source", "block", "pos", "id", "key", "crc", F.col("fate").alias("state"))
-    met = open_.alias("o").join(ahead.alias("a"), F.col("o.source").eqNullSafe(F.col("a.source")) & (F.col("o.block") == F.col("a.block")))
+    met = open_.alias("o").join(ahead.hint("merge").alias("a"), F.col("o.source").eqNullSafe(F.col("a.source")) & (F.col("o.block") == F.col("a.block")))
     undone = (F.col("state") == "bare") & (F.col("next.fate") == "rollback")
     end = F.coalesce(F.when(undone, F.col("next")), F.col("ender"), F.expr("named_struct('fate', 'abort', 'fate_id', cast(null as long), 'fate_block', cast(null as int), 'fate_rank', cast(null as long))"))
     met = met.select("o.block", "pos", "id", "key", "crc", end.alias("f")).select("block", "pos", "id", "key", "crc", "f.*")
