@@ -56,94 +56,44 @@ def stdev_ranks(occurrences: DataFrame, clocked: DataFrame, parts: DataFrame, ke
     return per_term.withColumn("score", spread(F.col("n").cast("double"), F.col("q").cast("double"), F.col("bins")) * F.col("n_words"))
 
 
-#: Terms of a side of a tile, and cells of tiles that a task adds up before it hands them on.
+#: Terms of a side of a tile of pairs.
 TILE = 128
-HELD_CELLS = 1 << 21
 
 
-def cross_sums(bins: DataFrame, *keys: str) -> DataFrame:
-    """keys, w1, w2 and xy: the sum over bins of the product of two terms' values, for every ordered pair of a key's terms.
+def _vectors(bins: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """A row a term of a key: its number of bins, its sums, its bins with a value as a sparse vector, and how many tiles the key's terms fill."""
+    n = F.col("n").cast("double")
+    cells = F.collect_list(F.when(n != 0, F.struct("bin", n.alias("n"))))
+    vectors = settled(bins.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("m"), F.sum(n).alias("x"), F.sum(n * n).alias("xx"), cells.alias("cells")))
+    many = lambda count: F.ceil(count / F.lit(TILE)).cast("int")
+    if not keys:
+        return vectors.withColumn("tiles", many(F.lit(max(1, vectors.count()))))
+    return vectors.join(vectors.groupBy(*keys).agg(many(F.count(F.lit(1))).alias("tiles")), list(keys))
+
+
+def _pairs(vectors: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Every ordered pair of terms of a key, with both sides' sums and ``xy``, the sum of products over bins.
 
-    Bins (keys, bin, term, n) become sparse rows; each task adds their products into square tiles of terms, tiles
-    are added up, and only their cells become rows: no row is made for a pair and a bin.
+    Terms are dealt to tiles by hash; a tile of pairs is one key of the join, so a key with many terms is worked on by many
+    tasks, and a pair meets once, as two vectors, not once a bin.
     """
-    name = F.to_json(F.struct(*keys)) if keys else F.lit("")
-    cells = bins.withColumn("_k", name)
-    names = cells.select("_k", *keys, "term").distinct()
-    numbered = names.withColumn("_i", F.row_number().over(W.partitionBy("_k").orderBy("term")) - 1).withColumn("_v", F.count(F.lit(1)).over(W.partitionBy("_k")).cast("int"))
-    numbered = settled(numbered)
-    found = cells.where("n <> 0").select("_k", "bin", "term", F.col("n").cast("double").alias("n")).join(numbered.select("_k", "term", "_i", "_v"), ["_k", "term"])
-    rows = found.groupBy("_k", "bin", "_v").agg(F.array_sort(F.collect_list(F.struct("_i", "n"))).alias("c"))
-    rows = rows.select("_k", "_v", F.col("c._i").alias("at"), F.col("c.n").alias("n"))
-
-    def side(v, t):
-        return min(TILE, v - t * TILE)
-
-    def partial(batches):
-        import numpy as np
-        import pandas as pd
-
-        held: dict[tuple, np.ndarray] = {}
-        n_cells = 0
-
-        def out():
-            made = [(k, v, a, b, m.tobytes()) for (k, v, a, b), m in held.items()]
-            held.clear()
-            return pd.DataFrame(made, columns=["_k", "v", "a", "b", "sums"])
-
-        for pdf in batches:
-            for k, v, at, n in zip(pdf["_k"], pdf["_v"], pdf["at"], pdf["n"]):
-                at, n = np.asarray(at), np.asarray(n, float)
-                tiles = at // TILE
-                cuts = [0, *(np.flatnonzero(np.diff(tiles)) + 1), len(at)]
-                runs = [(int(tiles[i]), at[i:j] - tiles[i] * TILE, n[i:j]) for i, j in zip(cuts, cuts[1:])]
-                for x, (a, left, p) in enumerate(runs):
-                    for b, right, q in runs[x:]:
-                        if (k, v, a, b) not in held:
-                            held[k, v, a, b] = np.zeros((side(v, a), side(v, b)))
-                            n_cells += held[k, v, a, b].size
-                        held[k, v, a, b][np.ix_(left, right)] += np.outer(p, q)
-                if n_cells > HELD_CELLS:
-                    yield out()
-                    n_cells = 0
-        yield out()
-
-    def whole(pdf):
-        import numpy as np
-        import pandas as pd
-
-        k, v, a, b = pdf["_k"].iloc[0], int(pdf["v"].iloc[0]), int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        total = np.zeros((side(v, a), side(v, b)))
-        for raw in pdf["sums"]:
-            if raw:
-                total += np.frombuffer(raw).reshape(total.shape)
-        i, j = np.indices(total.shape)
-        first, second, xy = (i + a * TILE).ravel(), (j + b * TILE).ravel(), total.ravel()
-        if a != b:
-            first, second, xy = np.concatenate([first, second]), np.concatenate([second, first]), np.concatenate([xy, xy])
-        return pd.DataFrame({"_k": k, "i": first, "j": second, "xy": xy})
-
-    sums = rows.mapInPandas(partial, "_k string, v int, a int, b int, sums binary")
-    last = F.floor((F.col("_v") - 1) / TILE).cast("int")
-    every = numbered.select("_k", "_v").distinct().select("_k", "_v", F.explode(F.sequence(F.lit(0), last)).alias("a"))
-    every = every.select("_k", F.col("_v").alias("v"), "a", F.explode(F.sequence(F.col("a"), last)).alias("b"), F.lit(None).cast("binary").alias("sums"))
-    pairs = sums.unionByName(every).groupBy("_k", "v", "a", "b").applyInPandas(whole, "_k string, i int, j int, xy double")
-    left = numbered.select("_k", F.col("_i").alias("i"), F.col("term").alias("w1"), *keys)
-    right = numbered.select("_k", F.col("_i").alias("j"), F.col("term").alias("w2"))
-    return pairs.join(left, ["_k", "i"]).join(right, ["_k", "j"]).select(*keys, "w1", "w2", "xy")
+    own, every = F.pmod(F.xxhash64("term"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    a = vectors.select(*keys, F.col("term").alias("w1"), "m", "x", "xx", F.col("cells").alias("p"), own.alias("_a"), every.alias("_b"))
+    b = vectors.select(*keys, F.col("term").alias("w2"), F.col("x").alias("y"), F.col("xx").alias("yy"), F.map_from_entries("cells").alias("q"), own.alias("_b"), every.alias("_a"))
+    xy = F.aggregate("p", F.lit(0.0), lambda s, c: s + c["n"] * F.coalesce(F.try_element_at("q", c["bin"]), F.lit(0.0)))
+    return a.join(b, [*keys, "_a", "_b"]).withColumn("xy", xy).drop("_a", "_b", "p", "q")
+
+
+def cross_sums(bins: DataFrame, *keys: str) -> DataFrame:
+    """keys, w1, w2 and xy: the sum over bins of the product of two terms' values, for every ordered pair of a key's terms."""
+    return _pairs(_vectors(bins, keys), keys).select(*keys, "w1", "w2", "xy")
 
 
 def correlations(bins: DataFrame, *keys: str) -> DataFrame:
     """Pearson correlation of each ordered pair of terms over a key's bins (keys, bin, term, n; a cell for each bin); null without variation."""
-    n = F.col("n").cast("double")
-    bins = settled(bins.select(*keys, "bin", "term", "n"))
-    sums = bins.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("m"), F.sum(n).alias("x"), F.sum(n * n).alias("xx"))
-    one = sums.select(*keys, F.col("term").alias("w1"), "m", "x", "xx")
-    other = sums.select(*keys, F.col("term").alias("w2"), F.col("x").alias("y"), F.col("xx").alias("yy"))
-    rows = cross_sums(bins, *keys).join(one, [*keys, "w1"]).join(other, [*keys, "w2"])
     m, x, y = F.col("m"), F.col("x"), F.col("y")
     vx, vy = m * F.col("xx") - x * x, m * F.col("yy") - y * y
-    return rows.select(*keys, "w1", "w2", F.when((vx > 0) & (vy > 0), (m * F.col("xy") - x * y) / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
+    return _pairs(_vectors(bins, keys), keys).select(*keys, "w1", "w2", F.when((vx > 0) & (vy > 0), (m * F.col("xy") - x * y) / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
 
 
 def unit_profile(sents: DataFrame, members: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -95,7 +95,6 @@ def test_articles_through_authors(spark):
 @pytest.mark.parametrize("tile", [3, 128])
 def test_tiled_correlations(spark, monkeypatch, tile):
     monkeypatch.setattr(profiles, "TILE", tile)
-    monkeypatch.setattr(profiles, "HELD_CELLS", 20)
     rng = np.random.default_rng(1)
     tables = {k: pd.DataFrame(rng.poisson(0.7, (12, n)), columns=[f"t{i:02d}" for i in range(n)]) for k, n in ((1, 8), (2, 1), (3, 5))}
     tables[3]["t03"] = 0
