@@ -17,16 +17,16 @@ PIECES = 12
 def _keys(x: str) -> str:
     """SQL for an array of hashes that any two strings of equal length within the allowed edits share at least one of.
 
-    Up to ``ONE_EDIT`` letters one substitution is allowed: the string with one letter masked. Up to ``PIECES`` the
-    strings without two letters: two edits leave n - 2 letters in order. Beyond, pieces with their place; what lies
-    between an insertion and a deletion is moved by one place.
+    Up to ``ONE_EDIT`` letters one substitution is allowed: the string with one letter masked. Up to ``PIECES`` two edits
+    are two substitutions, the string with two letters masked, or an insertion and a deletion, the string without one
+    letter; strings that share such a key are within two edits. Beyond, pieces with their place: what lies between an
+    insertion and a deletion is moved by one place.
     """
-    n = f"length({x})"
-    masked = f"transform(sequence(1, {n}), i -> xxhash64({n}, overlay({x} PLACING chr(1) FROM i)))"
-    # chr(1) is no letter of a word
-    thinned = f"""flatten(transform(sequence(1, {n} - 1), i -> transform(sequence(i + 1, {n}), j ->
-        xxhash64({n}, concat(substring({x}, 1, i - 1), substring({x}, i + 1, j - i - 1), substring({x}, j + 1))))))"""
-    return f"case when {n} <= {ONE_EDIT} then {masked} when {n} < {PIECES} then {thinned} else {{pieces}} end"
+    n, mask = f"length({x})", "PLACING chr(1) FROM"  # chr(1) is no letter of a word
+    once = f"transform(sequence(1, {n}), i -> xxhash64({n}, overlay({x} {mask} i)))"
+    twice = f"flatten(transform(sequence(1, {n} - 1), i -> transform(sequence(i + 1, {n}), j -> xxhash64({n}, overlay(overlay({x} {mask} i) {mask} j)))))"
+    without = f"transform(sequence(1, {n}), i -> xxhash64({n}, -1, concat(substring({x}, 1, i - 1), substring({x}, i + 1))))"
+    return f"case when {n} <= {ONE_EDIT} then {once} when {n} < {PIECES} then concat({twice}, {without}) else {{pieces}} end"
 
 
 def _pieces(x: str, shifts: str) -> str:
