@@ -10,12 +10,17 @@ An edge continues into the next one without a branch if all its occurrences have
 and all occurrences of the next edge have the same word before. Joining the edge table back to the
 occurrences breaks each document's runs of repeated edges at branches: what remains between breaks
 is a maximal nonbranching path, each of whose occurrences runs through all of it, and one row
-stands for it. The first occurrence of a path by source coordinates stays; the words of all others
-are removed.
+stands for it. Then the words of every occurrence are read at its source coordinates, and occurrences
+are of one path only if the 128-bit digests of all their words agree: edges whose 64-bit hashes collide
+break paths at most, and remove no word. The first occurrence of a path by source coordinates stays;
+the words of all others are removed.
 
-Texts with the same words are one class: all rows but the first are repeats as a whole if they have k
-words, and only one text of each class enters the graph. Classes are numbered in the order of their
-first rows, and these numbers are the source coordinates.
+Texts with the same words (by SHA-256) are one class: all rows but the first are repeats as a whole if
+they have k words, and only one text of each class enters the graph. Classes are numbered in the order
+of their first rows, and these numbers are the source coordinates.
+
+An edge or path may hold a third of all occurrences. Those with more than one in ``HOT`` of all rows,
+fewer than ``HOT`` by that, are joined by broadcast, the others by key.
 
 Defined cases: null and empty texts have no words; texts shorter than k words lose none; rows are in
 the order of doc_id, null ids last, and rows with one doc_id in the order of their texts; ids may be of
@@ -38,12 +43,23 @@ from .store import discard, small, stash
 
 #: Words of an anchor.
 ANCHOR = 8
+#: A key with more than this part of all rows is joined by broadcast: there are fewer than ``HOT`` of them.
+HOT = 2000
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row a key and its number of rows ``n``; both are stashes."""
+    total = rows.count()
+    hot = F.col("n") * HOT > total
+    common = F.broadcast(table.where(hot).drop("n"))  # fewer than HOT rows, since their n add up to at most the total
+    rest = rows.join(common.select(key), key, "left_anti").join(table.where(~hot).drop("n"), key)
+    return rows.join(common, key).unionByName(rest)
+
+
 def minimisers(grams: np.ndarray, k: int) -> np.ndarray:
     """For each window of k words of one text, the position of its least anchor (the leftmost of equals).
 
@@ -72,17 +88,18 @@ def _summary(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """key, doc (number in the order of first rows), row of the first one, and its rep_id and rep_tag."""
+    """sha, key, doc (number in the order of first rows), row of the first one, and its rep_id and rep_tag."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag", "row"))
-    classes = stash(rows.groupBy("key").agg(least.alias("least"), F.max("n_words").alias("n_words")).select("key", "n_words", "least.*"), "span-firsts")
+    classes = rows.groupBy("sha").agg(least.alias("least"), F.max("n_words").alias("n_words"), F.max("key").alias("key"))
+    classes = stash(classes.select("sha", "key", "n_words", "least.*"), "span-firsts")
     tied = stash(classes.groupBy("no_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("tied_id")), "span-tied")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).join(small(tied), F.col("doc_id").eqNullSafe(F.col("tied_id")), "left_semi")
-    keys = rows.select("key", F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).distinct()
-    texts = texts.join(keys, (F.col("tag") == F.col("of_tag")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    shas = rows.select("sha", F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).distinct()
+    texts = texts.join(shas, (F.col("tag") == F.col("of_tag")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
     # the text of a class's first row, only where an id alone doesn't tell the order
-    ordering = texts.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text")).alias("t")).select("key", "t.text")
-    ordered = classes.join(ordering, "key", "left").orderBy("no_id", "doc_id", "text", "key")
-    return stash(ordered.select("key", F.monotonically_increasing_id().alias("doc"), "row", F.col("doc_id").alias("rep_id"), F.col("tag").alias("rep_tag")), "span-classes")
+    ordering = texts.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text")).alias("t")).select("sha", "t.text")
+    ordered = classes.join(ordering, "sha", "left").orderBy("no_id", "doc_id", "text", "sha")
+    return stash(ordered.select("sha", "key", F.monotonically_increasing_id().alias("doc"), "row", F.col("doc_id").alias("rep_id"), F.col("tag").alias("rep_tag")), "span-classes")
 
 
 def _of_classes(docs: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
@@ -184,8 +201,8 @@ def _edges(texts: DataFrame, k: int) -> DataFrame:
                     if b - a < k:
                         continue
                     of = minimisers(grams[a : b - ANCHOR + 1], k)
-                    marked = np.zeros(b - a, bool)
-                    marked[np.asarray(part.column(3)[i].values)] = True
+                    marked, places = np.zeros(b - a, bool), np.asarray(part.column(3)[i].values)
+                    marked[places[places < b - a]] = True  # texts may share a key
                     at = np.flatnonzero(marked[of])
                     before = np.where(at > 0, near[np.maximum(a + at - 1, 0)], 0)
                     after = np.where(a + at + k < b, near[np.minimum(a + at + k, len(near) - 1)], 0)
@@ -196,29 +213,44 @@ def _edges(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("text", "key", "doc", "places").mapInArrow(run, "edge long, doc long, pos int, around long")
 
 
-def paths(edges: DataFrame, k: int) -> DataFrame:
-    """Occurrences of maximal nonbranching paths of repeated edges: path, doc, pos and number of edges."""
+def paths(edges: DataFrame) -> DataFrame:
+    """Occurrences of maximal nonbranching paths of repeated edges: doc, pos and number of edges."""
     before, after = F.shiftright("around", 32), F.col("around").bitwiseAND(0xFFFFFFFF)
     table = edges.groupBy("edge").agg(
         F.count(F.lit(1)).alias("n"), F.min(before).alias("b0"), F.max(before).alias("b1"), F.min(after).alias("a0"), F.max(after).alias("a1")
     )
-    table = table.where("n > 1").select("edge", ((F.col("b0") == F.col("b1")) & (F.col("b0") > 0)).alias("one_in"), ((F.col("a0") == F.col("a1")) & (F.col("a0") > 0)).alias("one_out"))
+    table = table.where("n > 1").select("edge", "n", ((F.col("b0") == F.col("b1")) & (F.col("b0") > 0)).alias("one_in"), ((F.col("a0") == F.col("a1")) & (F.col("a0") > 0)).alias("one_out"))
     table = stash(table, "span-table")
-    again = stash(edges.select("edge", "doc", "pos").join(table, "edge"), "span-repeated")
+    again = stash(_met(edges.select("edge", "doc", "pos"), table, "edge").drop("edge"), "span-repeated")
     along = W.partitionBy("doc").orderBy("pos")
     goes_on = (F.lag("pos").over(along) == F.col("pos") - 1) & F.lag("one_out").over(along) & F.col("one_in")
     found = again.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("nth", F.sum("starts").over(along))
-    runs = found.groupBy("doc", "nth").agg(F.min(F.struct("pos", "edge")).alias("first"), F.count(F.lit(1)).alias("edges"), F.bit_xor("edge").alias("all"))
-    # a path is known by its first edge, and all its edges must agree
-    out = stash(runs.select(F.xxhash64("first.edge", "edges", "all").alias("path"), "doc", F.col("first.pos").alias("pos"), "edges"), "span-paths")
+    out = stash(found.groupBy("doc", "nth").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).cast("int").alias("edges")).drop("nth"), "span-paths")
     discard(table, again)
     return out
 
 
+def _read(texts: DataFrame, k: int) -> DataFrame:
+    """path (digest of all its words), doc, pos and n_words of each occurrence in ``texts``, which has text, doc and runs."""
+
+    def run(batches):
+        for batch in batches:
+            for part in tk.slices(batch):
+                out = []
+                for text, doc, runs in zip(part.column(0), np.asarray(part.column(1)), part.column(2)):
+                    words = text.as_py().encode().split()
+                    for pos, edges in zip(*(runs.values.field(j).to_pylist() for j in (0, 1))):
+                        n = edges + k - 1
+                        out.append((hashlib.blake2b(b" ".join(words[pos : pos + n]), digest_size=16).digest(), doc, pos, n))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int32(), pa.int32()))], ["path", "doc", "pos", "n_words"])
+
+    return texts.select("text", "doc", "runs").mapInArrow(run, "path binary, doc long, pos int, n_words int")
+
+
 def repeats(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     """Summaries of all rows, classes of equal word sequences, and the spans of each class that repeat an earlier place.
 
-    Rows have doc_id, key, n_words, sha and row; classes key, doc, row (of the first one), rep_id and
+    Rows have doc_id, key, n_words, sha and row; classes sha, key, doc, row (of the first one), rep_id and
     rep_tag; spans doc, pos, n_words, from_doc and from_pos. Last, whether no row of ``docs`` is repeated.
     """
     rows = stash(_summary(docs).withColumn("row", F.monotonically_increasing_id()), "span-rows")
@@ -227,12 +259,14 @@ def repeats(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame, DataFra
     places = repeated.groupBy("key").agg(F.collect_set("pos").alias("places"))  # places of one text
     once = not rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     edges = stash(_edges(_of_classes(docs, classes.join(places, "key"), once), k), "span-edges")
-    found = paths(edges, k)
+    runs = paths(edges)
+    of_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("pos", "edges")).alias("runs"))  # occurrences in one text
+    found = stash(_read(_of_classes(docs, classes.join(of_doc, "doc"), once), k), "span-read")
     first = found.groupBy("path").agg(F.min(F.struct("doc", "pos")).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = found.join(first, "path").where((F.col("doc") != F.col("source.doc")) | (F.col("pos") != F.col("source.pos")))
-    spans = again.select("doc", "pos", (F.col("edges") + k - 1).cast("int").alias("n_words"), F.col("source.doc").alias("from_doc"), F.col("source.pos").alias("from_pos"))
-    spans = stash(spans, "span-spans")
-    discard(repeated, edges, found)
+    first = stash(first, "span-sources")
+    again = _met(found, first, "path").where((F.col("doc") != F.col("source.doc")) | (F.col("pos") != F.col("source.pos")))
+    spans = stash(again.select("doc", "pos", "n_words", F.col("source.doc").alias("from_doc"), F.col("source.pos").alias("from_pos")), "span-spans")
+    discard(repeated, edges, runs, found, first)
     return rows, classes, spans, once
 
 
@@ -258,10 +292,10 @@ def dedup(docs: DataFrame, k: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc", "n_removed", "cut_sha"])
 
     cut = _of_classes(docs, classes.join(cuts, "doc"), once).select("text", "doc", "cuts").mapInArrow(run, "doc long, n_removed long, cut_sha string")
-    of_class = classes.select("key", "doc", F.col("row").alias("first_row")).join(cut, "doc", "left")
+    of_class = classes.select("sha", "doc", F.col("row").alias("first_row")).join(cut, "doc", "left")
     nothing = hashlib.sha256(b"").hexdigest()
     whole = (F.col("row") != F.col("first_row")) & (F.col("n_words") >= k)
-    return rows.join(of_class, "key").select(
+    return rows.join(of_class, "sha").select(
         "doc_id",
         "n_words",
         F.when(whole, F.col("n_words")).when(F.col("row") != F.col("first_row"), F.lit(0)).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

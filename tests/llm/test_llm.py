@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -127,6 +128,31 @@ def test_spans_of_repeated_ids(spark, corpus):
     assert spanned(spark, named, 12, "string") == removed(named, 12)
 
 
+@pytest.mark.parametrize("values", [{"window_hashes": 16}, {"window_hashes": 16, "word_hashes": 8, "text_keys": 4}])
+def test_spans_when_hashes_collide(spark, corpus, monkeypatch, values):
+    """Collisions of windows change nothing; those of neighbours and whole texts may leave a repeat, but remove no other word."""
+
+    def fewer(name):
+        whole, most = getattr(tk, name), np.uint64(values[name])
+        return lambda *x: whole(*x) % most
+
+    # an object travels to the workers by value, a module would not
+    kernels = {name: getattr(tk, name) for name in ("split", "slices", "signed", "mix", "word_hashes", "window_hashes", "text_keys")}
+    monkeypatch.setattr(spans, "tk", SimpleNamespace(**kernels | {name: fewer(name) for name in values}))
+    got, want = spanned(spark, corpus, 20), removed(corpus, 20)
+    if len(values) == 1:
+        assert got == want
+    most = {x[0]: x[2] for x in want}
+    assert got.total() == want.total() and all(x[2] <= most[x[0]] for x in got)
+
+
+@pytest.mark.parametrize("hot", [1, 10**6])
+def test_spans_of_common_paths(spark, corpus, monkeypatch, hot):
+    """All keys joined by key (nothing is more than all rows), and all by broadcast."""
+    monkeypatch.setattr(spans, "HOT", hot)
+    assert spanned(spark, corpus, 20) == removed(corpus, 20)
+
+
 @pytest.mark.parametrize("block, leaf, run", [(32, 8, 8), (8, 4, 2)])
 def test_embeddings(spark, monkeypatch, block, leaf, run):
     monkeypatch.setattr(neardup, "BLOCK", block)
