@@ -1,15 +1,15 @@
 """A hidden Markov language model: Baum-Welch training and exact sequence likelihood.
 
-Words are counted over all training texts. The ``emit`` most frequent ones are symbols of their own;
-all others belong to one of ``CLASSES`` symbols by their last two bytes, and inside a class a word
+Words are counted over all training texts. The ``emit`` most frequent ones (by count, to about one
+percent) are symbols of their own; all others belong to one of ``CLASSES`` symbols by their last two bytes, and inside a class a word
 with count c has probability (c + 1) / (class tokens + class words + 1), the last 1 for the words
-never seen. So the model gives every text a probability. Counts of the ``head`` most frequent words
+never seen. So the model gives every text a probability. Counts of about ``head`` most frequent words
 travel in a table of fixed size; the counts of all rarer words are joined by word.
 
-Training starts from a noisy unigram model, warmed up on a bounded sample of texts, and then runs
-over all training texts: each partition sums expected counts of starts, transitions and emissions
-over segments of ``SEGMENT`` tokens, and the sums of all partitions make the next model. Scores come
-from the scaled forward recursion over whole texts.
+Training starts from a noisy unigram model. In each round every partition sums expected counts of
+starts, transitions and emissions over whole texts, and the sums of all partitions make the next model.
+The first ``shares`` rounds take a disjoint share of the training texts each, all texts together; the
+last ``rounds`` take all of them. Scores come from the scaled forward recursion over whole texts.
 
 Defined cases: a null or empty text is the end token alone; without training texts every base token
 has probability 1 and the model is uniform over symbols; repeated rows are scored one by one; an
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .store import held_out, partition_sums, stash
+from .store import discard, held_out, partition_sums, stash
 
 #: Symbols for words that have none of their own.
 CLASSES = 64
-#: Tokens of a training segment, and about how many are worked on at once.
-SEGMENT, WORK = 512, 1 << 20
+#: About how many tokens are worked on at once; a longer text is taken alone.
+WORK = 1 << 20
 #: Distinct words a counting task holds before it passes them on.
 HELD = 1 << 20
 
@@ -104,17 +104,23 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, texts: int, emit: int, head: int) -> Lexicon:
-    # words by size class of their count: a few thousand rows, from the largest down to what fits
+    # words by size class of their count, a few thousand classes: whole ones from the largest down, then the
+    # next one's words below a bound of their hash
     size = F.floor(F.log2("n") * 64).cast("int")
     sizes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("w")).orderBy(F.desc("size")).collect()
-    fits = [r['size'] for r, total in zip(sizes, np.cumsum([r.w for r in sizes])) if total <= head]
-    top = counts.where(size >= (min(fits) if fits else 1 << 30)).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+    upto = np.concatenate([[0], np.cumsum([r.w for r in sizes], dtype=np.int64)])
+    whole = int((upto[1:] <= head).sum())
+    taken = size >= (sizes[whole - 1]["size"] if whole else 1 << 30)
+    if whole < len(sizes):
+        bound = int(0.9 * (head - int(upto[whole])) / sizes[whole].w * 2.0**64) - 2**63
+        taken = taken | ((size == sizes[whole]["size"]) & (F.col("word") < bound))
+    top = counts.where(taken).select("word", "n", size.alias("size")).toPandas().sort_values(["size", "word"], ascending=[False, True], ignore_index=True)
     totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     rest = counts
     own = min(emit, len(top))
     if own:
-        last_n, last_word = int(top["n"].iloc[own - 1]), int(top["word"].iloc[own - 1])
-        rest = counts.where((F.col("n") < last_n) | ((F.col("n") == last_n) & (F.col("word") > last_word)))
+        last_size, last_word = int(top["size"].iloc[own - 1]), int(top["word"].iloc[own - 1])
+        rest = counts.where((size < last_size) | ((size == last_size) & (F.col("word") > last_word)))
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in rest.groupBy("class").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("w")).collect():
         class_tokens[r["class"]], class_words[r["class"]] = r.t, r.w
@@ -161,6 +167,23 @@ def encode(docs: DataFrame, shared) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, inner double, symbols binary, away binary")
 
 
+def longest_first(seqs: list[np.ndarray]) -> np.ndarray:
+    return np.argsort([-len(s) for s in seqs], kind="stable")
+
+
+def packed(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all sequences by place, the longest sequence first; where each place begins; and how many sequences have it."""
+    flat = [seqs[i] for i in longest_first(seqs)]
+    size = np.array([len(s) for s in flat], np.int64)
+    active = np.searchsorted(-size, -np.arange(size.max(initial=0)), "left")
+    row = np.cumsum(active) - active
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    symbol = np.zeros(len(place), np.int64)
+    if len(place):
+        symbol[row[place] + np.repeat(np.arange(len(flat)), size)] = np.concatenate(flat)
+    return symbol, row, active
+
+
 @dataclass
 class Hmm:
     start: np.ndarray
@@ -179,44 +202,28 @@ class Hmm:
         k, m = len(self.start), len(self.emit)
         total = np.zeros(k + k * k + m * k)
         emit, move, start = self.emit.astype(np.float32), self.move.astype(np.float32), self.start.astype(np.float32)
-        pieces = [s[i : i + SEGMENT] for s in seqs for i in range(0, len(s), SEGMENT)]
-        firsts = [i == 0 for s in seqs for i in range(0, len(s), SEGMENT)]
-        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        at = 0
-        while at < len(order):
-            length = len(pieces[order[at]])
-            own = order[at : at + max(1, WORK // max(length, 1))]
-            at += len(own)
-            size = np.array([len(pieces[i]) for i in own])
-            longest = int(size.max())
-            grid = np.zeros((longest, len(own)), np.int64)
-            for j, i in enumerate(own):
-                grid[: size[j], j] = pieces[i]
-            active = np.searchsorted(-size, -np.arange(longest), "left")  # sequences longer than t come first
-            alpha = np.zeros((longest, len(own), k), np.float32)
-            scale = np.ones((longest, len(own)), np.float32)
-            for t in range(longest):
-                n = active[t]
-                a = (start if t == 0 else alpha[t - 1, :n] @ move) * emit[grid[t, :n]]
-                s = a.sum(1)
-                scale[t, :n] = s
-                alpha[t, :n] = a / s[:, None]
-            beta = np.ones((len(own), k), np.float32)
-            moves = np.zeros((k, k))
-            for t in range(longest - 2, -1, -1):
-                n = active[t + 1]
-                b = emit[grid[t + 1, :n]] * beta[:n] / scale[t + 1, :n, None]
-                moves += alpha[t, :n].T @ b
-                beta[:n] = b @ move.T
-                alpha[t, :n] *= beta[:n]
-            first = np.array([firsts[i] for i in own])
-            total[:k] += alpha[0][first].sum(0, dtype=np.float64)
-            total[k : k + k * k] += (moves * move).ravel()
-            mask = np.arange(longest)[:, None] < size[None, :]
-            symbol, weight = grid[mask], alpha[mask]
-            emitted = total[k + k * k :].reshape(m, k)
-            for j in range(k):
-                emitted[:, j] += np.bincount(symbol, weight[:, j], m)
+        symbol, row, active = packed(seqs)
+        if not len(active):
+            return total
+        alpha, scale = np.zeros((len(symbol), k), np.float32), np.ones(len(symbol), np.float32)
+        for t, n in enumerate(active):
+            at = slice(row[t], row[t] + n)
+            a = (start if t == 0 else alpha[row[t - 1] : row[t - 1] + n] @ move) * emit[symbol[at]]
+            scale[at] = a.sum(1)
+            alpha[at] = a / scale[at, None]
+        beta, moves = np.ones((active[0], k), np.float32), np.zeros((k, k))
+        for t in range(len(active) - 2, -1, -1):
+            n = active[t + 1]
+            at, now = slice(row[t + 1], row[t + 1] + n), slice(row[t], row[t] + n)
+            b = emit[symbol[at]] * beta[:n] / scale[at, None]
+            moves += alpha[now].T @ b
+            beta[:n] = b @ move.T
+            alpha[now] *= beta[:n]
+        total[:k] += alpha[: active[0]].sum(0, dtype=np.float64)
+        total[k : k + k * k] += (moves * move).ravel()
+        emitted = total[k + k * k :].reshape(m, k)
+        for j in range(k):
+            emitted[:, j] += np.bincount(symbol, alpha[:, j], m)
         return total
 
     def updated(self, total: np.ndarray, unigram: np.ndarray, weight: float = 20.0) -> Hmm:
@@ -227,18 +234,15 @@ class Hmm:
 
     def log10(self, seqs: list[np.ndarray]) -> np.ndarray:
         """log10 of each sequence's probability, by the scaled forward recursion in double precision."""
-        out = np.zeros(len(seqs))
-        size = np.array([len(s) for s in seqs])
-        order = np.argsort(-size, kind="stable")
-        active = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
-        flat, off = (np.concatenate([seqs[i] for i in order]) if len(seqs) else np.zeros(0, np.int64)), np.concatenate([[0], np.cumsum(size[order])])[:-1]
+        symbol, row, active = packed(seqs)
         alpha, logs = np.tile(self.start, (len(seqs), 1)), np.zeros(len(seqs))
         for t, n in enumerate(active):
-            a = (alpha[:n] if t == 0 else alpha[:n] @ self.move) * self.emit[flat[off[:n] + t]]
+            a = (alpha[:n] if t == 0 else alpha[:n] @ self.move) * self.emit[symbol[row[t] : row[t] + n]]
             s = a.sum(1)
             logs[:n] += np.log10(s)
             alpha[:n] = a / s[:, None]
-        out[order] = logs
+        out = np.zeros(len(seqs))
+        out[longest_first(seqs)] = logs
         return out
 
 
@@ -246,13 +250,13 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in column]
 
 
-def train(encoded: DataFrame, lex: Lexicon, states: int, rounds: int, warm_texts: int, warm_rounds: int) -> Hmm:
-    """Baum-Welch: ``warm_rounds`` on the first ``warm_texts`` texts by a hash of their words, then ``rounds`` on all of ``encoded``."""
+def train(encoded: DataFrame, lex: Lexicon, states: int, rounds: int, shares: int) -> Hmm:
+    """Baum-Welch: a round on each of ``shares`` disjoint parts of the texts, which together hold all of them, then ``rounds`` on all."""
     spark = encoded.sparkSession
     model = Hmm.noisy(lex.unigram, states)
     size = states + states * states + len(lex.unigram) * states
-    warm = stash(encoded.orderBy(F.xxhash64("symbols"), "symbols").limit(warm_texts).select("symbols").repartition(4), "hmm-warm")
-    for texts in [warm] * warm_rounds + [encoded] * rounds:
+    share = F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(max(shares, 1)))
+    for texts in [encoded.where(share == i) for i in range(shares)] + [encoded] * rounds:
         now = spark.sparkContext.broadcast(model)  # states x symbols, a fixed size
 
         def run(batches, now=now):
@@ -262,40 +266,48 @@ def train(encoded: DataFrame, lex: Lexicon, states: int, rounds: int, warm_texts
                     total += now.value.expected(_sequences(part.column(0)))
             return total
 
-        model = model.updated(partition_sums(texts.select("symbols"), run, (size,)), lex.unigram)
+        total = partition_sums(texts.select("symbols"), run, (size,))
+        if total.any():  # a share of a small table may be empty
+            model = model.updated(total, lex.unigram)
         now.destroy()
     return model
 
 
-def score(docs: DataFrame, states: int = 8, rounds: int = 3, emit: int = 32_000, head: int = 262_144, warm_texts: int = 2000, warm_rounds: int = 15) -> DataFrame:
+def score(docs: DataFrame, states: int = 8, rounds: int = 3, emit: int = 32_000, head: int = 262_144, shares: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(held_out(by=7, rest=2), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     counts = stash(count_words(texts.where("not held_out")), "hmm-counts")
     lex = lexicon(counts, texts.where("not held_out").count(), emit, head)
-    encoded = encode(texts, spark.sparkContext.broadcast(lex))  # at most ``head`` words
-    encoded = stash(encoded.withColumn("row", F.monotonically_increasing_id()), "hmm-encoded")
-    model = spark.sparkContext.broadcast(train(encoded.where("not held_out"), lex, states, rounds, warm_texts, warm_rounds))
+    shared = spark.sparkContext.broadcast(lex)  # about ``head`` words
+    encoded = stash(encode(texts, shared).withColumn("row", F.monotonically_increasing_id()), "hmm-encoded")
+    shared.destroy()
+    model = spark.sparkContext.broadcast(train(encoded.where("not held_out"), lex, states, rounds, shares))
 
     def forward(batches):
         for batch in batches:
-            logs = model.value.log10(_sequences(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(logs)], [*batch.schema.names[:-1], "forward"])
+            for part in tk.slices(batch, "symbols", 2 * WORK):
+                logs = model.value.log10(_sequences(part.column(part.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(logs)], [*part.schema.names[:-1], "forward"])
 
     def away(batches):
         for batch in batches:
             for part in tk.slices(batch, "away"):
-                words = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
-                row = np.repeat(np.asarray(part.column(0)), [len(w) for w in words])
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate(words))], ["row", "word"])
+                # a word once a text, however often the text has it
+                words = [np.unique(np.frombuffer(x.as_py(), np.int64), return_counts=True) for x in part.column(1)]
+                row = np.repeat(np.asarray(part.column(0)), [len(w) for w, _ in words])
+                yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*words))], ["row", "word", "times"])
 
-    looked_up = encoded.select("row", "away").where(F.length("away") > 0).mapInArrow(away, "row long, word long").join(counts.select("word", "n"), "word")
-    looked_up = looked_up.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("found"))
+    looked_up = encoded.select("row", "away").where(F.length("away") > 0).mapInArrow(away, "row long, word long, times long").join(counts.select("word", "n"), "word")
+    looked_up = stash(looked_up.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found")), "hmm-away")
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ("row", "doc_id", "held_out", "n_tokens", "known", "base", "inner")
     scored = encoded.select(*columns, "symbols").mapInArrow(
         forward, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, inner double, forward double"
     )
+    scored = stash(scored, "hmm-scored")
+    discard(counts, encoded)
+    model.destroy()
     return scored.join(looked_up, "row", "left").select(
         "doc_id",
         "held_out",

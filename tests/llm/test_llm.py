@@ -307,7 +307,7 @@ def test_block_max_search_is_exact():
 
 
 def test_hmm_base_and_likelihood(spark, corpus):
-    got = {r.doc_id: r for r in hmm.score(frame(spark, corpus), states=3, rounds=2, emit=50, head=100, warm_rounds=3).collect()}
+    got = {r.doc_id: r for r in hmm.score(frame(spark, corpus), states=3, rounds=2, emit=50, head=100, shares=3).collect()}
     tokens = {i: [w.lower() for w in (t or "").encode().split()] + [None] for i, t in corpus}
     counts = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
     n, v = sum(counts.values()), len(counts)
@@ -316,7 +316,7 @@ def test_hmm_base_and_likelihood(spark, corpus):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), n)
         assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) < 1e-6
         assert r.score <= 0
-    assert hmm.score(frame(spark, corpus).limit(0), states=2, rounds=1, warm_rounds=1).count() == 0
+    assert hmm.score(frame(spark, corpus).limit(0), states=2, rounds=1, shares=2).count() == 0
 
 
 def test_hmm_forward_and_expectations_match_enumeration():
@@ -343,6 +343,51 @@ def test_hmm_forward_and_expectations_match_enumeration():
     assert np.allclose(model.log10(seqs), want_logs) and np.allclose(model.expected(seqs), expected, atol=1e-4)
 
 
+def test_hmm_expectations_of_long_texts_are_those_of_the_whole_text():
+    """Smoothing over the whole text in double precision, one text at a time; no cut resets the state."""
+    rng = np.random.default_rng(8)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = hmm.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)) ** 4, 1), norm(rng.random((9, 3)) ** 3, 0))
+    seqs, want = [rng.integers(0, 9, n) for n in (3000, 1, 700, 1500)], np.zeros(3 + 9 + 27)
+    for s in seqs:
+        alpha, beta = np.zeros((len(s), 3)), np.ones((len(s), 3))
+        for t, x in enumerate(s):
+            alpha[t] = norm((model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[x], 0)
+        for t in range(len(s) - 2, -1, -1):
+            beta[t] = norm(model.move @ (model.emit[s[t + 1]] * beta[t + 1]), 0)
+            want[3:12] += norm(np.outer(alpha[t], model.emit[s[t + 1]] * beta[t + 1]) * model.move, (0, 1)).ravel()
+        gamma = norm(alpha * beta, 1)
+        want[:3] += gamma[0]
+        np.add.at(want[12:].reshape(9, 3), s, gamma)
+    assert np.allclose(model.expected(seqs), want, rtol=1e-3, atol=1e-2)
+    assert not hmm.Hmm.noisy(np.ones(4) / 4, 2).expected([]).any()
+
+
+@pytest.mark.parametrize("emit, head", [(50, 100), (4, 6), (2000, 7), (1, 1)])
+def test_hmm_lexicon_takes_words_of_equal_counts(spark, emit, head):
+    """All words have one count: some have symbols of their own, and classes hold exactly the rest."""
+    rows = spark.createDataFrame([(rows_word(i), i % hmm.CLASSES, 4) for i in range(50)], "word long, class int, n long")
+    lex = hmm.lexicon(rows, 3, emit, head)
+    assert len(lex.words) <= min(50, head + 1) and lex.own == min(emit, len(lex.words)) and (head < 5 or lex.own)
+    assert lex.class_words.sum() == 50 - lex.own and lex.class_tokens.sum() == 4 * (50 - lex.own) and lex.tokens == 203
+    own = set(lex.words[lex.symbols >= 0].view(np.int64).tolist())
+    assert lex.class_words.tolist() == [sum(1 for i in range(50) if i % hmm.CLASSES == c and rows_word(i) not in own) for c in range(hmm.CLASSES)]
+
+
+def rows_word(i):
+    return i * (2**64 // 50) - 2**63
+
+
+def test_hmm_of_repeated_rows_ids_and_extra_columns(spark, corpus):
+    rows = [*corpus[:20], *corpus[:20], (None, "one two"), (3, "other text")]
+    got = hmm.score(frame(spark, rows).withColumn("row", F.lit("x")).withColumn("word", F.lit(1)), states=2, rounds=1, emit=50, head=100, shares=2).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    same = {}
+    for r in got:
+        same.setdefault((r.doc_id, r.n_tokens), set()).add(round(r.score, 9))
+    assert len(same) == 22 and all(len(x) == 1 for x in same.values())
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, " ".join(words(rng, 40, 5000))) for i in range(6)] + [(90, None), (91, ""), (92, "w1 w2 w3")]
