@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.operators import corpus, profiles, terms
+from lexmill.operators.rounds import settled
 
 #: Texts of at most so many characters are not worked on.
 SHORTEST = 100
@@ -20,15 +21,16 @@ def rankings(docs: DataFrame, stop: list[str], sent_by_part: list[int] | None =
     """
     if not (sent_by_part or parts) or min_count < 1 or (limit is not None and limit < 1) or any(x < 1 for x in [*(sent_by_part or []), *(parts or [])]):
         raise ValueError("ways to cut the text, counts and limits must be positive")
-    clock = corpus.word_clock(corpus.sentences(docs.where(F.length("text") > SHORTEST), key), key)
+    docs = docs.where(F.length("text") > SHORTEST).select(key, "text")
+    clock = corpus.word_clock(corpus.sentences(docs.repartition(key), key), key)  # dealt by key before texts are cut: what follows stays there
     ways = [(f"stdev-{k}s", F.expr(f"cast(n_sentences div {int(k)} as long)")) for k in sent_by_part] if sent_by_part else [(f"stdev-{p}p", F.lit(int(p)).cast("long")) for p in parts]
-    ends = profiles.clock_ends(clock, key)
+    ends = settled(profiles.ends_of(corpus.sentences(docs, key), key))
     cut = ends.select(key, F.inline(F.array(*[F.struct(F.lit(name).alias("algorithm"), n.alias("parts")) for name, n in ways]))).where("parts >= 2")
     occ = terms.candidates(clock, stop, most, key, carry=("t",))
-    found = profiles.stdev_ranks(occ, clock, cut.select(key, "parts").distinct(), key).where(F.col("n") >= min_count)
-    bursts = found.join(cut, [key, "parts"]).select(key, "algorithm", "term", F.coalesce("score", F.lit(0.0)).alias("score"))
-    counts = terms.frequencies(occ, min_count, key).join(cut.select(key).distinct(), key, "left_semi")
-    every = counts.select(key, F.lit("freq").alias("algorithm"), "term", F.col("n").cast("double").alias("score")).unionByName(bursts)
+    found = profiles.stdev_ranks(occ, clock, cut.select(key, "parts").distinct(), key, min_count, ends).join(cut, [key, "parts"])
+    row = lambda name, score: F.struct(name.alias("algorithm"), score.alias("score"))
+    bursts = found.groupBy(key, "term", "n").agg(F.collect_list(row(F.col("algorithm"), F.coalesce("score", F.lit(0.0)))).alias("bursts"))
+    every = bursts.select(key, "term", F.inline(F.concat(F.array(row(F.lit("freq"), F.col("n").cast("double"))), "bursts")))
     ranked = every.withColumn("rank", F.row_number().over(W.partitionBy(key, "algorithm").orderBy(F.desc(F.round("score", 9)), "term")).cast("long"))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 

@@ -21,6 +21,11 @@ def clock_ends(clocked: DataFrame, *keys: str) -> DataFrame:
     return clocked.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("total"), F.count(F.lit(1)).alias("n_sentences"))
 
 
+def ends_of(sents: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``clock_ends`` from sentences without a clock, which nobody has to put in order."""
+    return sents.groupBy(*keys).agg(F.min_by("n_words", "sent_id").alias("t0"), F.sum("n_words").alias("total"), F.count(F.lit(1)).alias("n_sentences"))
+
+
 def interval(total: Column, parts: Column) -> Column:
     return F.ceil(total / parts).cast("long")
 
@@ -40,20 +45,27 @@ def spread(s: Column, q: Column, bins: Column) -> Column:
     return F.when(bins > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / bins) / (bins - 1))))
 
 
-def stdev_ranks(occurrences: DataFrame, clocked: DataFrame, parts: DataFrame, key: str = "doc_id") -> DataFrame:
+def stdev_ranks(occurrences: DataFrame, clocked: DataFrame, parts: DataFrame, key: str = "doc_id", least: int = 1, ends: DataFrame | None = None) -> DataFrame:
     """Burstiness of terms: stddev of the binned profile times the number of words, for each value of parts.
 
     ``occurrences`` (key, sent_id, term, n_words, and the clock ``t`` if they carry it), ``clocked`` (key, sent_id, t),
-    ``parts`` (key, parts). Only bins with occurrences are built; empty ones enter through the number of bins.
+    ``parts`` (key, parts), ``ends`` those of ``clocked`` if they are known. Terms with fewer than ``least`` occurrences are left out before anything is binned. A term's
+    occurrences come together once, as their clocks, and give the sums of every value of parts; bins without any enter through their number.
     Occurrences taken from clocked sentences need no join with them, and stay where their document is.
     """
     at = occurrences if "t" in occurrences.columns else occurrences.join(clocked.select(key, "sent_id", "t"), [key, "sent_id"])
-    setup = parts.join(clock_ends(clocked, key), key).withColumn("width", interval(F.col("total"), F.col("parts")))
+    setup = parts.join(clock_ends(clocked, key) if ends is None else ends, key).withColumn("width", interval(F.col("total"), F.col("parts")))
     setup = setup.select(key, "parts", "t0", "width", (F.floor((F.col("total") - F.col("t0")) / F.col("width")).cast("long") + 1).alias("bins"))
-    binned = at.select(key, "term", "n_words", "t").join(setup, key).withColumn("bin", F.floor((F.col("t") - F.col("t0")) / F.col("width")).cast("long"))
-    per_bin = binned.groupBy(key, "term", "n_words", "parts", "bins", "bin").agg(F.count(F.lit(1)).alias("x"))
-    per_term = per_bin.groupBy(key, "term", "n_words", "parts", "bins").agg(F.sum("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    return per_term.withColumn("score", spread(F.col("n").cast("double"), F.col("q").cast("double"), F.col("bins")) * F.col("n_words"))
+    per_term = at.groupBy(key, "term", "n_words").agg(F.collect_list("t").alias("ts")).where(F.size("ts") >= least)
+    found = per_term.select(key, "term", "n_words", F.size("ts").cast("long").alias("n"), F.array_sort("ts").alias("ts")).join(setup, key)
+    return found.select(key, "term", "n_words", "parts", "bins", "n", F.expr(_SQUARES).alias("q")).withColumn("score", spread(F.col("n").cast("double"), F.col("q").cast("double"), F.col("bins")) * F.col("n_words"))
+
+
+#: The sum of the squares of the counts by bin, from rising clocks: the x-th of a bin adds x * x - (x - 1) * (x - 1).
+_SQUARES = """
+  aggregate(ts, named_struct('bin', -1L, 'x', 0L, 'q', 0L),
+    (s, t) -> if((t - t0) div width = s.bin, named_struct('bin', s.bin, 'x', s.x + 1L, 'q', s.q + 2L * s.x + 1L), named_struct('bin', (t - t0) div width, 'x', 1L, 'q', s.q + 1L)),
+    s -> s.q)"""
 
 
 #: Terms of a side of a tile of pairs.

@@ -155,5 +155,5 @@ def unit_counts(spark, d):
 def unit_stdev_rank(spark, d):
     """Burstiness of units in a document."""
     clock = clocked(sents(spark, d))
-    found = profiles.stdev_ranks(profiles.unit_occurrences(clock, _units(spark)), clock, parts_by_sentences(clock, [10]).select("doc_id", "parts"))
+    found = profiles.stdev_ranks(profiles.unit_occurrences(clock, _units(spark)), clock, parts_by_sentences(profiles.clock_ends(clock, "doc_id"), [10]).select("doc_id", "parts"))
     return found.where("n >= 2").select("doc_id", "term", F.col("parts").cast("long").alias("parts"), "n", rounded("score"))

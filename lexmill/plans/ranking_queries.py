@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import book, collection, corpus, extraction, families, profiles, rounds, sketches, terms
 from lexmill.streaming import profiles as stream_profiles
 
-from .base import CANDIDATES, CLOCK, PRE, STDEV, STOP, WANTED, book_occurrences, clocked, documents, occurrences, parts_by_sentences, query, quoted, rounded, sents, sents_of_books, table, words_frame
+from .base import CANDIDATES, CLOCK, PRE, STDEV, STOP, WANTED, book_occurrences, clocked, clocked_with_ends, documents, occurrences, parts_by_sentences, query, quoted, rounded, sents, sents_of_books, table, words_frame
 
 RAW = f""",
     raw AS (SELECT doc_id, w AS term, t, len(list_filter(words, lambda x: x = w))::BIGINT AS n FROM clocked, (SELECT unnest([{quoted(WANTED)}]) AS w))"""
@@ -57,9 +57,10 @@ def profile_stream(spark, d):
     rows = s.select("doc_id", "sent_id", "words", (F.col("sent_id") == F.max("sent_id").over(last)).alias("is_last"), (F.col("sent_id") * 3 / (F.max("sent_id").over(last) + 1)).cast("int").alias("batch"))
     source, sink, check = (rounds.scratch(spark, f"profile-{x}") for x in ("in", "out", "check"))
     rows = rounds.settled(rows)
-    for i in range(3):
-        rows.where(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(source)
-    stream_profiles.run_to_table(spark, source, sink, check, WANTED, 200)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i in range(3):  # a text's sentences of a batch are in one file
+        rows.where(F.col("batch") == i).drop("batch").repartition(files, "doc_id").write.mode("append").parquet(source)
+    stream_profiles.run_to_table(spark, source, sink, check, WANTED, 200, files=files)
     return spark.read.schema("doc_id long, bin long, term string, n long").parquet(sink)
 
 
@@ -76,10 +77,9 @@ RANKED = """,
 
 
 def _ranks(spark, d, ks, least):
-    clock = clocked(sents(spark, d))
-    parts = parts_by_sentences(clock, ks)
-    occ = occurrences(clock)
-    found = profiles.stdev_ranks(occ, clock, parts.select("doc_id", "parts").distinct()).where(F.col("n") >= least)
+    clock, ends = clocked_with_ends(documents(spark, d).select("doc_id", "text"))
+    parts = parts_by_sentences(ends, ks)
+    found = profiles.stdev_ranks(occurrences(clock), clock, parts.select("doc_id", "parts").distinct(), least=least, ends=ends)
     return found.join(parts, ["doc_id", "parts"]).select("doc_id", "term", F.col("k").cast("long").alias("k"), F.col("parts").cast("long").alias("parts"), "n", rounded("score"))
 
 
@@ -95,9 +95,9 @@ def stdev_rank_multi_parts(spark, d):
 
 def flagship(spark, d, per_part=10, least=3, most=30):
     """Terms that are among the first both by frequency and by burstiness, for each document."""
-    clock = clocked(sents(spark, d))
-    parts = parts_by_sentences(clock, [per_part]).select("doc_id", "parts")
-    found = profiles.stdev_ranks(occurrences(clock), clock, parts).where(F.col("n") >= least).select("doc_id", "term", "n", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    clock, ends = clocked_with_ends(documents(spark, d).select("doc_id", "text"))
+    parts = parts_by_sentences(ends, [per_part]).select("doc_id", "parts")
+    found = profiles.stdev_ranks(occurrences(clock), clock, parts, least=least, ends=ends).select("doc_id", "term", "n", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
     place = lambda c: F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(c), "term")).cast("long")
     ranked = found.withColumn("freq_rank", place("n")).withColumn("stdev_rank", place("score"))
     return ranked.where((F.col("freq_rank") <= most) & (F.col("stdev_rank") <= most)).select("doc_id", "term", "n", "freq_rank", "stdev_rank", "score")
@@ -402,8 +402,8 @@ def fuzzy_stopword_anti(spark, d):
     return families.fuzzy_stop_free(corpus.word_counts(sents(spark, d)).select("word"), words_frame(spark, STOP))
 
 
-def _document_families(spark, d):
-    counts = corpus.word_counts(sents(spark, d), "doc_id")
+def _document_families(sentences):
+    counts = corpus.word_counts(sentences, "doc_id")
     rows = counts.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "word")))
     return families.families(rows.withColumnRenamed("doc_id", "group")).withColumnRenamed("group", "doc_id")
 
@@ -411,4 +411,4 @@ def _document_families(spark, d):
 @query()
 def word_families(spark, d):
     """Families of all words of each document, the most frequent first."""
-    return _document_families(spark, d)
+    return _document_families(sents(spark, d))
