@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.operators import lemmas
+from lexmill.operators.rounds import BROADCAST_ROWS, settled
 
 SLOT = r"\b(?:Т|T)\b"
 
@@ -97,17 +98,21 @@ def slot_rows(hit: DataFrame, key: str = "doc_id", supers: DataFrame | None = No
 def matches(sents: DataFrame, filled: DataFrame, key: str = "doc_id", supers: DataFrame | None = None, morph: DataFrame | None = None) -> DataFrame:
     """Places where a filled pattern's literal words match: key, sent_id, pos, pattern, slot_no, phrase, context.
 
-    Sentences meet patterns by (first literal word, its place), an equi-join on word places alone; sentences
-    with such a place then give their words and the whole stretch is compared. A slot takes any words; see
+    Words meet patterns by their first literal word. Patterns that are few are broadcast and meet the words where
+    their sentence is; else an equi-join on word places alone, and sentences with such a place then give their words. The whole stretch is compared. A slot takes any words; see
     ``slot_rows`` for ``supers`` and ``morph``, and ``lemma_index.matches`` for literals by lemma.
     """
     lit_at = F.expr("filter(transform(flat, (x, i) -> struct(i as i, x as x)), p -> p.x is not null)")
     wanted = laid_out(filled).withColumn("fixed", lit_at).where("size(fixed) > 0")
     wanted = wanted.select("pattern", "spans", "n_tokens", "flat", F.col("fixed")[0]["i"].alias("shift"), F.col("fixed")[0]["x"].alias("word"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     words = sents.select(key, "sent_id", "n_words", F.posexplode("words").alias("pos", "word"))
-    near = words.join(wanted, "word").withColumn("start", F.col("pos") - F.col("shift")).where("start >= 0 and start + n_tokens <= n_words").drop("word", "pos", "n_words")
-    near = near.join(sents.select(key, "sent_id", "words"), [key, "sent_id"]).withColumn("here", F.slice("words", F.col("start") + 1, F.col("n_tokens")))
-    hit = near.where(F.forall(F.zip_with("here", "flat", lambda a, b: b.isNull() | (a == b)), lambda x: x))
+    begins = lambda rows: rows.withColumn("start", F.col("pos") - F.col("shift")).where("start >= 0 and start + n_tokens <= n_words")
+    if few:
+        near = begins(sents.select(key, "sent_id", "n_words", "words", F.posexplode("words").alias("pos", "word")).join(F.broadcast(wanted), "word"))
+    else:
+        near = begins(words.join(wanted, "word")).drop("word", "pos", "n_words").join(sents.select(key, "sent_id", "words"), [key, "sent_id"])
+    hit = near.withColumn("here", F.slice("words", F.col("start") + 1, F.col("n_tokens"))).where(F.forall(F.zip_with("here", "flat", lambda a, b: b.isNull() | (a == b)), lambda x: x))
     return slot_rows(hit, key, supers, morph)
 
 
@@ -132,12 +137,15 @@ def templates(patterns: DataFrame, morph: DataFrame) -> DataFrame:
 def matched_terms(found: DataFrame, terms: DataFrame, least: int = 1, morph: DataFrame | None = None) -> DataFrame:
     """How often each known term (term) fills a slot, as it is or, with ``morph``, by its lemma pattern."""
     counts = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts if morph is None else settled(counts)
     pairs = terms.select("term", F.col("term").alias("phrase")).distinct() if morph is None else lemmas.same_lemmas(counts.select("phrase"), terms.select("term"), morph)
     return counts.join(pairs, "phrase").groupBy("term").agg(F.sum("n").cast("long").alias("n")).where(F.col("n") >= least)
 
 
 def pattern_ranks(found: DataFrame, terms: DataFrame, morph: DataFrame | None = None) -> DataFrame:
     """Matches by pattern, all slot lengths together, among those whose slot holds a known term (by lemmas with ``morph``)."""
-    wanted = terms.select(F.col("term").alias("phrase")) if morph is None else lemmas.same_lemmas(found.select("phrase"), terms.select("term"), morph).select("phrase")
-    known = found.join(wanted.distinct(), "phrase", "left_semi")
-    return known.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.groupBy("pattern", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts if morph is None else settled(counts)
+    wanted = terms.select(F.col("term").alias("phrase")) if morph is None else lemmas.same_lemmas(counts.select("phrase").distinct(), terms.select("term"), morph).select("phrase")
+    known = counts.join(wanted.distinct(), "phrase", "left_semi")
+    return known.groupBy("pattern").agg(F.sum("n").alias("n"))
