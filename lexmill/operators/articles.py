@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import EMAIL_LINE, filter_tags
 from lexmill.operators import scans
-from lexmill.operators.rounds import settled
+from lexmill.operators.rounds import settled, small
 
 
 def number_gaps(rows: DataFrame, *keys: str) -> DataFrame:
@@ -136,10 +136,16 @@ def similar_by_authors(articles: DataFrame, seeds: DataFrame, accept: Column, ne
 
 
 def author_edges(articles: DataFrame) -> DataFrame:
-    """Articles of one topic that share an author: src, dst."""
-    rows = articles.select("node", "topic", F.explode(F.transform("authors", lambda a: F.trim(a))).alias("author"))
-    other = rows.withColumnRenamed("node", "dst")
-    return rows.join(other, ["topic", "author"]).where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    """Articles of one topic that share an author, as classes: node, topic, author, class_id and n_links.
+
+    A row an article and author. Two articles are linked if they have rows with the same topic and author; such rows are a
+    class, named by its smallest article, and each is linked with all others of it. Pairs, whose number grows with the
+    square of an author's articles, are never built. Without a topic or an author an article is alone.
+    """
+    rows = settled(articles.select("node", "topic", F.explode_outer(F.transform("authors", lambda a: F.trim(a))).alias("author")).distinct())
+    classes = settled(rows.where("topic is not null and author is not null").groupBy("topic", "author").agg(F.min("node").alias("class_id"), (F.count("node") - 1).alias("n_links")))
+    found = rows.join(small(classes), ["topic", "author"], "left")
+    return found.select("node", "topic", "author", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def literature(paragraphs: DataFrame, heading: str, key: str = "doc_id") -> DataFrame:
