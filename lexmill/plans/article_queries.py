@@ -67,7 +67,19 @@ def fit_filename(spark, d):
     return table(spark, d, "pages").select("page_id", tx.fit_filename(F.col("url")).alias("name"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', chr(160)), '&amp;', '&') AS title FROM pages")
+def _decoded(x: str) -> str:
+    """References of a title as HTML has them: these names also stand without their semicolon. ``&`` comes last, so that nothing is decoded twice."""
+    for name, code in (("lt", 60), ("gt", 62), ("quot", 34), ("nbsp", 160), ("amp", 38)):
+        x = f"regexp_replace({x}, '&{name};?', chr({code}), 'g')"
+    return x
+
+
+#: What Python takes for white space at the ends of a text.
+SPACE = " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(f"SELECT page_id, trim({_decoded(TITLE)}, {SPACE}) AS title FROM pages")
 def html_title(spark, d):
     return html.parse(table(spark, d, "pages")).select("page_id", F.trim("title").alias("title"))
 
