@@ -72,21 +72,94 @@ def fuzzy_stop_free(words: DataFrame, stopwords: DataFrame, band: int = 2, limit
     return words.join(hit, "word", "left_anti")
 
 
+#: Cells of a block of pairs.
+BLOCK = 1 << 21
+
+
+def near_words(words: list[str]):
+    """Positions a, b (a before b) and distances of the pairs of ``words`` that ``related`` would give, for the words of one text.
+
+    ``words`` are distinct and rising in length. Pairs are compared in blocks: an edit takes at most one letter and two
+    neighbouring letters from a word, so a pair that lacks more of them goes by its bits. What is left is compared letter
+    by letter: strings of equal length are within two edits if two letters differ, or if what lies between the first
+    and the last difference is moved by one place.
+    """
+    import numpy as np
+
+    n = np.array([len(w) for w in words])
+    letters, couples = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    for i, w in enumerate(words):
+        x, y = 0, 0
+        for c in w:
+            x |= 1 << (ord(c) & 63)
+        for c, d in zip(w, w[1:]):
+            y |= 1 << ((ord(c) * 31 + ord(d) * 17) & 63)
+        letters[i], couples[i] = x, y
+    out = []
+    one = np.flatnonzero(n == 1)
+    a, b = np.triu_indices(len(one), 1)
+    out.append((one[a], one[b], np.ones(len(a))))
+    for size in np.unique(n[n >= 3]):
+        allowed = 1 if size <= ONE_EDIT else 2
+        rows = np.flatnonzero(n == size)
+        end = int(np.searchsorted(n, min(size + 4, 2 * size), "right"))
+        step = max(1, BLOCK // max(1, end - rows[0]))
+        for at in range(0, len(rows), step):
+            first = int(rows[at])
+            here, there = slice(first, int(rows[min(at + step, len(rows)) - 1]) + 1), slice(first, end)
+            a, b = np.nonzero(np.bitwise_count(letters[here, None] & ~letters[None, there]) <= allowed)
+            a, b = a[a < b] + first, b[a < b] + first
+            close = np.bitwise_count(couples[a] & ~couples[b]) <= 2 * allowed
+            a, b = a[close], b[close]
+            for k in range(0, len(a), (part := max(1, BLOCK // int(size)))):
+                out.append(_compared(words, n, a[k : k + part], b[k : k + part], int(size), allowed))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _compared(words: list[str], n, a, b, size: int, allowed: int):
+    """Of the pairs those within ``allowed`` edits: all of a's words have ``size`` letters, b's up to four more."""
+    import numpy as np
+
+    def codes(at, width):
+        own, back = np.unique(at, return_inverse=True)
+        return np.array([words[i] for i in own], f"U{width}").view(np.uint32).reshape(len(own), width)[back] if len(own) else np.zeros((0, width), np.uint32)
+
+    s, longer = codes(a, size), codes(b, size + 4)
+    edits = np.full(len(a), 9)
+    for shift in range(5):
+        at = np.flatnonzero(n[b] >= size + shift)
+        if not len(at):
+            break
+        x, y = s[at], longer[at, shift : shift + size]
+        same = x == y
+        found = (~same).sum(axis=1)
+        if allowed == 2 and (rest := np.flatnonzero(found > 2)).size:
+            x, y, same = x[rest], y[rest], same[rest]
+            lo, hi = same.argmin(axis=1), size - 1 - same[:, ::-1].argmin(axis=1)
+            between = (np.arange(size - 1) >= lo[:, None]) & (np.arange(size - 1) < hi[:, None])
+            moved = ~((x[:, 1:] != y[:, :-1]) & between).any(axis=1) | ~((x[:, :-1] != y[:, 1:]) & between).any(axis=1)
+            found[rest[moved]] = 2
+        edits[at] = np.minimum(edits[at], found)
+    near = edits <= allowed
+    return a[near], b[near], edits[near] / (min(8, size) / 3.0)
+
+
 def families(words: DataFrame, group: str = "group") -> DataFrame:
     """Greedy families of the words of a group in their order (columns group, ord, word).
 
     A word may join a family if it is within distance 1 of every member; it takes the family of the
     least mean distance, or at once the first one in which it meets a member at distance 0 before one that is too far.
-    Else it starts one. Near words are found by ``related`` for all groups together; the walk of a group, a text's
-    words, then only looks at those.
+    Else it starts one. A group, a text's words, is one task's work: ``near_words`` finds the near ones among them, and
+    the walk then only looks at those.
     """
 
-    def run(key, words, links):
+    def run(key, words):
         import pandas as pd
 
         near: dict[str, dict[str, float]] = {}
-        for a, b, d in zip(links["w1"], links["w2"], links["distance"]):
-            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = d
+        own = sorted(set(words["word"]), key=len)
+        for a, b, d in zip(*(x.tolist() for x in near_words(own))):
+            near.setdefault(own[a], {})[own[b]] = near.setdefault(own[b], {})[own[a]] = d
         found: list[list[str]] = []
         home: dict[str, int] = {}
         for word in words.sort_values("ord")["word"]:
@@ -113,9 +186,7 @@ def families(words: DataFrame, group: str = "group") -> DataFrame:
         return pd.DataFrame(rows, columns=[group, "family", "word"])
 
     kind = words.schema[group].dataType.simpleString()
-    links = related(words.select(F.col(group).alias("_of"), "word"), "_of")
-    both = words.select(group, "ord", "word").groupBy(group).cogroup(links.groupBy("_of"))
-    return both.applyInPandas(run, f"{group} {kind}, family long, word string")
+    return words.select(group, "ord", "word").groupBy(group).applyInPandas(run, f"{group} {kind}, family long, word string")
 
 
 def family_lemmas(members: DataFrame, morph: DataFrame, *keys: str) -> DataFrame:
