@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators import corpus, evaluation, terms
-from lexmill.operators.rounds import settled
+from lexmill.operators.rounds import dealt, settled
 
-from .base import CANDIDATES, PRE, STOP, book_occurrences, documents, query, quoted, rounded, sentence_sql, sents_of_books, table, words_frame
+from .base import CANDIDATES, PRE, STOP, documents, query, quoted, rounded, sentence_sql, table, words_frame
 
 TOP = 60
 SETS = (
@@ -46,13 +45,22 @@ SETS = (
 KEYS = ("subject", "alg", "expert")
 
 
+def _ranked(spark, d):
+    """The first terms of each source by count and by document frequency: a few rows a source.
+
+    Whole texts are dealt before they are cut, so a text's terms are counted where it is, and only a term's sums are
+    shuffled. Each ranking is cut by its own window, so that every task keeps its first terms before a source's meet.
+    """
+    docs = documents(spark, d).select(F.struct(F.col("source").alias("subject"), "doc_id").alias("k"), "text")
+    per_text = terms.candidates(corpus.sentences(dealt(docs, "k"), "k"), STOP, key="k").groupBy("k", "term").agg(F.count(F.lit(1)).alias("n"))
+    found = per_text.groupBy("k.subject", "term").agg(F.sum("n").alias("n"), F.count("k.doc_id").alias("df"))
+    both = F.array(*[F.struct(F.lit(a).alias("alg"), F.col(c).alias("by")) for a, c in (("freq", "n"), ("df", "df"))])
+    return terms.top(found.select("subject", "term", F.inline(both)), "by", TOP, "subject", "alg").select("subject", "alg", "term", "rank")
+
+
 def _rankings(spark, d):
-    """The first terms of each source by count and by document frequency: a few rows a source, ranked once and kept."""
-    found = book_occurrences(sents_of_books(spark, d)).groupBy(F.col("book").alias("subject"), "term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("df"))
-    place = lambda c: F.row_number().over(W.partitionBy("subject").orderBy(F.desc(c), "term")).cast("long")
-    ranked = found.select("subject", "term", place("n").alias("by_n"), place("df").alias("by_df"))
-    both = F.array(*[F.struct(F.lit(a).alias("alg"), F.col(c).alias("rank")) for a, c in (("freq", "by_n"), ("df", "by_df"))])
-    return settled(ranked.select("subject", "term", F.inline(both)).where(F.col("rank") <= TOP).select("subject", "alg", "term", "rank"))
+    """The rows of ``_ranked``, made once and kept."""
+    return settled(_ranked(spark, d))
 
 
 def _tests(spark, d):

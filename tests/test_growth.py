@@ -113,3 +113,51 @@ def test_titles_with_references_cut_short_are_those_of_the_sql(spark):
     want = dict(con.sql(catalogue.SQL["html_title"]).fetchall())
     found = html.parse(spark.createDataFrame(rows, "page_id long, html string")).select("page_id", F.trim("title").alias("title"))
     assert {r.page_id: r.title for r in found.collect()} == want and want[1] == "cut&" and want[5] == "edge"
+
+
+def test_candidates_are_made_without_lambdas(spark):
+    rng = random.Random(5)
+    stop = ["the", "of"]
+    lines = [(d, i, [rng.choice(["the", "of", "ab", "cat", "dog", "ёжик", "a-b"]) for _ in range(rng.randrange(1, 9))]) for d in range(4) for i in range(6)]
+    want = []
+    for d, i, w in lines:
+        good = [len(x) >= 3 and x not in stop for x in w]
+        want += [(d, i, p, " ".join(w[p : p + n]), n) for p in range(len(w)) for n in (1, 2, 3) if p + n <= len(w) and all(good[p : p + n])]
+    sents = spark.createDataFrame(lines, "doc_id long, sent_id long, words array<string>")
+    found = terms.candidates(sents, stop, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and "lambda" not in plan(found)
+
+
+def some_books(spark, path):
+    """Documents of two sources and of none, one of them without words; gives the sentences by (source, doc_id)."""
+    rng = random.Random(6)
+    held = {(s, d): [[rng.choice("alpha beta gamma delta kappa".split()) for _ in range(rng.randrange(1, 7))] for _ in range(rng.randrange(3, 30))] for d, s in enumerate(["x", "y", "x", None, "x", "y"])}
+    rows = [(d, s, ". ".join(" ".join(w).capitalize() for w in lines) + ".") for (s, d), lines in held.items()] + [(9, "y", "?")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{path}/documents.parquet")
+    return held
+
+
+def test_each_task_keeps_the_first_terms_of_a_source(spark, tmp_path):
+    from collections import Counter
+
+    from lexmill.plans import evaluation_queries
+
+    held, n, df = some_books(spark, str(tmp_path)), {}, {}
+    for (s, _), lines in held.items():
+        own = Counter(" ".join(w[p : p + k]) for w in lines for k in (1, 2) for p in range(len(w) - k + 1))
+        n.setdefault(s, Counter()).update(own)
+        df.setdefault(s, Counter()).update(set(own))
+    want = {(s, alg, t, i + 1) for alg, counts in (("freq", n), ("df", df)) for s, c in counts.items() for i, t in enumerate(sorted(c, key=lambda t: (-c[t], t))[: evaluation_queries.TOP])}
+    found = evaluation_queries._ranked(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == want
+    # texts, then sums of terms, then the first terms of each task: no other shuffle
+    shown = executed(found).split("Initial Plan")[-1]
+    assert shown.count("Exchange hashpartitioning") == 3 and shown.count("WindowGroupLimit") == 2
+
+
+def test_texts_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 10) for i in range(40)] + [(40, None)], "doc_id long, text string")
+    assert rounds.dealt(docs, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(rounds, "DEALT", 100)
+    assert rounds.dealt(docs, "doc_id").rdd.getNumPartitions() == 20 and rounds.dealt(docs, "doc_id").count() == 41
+    assert rounds.dealt(docs.where("text is null"), "doc_id").count() == 1
