@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -70,8 +70,8 @@ class Books:
 
     def stdev_rank(self, parts: int | None = None, least: int = 1, limit: int | None = None) -> DataFrame:
         """book, term, n, score and rank by burstiness over all chapters."""
-        ends = profiles.clock_ends(self.sentences, "book", "doc_id")
-        found = collection.stdev_ranks(self.occurrences(), ends, self.sentences, parts).where(F.col("n") >= least)
+        held = self.sentences.select(F.struct("book", "doc_id").alias("k"), "sent_id", "words", "t")
+        found = collection.stdev_ranks(held, profiles.clock_ends(held, "k"), partial(terms.candidates, stop=self.stop, most=self.most), parts).where(F.col("n") >= least)
         rows = found.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("by", F.round("score", 9))
         return terms.top(rows.select("book", "term", "n", "score", "by"), "by", 2**31 - 1 if limit is None else limit, "book").drop("by")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,22 +34,22 @@ def chapter_relevance(counts: DataFrame, sizes: DataFrame, least: int = 1, min_s
     return rated.withColumn("density_ratio", ratio).where(F.col("score") >= min_score).select(book, "term", "doc_id", "n", "score", "density_ratio")
 
 
-def stdev_ranks(occurrences: DataFrame, ends: DataFrame, clocked: DataFrame, parts: int | None = None, book: str = "book") -> DataFrame:
+def stdev_ranks(clocked: DataFrame, ends: DataFrame, found: Callable[..., DataFrame], parts: int | None = None, book: str = "book", key: str = "k") -> DataFrame:
     """Burstiness over the chapters of a book: each gets its share of ``parts`` (default: the number of chapters).
 
-    ``occurrences`` (book, doc_id, sent_id, term, n_words, and the clock ``t`` if they carry it), ``ends`` (book, doc_id,
-    t0, total, n_sentences), ``clocked`` (doc_id, sent_id, t). All chapters count with their bins, with or
-    without the term.
+    ``clocked`` (key, sent_id, words, t) and ``ends`` (key, t0, total, n_sentences), where the key is a struct of book and
+    chapter; ``found`` gives the occurrences of sentences and the columns that they carry. All chapters count with their
+    bins, with or without the term. A sentence gets its bin before its terms are made, so chapters that were dealt by
+    key are counted where they are, and only a term's sums are shuffled.
     """
-    of_book = W.partitionBy(book)
+    of_book = W.partitionBy(f"{key}.{book}")
     share = scores.parts_of(F.lit(parts) if parts else F.count(F.lit(1)).over(of_book), F.col("n_sentences"), F.sum("n_sentences").over(of_book))
     setup = ends.withColumn("parts", share).withColumn("width", interval(F.col("total"), F.col("parts")))
     setup = setup.withColumn("bins", F.floor((F.col("total") - F.col("t0")) / F.col("width")).cast("long") + 1).withColumn("all_bins", F.sum("bins").over(of_book))
-    at = occurrences if "t" in occurrences.columns else occurrences.join(clocked.select("doc_id", "sent_id", "t"), ["doc_id", "sent_id"])
-    binned = at.select(book, "doc_id", "term", "n_words", "t").join(setup.select("doc_id", "t0", "width", "all_bins"), "doc_id")
+    binned = clocked.select(key, "sent_id", "words", "t").join(setup.select(key, "t0", "width", "all_bins"), key)
     binned = binned.withColumn("bin", F.floor((F.col("t") - F.col("t0")) / F.col("width")).cast("long"))
-    per_bin = binned.groupBy(book, "term", "n_words", "all_bins", "doc_id", "bin").agg(F.count(F.lit(1)).alias("x"))
-    per_term = per_bin.groupBy(book, "term", "n_words", "all_bins").agg(F.sum("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    per_bin = found(binned, key=key, carry=("all_bins", "bin")).groupBy(key, "term", "n_words", "all_bins", "bin").agg(F.count(F.lit(1)).alias("x"))
+    per_term = per_bin.groupBy(F.col(f"{key}.{book}").alias(book), "term", "n_words", "all_bins").agg(F.sum("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
     return per_term.withColumn("score", spread(F.col("n").cast("double"), F.col("q").cast("double"), F.col("all_bins")) * F.col("n_words"))
 
 

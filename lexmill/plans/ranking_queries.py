@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -262,9 +264,8 @@ def _book_stdev(parts):
 
 
 def _book_ranks(spark, d, parts):
-    clock = corpus.word_clock(sents_of_books(spark, d))
-    ends = profiles.clock_ends(clock, "book", "doc_id")
-    ranks = collection.stdev_ranks(book_occurrences(clock), ends, clock, parts)
+    clock, ends = clocked_with_ends(documents(spark, d).select(F.struct(F.col("source").alias("book"), "doc_id").alias("k"), "text"), "k")
+    ranks = collection.stdev_ranks(clock, ends, partial(terms.candidates, stop=STOP), parts)
     return ranks.where((F.col("n") >= 3) & (F.length("term") >= 2)).select("book", "term", "n", rounded("score"))
 
 

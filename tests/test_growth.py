@@ -155,6 +155,38 @@ def test_each_task_keeps_the_first_terms_of_a_source(spark, tmp_path):
     assert shown.count("Exchange hashpartitioning") == 3 and shown.count("WindowGroupLimit") == 2
 
 
+def test_burstiness_of_books_shuffles_texts_and_sums_only(spark, tmp_path):
+    import statistics
+    from collections import Counter
+
+    from lexmill.plans import ranking_queries
+
+    held = some_books(spark, str(tmp_path))
+    found = ranking_queries._book_ranks(spark, str(tmp_path), 7)
+    want = {}
+    for book in {s for s, _ in held}:
+        own = [lines for (s, _), lines in held.items() if s == book]
+        cells, bins = {}, 0
+        for d, lines in enumerate(own):
+            parts = max(1, round(7 * len(lines) / sum(map(len, own))))
+            total, t = sum(map(len, lines)), 0
+            width, t0 = -(-total // parts), len(lines[0])
+            bins += (total - t0) // width + 1
+            for w in lines:
+                t += len(w)
+                for k in (1, 2):
+                    for p in range(len(w) - k + 1):
+                        cells.setdefault((" ".join(w[p : p + k]), k), Counter())[d, (t - t0) // width] += 1
+        for (term, k), c in cells.items():
+            if sum(c.values()) >= 3:
+                x = [*c.values(), *[0] * (bins - len(c))]
+                want[book, term] = (sum(x), statistics.stdev(x) * k)
+    rows = {(r.book, r.term): (r.n, r.score) for r in found.collect()}
+    assert rows.keys() == want.keys() and all(n == want[x][0] and abs(score - want[x][1]) < 2e-6 for x, (n, score) in rows.items())
+    at_terms = executed(found).split("Initial Plan")[-1].split("posexplode(words")[0]
+    assert at_terms.count("Exchange hashpartitioning") == 1
+
+
 def test_texts_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "word " * 10) for i in range(40)] + [(40, None)], "doc_id long, text string")
     assert rounds.dealt(docs, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
