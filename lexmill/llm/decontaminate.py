@@ -57,6 +57,8 @@ CELLS = 1 << 20
 CHUNK = 2048
 #: Bytes of text, and blocks, that are compared at once.
 SLICE, RANGE = 1 << 18, 1 << 12
+#: Words of windows that are folded at once, and how much single precision may take from a cosine (sums of 64 and of 256 products: less than 1e-4).
+FOLDED, SINGLE = 1 << 15, 1e-3
 #: In 64 words the square of 1 + log t is at least this share of t, for any t.
 REPEATED = (1.0 + math.log(64)) ** 2 / 64
 
@@ -418,6 +420,39 @@ class Shorts:
         return found
 
 
+def likely(hashes: np.ndarray, off: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, space: Space, passages: Passages, cosine: float) -> np.ndarray:
+    """Which windows (text, start, end in words) have a latent cosine of about the limit or more with some passage.
+
+    Many windows are folded together in single precision, with ``SINGLE`` left for its error, so ``find`` takes the exact
+    cosine of those alone that may have one. Where the axes leave something out, every window stays.
+    """
+    if passages.whole is not None or not len(text):
+        return np.ones(len(text), bool)
+    if not hasattr(passages, "_single"):
+        passages._single = space.axes.astype(np.float32), np.ascontiguousarray(passages.latent.T, np.float32)
+    axes, latent = passages._single
+    word, code = np.unique(hashes, return_inverse=True)
+    row, weight, n = space.rows(word), space.weight(word), len(word)
+    begin, size, keep = off[text] + start, end - start, []
+    cuts = np.searchsorted(np.cumsum(size), np.arange(FOLDED, size.sum() + FOLDED, FOLDED), "left")
+    for a, z in zip(np.concatenate([[0], cuts]), np.append(cuts, len(text))):
+        own, many = size[a:z], z - a
+        at = np.repeat(begin[a:z] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        key = np.sort(np.repeat(np.arange(many), own) * n + code[at])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        window, term = np.divmod(key[first], n)
+        value = (1.0 + np.log(np.diff(np.append(first, len(key))))) * weight[term]
+        length = np.sqrt(np.bincount(window, value * value, many))
+        known = np.flatnonzero(row[term] >= 0)
+        folded = np.zeros((many, axes.shape[1]), np.float32)
+        if len(known):
+            window = window[known]
+            at = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+            folded[window[at]] = np.add.reduceat(axes[row[term[known]]] * value[known, None].astype(np.float32), at, axis=0)
+        keep.append((folded @ latent).max(axis=1, initial=-1e30) >= (cosine - SINGLE) * np.maximum(length, 1e-12))
+    return np.concatenate(keep)
+
+
 def find(hashes: np.ndarray, windows: list[tuple[int, int]], space: Space, passages: Passages, cosine: float, least: float) -> dict[int, tuple[float, float, int, int]]:
     """In windows of one document: the passages found, each with cosine, covered share, and the stretch of words."""
     n = len(hashes)
@@ -535,6 +570,8 @@ def search(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, least: fl
                 for part in tk.slices(batch, most=SLICE):
                     hashes, off = stripped(part.column(1))
                     text, start, end = screen(hashes, off, space, bounds, len(passages.words), cosine)
+                    near = likely(hashes, off, text, start, end, space, passages, cosine)
+                    text, start, end = text[near], start[near], end[near]
                     whole = shorts.find(hashes, off)
                     at, out = [], []
                     for i in np.unique(np.concatenate([text, np.array(list(whole), np.int64)])):
