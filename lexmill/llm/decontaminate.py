@@ -144,8 +144,10 @@ def randomised_svd(passages: DataFrame, space: Space, rows: int, rank: int, seed
     """
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(rows, min(rank, rows))))[0]
     for _ in range(power + 1):
+        held = passages.sparkSession.sparkContext.broadcast((space, q))
 
-        def product(batches, q=q):
+        def product(batches, held=held):
+            space, q = held.value
             total = np.zeros(q.shape)
             for batch in batches:
                 for raw in batch.column(0):
@@ -155,6 +157,7 @@ def randomised_svd(passages: DataFrame, space: Space, rows: int, rank: int, seed
             return total.ravel()
 
         b = partition_sums(passages.select("words"), product, q.shape)
+        held.destroy()
         left, values, _ = np.linalg.svd(b, full_matrices=False)
         q = left[:, values > 1e-10 * max(values[0], 1e-300)] if len(values) else left
     return q

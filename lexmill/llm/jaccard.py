@@ -111,8 +111,12 @@ def _rarity(counts: DataFrame) -> np.ndarray:
         raw = [x.as_py() for batch in batches for x in batch.column(0)]
         return add(raw) if raw else None
 
-    total = np.frombuffer(zlib.decompress(add(gather(counts, first, add, left=1))), np.uint32)
-    return np.floor(2 * np.log2(total + 1.0)).astype(np.uint8)
+    found = gather(counts, first, add, left=1)  # one sum, or none of an empty table
+    total = np.frombuffer(zlib.decompress(found.pop(), bufsize=4 * SKETCH), np.uint32) if found else np.zeros(SKETCH, np.uint32)
+    out = np.zeros(SKETCH, np.uint8)
+    for at in range(0, SKETCH, 1 << 16):
+        out[at : at + (1 << 16)] = np.floor(2 * np.log2(total[at : at + (1 << 16)] + 1.0))
+    return out
 
 
 def _postings(docs: DataFrame, rarity, n: int, percent: int) -> DataFrame:
@@ -388,6 +392,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     members = stash(members.select("key", "rep", "rep_tag", "cells", F.monotonically_increasing_id().alias("node")), "jaccard-classes")
     rarity = spark.sparkContext.broadcast(_rarity(scanned.where("counts is not null").select("counts")).tobytes())  # SKETCH bytes
     shared = stash(_shared(_postings(docs, rarity, n, percent), percent), "jaccard-shared")
+    rarity.destroy()
     leads = shared.where(_possible("meta", "lead_meta", percent)).select(F.col("lead_key").alias("k1"), F.col("key").alias("k2"))
     chain = shared.where("prev_key is not null").where(_possible("meta", "prev_meta", percent)).select(F.col("prev_key").alias("k1"), F.col("key").alias("k2"))
     first = stash(leads.union(chain).where("k1 <> k2").distinct(), "jaccard-pairs")
