@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import scores
+from lexmill.operators.rounds import settled
 
 
 #: Lengths of the shorter word up to which one edit is allowed; beyond, two.
@@ -58,11 +59,182 @@ def related(words: DataFrame, *keys: str) -> DataFrame:
 
 
 def neighbours(words: DataFrame, *keys: str) -> DataFrame:
-    """Of each word with a related one: keys, word, n_related, the least distance, and the first word at it."""
-    pairs = related(words, *keys)
-    both = pairs.select(*keys, F.col("w1").alias("word"), F.col("w2").alias("other"), "distance").unionByName(pairs.select(*keys, F.col("w2").alias("word"), F.col("w1").alias("other"), "distance"))
+    """Of each word with a related one: keys, word, n_related, the least distance, and the first word at it.
+
+    The pairs are those of ``related``, but none becomes a row: words of one length, as the shorter ones, and words that
+    are up to four letters longer are cut into blocks by hash, and every pair of blocks is one task's work, so a pair is
+    found in one task only. ``_near_counts`` counts there, and each word of a pair of blocks becomes one row.
+    """
+    own = settled(words.select(*keys, "word").where("length(word) >= 3").distinct())
+    span = F.expr("explode(sequence(greatest(3, length(word) - 4, cast(ceil(length(word) / 2) as int)), length(word)))").alias("size")
+    of_size = own.groupBy(*keys, F.length("word").alias("size")).agg(F.expr(f"ceil(count(*) / {WORDS})").alias("here"))
+    blocks = own.select(*keys, "word", span).groupBy(*keys, "size").agg(F.expr(f"ceil(count(*) / {WORDS})").alias("there")).join(of_size, [*keys, "size"])
+    blocks = settled(blocks)
+    block = "pmod(xxhash64(word), {})"
+    short = own.withColumn("size", F.length("word")).join(blocks, [*keys, "size"]).select(
+        *keys, "size", F.expr(block.format("here")).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("there") - 1)).alias("b"), F.lit(False).alias("longer"), "word")
+    long_ = own.select(*keys, "word", span).join(blocks, [*keys, "size"]).select(
+        *keys, "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here") - 1)).alias("a"), F.expr(block.format("there")).alias("b"), F.lit(True).alias("longer"), "word")
+    tasks = blocks.agg(F.sum(F.col("here") * F.col("there"))).first()[0] or 1
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, min(4 * tasks, TASKS))
+    at = [*keys, "size", "a", "b"]
+
+    def run(key, rows):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        size = key[-3].as_py()
+        here, there = (sorted(rows["word"].filter(x).to_pylist()) for x in (pc.invert(rows["longer"]), rows["longer"]))
+        word, other, n, distance = [], [], [], []
+        for names, others, (count, edits, best) in zip((here, there), (there, here), _near_counts(here, there)):
+            found = np.flatnonzero(count)
+            word += [names[i] for i in found.tolist()]
+            other += [others[i] for i in best[found].tolist()]
+            n.append(count[found])
+            distance.append(edits[found] / (min(8, size) / 3.0))
+        out = {k: pa.repeat(key[i], len(word)) for i, k in enumerate(keys)}
+        return pa.table(out | {"word": pa.array(word, pa.string()), "n": np.concatenate(n), "distance": np.concatenate(distance), "other": pa.array(other, pa.string())})
+
+    kinds = "".join(f"`{k}` {words.schema[k].dataType.simpleString()}, " for k in keys)
+    found = short.unionByName(long_).repartition(tasks, *at).groupBy(*at).applyInArrow(run, kinds + "word string, n long, distance double, other string")
+    letters = words.select(*keys, "word").where("length(word) = 1").distinct()
+    if keys:
+        single = letters.join(letters.withColumnRenamed("word", "other"), list(keys))
+    else:
+        single = letters.crossJoin(letters.withColumnRenamed("word", "other"))
+    single = single.where("word <> other").select(*keys, "word", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("distance"), "other")
     near = F.min(F.struct("distance", "other"))
-    return both.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n_related"), near.alias("x")).select(*keys, "word", "n_related", "x.distance", F.col("x.other").alias("nearest"))
+    return found.unionByName(single).groupBy(*keys, "word").agg(F.sum("n").alias("n_related"), near.alias("x")).select(*keys, "word", "n_related", "x.distance", F.col("x.other").alias("nearest"))
+
+
+#: Words of a block of ``neighbours``, pairs that are held at a time, and the most partitions its pairs of blocks are dealt to.
+WORDS, PAIRS, TASKS = 1 << 17, 1 << 22, 1 << 12
+#: Up to this length any two letters of a word are masked; pairs of longer words are found by pieces.
+MASKED = 16
+
+
+def _near_counts(short: list[str], longer: list[str]):
+    """For the words of both lists: how many of the other list are related, the least edits, and the first word with them.
+
+    ``short`` holds words of one length, ``longer`` words of this length or up to four letters more; both are distinct
+    and sorted. Of a pair of equal length only the one with the smaller word in ``short`` counts, for both its words.
+    A word meets stretches with the same letters but for those masked (up to two), or the same ones without one
+    letter; keys are whole codes of the letters if 64 bits hold them. If not, or if the words are so long that they meet by
+    pieces, keys are hashes and the pairs are compared.
+    """
+    from itertools import combinations
+
+    import numpy as np
+
+    none = tuple((np.zeros(len(w), np.int64),) * 3 for w in (short, longer))
+    if not short or not longer:
+        return none
+    size = len(short[0])
+    allowed = 1 if size <= ONE_EDIT else 2
+    sizes = np.array([len(w) for w in longer])
+    chars = [np.array(short, f"U{size}").view(np.uint32).reshape(-1, size)]
+    owner = []
+    for width in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == width)
+        rows = np.array([longer[i] for i in at.tolist()], f"U{width}").view(np.uint32).reshape(-1, width)
+        chars += [rows[:, i : i + size] for i in range(width - size + 1)]
+        owner += [at] * (width - size + 1)
+    owner = np.concatenate(owner).astype(np.int32)
+    letters = np.unique(np.concatenate([np.unique(x) for x in chars]))
+    mine, theirs = np.searchsorted(letters, chars[0]), np.searchsorted(letters, np.concatenate(chars[1:]))
+    bits = max(1, (len(letters) - 1).bit_length())
+    exact = size <= MASKED and size * bits <= 64
+    if exact:
+        value = np.arange(len(letters), dtype=np.uint64) << np.arange(0, size * bits, bits, dtype=np.uint64)[:, None]
+    else:
+        value = np.random.default_rng(7).integers(0, 2**64, (size, len(letters)), dtype=np.uint64)
+
+    starts, counts, edits, owners, held = [], [], [], [], 0
+
+    def meet(asked, kept, at, cost):
+        """Note where the stretches of each word's key are: the keys of ``kept`` in order, one list of ``asked`` a letter or more."""
+        nonlocal held
+        order = np.argsort(kept)
+        kept = kept[order]
+        for keys in asked:
+            turn = np.argsort(keys)
+            first, last = (np.searchsorted(kept, keys[turn], side) for side in ("left", "right"))
+            lo, n = np.empty(len(keys), np.int64), np.empty(len(keys), np.int32)
+            lo[turn], n[turn] = first + held, last - first
+            starts.append(lo)
+            counts.append(n)
+            edits.append(cost)
+        owners.append(at[order])
+        held += len(order)
+
+    def coded(rows, first, last, shift=0):
+        """The letters from ``first`` to before ``last``, as if they stood ``shift`` places further on."""
+        out = np.zeros(len(rows), np.uint64)
+        for i in range(first, last):
+            out += value[i + shift][rows[:, i]]
+        return out
+
+    if size <= MASKED:
+        whole = [coded(x, 0, size) for x in (mine, theirs)]
+        for cost in range(allowed + 1):
+            for places in combinations(range(size), cost):
+                a, b = (w - sum((value[i][x[:, i]] for i in places), np.uint64(0)) for w, x in zip(whole, (mine, theirs)))
+                meet([a], b, owner, cost)
+        if allowed == 2:
+            a, b = ([coded(x, 0, i) + coded(x, i + 1, size, -1) for i in range(size)] for x in (mine, theirs))
+            meet(a, np.concatenate(b), np.tile(owner, size), 2)
+    else:
+        for k in range(3):
+            first, last = size * k // 3, size * (k + 1) // 3
+            shifts = [d for d in (-1, 0, 1) if first + d >= 0 and last + d <= size]
+            b = [coded(theirs, first + d, last + d, -first - d) for d in shifts]
+            meet([coded(mine, first, last, -first)], np.concatenate(b), np.tile(owner, len(shifts)), 0)
+    del mine, theirs, chars
+    starts, counts, owners, edits = np.array(starts), np.array(counts), np.concatenate(owners), np.array(edits)
+
+    # of words of equal length: how many of ``short`` come before
+    before = np.where(sizes == size, np.searchsorted(np.array(short), np.array(longer)), len(short))
+    shift, far = len(longer).bit_length(), np.int64(2) << 60
+    n_short, best_short = np.zeros(len(short), np.int64), np.full(len(short), far)
+    n_long, best_long = np.zeros(len(longer), np.int64), np.full(len(longer), far)
+    up = len(short).bit_length()
+    total = np.cumsum(counts.sum(axis=0, dtype=np.int64))
+    if not exact:
+        words, lengths = short + longer, np.concatenate([np.full(len(short), size), sizes])
+    begin = 0
+    while begin < len(short):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        n = counts[:, begin:end].ravel()
+        cells = np.flatnonzero(n)
+        n = n[cells]
+        kind, who = cells // (end - begin), cells % (end - begin) + begin
+        at = np.repeat(starts[:, begin:end].ravel()[cells] - (np.cumsum(n, dtype=np.int64) - n), n)
+        at += np.arange(len(at))
+        to = owners[at]
+        keep = np.repeat(who, n) < before[to]
+        pairs = np.sort((np.repeat(who << (shift + 2) | edits[kind], n) + (to.astype(np.int64) << 2))[keep])
+        pairs = pairs[np.flatnonzero(np.diff(pairs >> 2, prepend=-1))]
+        a, b, cost = pairs >> (shift + 2), (pairs >> 2) & ((1 << shift) - 1), pairs & 3
+        if not exact and len(pairs):
+            found = [_compared(words, lengths, a[k : k + PART], b[k : k + PART] + len(short), size, allowed) for k in range(0, len(a), PART)]
+            a, b, _ = (np.concatenate(x) for x in zip(*found))
+            cost = np.rint(np.concatenate([x[2] for x in found]) * (min(8, size) / 3.0)).astype(np.int64)
+            b = b - len(short)
+        begin = end
+        if not len(a):
+            continue
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        n_short[a[first]] = np.diff(first, append=len(a))
+        best_short[a[first]] = np.minimum.reduceat(cost << shift | b, first)
+        n_long += np.bincount(b, minlength=len(longer))
+        np.minimum.at(best_long, b, cost << up | a)
+    return (n_short, best_short >> shift, best_short & ((1 << shift) - 1)), (n_long, best_long >> up, best_long & ((1 << up) - 1))
+
+
+#: Pairs that are compared letter by letter at a time.
+PART = 1 << 17
 
 
 def fuzzy_stop_free(words: DataFrame, stopwords: DataFrame, band: int = 2, limit: float = 0.7) -> DataFrame:

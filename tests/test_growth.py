@@ -100,6 +100,28 @@ def test_near_words_of_a_text_are_those_of_all_pairs(spark):
     assert "Generate" not in plan(families.families(rows))
 
 
+def test_neighbours_are_counted_in_blocks_without_rows_of_pairs(spark, monkeypatch):
+    from lexmill.functions import scores
+    from lexmill.operators import families
+    from test_greedy import some_words
+
+    rng, letters = random.Random(6), [chr(0x430 + i) for i in range(32)] + list("abcdefghijklmnopqrstuvwxyz-")
+    words = set(some_words(6)[:70]) | {"abcdefgh", "xabcdefg", "bcdefgha", "abcdefghabcd"}
+    for n in (9, 11, 14, 17, 23):  # letters that fit 64 bits, and not; masks and pieces
+        for w in ("".join(rng.choices(x, k=n)) for x in ("ab", letters)):
+            at = rng.randrange(n - 1)
+            words |= {w, w[:at] + "q" + w[at + 1 :], "z" + w[:at] + w[at + 1 :] + "ab", w[1:] + "q", w[:at] + w[at + 1] + w[at] + w[at + 2 :]}
+    frame = spark.createDataFrame([(w,) for w in words], "word string").coalesce(1)
+    every = frame.crossJoin(frame.withColumnRenamed("word", "other")).where("word <> other").withColumn("d", scores.word_distance("word", "other")).where("d <= 1")
+    expected = {(r.word, r.n, round(r.x.d, 9), r.x.other) for r in every.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "other")).alias("x")).collect()}
+    for size, pairs in ((1 << 17, 1 << 22), (30, 50)):  # one block a length, and several that are worked off in parts
+        monkeypatch.setattr(families, "WORDS", size)
+        monkeypatch.setattr(families, "PAIRS", pairs)
+        found = families.neighbours(frame)
+        assert {(r.word, r.n_related, round(r.distance, 9), r.nearest) for r in found.collect()} == expected and expected
+        assert "levenshtein" not in plan(found)
+
+
 def test_titles_with_references_cut_short_are_those_of_the_sql(spark):
     import duckdb
     from lexmill.operators import html
