@@ -63,18 +63,20 @@ def neighbours(words: DataFrame, *keys: str) -> DataFrame:
 
     The pairs are those of ``related``, but none becomes a row: words of one length, as the shorter ones, and words that
     are up to four letters longer are cut into blocks by hash, and every pair of blocks is one task's work, so a pair is
-    found in one task only. ``_near_counts`` counts there, and each word of a pair of blocks becomes one row.
+    found in one task only. ``_near_counts`` counts there, and each word of a pair of blocks becomes one row of numbers:
+    words are numbered in their order, and the least distance and the first word at it are one number.
     """
-    own = settled(words.select(*keys, "word").where("length(word) >= 3").distinct())
+    every = settled(words.select(*keys, "word").distinct().orderBy("word").withColumn("id", F.monotonically_increasing_id()))
+    own = every.where("length(word) >= 3")
     span = F.expr("explode(sequence(greatest(3, length(word) - 4, cast(ceil(length(word) / 2) as int)), length(word)))").alias("size")
-    of_size = own.groupBy(*keys, F.length("word").alias("size")).agg(F.expr(f"ceil(count(*) / {WORDS})").alias("here"))
-    blocks = own.select(*keys, "word", span).groupBy(*keys, "size").agg(F.expr(f"ceil(count(*) / {WORDS})").alias("there")).join(of_size, [*keys, "size"])
+    of_size = own.groupBy(*keys, F.length("word").alias("size")).agg(F.expr(f"ceil(count(*) / {2 * WORDS})").alias("here"))
+    blocks = own.select(*keys, span).groupBy(*keys, "size").agg(F.expr(f"ceil(count(*) / {WORDS})").alias("there")).join(of_size, [*keys, "size"])
     blocks = settled(blocks)
     block = "pmod(xxhash64(word), {})"
     short = own.withColumn("size", F.length("word")).join(blocks, [*keys, "size"]).select(
-        *keys, "size", F.expr(block.format("here")).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("there") - 1)).alias("b"), F.lit(False).alias("longer"), "word")
-    long_ = own.select(*keys, "word", span).join(blocks, [*keys, "size"]).select(
-        *keys, "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here") - 1)).alias("a"), F.expr(block.format("there")).alias("b"), F.lit(True).alias("longer"), "word")
+        *keys, "size", F.expr(block.format("here")).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("there") - 1)).alias("b"), F.lit(False).alias("longer"), "id", "word")
+    long_ = own.select(*keys, "id", "word", span).join(blocks, [*keys, "size"]).select(
+        *keys, "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here") - 1)).alias("a"), F.expr(block.format("there")).alias("b"), F.lit(True).alias("longer"), "id", "word")
     tasks = blocks.agg(F.sum(F.col("here") * F.col("there"))).first()[0] or 1
     tasks = max(words.sparkSession.sparkContext.defaultParallelism, min(4 * tasks, TASKS))
     at = [*keys, "size", "a", "b"]
@@ -84,32 +86,29 @@ def neighbours(words: DataFrame, *keys: str) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        size = key[-3].as_py()
-        here, there = (sorted(rows["word"].filter(x).to_pylist()) for x in (pc.invert(rows["longer"]), rows["longer"]))
-        word, other, n, distance = [], [], [], []
-        for names, others, (count, edits, best) in zip((here, there), (there, here), _near_counts(here, there)):
-            found = np.flatnonzero(count)
-            word += [names[i] for i in found.tolist()]
-            other += [others[i] for i in best[found].tolist()]
-            n.append(count[found])
-            distance.append(edits[found] / (min(8, size) / 3.0))
-        out = {k: pa.repeat(key[i], len(word)) for i, k in enumerate(keys)}
-        return pa.table(out | {"word": pa.array(word, pa.string()), "n": np.concatenate(n), "distance": np.concatenate(distance), "other": pa.array(other, pa.string())})
-
-    kinds = "".join(f"`{k}` {words.schema[k].dataType.simpleString()}, " for k in keys)
-    found = short.unionByName(long_).repartition(tasks, *at).groupBy(*at).applyInArrow(run, kinds + "word string, n long, distance double, other string")
-    letters = words.select(*keys, "word").where("length(word) = 1").distinct()
-    if keys:
-        single = letters.join(letters.withColumnRenamed("word", "other"), list(keys))
-    else:
-        single = letters.crossJoin(letters.withColumnRenamed("word", "other"))
-    single = single.where("word <> other").select(*keys, "word", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("distance"), "other")
-    near = F.min(F.struct("distance", "other"))
-    return found.unionByName(single).groupBy(*keys, "word").agg(F.sum("n").alias("n_related"), near.alias("x")).select(*keys, "word", "n_related", "x.distance", F.col("x.other").alias("nearest"))
-
-
-#: Words of a block of ``neighbours``, pairs that are held at a time, and the most partitions its pairs of blocks are dealt to.
+        size, out = key[-3].as_py(), []
+        sides = [rows.filter(x).sort_by("id") for x in (pc.invert(rows["longer"]), rows["longer"])]
+        ids = [x["id"].to_numpy() for x in sides]
+        for mine, others, (n, edits, other) in zip(ids, ids[::-1], _near_counts(*(x["word"].to_pylist() for x in sides))):
+            found = np.flatnonzero(n)
+            out.append((mine[found], n[found], (edits[found] * PARTS * 3 // min(8, size) << ID) | others[other[found]]))
+        return pa.table(dict(zip(("id", "n", "near"), map(np.concatenate, zip(*out)))))
+
+    found = short.unionByName(long_).repartition(tasks, *at).groupBy(*at).applyInArrow(run, "id long, n long, near long")
+    found = found.groupBy("id").agg(F.sum("n").alias("n_related"), F.min("near").alias("near"))
+    found = found.join(own, "id").withColumn("other", F.expr(f"near & ((1L << {ID}) - 1)")).withColumn("distance", F.expr(f"(near >> {ID}) / {PARTS}.0D"))
+    found = found.join(own.select(F.col("id").alias("other"), F.col("word").alias("nearest")), "other").select(*keys, "word", "n_related", "distance", "nearest")
+    letters = every.select(*keys, "word").where("length(word) = 1")
+    other = letters.withColumnRenamed("word", "nearest")
+    single = (letters.join(other, list(keys)) if keys else letters.crossJoin(other)).where("word <> nearest")
+    single = single.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n_related"), F.lit(1.0).alias("distance"), F.min("nearest").alias("nearest"))
+    return found.unionByName(single)
+
+
+#: Words of a block of ``neighbours`` (twice as many of the shorter ones), pairs that are held at a time, and the most partitions its pairs of blocks are dealt to.
 WORDS, PAIRS, TASKS = 1 << 17, 1 << 22, 1 << 12
+#: Distances are whole numbers of this part of 1, whatever the length of the shorter word; bits of a word's number.
+PARTS, ID = 840, 50
 #: Up to this length any two letters of a word are masked; pairs of longer words are found by pieces.
 MASKED = 16
 
@@ -160,7 +159,7 @@ def _near_counts(short: list[str], longer: list[str]):
         for keys in asked:
             turn = np.argsort(keys)
             first, last = (np.searchsorted(kept, keys[turn], side) for side in ("left", "right"))
-            lo, n = np.empty(len(keys), np.int64), np.empty(len(keys), np.int32)
+            lo, n = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
             lo[turn], n[turn] = first + held, last - first
             starts.append(lo)
             counts.append(n)
