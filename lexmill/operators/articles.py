@@ -192,18 +192,24 @@ def trim_emails(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 # Headings of a list of references and of keywords.
-BIBLIOGRAPHY = r"(?ium)^\s*(список литературы|литература|библиографический список|библиография|список\s{0,5}использованных\s{0,5}источников|список\s{0,5}использованной\s{0,5}литературы|references|bibliography).{0,5}$"
+BIBLIOGRAPHY = r"(?ium)^[^\S\n]*(список литературы|литература|библиографический список|библиография|список\s{0,5}использованных\s{0,5}источников|список\s{0,5}использованной\s{0,5}литературы|references|bibliography).{0,5}$"
 KEYWORDS = r"(?ium)^\s*(Ключевые слова|Список ключевых слов|Keywords)\s*[-.:]?\s*(.+)\n"
 
 
-def cut_bibliography(text: Column, title: Column | None = None) -> Column:
-    """The text before the first bibliography heading; with a title that the text holds, the first one after it."""
+def cut_bibliography(text: Column, title: Column | None = None, last: bool = False) -> Column:
+    """The text before the line of the first bibliography heading, or of the last one; with a title that the text holds, headings after it count.
+
+    What is cut is where the line was found: the same words may be part of an earlier line, and blank lines before it stay.
+    """
     if title is not None:
         at = F.call_function("instr", F.lower(text), F.lower(title))
         head = F.when((F.length(title) > 0) & (at > 0), at + F.length(title) - 1).otherwise(0)
-        return F.concat(F.substring(text, F.lit(1), head), cut_bibliography(F.substring(text, head + 1, F.length(text))))
-    hit = F.regexp_extract(text, BIBLIOGRAPHY, 0)
-    return F.when(hit == "", text).otherwise(F.substring(text, F.lit(1), F.call_function("instr", text, hit) - 1))
+        return F.concat(F.substring(text, F.lit(1), head), cut_bibliography(F.substring(text, head + 1, F.length(text)), last=last))
+    if not last:
+        return F.split(text, BIBLIOGRAPHY, 2)[0]
+    found = F.regexp_extract_all(text, F.lit(BIBLIOGRAPHY), F.lit(0))
+    end = F.length(F.element_at(F.split(text, BIBLIOGRAPHY, -1), -1)) + F.length(F.element_at(found, -1))
+    return F.when(F.size(found) == 0, text).otherwise(F.substring(text, F.lit(1), F.length(text) - end))
 
 
 def inline_keywords(text: Column) -> Column:

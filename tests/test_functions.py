@@ -143,3 +143,22 @@ def test_bibliography_captions(spark):
     texts = ["Текст\nСписок  использованной литературы:\n1. А", "Текст\nСПИСОК ИСПОЛЬЗОВАННЫХ ИСТОЧНИКОВ\n1. А", "Текст\nСписок\n1. А"]
     got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(articles.cut_bibliography(F.col("t")).alias("t")).collect()]
     assert [t.strip() for t in got] == ["Текст", "Текст", texts[2]]
+
+
+def test_bibliography_is_cut_at_its_line(spark, monkeypatch):
+    import duckdb
+    from lexmill.plans import record_queries
+    from lexmill.plans.base import SQL
+
+    texts = ["см. Список литературы ниже\n\nСписок литературы\n1. А", "Литература\n1. А", "x\n \n  References.\ny\nREFERENCES", ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [tuple(r) for r in frame.select(articles.cut_bibliography(F.col("t")), articles.cut_bibliography(F.col("t"), last=True)).collect()] == [
+        ("см. Список литературы ниже\n\n",) * 2, ("", ""), ("x\n \n", "x\n \n  References.\ny\n"), ("", "")]
+    odd = ["", "\n", "a\n\n", "a\n \t\n", "a\r", "Список литературы\nb", "b\nReferences\nc", "Тема en\nReferences", "bibliography:", None, "İ\u2028x\x85"]
+    rows = [(i, t, "en", "src1") for i, t in enumerate(odd)] + [(90, "a", None, "s"), (91, "a\n", "en", None), (92, "a\n", "", "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    want = dict(con.sql(SQL["bibliography_after_title"]).fetchall())
+    monkeypatch.setattr(record_queries, "documents", lambda *_: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id: r.text for r in record_queries.bibliography_after_title(spark, "").collect()} == want
