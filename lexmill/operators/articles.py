@@ -148,6 +148,31 @@ def author_edges(articles: DataFrame) -> DataFrame:
     return found.select("node", "topic", "author", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+#: Members of a class that meet as many others in one step of ``author_pairs``.
+MEMBERS = 1 << 12
+
+
+def author_pairs(articles: DataFrame) -> DataFrame:
+    """All pairs of articles of one topic that share an author, in both directions and once each: src, dst.
+
+    The number of pairs grows with the square of an author's articles, so none is shuffled or held: the articles of a
+    (topic, author) are dealt to blocks, two blocks meet in one task, and a pair that shares several authors comes from the first of them only.
+    """
+    sides = F.explode(F.transform("authors", lambda a: F.struct(F.col("topic").alias("topic"), F.trim(a).alias("author")))).alias("side")
+    sides = articles.select("node", sides).where("side.topic is not null and side.author is not null")
+    held = sides.groupBy("node").agg(F.array_sort(F.collect_set("side")).alias("sides"))
+    rows = settled(held.select("node", F.when(F.size("sides") > 1, F.col("sides")).alias("sides"), F.explode("sides").alias("side")))
+    sizes = settled(rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / MEMBERS)))
+    tasks = sizes.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 1
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, min(4 * tasks, 1 << 12))
+    placed = rows.join(small(sizes.select("side", "blocks")), "side").withColumn("own", F.expr("pmod(xxhash64(node), blocks)"))
+    others = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    left = placed.select("side", F.col("own").alias("a"), others.alias("b"), F.col("node").alias("src"), F.col("sides").alias("mine")).repartition(tasks, "side", "a", "b")
+    right = placed.select("side", others.alias("a"), F.col("own").alias("b"), F.col("node").alias("dst"), F.col("sides").alias("theirs")).repartition(tasks, "side", "a", "b")
+    first = "mine is null or theirs is null or side = array_min(array_intersect(mine, theirs))"
+    return left.join(right.hint("merge"), ["side", "a", "b"]).where("src <> dst").where(first).select("src", "dst")
+
+
 def literature(paragraphs: DataFrame, heading: str, key: str = "doc_id") -> DataFrame:
     """Bibliography headings of each document: their number, the last one before the title, the last one from it on.
 

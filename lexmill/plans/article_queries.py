@@ -313,10 +313,19 @@ def in_many_ranges(spark, d):
     SELECT DISTINCT d.doc_id AS node, d.lang AS topic, d.source AS author, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(c.n_links, 0)::BIGINT AS n_links
     FROM documents d LEFT JOIN classes c ON c.lang = d.lang AND c.source = d.source"""
 )
-def author_edges(spark, d):
+def author_classes(spark, d):
     """Links of documents of one language and source: the class of each document, and how many others it is linked with."""
-    rows = documents(spark, d).select(F.col("doc_id").alias("node"), F.col("lang").alias("topic"), F.array(F.concat(F.lit(" "), F.col("source"), F.lit(" "))).alias("authors"))
-    return articles.author_edges(rows)
+    return articles.author_edges(_authored(spark, d))
+
+
+def _authored(spark, d):
+    return documents(spark, d).select(F.col("doc_id").alias("node"), F.col("lang").alias("topic"), F.array(F.concat(F.lit(" "), F.col("source"), F.lit(" "))).alias("authors"))
+
+
+@query("SELECT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON a.lang = b.lang AND a.source = b.source AND a.doc_id <> b.doc_id")
+def author_edges(spark, d):
+    """All pairs of documents of one language and source."""
+    return articles.author_pairs(_authored(spark, d))
 
 
 @query("SELECT page_id, url FROM pages UNION ALL SELECT page_id + 100000, url FROM pages")

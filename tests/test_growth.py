@@ -76,6 +76,21 @@ def test_links_of_authors_are_classes(spark):
     assert got == sorted([(1, "t", "a", 1, 1), (1, "t", "b", 1, 1), (2, "t", "a", 1, 1), (3, "t", "b", 1, 1), (4, "u", "a", 4, 0), (5, None, "a", 5, 0), (6, "t", None, 6, 0)], key=str)
 
 
+def test_edges_of_authors_are_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["t", "u", None]), [rng.choice([" a", "b ", "c", None]) for _ in range(rng.randrange(4))]) for i in range(60)] + [(60, "t", None), (0, "t", ["a"])]
+    sides = [(n, {(t, x.strip()) for x in a or [] if x and t}) for n, t, a in rows]
+    want = sorted({(m, n) for m, a in sides for n, b in sides if m != n and a & b})
+    frame = spark.createDataFrame(rows, "node long, topic string, authors array<string>")
+    for size in (1 << 12, 5):  # one block a class, and several that meet in tasks of their own
+        monkeypatch.setattr(articles, "MEMBERS", size)
+        found = articles.author_pairs(frame)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 50
+    held = spark.createDataFrame([(i, "en", "x") for i in range(50)], "doc_id long, lang string, source string")
+    pairs = articles.author_pairs(held.select(F.col("doc_id").alias("node"), F.col("lang").alias("topic"), F.array("source").alias("authors")))
+    assert pairs.columns == ["src", "dst"] and pairs.count() == 50 * 49
+
+
 def test_grams_filter_their_words_once_and_sets_are_dealt_as_articles(spark):
     df = spark.createDataFrame([(["aa", "b", "cc", "dd"],)], "w array<string>").select(tx.ngrams(F.col("w"), 3).alias("g"))
     assert df.first().g == ["aa", "cc", "dd", "aa cc", "cc dd", "aa cc dd"]
