@@ -245,19 +245,117 @@ def fuzzy_stop_free(words: DataFrame, stopwords: DataFrame, band: int = 2, limit
 
 #: Cells of a block of pairs.
 BLOCK = 1 << 21
+#: Up to this length words are compared by bits; words of a stretch of columns; numbers of 64 bits of a block of bits.
+BITS, COLUMNS, CELLS = 24, 1 << 15, 1 << 14
 
 
 def near_words(words: list[str]):
-    """Positions a, b (a before b) and distances of the pairs of ``words`` that ``related`` would give, for the words of one text.
+    """Positions a, b (a before b) and distances of the pairs of ``words`` that ``related`` would give, for the words of some texts.
 
-    ``words`` are distinct and rising in length. Pairs are compared in blocks: an edit takes at most one letter and two
+    ``words`` are distinct and rising in length. Words of up to ``BITS`` letters are compared 64 pairs at a time
+    (``_near_bits``). Longer ones are compared in blocks: an edit takes at most one letter and two
     neighbouring letters from a word, so a pair that lacks more of them goes by its bits. What is left is compared letter
     by letter: strings of equal length are within two edits if two letters differ, or if what lies between the first
     and the last difference is moved by one place.
     """
     import numpy as np
 
-    n = np.array([len(w) for w in words])
+    n = np.array([len(w) for w in words], np.int64)
+    out = []
+    one = np.flatnonzero(n == 1)
+    a, b = np.triu_indices(len(one), 1)
+    out.append((one[a], one[b], np.ones(len(a))))
+    if top := int(np.searchsorted(n, BITS + 4, "right")):
+        out += _near_bits(words[:top], n[:top])
+    if (low := int(np.searchsorted(n, BITS, "right"))) < len(n):
+        out += [(a + low, b + low, d) for a, b, d in _near_blocks(words[low:], n[low:])]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _near_bits(words: list[str], n):
+    """Blocks of pairs, the shorter word with 3 to ``BITS`` letters: one bit a word that may be the longer one.
+
+    For each place and letter a row of bits says which words have it there. A row of the shorter word's letters then
+    tells, 64 words at a time, how many places of a stretch differ (none, at most one, at most two), and whether the stretch
+    is equal up to a place, moved by one from there to another place, and equal after it.
+    """
+    import numpy as np
+
+    codes = np.array(words, f"U{BITS + 4}").view(np.uint32).reshape(len(words), -1)
+    if codes.max() < 1 << 16:
+        known = np.bincount(codes.ravel()) > 0
+        known[0] = True
+        codes = (np.cumsum(known) - 1)[codes]
+    else:
+        codes = np.unique(np.append(codes.ravel(), 0), return_inverse=True)[1][:-1].reshape(codes.shape)
+    kinds = int(codes.max()) + 1
+    columns = max(64, min(COLUMNS, (1 << 26) // (kinds * (BITS + 4)) // 64 * 64))
+    sizes = [int(x) for x in np.unique(n) if 3 <= x <= BITS]
+    begins = np.searchsorted(n, np.arange(BITS + 6))
+    out = []
+    for first in range(0, len(words), columns):
+        last = min(first + columns, len(words))
+        here = codes[first:last]
+        has = np.zeros((int(n[last - 1]), kinds, -(-(last - first) // 64) * 64), bool)
+        at, place = np.nonzero(here)
+        has[place, here[at, place], at] = True
+        has = np.packbits(has, axis=-1, bitorder="little").view(np.uint64)
+        for size in sizes:
+            lo, hi = max(first, int(begins[size])), min(last, int(begins[min(size + 4, 2 * size) + 1]))
+            if lo >= hi:
+                continue
+            allowed, w0, w1 = 1 if size <= ONE_EDIT else 2, (lo - first) // 64, -(-(hi - first) // 64)
+            mine = codes[begins[size] : min(begins[size + 1], hi), :size].T
+            step = max(1, CELLS // (w1 - w0))
+            for k in range(0, mine.shape[1], step):
+                planes = [np.zeros((mine[0, k : k + step].size, w1 - w0), np.uint64) for _ in range(3)]
+                for shift in range(5):
+                    start = max(lo, int(begins[size + shift]))
+                    if start >= hi:
+                        break
+                    valid = np.zeros((w1 - w0) * 64, bool)
+                    valid[start - first - 64 * w0 : hi - first - 64 * w0] = True
+                    u = (start - first) // 64 - w0
+                    found = _edits(has[shift : shift + size, :, w0 + u : w1], mine[:, k : k + step], np.packbits(valid, bitorder="little").view(np.uint64)[u:], allowed)
+                    for x, y in zip(planes, found):
+                        x[:, u:] |= y
+                cells = np.flatnonzero(planes[allowed])
+                held = [np.unpackbits(x.ravel()[cells].view(np.uint8), bitorder="little") for x in planes[: allowed + 1]]
+                bits = np.flatnonzero(held[allowed])
+                edits = allowed - sum((x[bits] for x in held[:allowed]), np.zeros(len(bits), np.int64))
+                a, b = np.divmod(cells, w1 - w0)
+                a, b = a[bits >> 6] + (int(begins[size]) + k), (b[bits >> 6] + w0) * 64 + (bits & 63) + first
+                keep = a < b
+                out.append((a[keep], b[keep], edits[keep] / (min(8, size) / 3.0)))
+    return out
+
+
+def _edits(has, mine, valid, allowed: int):
+    """Bits of at most none, one and two edits between words (``mine``: a row of letters a place) and stretches (``has``: bits by place and letter)."""
+    import numpy as np
+
+    size = len(mine)
+    none = one = two = np.broadcast_to(valid, (mine.shape[1], len(valid)))
+    if allowed == 1:
+        for p in range(size):
+            same = has[p][mine[p]]
+            none, one = none & same, one & same | none
+        return none, one
+    ahead = behind = done = np.zeros_like(none)
+    for p in range(size):
+        same = has[p][mine[p]]
+        done = done & same | ahead | behind
+        if p < size - 1:
+            ahead, behind = (ahead | none) & has[p][mine[p + 1]], (behind | none) & has[p + 1][mine[p]]
+        none, one, two = none & same, one & same | none, two & same | one
+    return none, one, two | done
+
+
+def _near_blocks(words: list[str], n):
+    """Blocks of pairs of words that are longer than ``BITS`` letters."""
+    import numpy as np
+
+    out = []
     letters, couples = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
     for i, w in enumerate(words):
         x, y = 0, 0
@@ -266,25 +364,20 @@ def near_words(words: list[str]):
         for c, d in zip(w, w[1:]):
             y |= 1 << ((ord(c) * 31 + ord(d) * 17) & 63)
         letters[i], couples[i] = x, y
-    out = []
-    one = np.flatnonzero(n == 1)
-    a, b = np.triu_indices(len(one), 1)
-    out.append((one[a], one[b], np.ones(len(a))))
-    for size in np.unique(n[n >= 3]):
-        allowed = 1 if size <= ONE_EDIT else 2
+    for size in np.unique(n):
         rows = np.flatnonzero(n == size)
-        end = int(np.searchsorted(n, min(size + 4, 2 * size), "right"))
+        end = int(np.searchsorted(n, size + 4, "right"))
         step = max(1, BLOCK // max(1, end - rows[0]))
         for at in range(0, len(rows), step):
             first = int(rows[at])
             here, there = slice(first, int(rows[min(at + step, len(rows)) - 1]) + 1), slice(first, end)
-            a, b = np.nonzero(np.bitwise_count(letters[here, None] & ~letters[None, there]) <= allowed)
+            a, b = np.nonzero(np.bitwise_count(letters[here, None] & ~letters[None, there]) <= 2)
             a, b = a[a < b] + first, b[a < b] + first
-            close = np.bitwise_count(couples[a] & ~couples[b]) <= 2 * allowed
+            close = np.bitwise_count(couples[a] & ~couples[b]) <= 4
             a, b = a[close], b[close]
             for k in range(0, len(a), (part := max(1, BLOCK // int(size)))):
-                out.append(_compared(words, n, a[k : k + part], b[k : k + part], int(size), allowed))
-    return tuple(np.concatenate(x) for x in zip(*out))
+                out.append(_compared(words, n, a[k : k + part], b[k : k + part], int(size), 2))
+    return out
 
 
 def _compared(words: list[str], n, a, b, size: int, allowed: int):
@@ -315,49 +408,95 @@ def _compared(words: list[str], n, a, b, size: int, allowed: int):
     return a[near], b[near], edits[near] / (min(8, size) / 3.0)
 
 
+#: Words of the texts whose near words are found together.
+TOGETHER = 1 << 12
+
+
 def families(words: DataFrame, group: str = "group") -> DataFrame:
-    """Greedy families of the words of a group in their order (columns group, ord, word).
+    """Greedy families of the words of a group in their order (columns group, ord, word; a group's words are distinct).
 
     A word may join a family if it is within distance 1 of every member; it takes the family of the
     least mean distance, or at once the first one in which it meets a member at distance 0 before one that is too far.
-    Else it starts one. A group, a text's words, is one task's work: ``near_words`` finds the near ones among them, and
-    the walk then only looks at those.
+    Else it starts one. A group, a text's words, is one row; ``near_words`` finds the near ones among the words of a few
+    texts at once, and the walk of a text then only looks at its own.
     """
 
-    def run(key, words):
-        import pandas as pd
-
-        near: dict[str, dict[str, float]] = {}
-        own = sorted(set(words["word"]), key=len)
-        for a, b, d in zip(*(x.tolist() for x in near_words(own))):
-            near.setdefault(own[a], {})[own[b]] = near.setdefault(own[b], {})[own[a]] = d
-        found: list[list[str]] = []
-        home: dict[str, int] = {}
-        for word in words.sort_values("ord")["word"]:
-            mine = near.get(word, {})
-            best, at = None, None
-            for i in sorted({home[w] for w in mine if w in home}):
-                total, zero = 0.0, False
-                for w in found[i]:
-                    if w not in mine:
-                        break
-                    total, zero = total + mine[w], zero or mine[w] == 0
-                else:
-                    if best is None or total / len(found[i]) < best:
-                        best, at = total / len(found[i]), i
-                if zero:
-                    at = i
-                    break
-            if at is None:
-                at = len(found)
-                found.append([])
-            found[at].append(word)
-            home.setdefault(word, at)
-        rows = [(key[0], i, w) for i, f in enumerate(found) for w in f]
-        return pd.DataFrame(rows, columns=[group, "family", "word"])
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = batch.column("words")
+            sizes, values, found = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten(), []
+            ends, at = np.cumsum(sizes), 0
+            while at < len(sizes):
+                begin = int(ends[at] - sizes[at])
+                to = max(at + 1, int(np.searchsorted(ends, begin + TOGETHER, "right")))
+                coded = values.slice(begin, int(ends[to - 1]) - begin).dictionary_encode()
+                known = coded.dictionary.to_pylist()
+                order = sorted(range(len(known)), key=lambda i: len(known[i]))
+                rank = np.empty(len(known), np.int64)
+                rank[order] = np.arange(len(known))
+                near = near_words([known[i] for i in order])
+                own = rank[coded.indices.to_numpy()]
+                for i in range(at, to):
+                    found += _walk(own[int(ends[i] - sizes[i]) - begin : int(ends[i]) - begin], *near)
+                at = to
+            groups = batch.column("group").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([groups, pa.array(found, pa.int64()), values], names=[group, "family", "word"])
 
     kind = words.schema[group].dataType.simpleString()
-    return words.select(group, "ord", "word").groupBy(group).applyInPandas(run, f"{group} {kind}, family long, word string")
+    placed = words.groupBy(F.col(group).alias("group")).agg(F.sort_array(F.collect_list(F.struct("ord", "word"))).alias("x"))
+    return placed.select("group", F.col("x")["word"].alias("words")).mapInArrow(run, f"{group} {kind}, family long, word string")
+
+
+def _walk(words, a, b, distances):
+    """The family of each of a text's words (numbers, in their order), given the near pairs of numbers and their distances."""
+    import numpy as np
+
+    place = np.full(max(int(words.max(initial=-1)), int(b.max(initial=-1))) + 1, -1)
+    place[words] = np.arange(len(words))
+    x, y = place[a], place[b]
+    mine = np.flatnonzero((x >= 0) & (y >= 0))
+    x, y = x[mine], y[mine]
+    early, late = np.minimum(x, y), np.maximum(x, y)
+    order = np.argsort(late * len(words) + early)
+    starts = np.searchsorted(late[order], np.arange(len(words) + 1)).tolist()
+    none = distances[mine[order]] == 0
+    same = np.searchsorted(late[order][none], np.arange(len(words) + 1)).tolist()
+    equal, early, distances = early[order][none].tolist(), early[order].tolist(), distances[mine[order]].tolist()
+    home, turn, members = [], [], []  # of words: the family and how many came to it before; of families: their words
+    for i in range(len(words)):
+        near, at = early[starts[i] : starts[i + 1]], None
+        if not near:
+            home.append(len(members))
+            turn.append(0)
+            members.append([i])
+            continue
+        met = {}
+        for q in near:
+            met[home[q]] = met.get(home[q], 0) + 1
+        whole = [f for f, n in met.items() if n == len(members[f])]
+        # a member at distance 0 counts if all before it are near
+        zero = [home[q] for q in equal[same[i] : same[i + 1]] if met[home[q]] == len(members[home[q]]) or set(members[home[q]][: turn[q]]) <= set(near)]
+        if zero:
+            at = min(zero)
+        elif len(whole) == 1:
+            at = whole[0]
+        elif whole:
+            total = dict.fromkeys(whole, 0.0)
+            for q, d in zip(near, distances[starts[i] : starts[i + 1]]):
+                if home[q] in total:
+                    total[home[q]] += d
+            at = min(whole, key=lambda f: (total[f] / met[f], f))
+        if at is None:
+            at = len(members)
+            members.append([])
+        home.append(at)
+        turn.append(len(members[at]))
+        members[at].append(i)
+    return home
 
 
 def family_lemmas(members: DataFrame, morph: DataFrame, *keys: str) -> DataFrame:

@@ -403,13 +403,13 @@ def fuzzy_stopword_anti(spark, d):
     return families.fuzzy_stop_free(corpus.word_counts(sents(spark, d)).select("word"), words_frame(spark, STOP))
 
 
-def _document_families(sentences):
-    counts = corpus.word_counts(sentences, "doc_id")
-    rows = counts.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "word")))
-    return families.families(rows.withColumnRenamed("doc_id", "group")).withColumnRenamed("group", "doc_id")
+def _document_families(spark, d):
+    """Families of all words of each document; whole texts are dealt by key, so their words are counted where they are."""
+    counts = corpus.word_counts(corpus.sentences(rounds.dealt(documents(spark, d).select("doc_id", "text"), "doc_id")), "doc_id")
+    return families.families(counts.select("doc_id", F.struct(-F.col("n"), "word").alias("ord"), "word"), "doc_id")
 
 
 @query()
 def word_families(spark, d):
     """Families of all words of each document, the most frequent first."""
-    return _document_families(sents(spark, d))
+    return _document_families(spark, d)

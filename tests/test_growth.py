@@ -230,3 +230,35 @@ def test_texts_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     monkeypatch.setattr(rounds, "DEALT", 100)
     assert rounds.dealt(docs, "doc_id").rdd.getNumPartitions() == 20 and rounds.dealt(docs, "doc_id").count() == 41
     assert rounds.dealt(docs.where("text is null"), "doc_id").count() == 1
+
+
+def test_near_words_of_several_texts_are_found_by_bits(spark, monkeypatch):
+    import numpy as np
+    from lexmill.operators import families
+    from test_greedy import some_words
+
+    rng = random.Random(11)
+    words = set(some_words(7)) | {"x" * 24 + y for y in ("", "a", "ab", "ba", "abcde")} | {"x" * 30, "y" + "x" * 30, "漢" * 9, "漢" * 8 + "字"}
+    words = sorted(words, key=len)
+    sizes = np.array([len(w) for w in words])
+    # all pairs, compared letter by letter
+    want = set()
+    for i, a in enumerate(words):
+        for j in range(i + 1, len(words)):
+            n = len(a)
+            if (n == 1 and len(words[j]) == 1) or (n >= 3 and len(words[j]) <= min(n + 4, 2 * n)):
+                x, y, d = families._compared(words, sizes, np.array([i]), np.array([j]), n, 1 if n <= 5 else 2) if n > 1 else ([i], [j], [1.0])
+                want |= {(int(p), int(q), round(float(r), 9)) for p, q, r in zip(x, y, d)}
+    for columns, cells in ((1 << 15, 1 << 15), (64, 2)):  # all at once, and in blocks
+        monkeypatch.setattr(families, "COLUMNS", columns)
+        monkeypatch.setattr(families, "CELLS", cells)
+        a, b, d = families.near_words(words)
+        assert {(int(p), int(q), round(float(r), 9)) for p, q, r in zip(a, b, d)} == want and len(a) == len(want) > 50
+    texts = {g: rng.sample(words, 40) for g in range(30)}
+    rows = spark.createDataFrame([(g, i, w) for g, t in texts.items() for i, w in enumerate(t)], "group long, ord int, word string")
+    found = []
+    for together in (1, 200, 1 << 12):  # a text at a time, and several
+        monkeypatch.setattr(families, "TOGETHER", together)
+        found.append(sorted(map(tuple, families.families(rows).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1200
+    assert "FlatMapGroups" not in executed(families.families(rows))
