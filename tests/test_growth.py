@@ -262,3 +262,26 @@ def test_near_words_of_several_texts_are_found_by_bits(spark, monkeypatch):
         found.append(sorted(map(tuple, families.families(rows).collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) == 1200
     assert "FlatMapGroups" not in executed(families.families(rows))
+
+
+def some_sentences(spark, seed, words="walked walks cats new cat walk ab".split()):
+    rng = random.Random(seed)
+    rows = [(d, i, [rng.choice(words) for _ in range(rng.randrange(1, 9))]) for d in range(5) for i in range(8)]
+    return spark.createDataFrame([(d, i, w, len(w)) for d, i, w in rows], "doc_id long, sent_id long, words array<string>, n_words long")
+
+
+def stems(word):
+    return F.array_distinct(F.array(word, F.regexp_replace(word, "(ed|s)$", ""), F.when(word == "new", "novel").otherwise(word)))
+
+
+def test_pairs_of_words_meet_terms_by_both_lemmas(spark, monkeypatch):
+    sents = some_sentences(spark, 12)
+    morph = sents.select(F.explode("words").alias("word")).distinct().select("word", F.explode(stems(F.col("word"))).alias("lemma"))
+    held = [("walks cat", ["walks", "cat"]), ("new cats", ["new", "cats"]), ("cat cat", ["cat", "cat"]), ("dogs bark", ["dogs", "bark"])]
+    wanted = spark.createDataFrame(held, "term_id string, words array<string>")
+    every = wanted.withColumn("lemmas", F.transform("words", stems))
+    want = sorted(map(tuple, terms.phrase_occurrences(corpus.tokens(sents), every, morph=morph).select("doc_id", "sent_id", "term_id", "start").collect()))
+    for small in (F.broadcast, lambda df: df.hint("merge")):  # terms that are broadcast, and shuffled
+        monkeypatch.setattr(rounds, "small", small)
+        found = terms.pair_occurrences(sents, wanted, stems)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 30
