@@ -285,3 +285,18 @@ def test_pairs_of_words_meet_terms_by_both_lemmas(spark, monkeypatch):
         monkeypatch.setattr(rounds, "small", small)
         found = terms.pair_occurrences(sents, wanted, stems)
         assert sorted(map(tuple, found.collect())) == want and len(want) > 30
+
+
+def test_extraction_looks_up_words_of_kept_candidates_only(spark):
+    sents = some_sentences(spark, 14)
+    asked = []
+
+    def morph(words):
+        asked.append({r.word for r in words.distinct().collect()})
+        return words.distinct().select("word", F.col("word").alias("lemma"), *[F.lit(x).alias(c) for c, x in zip(("pos", "number", "animacy", "gcase"), ("NOUN", "sing", "inan", "nomn"))], F.array(F.lit("Sgtm")).alias("flags"))
+
+    stop = spark.createDataFrame([("new",)], "word string")
+    every = morph(sents.select(F.explode("words").alias("word")))
+    found = terms.extract(sents, ["ab"], stop, morph, 1)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, terms.extract(sents, ["ab"], stop, every, 1).collect())) and found.count()
+    assert "ab" in asked[0] and "ab" not in asked[1]
