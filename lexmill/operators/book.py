@@ -5,11 +5,10 @@ from __future__ import annotations
 from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.operators import collection, corpus, profiles, terms
-from lexmill.operators.rounds import settled
+from lexmill.operators.rounds import dealt, settled
 
 
 class Books:
@@ -29,9 +28,11 @@ class Books:
     @cached_property
     def sentences(self) -> DataFrame:
         """book, doc_id, sent_id, words, n_words and the clock t."""
-        held = self.chapters.select(F.struct("book", "doc_id").alias("k"), "text")
-        found = corpus.sentences(held, "k").select("k.book", "k.doc_id", "sent_id", "words", "n_words")
-        return settled(found.withColumn("t", F.sum("n_words").over(W.partitionBy("book", "doc_id").orderBy("sent_id"))))
+        return settled(corpus.word_clock(self._dealt(), "k").select("k.book", "k.doc_id", "sent_id", "words", "n_words", "t"))
+
+    def _dealt(self) -> DataFrame:
+        """Sentences by k, book and doc_id of their chapter; whole chapters are dealt by it, so what is grouped by chapter stays in place."""
+        return corpus.sentences(dealt(self.chapters.select(F.struct("book", "doc_id").alias("k"), "text"), "k"), "k")
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -60,8 +61,9 @@ class Books:
         return terms.find_terms(self.counts.groupBy("book", "term").agg(F.sum("n").alias("n")), text, limit, exact)
 
     def document_frequency(self) -> DataFrame:
-        """book, term and the number of its chapters that have it."""
-        return collection.document_frequency(self.counts, "book")
+        """book, term and the number of its chapters that have it: each chapter's terms are made distinct where it is, and counted."""
+        found = terms.candidates(self._dealt(), self.stop, self.most, key="k").select("k", "term").distinct()
+        return found.groupBy("k.book", "term").agg(F.count("k.doc_id").alias("df"))
 
     def chapters_with_terms(self, least: int = 1, min_score: float = 0.0) -> DataFrame:
         """Chapters in which a term counts for more than in the book: book, term, doc_id, n, score and density_ratio."""

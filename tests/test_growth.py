@@ -300,3 +300,16 @@ def test_extraction_looks_up_words_of_kept_candidates_only(spark):
     found = terms.extract(sents, ["ab"], stop, morph, 1)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, terms.extract(sents, ["ab"], stop, every, 1).collect())) and found.count()
     assert "ab" in asked[0] and "ab" not in asked[1]
+
+
+def test_document_frequency_of_books_shuffles_texts_and_counts_only(spark, tmp_path):
+    from collections import Counter
+
+    from lexmill.plans import ranking_queries
+
+    want = Counter()
+    for (s, d), lines in some_books(spark, str(tmp_path)).items():
+        want.update({(s, " ".join(w[p : p + k])) for w in lines for k in (1, 2) for p in range(len(w) - k + 1)})
+    found = ranking_queries.book_document_frequency(spark, str(tmp_path))
+    assert {(r.book, r.term): r.df for r in found.collect()} == want
+    assert "lexmill/step" not in executed(found) and executed(found).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
