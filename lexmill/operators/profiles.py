@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,12 +79,31 @@ def _vectors(bins: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     n = F.col("n").cast("double")
     cells = F.collect_list(F.when(n != 0, F.struct("bin", n.alias("n"))))
     vectors = settled(bins.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("m"), F.sum(n).alias("x"), F.sum(n * n).alias("xx"), cells.alias("cells")))
+    return _tiled(vectors, keys)
+
+
+def _tiled(vectors: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     many = lambda count: F.ceil(count / F.lit(TILE)).cast("int")
     if not keys:
         return vectors.withColumn("tiles", many(F.lit(max(1, vectors.count()))))
     return vectors.join(vectors.groupBy(*keys).agg(many(F.count(F.lit(1))).alias("tiles")), list(keys))
 
 
+def sparse_correlations(profile: DataFrame, ends: DataFrame, parts: int, key: str = "doc_id", least: int = 1) -> DataFrame:
+    """The rows of ``correlations`` over ``compressed`` for terms with a sum of ``least`` or more, without cells for empty bins.
+
+    ``profile``: key, term, t, n; ``ends``: those of the clock. The number of bins follows from the ends, and a
+    term's cells come together where its text is.
+    """
+    width = interval(F.col("total"), F.lit(parts))
+    setup = ends.select(key, "t0", width.alias("width"), (F.floor((F.col("total") - F.col("t0")) / width).cast("long") + 1).alias("m"))
+    per_term = profile.groupBy(key, "term").agg(F.collect_list(F.struct("t", F.col("n").cast("double").alias("n"))).alias("at"), F.sum("n").alias("x")).where(F.col("x") >= least)
+    cells = per_term.join(setup, key).select(key, "term", "m", F.inline(F.expr("transform(at, a -> struct(floor((a.t - t0) / width) as bin, a.n as n))")))
+    sums = cells.groupBy(key, "term", "m", "bin").agg(F.sum("n").alias("n")).where("n <> 0")
+    vectors = settled(sums.groupBy(key, "term", "m").agg(F.sum("n").alias("x"), F.sum(F.col("n") * F.col("n")).alias("xx"), F.collect_list(F.struct("bin", "n")).alias("cells")))
+    return _correlated(_tiled(vectors, (key,)), (key,))
+
+
 def _pairs(vectors: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Every ordered pair of terms of a key, with both sides' sums and ``xy``, the sum of products over bins.
 
@@ -103,17 +124,25 @@ def cross_sums(bins: DataFrame, *keys: str) -> DataFrame:
 
 def correlations(bins: DataFrame, *keys: str) -> DataFrame:
     """Pearson correlation of each ordered pair of terms over a key's bins (keys, bin, term, n; a cell for each bin); null without variation."""
+    return _correlated(_vectors(bins, keys), keys)
+
+
+def _correlated(vectors: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     m, x, y = F.col("m"), F.col("x"), F.col("y")
     vx, vy = m * F.col("xx") - x * x, m * F.col("yy") - y * y
-    return _pairs(_vectors(bins, keys), keys).select(*keys, "w1", "w2", F.when((vx > 0) & (vy > 0), (m * F.col("xy") - x * y) / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
+    return _pairs(vectors, keys).select(*keys, "w1", "w2", F.when((vx > 0) & (vy > 0), (m * F.col("xy") - x * y) / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
 
 
-def unit_profile(sents: DataFrame, members: DataFrame, key: str = "doc_id") -> DataFrame:
+def unit_profile(sents: DataFrame, members: DataFrame | Callable[[Column], Column], key: str = "doc_id") -> DataFrame:
     """Counts of units, families of words, at the clock of their sentences: key, term, t, n (no zeros).
 
-    ``members``: word and term (the family's name), and the key if families differ from text to text.
+    ``members``: word and term (the family's name), and the key if families differ from text to text; or a function that
+    gives a word's term or null: then nothing is joined.
     ``sents`` carries the clock ``t``.
     """
+    if callable(members):
+        named = sents.select(key, "t", F.explode("words").alias("word")).select(key, "t", members(F.col("word")).alias("term")).where("term is not null")
+        return named.groupBy(key, "term", "t").agg(F.count(F.lit(1)).alias("n"))
     counts = sents.select(key, "sent_id", "t", F.explode("words").alias("word")).groupBy(key, "sent_id", "t", "word").agg(F.count(F.lit(1)).alias("n"))
     named = counts.join(members.select(*[c for c in members.columns if c in (key, "word", "term")]), [c for c in members.columns if c in (key, "word")])
     return named.groupBy(key, "term", "t").agg(F.sum("n").cast("long").alias("n"))

@@ -339,12 +339,10 @@ FAMILY_BINS = """,
 @query(PRE + CLOCK + FAMILY_BINS + CORR.format(src="bins") + " SELECT doc_id, w1, w2, round(corr, 5) + 0 AS corr FROM corrs WHERE w1 < w2 AND round(corr, 9) > 0.6 AND round(corr, 9) < 1")
 def family_corr(spark, d):
     """Families of words of one stem whose profiles in a document go together."""
-    clock = clocked(sents(spark, d))
-    words = clock.select(F.explode("words").alias("word")).distinct().where("length(word) >= 5")
-    counts = profiles.unit_profile(clock, words.select("word", F.regexp_replace("word", "(es|en|er|s)$", "").alias("term")))
-    frequent = counts.groupBy("doc_id", "term").agg(F.sum("n").alias("all")).where("all >= 4")
-    bins = profiles.compressed(counts.join(frequent.select("doc_id", "term"), ["doc_id", "term"]), profiles.clock_ends(clock, "doc_id"), 10)
-    return profiles.drop_uncorrelated(profiles.correlations(bins, "doc_id"), 0.6, "doc_id").withColumn("corr", F.round("corr", 5) + 0.0)
+    clock, ends = clocked_with_ends(documents(spark, d).select("doc_id", "text"))
+    counts = profiles.unit_profile(clock, lambda word: F.when(F.length(word) >= 5, F.regexp_replace(word, "(es|en|er|s)$", "")))
+    corr = profiles.sparse_correlations(counts, ends, 10, least=4)
+    return profiles.drop_uncorrelated(corr, 0.6, "doc_id").withColumn("corr", F.round("corr", 5) + 0.0)
 
 
 @query(

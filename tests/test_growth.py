@@ -323,3 +323,21 @@ def test_dealt_sentences_are_indexed_where_they_are(spark):
     found = lemma_index.build(sents.repartition(3, "doc_id"), stems)
     assert rows(found) == rows(lemma_index.build(sents, morph)) and executed(found).split("Initial Plan")[-1].count("Exchange") == 1
     assert rows(lemma_index.build(sents, stems, only=only)) == rows(lemma_index.build(sents, morph, only=only))
+
+
+def test_sparse_correlations_are_those_of_all_cells(spark):
+    rng = random.Random(15)
+    rows, at = [], {}
+    for d in range(4):
+        for i in range(30):
+            w = [rng.choice("abcde") for _ in range(rng.randrange(1, 9))]
+            at[d] = at.get(d, 0) + len(w)
+            rows.append((d, i, w, len(w), at[d]))
+    clock = spark.createDataFrame(rows, "doc_id long, sent_id long, words array<string>, n_words long, t long").where("doc_id < 3 or sent_id < 1")
+    own = lambda w: F.when(w != "e", F.when(w == "b", "a").otherwise(w))
+    members = clock.select(F.explode("words").alias("word")).distinct().select("word", own(F.col("word")).alias("term")).where("term is not null")
+    counts, ends = profiles.unit_profile(clock, own), profiles.clock_ends(clock, "doc_id")
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, profiles.unit_profile(clock, members).select("doc_id", "term", "t", "n").collect()))
+    kept = counts.join(counts.groupBy("doc_id", "term").agg(F.sum("n").alias("all")).where("all >= 4"), ["doc_id", "term"], "left_semi")
+    rounded = lambda df: sorted((r.doc_id, r.w1, r.w2, None if r["corr"] is None else round(r["corr"], 9)) for r in df.collect())
+    assert rounded(profiles.sparse_correlations(counts, ends, 10, least=4)) == rounded(profiles.correlations(profiles.compressed(kept, ends, 10), "doc_id"))
