@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of speech of heads and of modifiers.
@@ -33,17 +35,24 @@ _FOLD = f"""
     s -> if(s.phase >= 2, concat(s.out, array(named_struct('lo', s.lo, 'hi', s.hi))), s.out))"""
 
 
-def noun_groups(sents: DataFrame, tags: DataFrame, key: str = "doc_id", nested: bool = False, most: int = 5) -> DataFrame:
+def noun_groups(sents: DataFrame, tags: DataFrame | Callable[[Column], Column], key: str = "doc_id", nested: bool = False, most: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of noun groups: key, sent_id, pos, term, n_words and inside (part of a longer group).
 
     A group is modifiers that agree with the noun after them in case and number, that noun, and any number of nouns in
     the genitive, each with modifiers that agree with it; groups are as long as they can be, from the left.
-    ``tags``: one row a word (of ``best_tags``); other words end a group. With ``nested`` also the parts of a
+    ``tags``: one row a word (of ``best_tags``); other words end a group. Or a function that gives a word's pos, gcase and
+    number as a struct: then sentences are tagged where they are, without a join, and keep the columns of ``carry``. With ``nested`` also the parts of a
     group that end in a noun, up to ``most`` words of them; whole groups have any length.
     """
-    words = sents.select(key, "sent_id", F.posexplode("words").alias("pos", "word"))
-    known = tags.where(F.col("pos").isin(*NOUNS, *MODIFIERS)).select("word", F.col("pos").isin(*NOUNS).alias("noun"), "gcase", "number")
-    tagged = words.join(known, "word").groupBy(key, "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "noun", "gcase", "number"))).alias("tagged"))
+    if callable(tags):
+        found = F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"), tags(w).alias("t")))
+        found = F.filter(found, lambda x: x["t"]["pos"].isin(*NOUNS, *MODIFIERS))
+        tag = lambda x: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), x["t"]["pos"].isin(*NOUNS).alias("noun"), x["t"]["gcase"].alias("gcase"), x["t"]["number"].alias("number"))
+        tagged = sents.select(key, "sent_id", *carry, F.explode(F.array(F.transform(found, tag))).alias("tagged"))
+    else:
+        words = sents.select(key, "sent_id", *carry, F.posexplode("words").alias("pos", "word"))
+        known = tags.where(F.col("pos").isin(*NOUNS, *MODIFIERS)).select("word", F.col("pos").isin(*NOUNS).alias("noun"), "gcase", "number")
+        tagged = words.join(known, "word").groupBy(key, "sent_id", *carry).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "noun", "gcase", "number"))).alias("tagged"))
     runs = tagged.withColumn("run", F.explode(F.expr(_FOLD))).withColumn("w", F.filter("tagged", lambda x: (x["pos"] >= F.col("run.lo")) & (x["pos"] < F.col("run.hi"))))
     parts = F.array(F.struct(F.lit(0).alias("a"), F.size("w").alias("b")))
     if nested:
@@ -51,10 +60,10 @@ def noun_groups(sents: DataFrame, tags: DataFrame, key: str = "doc_id", nested:
           flatten(transform(sequence(1, size(w)), b -> if(w[b - 1].noun,
             transform(sequence(greatest(0, b - {int(most)}), b - 1), a -> named_struct('a', a, 'b', b)), cast(array() as array<struct<a: int, b: int>>))))""")
         parts = F.concat(parts, F.filter(inner, lambda p: (p["a"] > 0) | (p["b"] < F.size("w"))))
-    rows = runs.select(key, "sent_id", "run", "w", F.explode(parts).alias("p"))
+    rows = runs.select(key, "sent_id", *carry, "run", "w", F.explode(parts).alias("p"))
     inside = F.col("p.b") - F.col("p.a") < F.size("w")
     term = F.array_join(F.transform(F.slice("w", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")), lambda x: x["word"]), " ")
-    return rows.select(key, "sent_id", (F.col("run.lo") + F.col("p.a")).cast("long").alias("pos"), term.alias("term"), (F.col("p.b") - F.col("p.a")).cast("long").alias("n_words"), inside.alias("inside"))
+    return rows.select(key, "sent_id", *carry, (F.col("run.lo") + F.col("p.a")).cast("long").alias("pos"), term.alias("term"), (F.col("p.b") - F.col("p.a")).cast("long").alias("n_words"), inside.alias("inside"))
 
 
 def nested_counts(groups: DataFrame, *keys: str) -> DataFrame:

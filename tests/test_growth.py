@@ -341,3 +341,14 @@ def test_sparse_correlations_are_those_of_all_cells(spark):
     kept = counts.join(counts.groupBy("doc_id", "term").agg(F.sum("n").alias("all")).where("all >= 4"), ["doc_id", "term"], "left_semi")
     rounded = lambda df: sorted((r.doc_id, r.w1, r.w2, None if r["corr"] is None else round(r["corr"], 9)) for r in df.collect())
     assert rounded(profiles.sparse_correlations(counts, ends, 10, least=4)) == rounded(profiles.correlations(profiles.compressed(kept, ends, 10), "doc_id"))
+
+
+def test_noun_groups_of_dealt_sentences_need_no_join(spark):
+    from lexmill.operators import groups
+    from lexmill.plans import group_queries
+
+    sents = some_sentences(spark, 16, "the red dogs and new cats sit on hat held".split()).withColumn("t", F.col("sent_id") * 3)
+    found = groups.noun_groups(sents.repartition(3, "doc_id"), group_queries._tag, nested=True, carry=("t",))
+    want = groups.noun_groups(sents, group_queries._tags(sents), nested=True, carry=("t",))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 30
+    assert executed(found).split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan(found)
