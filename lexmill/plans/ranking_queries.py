@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import book, collection, corpus, extraction, families, profiles, rounds, sketches, terms
 from lexmill.streaming import profiles as stream_profiles
 
-from .base import CANDIDATES, CLOCK, PRE, STDEV, STOP, WANTED, book_occurrences, clocked, clocked_with_ends, documents, occurrences, parts_by_sentences, query, quoted, rounded, sents, sents_of_books, table, words_frame
+from .base import CANDIDATES, CLOCK, PRE, STDEV, STOP, WANTED, book_occurrences, clocked, clocked_with_ends, dealt_sents, documents, occurrences, parts_by_sentences, query, quoted, rounded, sents, sents_of_books, table, words_frame
 
 RAW = f""",
     raw AS (SELECT doc_id, w AS term, t, len(list_filter(words, lambda x: x = w))::BIGINT AS n FROM clocked, (SELECT unnest([{quoted(WANTED)}]) AS w))"""
@@ -54,7 +54,7 @@ def compressed_profile(spark, d):
 )
 def profile_stream(spark, d):
     """Bins of 200 words of each document, emitted by a stream that reads the documents in three batches."""
-    s = sents(spark, d)
+    s = dealt_sents(spark, d)
     last = W.partitionBy("doc_id")
     rows = s.select("doc_id", "sent_id", "words", (F.col("sent_id") == F.max("sent_id").over(last)).alias("is_last"), (F.col("sent_id") * 3 / (F.max("sent_id").over(last) + 1)).cast("int").alias("batch"))
     source, sink, check = (rounds.scratch(spark, f"profile-{x}") for x in ("in", "out", "check"))
@@ -62,7 +62,8 @@ def profile_stream(spark, d):
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for i in range(3):  # a text's sentences of a batch are in one file
         rows.where(F.col("batch") == i).drop("batch").repartition(files, "doc_id").write.mode("append").parquet(source)
-    stream_profiles.run_to_table(spark, source, sink, check, WANTED, 200, files=files)
+    buckets = max(files, documents(spark, d).count() // 64)
+    stream_profiles.run_to_table(spark, source, sink, check, WANTED, 200, files=files, buckets=buckets)
     return spark.read.schema("doc_id long, bin long, term string, n long").parquet(sink)
 
 

@@ -26,3 +26,16 @@ def test_stream_in_three_starts_equals_batch(spark, tmp_path):
         profiles.run_to_table(spark, source, sink, check, ["a", "b"], 7)
     got = sorted(map(tuple, spark.read.parquet(sink).collect()))
     assert got == sorted(map(tuple, profiles.binned(every, ["a", "b"], 7).collect())) and got
+
+
+def test_texts_of_a_bucket_share_a_group(spark, tmp_path):
+    rows = [(doc, i, ["a", "b", "c"][: 1 + ((doc or 0) + i) % 3], 1 + ((doc or 0) + i) % 3, i == 19) for doc in [*range(50), 2**60 + 1, None] for i in range(20)]
+    every = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(((r.doc_id, r.bin, r.term, r.n) for r in profiles.binned(every.fillna(-1, ["doc_id"]), ["a", "b"], 7).collect()))
+    for buckets in (None, 4):
+        source, sink, check = (str(tmp_path / f"{x}{buckets}") for x in ("in", "out", "check"))
+        for part in range(2):
+            every.where(F.floor(F.col("sent_id") / 10) == part).coalesce(1).write.mode("append").parquet(source)
+            profiles.run_to_table(spark, source, sink, check, ["a", "b"], 7, buckets=buckets)
+        found = spark.read.parquet(sink)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.bin, r.term, r.n) for r in found.collect()) == want and found.schema["doc_id"].dataType.simpleString() == "bigint"
