@@ -281,8 +281,11 @@ def test_pairs_of_words_meet_terms_by_both_lemmas(spark, monkeypatch):
     wanted = spark.createDataFrame(held, "term_id string, words array<string>")
     every = wanted.withColumn("lemmas", F.transform("words", stems))
     want = sorted(map(tuple, terms.phrase_occurrences(corpus.tokens(sents), every, morph=morph).select("doc_id", "sent_id", "term_id", "start").collect()))
-    for small in (F.broadcast, lambda df: df.hint("merge")):  # terms that are broadcast, and shuffled
+    # terms that are broadcast, and shuffled after pairs were filtered by a table of many bits and of few
+    for small, most, slots in ((F.broadcast, 50_000, 1), (lambda df: df.hint("merge"), 1, 1 << 18), (lambda df: df.hint("merge"), 1, 1)):
         monkeypatch.setattr(rounds, "small", small)
+        monkeypatch.setattr(rounds, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(terms, "SLOTS", slots)
         found = terms.pair_occurrences(sents, wanted, stems)
         assert sorted(map(tuple, found.collect())) == want and len(want) > 30
 
